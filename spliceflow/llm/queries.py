@@ -22,5 +22,19 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup)}
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import edited_likeness
+
+    return edited_likeness(documents(spark, sf_dir))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan as S
+
+    found = S.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [S.count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(S.written(F.col("base_spans")), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op8_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
