@@ -38,8 +38,14 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = 2, picks: int =
     mer = lambda t, i: F.xxhash64(t, *(F.coalesce(F.get("__t", i + j), F.lit("")) for j in range(1, k)))
     d = d.withColumn("__a", F.sort_array(F.transform("__t", lambda t, i: _pack(mer(t, i), F.least(i.cast("long"), F.lit(_POS))))))
     d = d.withColumn("__h", F.transform("__a", lambda x: F.shiftright(x, POS_BITS)))
-    # sorted, equal k-mers stand together in the order of the text: the occurrence number is the distance to the first of them
-    again = lambda x, i: F.when((i > 0) & (F.get("__h", i - 1) == F.shiftright(x, POS_BITS)), i + 1 - F.array_position("__h", F.shiftright(x, POS_BITS))).otherwise(F.lit(0).cast("long"))
+    # sorted, equal k-mers stand together in the order of the text: the occurrence number is the distance to the first of them,
+    # which is found by steps of halving length
+    def again(x: Column, i: Column) -> Column:
+        same = lambda j: (j >= 0) & (F.get("__h", j) == F.shiftright(x, POS_BITS))
+        steps = F.array(*(F.lit(1 << p) for p in range(POS_BITS, -1, -1)))
+        first = F.aggregate(steps, i, lambda at, step: F.when(same(at - step), at - step).otherwise(at))
+        return F.when(same(i - 1), i - first).otherwise(F.lit(0)).cast("long")
+
     d = d.withColumn("__s", F.sort_array(F.transform("__a", lambda x, i: _pack(F.xxhash64(F.shiftright(x, POS_BITS), again(x, i)), x.bitwiseAND(F.lit(_POS))))))
     # places in the sorted circle where a new sector begins, as sector * 2^32 + place
     begins = F.transform("__s", lambda x, i: F.when((i == 0) | (F.shiftright(F.get("__s", i - 1), shift) != F.shiftright(x, shift)), F.shiftleft(F.shiftright(x, shift), 32) + i))

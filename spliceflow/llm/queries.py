@@ -28,6 +28,18 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_spans import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), count="chars_removed")
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ball_tree import quantised, top_k
+
+    return top_k(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), every=20, k=20)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as S
 
@@ -36,5 +48,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(S.written(F.col("base_spans")), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op8_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op8_secret_scan)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
