@@ -40,6 +40,16 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), every=20, k=20)
 
 
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_fm as Q
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold() != 0)
+    model = Q.train(docs, labels, metadata=["n_chars"])
+    scored = Q.score(docs, model, metadata=["n_chars"], keep=["doc_id", (fold() == 0).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as S
 
@@ -48,7 +58,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(S.written(F.col("base_spans")), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op6_quality_fm, op8_secret_scan)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
