@@ -58,7 +58,27 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(S.written(F.col("base_spans")), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op6_quality_fm, op8_secret_scan)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), length=2048)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import byte_bpe as B
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = B.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).drop("text")
+    both = B.decode(ids, path, pattern)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op6_quality_fm, op8_secret_scan, op9_best_fit_packing, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
