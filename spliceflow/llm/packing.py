@@ -26,10 +26,22 @@ from pyspark.sql import functions as F
 
 from .common import mix64, slices, stored
 
-_MOST = 700_000
+_MOST = 1_000_000
 _loaded: dict[str, "WordCache"] = {}
 
 
+class _Known(dict):
+    """Ids of the parts seen so far; a part that is missing is encoded when it is first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return ids
+
+
 class WordCache:
     """Ids of texts, by those of their parts between spaces: no token reaches over a space. Equal parts are encoded once."""
 
@@ -37,22 +49,15 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.known = _Known(tokenizer)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        known, cut = self.known, [t.split(" ") for t in texts]
-        if len(known) > _MOST:
-            known.clear()
-        new = list(set().union(*cut) - known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if len(self.known) > _MOST:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, text.split(" ")))
 
 
 def word_cache(path: str) -> WordCache:
@@ -146,8 +151,8 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
         part = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
             row, piece, start, size, crc, ids = [], [], [], [], [], []
-            for r, body in enumerate(words.encode([t or "" for t in batch.column("text").to_pylist()])):
-                body += stop
+            for r, t in enumerate(batch.column("text").to_pylist()):
+                body = words.encode(t or "") + stop
                 for k, at in enumerate(range(0, len(body), 4 * length)):
                     chunk = body[at : at + 4 * length]
                     row.append(r), piece.append(k), start.append(at // 4), size.append(len(chunk) // 4), crc.append(zlib.crc32(chunk))
