@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import series
+
+FAMILIES = [series]
+QUERIES = {name: f for m in FAMILIES for name, f in m.family.queries.items()}
+ORACLE_SQL = {name: sql for m in FAMILIES for name, sql in m.family.sql.items()}
