@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import beats, events, series
+from .plans import beats, events, series, similarity
 
-FAMILIES = [series, events, beats]
+FAMILIES = [series, events, beats, similarity]
 QUERIES = {name: f for m in FAMILIES for name, f in m.family.queries.items()}
 ORACLE_SQL = {name: sql for m in FAMILIES for name, sql in m.family.sql.items()}
