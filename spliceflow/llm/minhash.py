@@ -6,9 +6,11 @@ equal to their Jaccard similarity (and the two of one function less than indepen
 is cut into bands; documents that agree in a band are candidates, and a candidate becomes a link only when the full shingle sets
 confirm it. With 64 functions and bands of 4, a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^32 = 5e-8.
 
-Inside a band no pairs are listed. Rows with equal sets fall together first. Then every member of a band is tested against the
-band's smallest member; components are formed; and only in bands that still hold several components further members take the
-hub's place, some per band and round and more in each later round, until no untested pair of different components is left.
+Inside a band not all pairs are tried. Rows with equal sets fall together first. Then every member of a band is tested against the
+band's smallest member, and components are formed; in bands that still hold several, members that also agree in a second band
+are tested against the smallest and the largest of those; last, members outside a band's largest component are tested
+against all others of the band, within the join, so that only links come out. No two members of different components that
+share a band are left untested.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and link with nothing; a text of fewer than n
 words is one shingle. Rows sharing a doc_id are one document. Rows with a null doc_id stay alone unless an equal set has an id.
@@ -126,15 +128,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 2, percent: int = 80, permutations: int = 64, band: int = 4, hubs: int = 16) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of docs. hubs: members per band that are tested against all others
-    in the first round after the one of the smallest member; four times as many in each later round."""
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links (a, b): only the graph of components is solved again."""
+    of = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    x = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    up = components(stored(x.select("ca", "cb").distinct()), "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("up"))
+    new = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return stored(comps.union(new).join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 2, percent: int = 80, permutations: int = 64, band: int = 4) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of docs."""
     d = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = stored(signatures(d, "text", words, permutations, band))
+    n_bands = 2 * permutations // band
     # equal sets first: one representative, the smallest id
-    reps = rows.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"))
-    reps = stored(reps)
-    bands = rows.join(reps.select("set_a", "set_b", F.col("rep").alias("id"), "n"), ["set_a", "set_b", "id"]).select(F.explode("bands").alias("band"), "id", "n")
+    reps = stored(rows.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")))
+    mine = rows.join(reps.select("set_a", "set_b", F.col("rep").alias("id"), "n"), ["set_a", "set_b", "id"])
+    bands = mine.select(F.posexplode("bands").alias("j", "band"), "id", "n", "bands")
+    other = lambda k: F.get("bands", (F.col("j") + k) % n_bands)
+    bands = bands.select("j", "band", "id", "n", other(n_bands // 4).alias("s1"), other(n_bands // 2).alias("s2"))
     # only bands that two sets share; the smallest member is the hub
     hub = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).where("hub.id <> top")
     shared = stored(bands.join(hub.select("band", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "band"))
@@ -142,42 +155,42 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     pairs = stored(shared.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     ids = shared.select("id").distinct()
     sets = stored(shingle_sets(d.join(ids, "id", "left_semi"), "text", words))
-    edges = stored(_confirmed(pairs, sets, percent))
-    comps = components(edges)
-    # members of a band that are in different components, less the hubs that were tested there
-    left = shared.where("id <> hub").select("band", "id", "n")
+    comps = components(stored(_confirmed(pairs, sets, percent)))
     drop_stored(pairs)
-    while True:
-        at = left.join(comps, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-        open_bands = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        at = stored(at.join(open_bands, "band", "left_semi"))
-        if at.limit(1).count() == 0:
-            break
-        # hubs of the smallest components first: a component that is alone in its band needs no further test
-        weight = at.groupBy("band", "component").agg(F.count("*").alias("m"))
-        ranked = at.join(weight, ["band", "component"])
-        chosen = _smallest(ranked, hubs)
-        tests = at.join(chosen.select("band", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc")), "band")
-        tests = tests.where((F.col("component") != F.col("bc")) & fits(F.col("n"), F.col("bn")))
-        tests = tests.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        found = _confirmed(tests, sets, percent)
-        more = stored(edges.union(found).distinct())
-        drop_stored(edges)
-        edges, comps = more, components(more)
-        left = at.join(chosen.select("band", "id"), ["band", "id"], "left_anti").select("band", "id", "n")
-        hubs *= 4
+    at = _open(shared, comps)
+    for second in ("s1", "s2"):
+        key = F.struct("id", "n", "component")
+        ends = at.groupBy("band", second).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("component").alias("c"), F.max("component").alias("top")).where("c <> top")
+        tests = at.join(ends.select("band", second, F.explode(F.array("lo", "hi")).alias("hub")), ["band", second])
+        tests = tests.where((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
+        tests = stored(tests.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct())
+        comps = _merged(comps, stored(_confirmed(tests, sets, percent)))
+        at = _open(at.drop("component"), comps)
+    comps = _merged(comps, stored(_rest(at, sets, rows, fits, percent)))
     of_set = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _smallest(ranked: DataFrame, k: int) -> DataFrame:
-    """About k members of each band, of its smallest components; all of a band of at most k. Bands are cut by a hash of the
-    member first, so that no band is ranked in one task."""
-    from pyspark.sql import Window
-
-    order = [F.col("m"), F.col("component"), F.col("id")]
-    part = Window.partitionBy("band", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(*order)
-    few = ranked.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k).drop("r")
-    return few.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(*order))).where(F.col("r") <= k).drop("r", "m")
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members, with their component, of the bands that hold more than one component."""
+    at = members.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    bands = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    return stored(at.join(bands, "band", "left_semi").select("j", "band", "id", "n", "s1", "s2", "component"))
+
+
+def _rest(at: DataFrame, sets: DataFrame, rows: DataFrame, fits, percent: int) -> DataFrame:
+    """Links between the members outside a band's largest component and the other members of the band. A pair is tried in the
+    first band that it shares; sets and bands travel with the members of bands that are still open."""
+    counts = at.groupBy("band", "component").agg(F.count("*").alias("m"))
+    main = counts.groupBy("band").agg(F.max(F.struct("m", "component")).alias("main")).select("band", F.col("main.component").alias("main"))
+    known = sets.join(rows.select("id", "bands").where(F.size("bands") > 0).dropDuplicates(["id"]), "id").select("id", "shingles", "bands")
+    full = at.select("j", "band", "id", "n", "component").join(known, "id")
+    out = full.join(main, "band").where("component <> main").drop("main")
+    x, y = out.alias("x"), full.alias("y")
+    c = lambda name: F.col(name)
+    both = F.size(F.array_intersect(c("x.shingles"), c("y.shingles")))
+    before = F.exists(F.zip_with(F.slice(c("x.bands"), 1, c("x.j")), F.slice(c("y.bands"), 1, c("y.j")), lambda p, q: p == q), lambda e: e)
+    link = F.when((c("x.component") == c("y.component")) | ~fits(c("x.n"), c("y.n")), False).when(before, False).otherwise(100 * both >= percent * (c("x.n") + c("y.n") - both))
+    return x.join(y, (c("x.band") == c("y.band")) & link).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
