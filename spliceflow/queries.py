@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import beats, events, series, similarity, transitions
+from .plans import beats, events, series, similarity, structure, transitions
 
-FAMILIES = [series, events, beats, similarity, transitions]
+FAMILIES = [series, events, beats, similarity, structure, transitions]
 QUERIES = {name: f for m in FAMILIES for name, f in m.family.queries.items()}
 ORACLE_SQL = {name: sql for m in FAMILIES for name, sql in m.family.sql.items()}
