@@ -80,7 +80,7 @@ def _ring(rows: DataFrame) -> DataFrame:
     """For each key (o, h), in order and as a ring, the row before it: (o, h, prev_o, prev_h, prev_n). The keys are dealt out by
     range, so that no task holds more than its share; only the first and last key of each range meet in one place."""
     spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 1_000_000))
     dealt = stored(rows.repartitionByRange(parts, "o", "h").withColumn("pid", F.spark_partition_id()))
     key = F.struct("o", "h", "n")
     w = Window.partitionBy("pid").orderBy("o", "h")
