@@ -7,7 +7,8 @@ for each switch, gives spans of one language. The text's language is the one wit
 
 Defined cases: a null or letterless text is `und` with score 0 and no spans. A text whose scripts no language uses is scored with
 all languages as candidates (equal scores: the one with the most training letters). With nothing to learn from, all is `und`.
-Ties go to the alphabetically first language. Repeated rows count as often as they occur. Extra columns are kept.
+Ties go to the alphabetically first language. Repeated rows count as often as they occur. Extra columns are kept;
+ones with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -216,7 +217,8 @@ def _label(model: LanguageModel, texts: pa.Array, with_spans: bool):
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str | Column] | None = None, with_spans: bool = True) -> DataFrame:
     """docs (or its columns `keep`) with lang_pred, score and, if asked for, spans: array of (start, end, lang), in code points.
     No shuffle; texts are handled in slices of bounded size."""
-    kept = docs.select(*(keep if keep is not None else docs.columns), F.col(text).cast("string").alias("__text"))
+    new = {"lang_pred", "score", *(["spans"] if with_spans else [])}
+    kept = docs.select(*(keep if keep is not None else [c for c in docs.columns if c not in new]), F.col(text).cast("string").alias("__text"))
     carry = kept.schema.fieldNames()[:-1]
     fields = [*kept.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))

@@ -7,7 +7,8 @@ threshold of the run's character class (hex, alphanumeric, base64). Runs on the
 alphabets, placeholders) are suppressed, as are runs inside a span already found.
 
 Spans are (start, kind, end) in code points, end exclusive, ordered by start and then kind in the order of KINDS.
-Defined cases: null text counts as empty and has no spans; equal texts have equal spans; extra columns are kept.
+Defined cases: null text counts as empty and has no spans; equal texts have equal spans; extra columns are kept, ones with the names of
+results replaced.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def _suspicious(run: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base_spans and spans (the base ones and those found by entropy): arrays of (start, kind number, end)."""
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("base_spans", "spans")]
     d = docs.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     t = F.col("__t")
     (k1, p1, g1, n1), (k2, p2, _, n2), (k3, p3, _, n3) = BASE_KINDS
