@@ -192,3 +192,13 @@ def cells_from_delimiters(cuts: DataFrame, ends: DataFrame, apart: float = 1e-3)
     k = arr.withColumn("k", kept)
     pairs = F.zip_with(F.slice("k", 1, F.greatest(F.size("k") - 1, F.lit(0))), F.slice("k", 2, F.greatest(F.size("k") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     return k.select("track", F.posexplode(pairs).alias("cell", "c")).select("track", F.col("cell").cast("long").alias("cell"), "c.start", "c.end")
+
+
+def transition_times(clips: DataFrame, labels: DataFrame) -> DataFrame:
+    """(run_id, splice, at, from_beat, to_beat, from_label, to_label): where each clip but the first of a run (run_id, track, clip,
+    start_beat, end_beat, timeline_start) begins on the timeline, with the labels (track, beat, label) on both sides."""
+    w = Window.partitionBy("run_id").orderBy("clip")
+    c = clips.withColumn("from_beat", F.lag("end_beat").over(w)).where("from_beat is not null")
+    of = lambda beat, out: labels.select("track", F.col("beat").alias(beat), F.col("label").alias(out))
+    c = c.join(of("from_beat", "from_label"), ["track", "from_beat"], "left").join(of("start_beat", "to_label"), ["track", "start_beat"], "left")
+    return c.select("run_id", (F.col("clip") - 1).alias("splice"), F.col("timeline_start").alias("at"), "from_beat", F.col("start_beat").alias("to_beat"), "from_label", "to_label")

@@ -149,3 +149,12 @@ def extend_outro(steps: DataFrame, runs: DataFrame, share: float = 0.2) -> DataF
     more = top.where(add > 0).select("run_id", "track", "pos", "beat", F.explode(F.sequence(F.lit(1).cast("long"), add)).alias("k"))
     return steps.select("run_id", "track", "pos", "beat").union(more.select("run_id", "track", F.col("pos") + F.col("k"), F.col("beat") + F.col("k")))
 
+
+
+def intro_outro_beats(beats: DataFrame, meter: int = 4, intro: int = 8, outro: int = 4, most_bars: int = 3) -> DataFrame:
+    """(track, intro_beats, outro_beats): lengths of the leading run of beats (track, beat, label) labelled intro and of the trailing
+    one labelled outro, else the defaults; the outro not over most_bars bars."""
+    w = Window.partitionBy("track")
+    b = beats.withColumns({"first_other": F.min(F.when(F.col("label") != "intro", F.col("beat"))).over(w), "last_other": F.max(F.when(F.col("label") != "outro", F.col("beat"))).over(w)})
+    g = b.groupBy("track").agg(F.count(F.when((F.col("label") == "intro") & (F.col("beat") < F.coalesce("first_other", F.lit(2**62))), 1)).alias("a"), F.count(F.when((F.col("label") == "outro") & (F.col("beat") > F.coalesce("last_other", F.lit(-1))), 1)).alias("z"))
+    return g.select("track", F.when(F.col("a") > 0, F.col("a")).otherwise(intro).cast("long").alias("intro_beats"), F.least(F.when(F.col("z") > 0, F.col("z")).otherwise(outro), F.lit(most_bars * meter)).cast("long").alias("outro_beats"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .events import snap_nearest
 from .similarity import lag_correlation, pairs
 
 #: Default weights of the signals; combined by a harmonic mean (fixed values).
@@ -222,3 +223,24 @@ def prescreen(recurrence: DataFrame, segments: DataFrame, reach: int = 4, least:
     e = recurrence.where(F.col("v") >= least).join(s("a", "end"), ["track", "i"]).join(s("b", "start"), ["track", "j"]).where("a <> b")
     w = Window.partitionBy("track", "a", "b").orderBy(F.desc("v"), "i", "j")
     return e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).select("track", "a", "b", "i", "j", "v")
+
+
+def downbeat_sets(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
+    """beats (track, beat, t) with is_downbeat, for the beats nearest to downbeats (track, t), and leads_in for those before them."""
+    grid = beats.select("track", F.col("beat").alias("j"), "t")
+    d = snap_nearest(downbeats.select("track", "t"), grid).where("j is not null").select("track", F.col("j").alias("beat")).distinct()
+    b = beats.join(d.withColumn("d", F.lit(True)), ["track", "beat"], "left").withColumn("is_downbeat", F.col("d").isNotNull()).drop("d")
+    return b.withColumn("leads_in", F.coalesce(F.lead("is_downbeat").over(_w()), F.lit(False)))
+
+
+def region_candidates(distance: DataFrame, bounds: DataFrame, labels: DataFrame | None = None, apart: int = 4, most: float = 0.55) -> DataFrame:
+    """(run_id, track, i, j, d, cost) of all pairs inside [entry, exit) of runs (run_id, track, entry, exit), at least `apart` beats
+    apart and not over `most`: no top-k and no floor; half the span penalty across labels (track, beat, label), none within one."""
+    x = distance.where((F.abs(F.col("j") - F.col("i")) >= apart) & (F.col("d") <= most)).join(bounds, "track")
+    x = x.where((F.col("i") >= F.col("entry")) & (F.col("i") < F.col("exit")) & (F.col("j") >= F.col("entry")) & (F.col("j") < F.col("exit")))
+    cost = F.col("d")
+    if labels is not None:
+        of = lambda c: labels.select("track", F.col("beat").alias(c), F.col("label").alias(f"l{c}"))
+        x = x.join(of("i"), ["track", "i"], "left").join(of("j"), ["track", "j"], "left")
+        cost = cost + F.when((F.col("li") != F.col("lj")) & (F.abs(F.col("j") - F.col("i")) < 32), 0.125).otherwise(0.0)
+    return x.select("run_id", "track", "i", "j", "d", cost.alias("cost"))
