@@ -294,3 +294,43 @@ def vocal_activity(frame_features: DataFrame, weights: tuple[float, float, float
 def _over_quantile(c: str, q: float = 0.95) -> Column:
     p = F.percentile(c, F.lit(q)).over(_track())
     return F.when(p > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c) / p))).otherwise(0.0)
+
+
+def chroma_basis(n_fft: int, sr: float, tuning: float = 0.0, centre_octave: float = 5.0, octave_width: float = 2.0) -> list[tuple[int, int, float]]:
+    """(bin, pitch class, weight): bumps one bin wide around each pitch class, C first, of length 1 per bin, weighted towards the
+    centre octave."""
+    place = lambda k: 12 * math.log2(k * sr / n_fft / (440.0 * 2 ** (tuning / 12) / 16))  # noqa: E731  semitones above the A five octaves down
+    q = [place(1) - 18, *(place(k) for k in range(1, n_fft // 2 + 1))]
+    width = [*(max(1.0, b - a) for a, b in zip(q, q[1:])), 1.0]
+    out = []
+    for k, (x, w) in enumerate(zip(q, width)):
+        bump = [math.exp(-0.5 * (2 * ((x - c + 6) % 12 - 6) / w) ** 2) for c in range(12)]
+        size = math.sqrt(sum(b * b for b in bump)) or 1.0
+        octave = math.exp(-0.5 * ((x / 12 - centre_octave) / octave_width) ** 2)
+        out += [(k, (c - 3) % 12, b / size * octave) for c, b in enumerate(bump)]
+    return out
+
+
+def chroma(spec: DataFrame, n_fft: int, sr: float, tuning: float = 0.0) -> DataFrame:
+    """(track, frame, pitch, v): power per pitch class, over the frame's largest."""
+    basis = F.broadcast(spec.sparkSession.createDataFrame(chroma_basis(n_fft, sr, tuning), "bin long, pitch long, w double"))
+    c = spec.join(basis, "bin").groupBy("track", "frame", "pitch").agg(F.sum(F.col("w") * F.col("v") * F.col("v")).alias("v"))
+    top = F.max("v").over(Window.partitionBy("track", "frame"))
+    return c.withColumn("top", top).select("track", "frame", "pitch", F.when(F.col("top") > 1e-30, F.col("v") / F.col("top")).otherwise(0.0).alias("v"))
+
+
+def estimate_tuning(spec: DataFrame, n_fft: int, sr: float, lo: float = 150.0, hi: float = 4000.0, share: float = 0.1) -> DataFrame:
+    """(track, tuning) in semitones from -0.5: the fullest hundredth of the offsets from equal temperament of spectral peaks, placed by a
+    parabola, in [lo, hi), over `share` of their frame's largest and not under the track's median peak; the lowest of equals."""
+    w = Window.partitionBy("track", "frame")
+    s = spec.withColumns({"a": F.lag("v").over(w.orderBy("bin")), "b": F.lead("v").over(w.orderBy("bin")), "top": F.max("v").over(w)})
+    s = s.where((F.col("v") > F.col("a")) & (F.col("v") >= F.col("b")) & (F.col("v") > share * F.col("top")))
+    bend = F.col("a") - 2 * F.col("v") + F.col("b")
+    shift = F.when(F.abs(bend) > 1e-30, 0.5 * (F.col("a") - F.col("b")) / bend).otherwise(0.0)
+    s = s.select("track", ((F.col("bin") + shift) * F.lit(sr / n_fft)).alias("f"), F.col("v").alias("m")).where((F.col("f") >= lo) & (F.col("f") < hi))
+    s = s.join(s.groupBy("track").agg(F.median("m").alias("med")), "track").where(F.col("m") >= F.col("med"))
+    semis = 12 * F.log2(F.col("f") / 440.0)
+    off = semis - F.floor(semis)
+    bucket = F.floor(F.round((F.when(off >= 0.5, off - 1).otherwise(off) + 0.5) * 100, 9))
+    n = s.groupBy("track", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return n.groupBy("track").agg(F.max_by("bucket", F.struct("n", -F.col("bucket"))).alias("bucket")).select("track", (F.col("bucket") / F.lit(100.0) - 0.5).alias("tuning"))

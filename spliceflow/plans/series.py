@@ -223,3 +223,21 @@ def f23_chunk_and_stitch(spark, d):
     c = S.chunks_with_border(n, size, border).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("i", F.col("start") + F.col("k"))
     scored = c.join(s, ["track", "i"]).select("track", "chunk", "start", "k", (F.col("x") + F.col("chunk")).alias("score"))  # the scorer
     return rounded(S.stitch(scored, n, size, border), 9)
+
+
+_CHROMA = ", ".join(f"({b}, {c}, {w!r}::DOUBLE)" for b, c, w in S.chroma_basis(N_FFT, SR))
+
+
+@family(f"""WITH {SP}, cb(bin, pitch, w) AS (VALUES {_CHROMA}), c AS (SELECT track, frame, pitch::BIGINT AS pitch, sum(w * v * v) AS v FROM sp JOIN cb USING (bin) GROUP BY 1, 2, 3)
+SELECT track, frame, pitch, round(v / max(v) OVER (PARTITION BY track, frame), 6) AS v FROM c""")
+def f11_chroma(spark, d):
+    return rounded(S.chroma(_spec(spark, d), N_FFT, SR))
+
+
+@family(f"""WITH {SP}, n AS (SELECT track, frame, bin, v, lag(v) OVER w AS a, lead(v) OVER w AS b, max(v) OVER (PARTITION BY track, frame) AS top FROM sp WINDOW w AS (PARTITION BY track, frame ORDER BY bin)),
+p AS (SELECT track, v AS m, (bin + CASE WHEN abs(a - 2 * v + b) > 1e-30 THEN 0.5 * (a - b) / (a - 2 * v + b) ELSE 0 END) * 125.0::DOUBLE AS f FROM n WHERE v > a AND v >= b AND v > 0.1 * top),
+q AS (SELECT * FROM p WHERE f >= 150 AND f < 4000), md AS (SELECT track, median(m) AS med FROM q GROUP BY 1), o AS (SELECT track, 12 * log2(f / 440) - floor(12 * log2(f / 440)) AS o FROM q JOIN md USING (track) WHERE m >= med),
+h AS (SELECT track, floor(round((CASE WHEN o >= 0.5 THEN o - 1 ELSE o END + 0.5) * 100, 9)) AS bucket, count(*) AS n FROM o GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY n DESC, bucket) AS r FROM h) SELECT track, round(bucket / 100 - 0.5, 6) + 0 AS tuning FROM r WHERE r = 1""")
+def f19_estimate_tuning(spark, d):
+    return rounded(S.estimate_tuning(_spec(spark, d), N_FFT, SR))
