@@ -202,3 +202,22 @@ def transition_times(clips: DataFrame, labels: DataFrame) -> DataFrame:
     of = lambda beat, out: labels.select("track", F.col("beat").alias(beat), F.col("label").alias(out))
     c = c.join(of("from_beat", "from_label"), ["track", "from_beat"], "left").join(of("start_beat", "to_label"), ["track", "start_beat"], "left")
     return c.select("run_id", (F.col("clip") - 1).alias("splice"), F.col("timeline_start").alias("at"), "from_beat", F.col("start_beat").alias("to_beat"), "from_label", "to_label")
+
+
+def queued_compatibility(queue: DataFrame, blocks: DataFrame, quality: DataFrame, downbeats: DataFrame, window: int = 8, drift: float = 0.10, top: int = 5, apart: int = 4, separation: int = 4) -> DataFrame:
+    """(track, a, b, rank, from_beat, to_beat, score) for blocks that follow each other in a queue (run_id, track, pos, block): pairs that
+    leave before a downbeat (track, beat) and land on one, at least `apart` beats away; best first, each at least `separation`
+    beats from those taken on one side. The fold runs over one pair's window, of (2 * window + 1)^2 pairs at most."""
+    w = Window.partitionBy("run_id").orderBy("pos")
+    asked = queue.withColumn("b", F.lead("block").over(w)).where("b is not null").select("track", F.col("block").alias("a"), "b").distinct()
+    leave = blocks.select("track", F.col("block").alias("a"), F.col("exit").alias("a_at"), F.explode(F.sequence(F.col("exit") - window, F.col("exit") + window)).alias("i"))
+    land = blocks.select("track", F.col("block").alias("b"), F.col("entry").alias("b_at"), F.explode(F.sequence(F.col("entry") - window, F.col("entry") + window)).alias("j"))
+    leave = leave.join(downbeats.select("track", (F.col("beat") - 1).alias("i")), ["track", "i"], "left_semi")
+    land = land.join(downbeats.select("track", F.col("beat").alias("j")), ["track", "j"], "left_semi")
+    x = asked.join(leave, ["track", "a"]).join(land, ["track", "b"]).join(quality.select("track", "i", "j", "quality"), ["track", "i", "j"]).where(F.abs(F.col("j") - F.col("i")) >= apart)
+    x = x.withColumn("score", F.col("quality") - F.lit(drift / window) * (F.abs(F.col("i") - F.col("a_at")) + F.abs(F.col("j") - F.col("b_at"))))
+    p = x.groupBy("track", "a", "b").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("o"), "i", "j", "score"))).alias("p"))
+    none = F.expr("cast(array() as array<struct<o:double,i:bigint,j:bigint,score:double>>)")
+    near = lambda y, z: (F.abs(y["i"] - z["i"]) < separation) & (F.abs(y["j"] - z["j"]) < separation)
+    taken = F.aggregate("p", none, lambda a, z: F.when((F.size(a) >= top) | F.exists(a, lambda y: near(y, z)), a).otherwise(F.concat(a, F.array(z))))
+    return p.select("track", "a", "b", F.posexplode(taken).alias("rank", "z")).select("track", "a", "b", (F.col("rank") + 1).alias("rank"), F.col("z.i").alias("from_beat"), F.col("z.j").alias("to_beat"), "z.score")

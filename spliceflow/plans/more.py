@@ -50,3 +50,12 @@ SELECT run_id, clip - 1 AS splice, round(ts, 6) AS at, fb AS from_beat, start_be
 def e14_transition_times(spark, d):
     labels = T.events(spark, d).select("track", F.col("i").alias("beat"), "label")
     return rounded(E.transition_times(_timeline(spark, d), labels))
+
+
+@family()
+def k4_queued_compatibility(spark, d):
+    b = T.beats(spark, d)
+    blocks = b.select("track").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumns({"entry": F.col("block") * 10, "exit": F.col("block") * 10 + 9})
+    queue = blocks.select("track", F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id")).distinct().select("*", F.posexplode(F.array(*(F.lit(k).cast("long") for k in (0, 2, 1, 3)))).alias("pos", "block"))
+    quality = Q.chroma_distance(b).withColumn("quality", 1 - F.col("d"))
+    return rounded(E.queued_compatibility(queue, blocks, quality, b.where("beat % 2 = 0").select("track", "beat"), window=4, top=3, separation=3))

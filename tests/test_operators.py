@@ -95,3 +95,20 @@ def test_empty_tables(spark):
     assert events.estimate_tempo(e).count() == 0
     assert events.fill_gaps(e, e).count() == 0
     assert similarity.self_similarity(frame(spark, [], "track long, beat long, feat array<double>")).count() == 0
+
+
+def test_queued_pairs_keep_their_distance(spark):
+    rng = np.random.default_rng(6)
+    q = {(i, j): float(rng.uniform()) for i in range(40) for j in range(40)}
+    quality = frame(spark, [(0, i, j, v) for (i, j), v in q.items()], "track long, i long, j long, quality double")
+    blocks = frame(spark, [(0, 0, 0, 12), (0, 1, 25, 35)], "track long, block long, entry long, exit long")
+    queue = frame(spark, [("r", 0, 0, 0), ("r", 0, 1, 1)], "run_id string, track long, pos long, block long")
+    downbeats = frame(spark, [(0, k) for k in range(0, 40, 2)], "track long, beat long")
+    got = editing.queued_compatibility(queue, blocks, quality, downbeats, window=4, top=3, separation=3).orderBy("rank").collect()
+    score = lambda i, j: q[i, j] - 0.1 / 4 * (abs(i - 12) + abs(j - 25))
+    pairs = sorted(((i, j) for i in range(8, 17) for j in range(21, 30) if (i + 1) % 2 == 0 and j % 2 == 0 and abs(j - i) >= 4), key=lambda p: -score(*p))
+    want = []
+    for p in pairs:
+        if len(want) < 3 and not any(abs(p[0] - y[0]) < 3 and abs(p[1] - y[1]) < 3 for y in want):
+            want.append(p)
+    assert [(r.from_beat, r.to_beat) for r in got] == want
