@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, slices, stored
 
-_MOST = 1_000_000
+_MOST = 800_000
 _loaded: dict[str, "WordCache"] = {}
 
 

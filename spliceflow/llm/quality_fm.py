@@ -8,7 +8,7 @@ with the smallest hash of their id) and scores all rows.
 
 Defined cases: null text counts as empty and gets the score of its structure alone; null metadata has its own level; rows with a
 null label are not learned from. With no labelled rows, every score is 0.5. Repeated rows count as often as they occur.
-Extra columns are kept.
+Extra columns are kept; one named score is replaced.
 """
 
 from __future__ import annotations
@@ -134,13 +134,15 @@ def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, size:
 
 
 def _inputs(docs: DataFrame, text: str, metadata: list[str], keep: list) -> DataFrame:
+    """The columns to keep, the text unless it is a kept string anyway, and the metadata."""
     meta = [F.col(c).cast("double").alias(f"__m{i}") for i, c in enumerate(metadata)]
-    return docs.select(*keep, F.col(text).cast("string").alias("__text"), *meta)
+    there = any(isinstance(c, str) and c == text for c in keep) and dict(docs.dtypes)[text] == "string"
+    return docs.select(*keep, *([] if there else [F.col(text).cast("string").alias("__text")]), *meta)
 
 
-def _of(batch: pa.RecordBatch, n_meta: int):
+def _of(batch: pa.RecordBatch, text: str, n_meta: int):
     meta = [batch.column(f"__m{i}").to_numpy(zero_copy_only=False).astype(np.float64) for i in range(n_meta)]
-    return features(batch.column("__text"), meta)
+    return features(batch.column(text), meta)
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", metadata: list[str] | None = None, max_rows: int = 8000, **how) -> FactorisationMachine | None:
@@ -152,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     d = _inputs(docs.join(F.broadcast(sample), id), text, metadata, [F.col(id).alias("__id"), "__y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            row, col, val, _ = _of(batch, len(metadata))
+        for batch in slices(batches, "__text", 4 << 20):
+            row, col, val, _ = _of(batch, "__text", len(metadata))
             off = pa.array(row_bounds(row, batch.num_rows).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), pa.ListArray.from_arrays(off, pa.array(col.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(val.astype(np.float32)))], ["id", "y", "cols", "vals"])
 
@@ -170,18 +172,19 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 def score(docs: DataFrame, model: FactorisationMachine | None, text: str = "text", metadata: list[str] | None = None, keep: list[str | Column] | None = None) -> DataFrame:
     """docs (or its columns `keep`) with score, the probability of label 1. No shuffle."""
     metadata = metadata or []
-    d = _inputs(docs, text, metadata, keep if keep is not None else docs.columns)
-    names = d.columns[: -1 - len(metadata)]
+    d = _inputs(docs, text, metadata, keep if keep is not None else [c for c in docs.columns if c != "score"])
+    names = [c for c in d.columns[: len(d.columns) - len(metadata)] if c != "__text"]
+    read = "__text" if "__text" in d.columns else text
     given = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = given.value
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, read, 4 << 20):
             n = batch.num_rows
             if model is None:
                 p = np.full(n, 0.5)
             else:
-                row, col, val, _ = _of(batch, len(metadata))
+                row, col, val, _ = _of(batch, read, len(metadata))
                 p = 1 / (1 + np.exp(-np.clip(model.raw(row, col, val, n)[0], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(p)], [*names, "score"])
 
