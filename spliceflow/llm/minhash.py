@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     comps = components(stored(_confirmed(pairs, sets, percent)))
     drop_stored(pairs)
     at = _open(shared, comps)
+    drop_stored(shared)
     for second in ("s1", "s2"):
         key = F.struct("id", "n", "component")
         ends = at.groupBy("band", second).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("component").alias("c"), F.max("component").alias("top")).where("c <> top")
@@ -165,7 +166,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         tests = tests.where((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
         tests = stored(tests.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct())
         comps = _merged(comps, stored(_confirmed(tests, sets, percent)))
-        at = _open(at.drop("component"), comps)
+        drop_stored(tests)
+        before, at = at, _open(at.drop("component"), comps)
+        drop_stored(before)
     comps = _merged(comps, stored(_rest(at, sets, rows, fits, percent)))
     of_set = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"], "left")
