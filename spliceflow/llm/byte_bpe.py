@@ -7,7 +7,7 @@ Offsets are code points: each token of a character that is split over several to
 joins the tokens' bytes; as text, bytes that make no character become U+FFFD only after all bytes are joined.
 
 Defined cases: null text counts as empty and gives no ids; null ids decode to no bytes; unknown ids are an error. Extra columns
-are kept. Special tokens are ordinary text.
+are kept, ones with the names of results replaced. Special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 _CUT = re.compile(r" (?=\S)")
-_MOST = 1_000_000
+_MOST = 600_000
 _loaded: dict[tuple, "Codec"] = {}
 
 
@@ -90,15 +90,15 @@ def codec(path: str, pattern: str) -> Codec:
     return _loaded[path, pattern]
 
 
-def _carried(df: DataFrame, column: str, cast: str) -> tuple[DataFrame, list[str], list]:
-    d = df.select("*", df[column].cast(cast).alias("__in"))
+def _carried(df: DataFrame, column: str, cast: str, new: list[str]) -> tuple[DataFrame, list[str], list]:
+    d = df.select(*[c for c in df.columns if c not in new], df[column].cast(cast).alias("__in"))
     return d, d.columns[:-1], d.schema.fields[:-1]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", with_offsets: bool = False) -> DataFrame:
     """docs with `out`: array<int>, and with_offsets also `<out>_start` and `<out>_end`, the tokens' places in code points."""
-    d, names, fields = _carried(docs, text, "string")
     extra = [out, *([f"{out}_start", f"{out}_end"] if with_offsets else [])]
+    d, names, fields = _carried(docs, text, "string", extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -118,7 +118,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded", as_text: bool = False) -> DataFrame:
     """df with `out`: the bytes of the ids, or as_text the characters they make."""
-    d, names, fields = _carried(df, ids, "array<int>")
+    d, names, fields = _carried(df, ids, "array<int>", [out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
