@@ -35,8 +35,8 @@ bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY
 def _inputs(spark, d):
     b = T.beats(spark, d)
     tracks = b.groupBy("track").agg(F.count("*").alias("n_beats")).withColumn("duration", F.col("n_beats") * 0.5)
-    kinds = spark.createDataFrame([("a", 0.6, 50.0), ("b", 1.3, 75.0)], "p string, f double, edit_length double")
-    asked = tracks.crossJoin(F.broadcast(kinds)).select(F.concat_ws(":", "track", "p").alias("run_id"), "track", (F.col("duration") * F.col("f")).alias("target"), "edit_length")
+    kinds = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(f).alias("f"), F.lit(e).alias("e")) for p, f, e in (("a", 0.6, 50.0), ("b", 1.3, 75.0))))
+    asked = tracks.withColumn("k", F.explode(kinds)).select(F.concat_ws(":", "track", "k.p").alias("run_id"), "track", (F.col("duration") * F.col("k.f")).alias("target"), F.col("k.e").alias("edit_length"))
     runs = P.retarget_params(asked, tracks)
     cand = Q.chroma_distance(b).where("d < 1").withColumnRenamed("d", "cost")
     edges = P.path_edges(cand, b.where("beat % 4 = 0").select("track", "beat"), meter=2, most=4)
