@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 _CUT = re.compile(r" (?=\S)")
-_MOST = 600_000
+_MOST = 300_000
 _loaded: dict[tuple, "Codec"] = {}
 
 
@@ -102,7 +102,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in slices(batches, "__in"):
+        for batch in slices(batches, "__in", 2 << 20):
             texts = [t or "" for t in batch.column("__in").to_pylist()]
             if with_offsets:
                 got = c.encode_with_offsets(texts)
