@@ -36,21 +36,30 @@ def without_blocked(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     return edges.join(blocked, ["run_id", "i", "j"], "left_anti")
 
 
-def retarget_path(runs: DataFrame, edges: DataFrame, steps: DataFrame, jumps: int = 2, base: float = 0.8, backward: float = 0.1) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed once, without its lineage: in the shared checkpoint folder, or on the executors where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def retarget_path(runs: DataFrame, edges: DataFrame, steps: DataFrame, jumps: int = 6, base: float = 0.8, backward: float = 0.1) -> DataFrame:
     """(run_id, track, cost, length, cuts: array of (i, j)) of the cheapest path of each run with at most `jumps` jumps.
 
     runs: run_id, track, n_beats, least, most, cooldown, scale. edges: run_id, track, i, j, cost. steps: track, i, cost of i to i + 1.
     A path starts at beat 0 and ends at the last beat; a run of beats between jumps is at least `cooldown` long; a jump costs
-    base * scale * cost^2, and `backward` more against the order. The cost of a run is a difference of running sums."""
+    base * scale * cost^2, and `backward` more against the order. The cost of a run is a difference of running sums.
+
+    Between two jumps length - beat does not change: a round takes the cheapest landing so far for every such offset as a running
+    minimum over the leaving beats, then joins the edges to these. Rounds end early when no state is left."""
     w = Window.partitionBy("track").orderBy("i")
     sums = steps.select("track", F.col("i"), (F.sum("cost").over(w) - F.col("cost")).alias("p"))
     last = steps.groupBy("track").agg((F.max("i") + 1).alias("i"), F.sum("cost").alias("p"))
-    sums = sums.union(last.select("track", "i", "p"))
+    sums = _cut(sums.union(last.select("track", "i", "p")))
     none = F.expr("cast(array() as array<struct<i:bigint,j:bigint>>)")
     state = runs.select("run_id", "track", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("length"), F.lit(0.0).alias("cost"), none.alias("cuts"))
     at = lambda c, p: sums.select("track", F.col("i").alias(c), F.col("p").alias(p))
-    e = edges.withColumnRenamed("cost", "e_cost").join(at("i", "pi"), ["track", "i"])
-    conf = runs.select("run_id", "n_beats", "least", "most", "cooldown", "scale")
+    e = _cut(edges.select("run_id", "track", "i", "j", F.col("cost").alias("e_cost")))
+    conf = _cut(runs.select("run_id", "n_beats", "least", "most", "cooldown", "scale"))
+    leave = e.select("run_id", "track", "i").distinct().join(at("i", "pi"), ["track", "i"])
     done = None
     for k in range(jumps + 1):
         s = state.join(conf, "run_id").join(at("at", "pa"), ["track", "at"])
@@ -61,13 +70,21 @@ def retarget_path(runs: DataFrame, edges: DataFrame, steps: DataFrame, jumps: in
         done = tail if done is None else done.union(tail)
         if k == jumps:
             break
-        n = s.join(e, ["run_id", "track"]).where(F.col("i") - F.col("at") >= F.col("cooldown"))
-        n = n.withColumn("length", F.col("length") + F.col("i") - F.col("at") + 1).where((F.col("length") < F.col("most")) & (F.col("j") < F.col("n_beats")))
+        key, there = ["run_id", "track", "offset"], F.col("offset") + F.col("i") + 1
+        land = s.select("run_id", "track", (F.col("length") - F.col("at")).alias("offset"), (F.col("at") + F.col("cooldown")).alias("i"), F.struct((F.col("cost") - F.col("pa")).alias("cost"), "cuts").alias("b"))
+        asked = land.groupBy(key).agg(F.min("i").alias("from")).join(leave, ["run_id", "track"]).join(conf, "run_id")
         # what is still to come is at least one run of cooldown beats
-        n = n.where(F.col("length") + F.col("cooldown") <= F.col("most"))
+        asked = asked.where((F.col("i") >= F.col("from")) & (there < F.col("most")) & (there + F.col("cooldown") <= F.col("most")))
+        n = land.withColumn("pi", F.lit(None).cast("double")).unionByName(asked.select(*key, "i", "pi"), allowMissingColumns=True)
+        n = n.withColumn("b", F.min("b").over(Window.partitionBy(key).orderBy("i"))).where("pi is not null")
+        n = n.select("run_id", "track", "i", there.alias("length"), (F.col("b.cost") + F.col("pi")).alias("cost"), "b.cuts")
+        n = n.join(e, ["run_id", "track", "i"]).join(conf.select("run_id", "n_beats", "scale"), "run_id").where(F.col("j") < F.col("n_beats"))
         jump = F.lit(base) * F.col("scale") * F.col("e_cost") * F.col("e_cost") + F.when(F.col("j") < F.col("i"), F.lit(backward)).otherwise(0.0)
-        n = n.withColumn("cost", F.col("cost") + F.col("pi") - F.col("pa") + jump).withColumn("cuts", F.concat("cuts", F.array(F.struct("i", "j"))))
-        state = n.groupBy("run_id", "track", F.col("j").alias("at"), "length").agg(F.min(F.struct("cost", "cuts")).alias("b")).select("run_id", "track", "at", "length", "b.cost", "b.cuts")
+        n = n.withColumn("cost", F.col("cost") + jump).withColumn("cuts", F.concat("cuts", F.array(F.struct("i", "j"))))
+        n = n.groupBy("run_id", "track", F.col("j").alias("at"), "length").agg(F.min(F.struct("cost", "cuts")).alias("b"))
+        state = _cut(n.select("run_id", "track", "at", "length", "b.cost", "b.cuts"))
+        if state.isEmpty():
+            break
     best = done.groupBy("run_id", "track").agg(F.min(F.struct("cost", "length", "cuts")).alias("b"))
     return best.select("run_id", "track", "b.cost", "b.length", "b.cuts")
 

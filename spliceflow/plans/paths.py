@@ -32,14 +32,14 @@ al AS (SELECT c.* FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SE
 bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cost, length, key) AS r FROM al) WHERE r = 1)"""
 
 
-def _inputs(spark, d):
+def _inputs(spark, d, most=4):
     b = T.beats(spark, d)
     tracks = b.groupBy("track").agg(F.count("*").alias("n_beats")).withColumn("duration", F.col("n_beats") * 0.5)
     kinds = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(f).alias("f"), F.lit(e).alias("e")) for p, f, e in (("a", 0.6, 50.0), ("b", 1.3, 75.0))))
     asked = tracks.withColumn("k", F.explode(kinds)).select(F.concat_ws(":", "track", "k.p").alias("run_id"), "track", (F.col("duration") * F.col("k.f")).alias("target"), F.col("k.e").alias("edit_length"))
     runs = P.retarget_params(asked, tracks)
     cand = Q.chroma_distance(b).where("d < 1").withColumnRenamed("d", "cost")
-    edges = P.path_edges(cand, b.where("beat % 4 = 0").select("track", "beat"), meter=2, most=4)
+    edges = P.path_edges(cand, b.where("beat % 4 = 0").select("track", "beat"), meter=2, most=most)
     return b, runs, edges, Q.sequential_cost(b)
 
 
@@ -48,7 +48,14 @@ def _of_runs(runs, edges):
 
 
 def _paths(spark, d):
+    """With the limits that PATHS states: 2 jumps, 4 edges a beat."""
     _, runs, edges, steps = _inputs(spark, d)
+    return P.retarget_path(runs, _of_runs(runs, edges), steps, jumps=2), runs, edges, steps
+
+
+def _whole(spark, d):
+    """With the limits of the reference: 6 jumps, 32 edges a beat."""
+    _, runs, edges, steps = _inputs(spark, d, most=32)
     return P.retarget_path(runs, _of_runs(runs, edges), steps), runs, edges, steps
 
 
@@ -89,9 +96,27 @@ def p8_block_transitions(spark, d):
     return rounded(P.without_blocked(e, e.where("run_id like '%a' and j % 8 = 0").select("run_id", "i", "j")).select("run_id", "track", "i", "j", "cost"))
 
 
+@family()
+def p4_whole_path(spark, d):
+    p = _whole(spark, d)[0]
+    return rounded(p.select("run_id", "track", "cost", "length", F.size("cuts").cast("long").alias("n_cuts")))
+
+
+@family()
+def p6_whole_fallback(spark, d):
+    p, runs, _, _ = _whole(spark, d)
+    return rounded(P.with_fallback(p, runs).select("run_id", "track", "cost", "length", "fallback"))
+
+
+@family()
+def p7_whole_transitions(spark, d):
+    p, runs, edges, _ = _whole(spark, d)
+    return rounded(P.path_transitions(P.path_steps(P.with_fallback(p, runs), runs), edges))
+
+
 @family()
 def p9_variations(spark, d):
-    p, runs, edges, steps = _paths(spark, d)
+    p, runs, edges, steps = _whole(spark, d)
     return P.variations(p, runs, _of_runs(runs, edges), steps).select("run_id", "variation", F.round("cost", 6).alias("cost"), "length", F.to_json("cuts").alias("cuts"))
 
 

@@ -112,3 +112,28 @@ def test_queued_pairs_keep_their_distance(spark):
         if len(want) < 3 and not any(abs(p[0] - y[0]) < 3 and abs(p[1] - y[1]) < 3 for y in want):
             want.append(p)
     assert [(r.from_beat, r.to_beat) for r in got] == want
+
+
+def test_retarget_path_with_more_than_two_jumps(spark):
+    rng = np.random.default_rng(3)
+    n, least, most, cool = 12, 24, 28, 2
+    edges = {(i, j): float(rng.uniform(0.1, 0.9)) for i in range(n) for j in range(n) if 2 <= i - j <= 3 and rng.uniform() < 0.8}
+    step = {i: float(rng.uniform(0, 0.1)) for i in range(n - 1)}
+    run = lambda a, b: sum(step[k] for k in range(a, b))
+    best = {}
+
+    def walk(at, length, cost, cuts):
+        if least <= length + n - at <= most and (n - 1 - at >= cool or not cuts):
+            best[cuts] = min(best.get(cuts, np.inf), cost + run(at, n - 1))
+        if cuts < 6:
+            for (i, j), c in edges.items():
+                if i - at >= cool and length + i - at + 1 + cool <= most:
+                    walk(j, length + i - at + 1, cost + run(at, i) + 0.8 * c * c + 0.1, cuts + 1)
+
+    walk(0, 0, 0.0, 0)
+    runs = frame(spark, [("r", 0, n, least, most, cool, 1.0)], "run_id string, track long, n_beats long, least long, most long, cooldown long, scale double")
+    e = frame(spark, [("r", 0, i, j, c) for (i, j), c in edges.items()], "run_id string, track long, i long, j long, cost double")
+    s = frame(spark, [(0, i, c) for i, c in step.items()], "track long, i long, cost double")
+    got = paths.retarget_path(runs, e, s).collect()
+    assert min(best, key=best.get) > 2 and len(got) == 1
+    assert abs(got[0].cost - min(best.values())) < 1e-9 and len(got[0].cuts) == min(best, key=best.get)
