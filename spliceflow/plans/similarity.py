@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import similarity as M
+from ..operators.beats import vector_mean
 from ..sources import tables as T
 from .base import BV, EV, Family, r6, rounded
 
@@ -57,7 +58,9 @@ def m7_affinity(spark, d):
 
 @family()
 def m8_cluster_segments(spark, d):
-    return M.best_clusters(M.affinity(_b(spark, d).where("beat < 24")))
+    # segments of ten beats of the whole track
+    seg = vector_mean(_b(spark, d).withColumn("seg", F.floor(F.col("beat") / 10)), ["track", "seg"])
+    return M.best_clusters(M.affinity(seg.withColumnRenamed("seg", "beat")))
 
 
 @family(f"""WITH {PAIR}, m AS (SELECT track, i, i % 3 AS ci, j % 3 AS cj, avg(1 - c) AS m FROM pr WHERE i <> j GROUP BY 1, 2, 3, 4),

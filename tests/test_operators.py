@@ -137,3 +137,12 @@ def test_retarget_path_with_more_than_two_jumps(spark):
     got = paths.retarget_path(runs, e, s).collect()
     assert min(best, key=best.get) > 2 and len(got) == 1
     assert abs(got[0].cost - min(best.values())) < 1e-9 and len(got[0].cuts) == min(best, key=best.get)
+
+
+def test_clusters_cover_the_whole_track(spark, data):
+    from spliceflow.queries import QUERIES
+    from spliceflow.sources import tables
+
+    want = {(r.track, r.seg) for r in tables.beats(spark, data).selectExpr("track", "floor(beat / 10) as seg").distinct().collect()}
+    got = [(r.track, r.beat) for r in QUERIES["m8_cluster_segments"](spark, data).collect()]
+    assert len(got) == len(want) and set(got) == want
