@@ -133,11 +133,20 @@ def splice_pair_score(similarity: Column, energy: Column, position: Column, cent
 def refine_splice(splices: DataFrame, samples: DataFrame, n: int, coarse: int, span: int, keep: int = 4, fine: int = 2) -> DataFrame:
     """(track, splice, out_shift, in_shift, score): of shifts of both sides of a splice (track, splice, i, j) on a coarse grid within
     +- span samples the `keep` best by correlation of the n samples after each, then the best on a fine grid around those."""
-    s = samples.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select("track", F.transform("p", lambda p: p["x"]).alias("x"))
-    base = splices.join(s, "track")
+    reach, key = span + fine, ["track", "splice"]
+    first = lambda c: F.greatest(F.lit(0).cast("long"), F.col(c) - reach)
+
+    def window(c: str, out: str) -> DataFrame:
+        """(track, splice, out): the samples that shifts of the side c can touch, from first(c)."""
+        places = splices.select(*key, F.explode(F.sequence(first(c), F.greatest(first(c), F.col(c) + reach) + n - 1)).alias("i"))
+        p = places.join(samples, ["track", "i"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
+        return p.select(*key, F.transform("p", lambda p: p["x"]).alias(out))
+
+    base = splices.join(samples.select("track").distinct(), "track", "left_semi").join(window("i", "xi"), key, "left").join(window("j", "xj"), key, "left")
 
     def scored(d: DataFrame) -> DataFrame:
-        a, b = F.slice("x", F.greatest(F.lit(1).cast("long"), F.col("i") + F.col("o") + 1).cast("int"), n), F.slice("x", F.greatest(F.lit(1).cast("long"), F.col("j") + F.col("q") + 1).cast("int"), n)
+        cut = lambda x, c, shift: F.slice(F.coalesce(x, F.array().cast("array<double>")), (F.greatest(F.lit(0).cast("long"), F.col(c) + F.col(shift)) - first(c) + 1).cast("int"), n)
+        a, b = cut(F.col("xi"), "i", "o"), cut(F.col("xj"), "j", "q")
         return d.withColumn("score", F.when((F.size(a) == n) & (F.size(b) == n), V.dot(a, b) / (V.norm(a) * V.norm(b) + 1e-12)).otherwise(-1.0))
 
     grid = F.sequence(F.lit(-span), F.lit(span), F.lit(coarse))

@@ -59,15 +59,32 @@ def find_peaks(curve: DataFrame, height: float, distance: int, prominence: float
     arr = p.groupBy("track").agg(F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("k"), "i"))).alias("p"))
     kept = F.aggregate("p", F.expr("cast(array() as array<bigint>)"), lambda a, x: F.when(F.exists(a, lambda y: F.abs(y - x["i"]) < distance), a).otherwise(F.concat(a, F.array(x["i"]))))
     p = p.join(arr.select("track", F.explode(kept).alias("i")), ["track", "i"])
-    q = p.select("track", F.col("i").alias("pi"), F.col("x").alias("px")).join(curve, "track")
-    side = q.groupBy("track", "pi", "px").agg(
-        F.coalesce(F.max(F.when((F.col("i") < F.col("pi")) & (F.col("x") > F.col("px")), F.col("i"))), F.lit(-1).cast("long")).alias("from"),
-        F.coalesce(F.min(F.when((F.col("i") > F.col("pi")) & (F.col("x") > F.col("px")), F.col("i"))), F.lit(2**62).cast("long")).alias("to"),
-    )
-    low = q.join(side, ["track", "pi", "px"]).groupBy("track", "pi", "px").agg(
-        F.min(F.when((F.col("i") <= F.col("pi")) & (F.col("i") > F.col("from")), F.col("x"))).alias("left"), F.min(F.when((F.col("i") >= F.col("pi")) & (F.col("i") < F.col("to")), F.col("x"))).alias("right")
-    )
-    return low.where(F.col("px") - F.greatest("left", "right") >= prominence).select("track", F.col("pi").alias("i"), F.col("px").alias("x"))
+    rows = curve.where("x is not null").select("track", "i", F.col("x").cast("double").alias("x"), F.lit(False).alias("peak")).union(p.select("track", "i", F.col("x").cast("double"), F.lit(True)))
+    low = _lowest_since_higher(rows, True).withColumnRenamed("low", "left").join(_lowest_since_higher(rows, False).withColumnRenamed("low", "right").drop("x"), ["track", "i"])
+    return p.join(low.where(F.col("x") - F.greatest("left", "right") >= prominence).select("track", "i"), ["track", "i"])
+
+
+def _lowest_since_higher(rows: DataFrame, forward: bool) -> DataFrame:
+    """(track, i, x, low) of the peaks of rows (track, i, x, peak): the lowest value since the last one above x, in order of i or against
+    it. Every row is read once; the state is a falling stack of (x, lowest since the last higher)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, stack = None, []
+        for pdf in frames:
+            low = np.empty(len(pdf))
+            for n, (track, x) in enumerate(zip(pdf["track"].tolist(), pdf["x"].tolist())):
+                if track != at:
+                    at, stack = track, []
+                least = x
+                while stack and stack[-1][0] <= x:
+                    least = min(least, stack.pop()[1])
+                stack.append((x, least))
+                low[n] = least
+            yield pdf.assign(low=low)[pdf["peak"]].drop(columns="peak")
+
+    kind = dict(rows.dtypes)
+    s = rows.repartition("track").sortWithinPartitions("track", "i" if forward else F.desc("i"))
+    return s.mapInPandas(run, f"track {kind['track']}, i {kind['i']}, x double, low double")
 
 
 def affinity(segments: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators that SQL cannot state, by brute force and invariants, and edge cases of the others."""
 
 import itertools
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -146,3 +147,34 @@ def test_clusters_cover_the_whole_track(spark, data):
     want = {(r.track, r.seg) for r in tables.beats(spark, data).selectExpr("track", "floor(beat / 10) as seg").distinct().collect()}
     got = [(r.track, r.beat) for r in QUERIES["m8_cluster_segments"](spark, data).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def joins_on_the_track_alone(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if re.search(r"Join Inner, \(track#\d+L? = track#\d+L?\)$", line.strip())]
+
+
+def test_find_peaks_and_refine_splice_do_not_join_whole_tracks(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 12, 80).astype(float)
+    s = frame(spark, [(0, i, float(v)) for i, v in enumerate(x)], "track long, i long, x double")
+    found = similarity.find_peaks(s, 3.0, 1, 4.0)
+    want, n = [], len(x)
+    runs = [(a, b) for a in range(1, n) for b in range(a, n - 1) if len(set(x[a : b + 1])) == 1 and x[a - 1] < x[a] > x[b + 1] and x[a] >= 3]
+    for i in ((a + b) // 2 for a, b in runs):
+        lo = max((k for k in range(i) if x[k] > x[i]), default=-1)
+        hi = min((k for k in range(i, n) if x[k] > x[i]), default=n)
+        if x[i] - max(x[lo + 1 : i + 1].min(), x[i:hi].min()) >= 4:
+            want.append((i, x[i]))
+    assert want and sorted((r.i, r.x) for r in found.collect()) == want
+    splices = frame(spark, [(0, 0, 3, 40), (0, 1, 30, 70), (0, 2, 90, 200)], "track long, splice long, i long, j long")
+    fine = editing.refine_splice(splices, s, 8, 4, 8, keep=25)
+    got = {r.splice: r.score for r in fine.collect()}
+
+    def score(i, j):
+        a, b = x[max(i, 0) :][:8], x[max(j, 0) :][:8]
+        return a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-12) if len(a) == len(b) == 8 else -1.0
+
+    for k, i, j in ((0, 3, 40), (1, 30, 70), (2, 90, 200)):
+        assert abs(got[k] - max(score(i + o, j + q) for o in range(-10, 11) for q in range(-10, 11))) < 1e-9
+    assert not joins_on_the_track_alone(found) and not joins_on_the_track_alone(fine)
