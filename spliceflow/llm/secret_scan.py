@@ -25,15 +25,15 @@ BASE_KINDS = [
 ENTROPY_KIND = "entropy"
 KINDS = [*(k for k, *_ in BASE_KINDS), ENTROPY_KIND]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 WINDOW = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Character class, pattern of the whole run, least entropy of its best window (20 characters have at most 4.32 bits).
 CLASSES = [("hex", r"^([0-9A-F]+|[0-9a-f]+)$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8)]
 #: Runs that are no secrets however mixed they are.
 ALLOW = [
     r"^[A-Za-z]+$", r"^[A-Za-z]*([-_/=+]+[A-Za-z]*)+$", r"^[0-9_=+/-]+$", r"^/?([a-z0-9.]{1,16}[/_-])+[a-z0-9.]{0,16}$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefghijklm|0123456789|example|placeholder|changeme|your[_-]", r"^(.{1,4})\1{3,}",
+    r"(?i)abcdefghijklm|0123456789|example|placeholder|changeme|your[_-]", r"^(.{1,4})\1{3,}$",
 ]
 
 

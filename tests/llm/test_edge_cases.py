@@ -212,6 +212,12 @@ def test_secrets(spark):
     assert secret_scan.redact(docs(spark)).count() == len(TEXTS) and secret_scan.scan(none(spark)).count() == 0
 
 
+def test_secrets_of_the_window_length_and_after_a_repetition(spark):
+    keys = {1: "key Zx81kQpT0aBvC93nLmW2 end", 2: "key ====Zx81kQpT0aBvC93nLmW27rYe end", 3: f"rule {'xY1q' * 8} {'=' * 30} end", 4: "key Zx81kQpT0aBvC93nLmW end"}
+    got = {r.doc_id: r.s for r in secret_scan.scan(docs(spark, list(keys.items()))).select("doc_id", secret_scan.written(F.col("spans")).alias("s")).collect()}
+    assert got == {1: "entropy:4:24", 2: "entropy:4:32", 3: "", 4: ""}
+
+
 def test_packing(spark):
     path = P.path("word_bpe_49k.json")
     got = packing.pack_documents(docs(spark), path, length=64, shard_pieces=5).collect()
