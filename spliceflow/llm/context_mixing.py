@@ -1,329 +1,466 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-A text is a sequence of tokens: its words, A-Z in lower case, then one end. A word is coded bit by bit (each byte's high bit first,
-then a terminator). For every bit, the contexts of the last 1 to 5 bytes of the word, each hashed with the bits of the byte so far,
-look up counts of zeros and ones; their log-odds are mixed by weights, one set for each gate (bit place and how well the
-contexts of 3 and 5 bytes are known), and the result is refined by an adaptive table of observed frequencies. Weights and table are
-learned online over the training words, each word being left out of the counts that predict it. A token's probability is its
-discounted share of all training tokens plus the mass so set free times the bit model's probability of its spelling.
-
-The token model adapts to the text it reads: the training texts fall into a few kinds (spherical k-means on hashed words, over all
-of them), each with its own shares; every kind's model also expects again what the text has said so far; and the kinds'
-predictions are mixed with weights that each token updates (so a text's probability is the sum over kinds of prior times product).
-
-Counts cover the whole training text: distinct words are counted per block of documents, then over all blocks; the bit model reads each
-distinct word once; the words' scores go back to the blocks that asked for them, where the texts are summed. Only tables of
-fixed size (contexts, weights) come to the driver.
-
-Defined cases: null text counts as empty: one end token. Without training rows every token gets the bit model's probability,
-with even odds for every bit. Repeated rows count as often as they occur. Rows with a null id are scored and never dropped.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors, over the running text.
+
+A text is read as one stream of symbols: its words, A-Z in lower case, with one blank between them, then one end. A symbol is a path
+through a binary tree that depends on the symbol before it (a Huffman code of the training text's pairs), so that a symbol takes
+few bits; every bit of every symbol is predicted. Three predictors look at the last 4 and 7 symbols and at the word so far; each
+hashes its context and the place in the tree to a slot that holds how often a zero and a one followed in the training text. What a
+pair of counts is worth is itself observed: for every state, how often a one followed when the bit in question was left out. The
+log-odds are added with weights; which set of weights holds is decided by how well the contexts are known (the gate). The sets are
+fitted on all training bits, again left out of the counts; while a text is read, its own correction of the weights is learned
+online, after every STEP bits, anew for each SEGMENT symbols. A text's score is the sum over its bits, of which -log2 is the total of
+bits, also given per byte.
+
+All that is learned is sums over the training texts, so nothing depends on how Spark deals out the rows, but for the rounding of
+sums. Word counts are exact: a word's count comes from a table of the most frequent words (at most `frequent`, a bound on what is
+broadcast) or, for all other words, by a join. What comes to the driver has a fixed size: slots, weights, that table.
+
+Defined cases: null text counts as empty: one end. Without training rows all bits have even odds. Repeated rows count as often as they
+occur. Rows with a null id or shared ids are scored each on their own. Extra columns are ignored. Long texts are read in
+ranges: besides about 20 bytes for each byte of the longest text, memory does not grow with it. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_buffers, word_hashes
+from .common import drop_stored, slices, stored, text_buffers, word_hashes
 
-ORDERS = 5
-SLOT_BITS = 19
-SLOTS = 1 << SLOT_BITS
-GATES = 8 * 4 * 4
-APM_BINS = 33
 _U = np.uint64
-_CHUNK = 1 << 15  # symbols
-
-
-class Bits:
-    """Every bit of a batch of words: its value, the table slots of its contexts, and the word it belongs to."""
-
-    def __init__(self, body: np.ndarray, off: np.ndarray):
-        size = np.diff(off)
-        n = len(size)
-        sym = np.full(int(off[-1]) + n, 0x20, dtype=np.uint64)
-        place = np.arange(len(body)) + np.repeat(np.arange(n), size)
-        sym[place] = body
-        start = off[:-1] + np.arange(n)
-        self.word = np.repeat(np.arange(n), size + 1)
-        at = np.arange(len(sym)) - start[self.word]
-        bits = ((sym[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & _U(1)).astype(np.uint8)
-        node = np.concatenate([np.ones((len(sym), 1), np.uint64), (_U(1) << np.arange(1, 8, dtype=np.uint64)) | (sym[:, None] >> np.arange(7, 0, -1, dtype=np.uint64))], axis=1)
-        self.bit, self.words = bits, n
-        self.slot = np.empty((ORDERS, len(sym), 8), dtype=np.int32)
-        ctx = np.zeros(len(sym), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(ORDERS):
-                prev = np.zeros_like(sym)
-                prev[k + 1 :] = sym[: -k - 1] if k + 1 <= len(sym) else 0
-                prev[at <= k] = 0
-                ctx = (ctx + prev + _U(1)) * _U(0x9E3779B97F4A7C15)
-                h = ((ctx ^ (ctx >> _U(31)))[:, None] + node) * _U(0xD6E8FEB86659FD93)
-                self.slot[k] = (h >> _U(64 - SLOT_BITS)).astype(np.int32)
-
-    def slots_with_bit(self, k: int) -> np.ndarray:
-        return (self.slot[k].astype(np.int64) << 1 | self.bit).ravel()
-
-
-def _batches(body: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, Bits]]:
-    """Bits of runs of words of about _CHUNK bytes."""
-    lo, n = 0, len(off) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + _CHUNK, "right")) - 1)
-        yield lo, hi, Bits(body[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        lo = hi
-
-
-class Mixer:
-    """counts: (ORDERS, SLOTS, 2) zeros and ones of each context. w: (GATES, ORDERS + 1). apm: (GATES, APM_BINS, 2)."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.w = np.full((GATES, ORDERS + 1), 0.35, dtype=np.float64)
-        self.w[:, -1] = 0
-        self.apm = np.zeros((GATES, APM_BINS, 2))
-
-    def _inputs(self, b: Bits, left_out: bool):
-        one = b.bit.ravel()
-        st = np.empty((ORDERS + 1, one.size), dtype=np.float32)
-        known = []
-        for k in range(ORDERS):
-            c = self.counts[k].reshape(-1, 2)[b.slot[k].ravel()].astype(np.float32)
-            n0, n1 = c[:, 0], c[:, 1]
-            if left_out:  # the word itself was counted
-                n0, n1 = np.maximum(n0 - (1 - one), 0), np.maximum(n1 - one, 0)
-            st[k] = np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05)))
-            known.append(n0 + n1)
-        st[ORDERS] = 0.3
-        level = lambda n: np.minimum(np.log2(1 + n) / 2, 3).astype(np.int32)
-        gate = (np.tile(np.arange(8, dtype=np.int32), one.size // 8) * 4 + level(known[2])) * 4 + level(known[4])
-        return one, st, gate
-
-    def _mixed(self, st: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("kn,nk->n", st, self.w.astype(np.float32)[gate]), -12, 12)
-
-    def _bins(self, z: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(z * (APM_BINS // 2) / 12 + APM_BINS // 2), 0, APM_BINS - 1).astype(np.int32)
-
-    def learn(self, b: Bits, rate: float) -> None:
-        one, st, gate = self._inputs(b, True)
-        z = self._mixed(st, gate)
-        err = one - 1 / (1 + np.exp(-z))
-        n = np.maximum(np.bincount(gate, minlength=GATES), 16)
-        for k in range(ORDERS + 1):
-            self.w[:, k] += rate * np.bincount(gate, weights=err * st[k], minlength=GATES) / n
-        key = (gate * APM_BINS + self._bins(z)) * 2 + one
-        self.apm += np.bincount(key, minlength=self.apm.size).reshape(self.apm.shape)
-
-    def log10(self, b: Bits) -> np.ndarray:
-        """log10 probability of each word with its terminator."""
-        one, st, gate = self._inputs(b, False)
-        z = self._mixed(st, gate)
-        p = 1 / (1 + np.exp(-z))
-        seen = self.apm[gate, self._bins(z)]
-        fine = (seen[:, 1] + 8 * p) / (seen.sum(1) + 8)
-        p = np.clip((p + fine) / 2, 1e-6, 1 - 1e-6)
-        bits = np.log10(np.where(one == 1, p, 1 - p))
-        return np.bincount(b.word, weights=bits.reshape(-1, 8).sum(1), minlength=b.words)
-
-
-def _counted(words: DataFrame, chunk: int = 1 << 22) -> np.ndarray:
-    """(ORDERS, SLOTS, 2) sums over all words, each counted once."""
+BLANK, END = 0x20, 0x0A
+_SYMBOL = np.arange(256, dtype=np.uint8)
+_SYMBOL[0x41:0x5B] += 32
+_SYMBOL[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = BLANK
+ORDERS = (4, 7)  # and the word so far
+SLOT_BITS = (22, 22, 22)
+K = len(SLOT_BITS)
+_FACTOR = np.random.default_rng(11).integers(1, 2**62, K + 1, dtype=np.uint64) * _U(2) + _U(1)
+_NODE = np.random.default_rng(12).integers(0, 1 << 22, 256)
+#: The last i of eight symbols, the latest in the highest byte.
+_LATEST = np.array([0, *((~np.uint64(0)) << _U(64 - 8 * i) for i in range(1, 9))], dtype=np.uint64)
+_LEVEL = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 255])
+_OF_COUNT = (np.searchsorted(_LEVEL, np.arange(256), "right") - 1).astype(np.int64)
+GATES = 64
+RANGE, SEGMENT, STEP = 1 << 17, 1024, 32
+BLOCK = 1 << 16  # counters that travel together
+
+
+def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all texts, offsets)."""
+    body, off = text_buffers(texts)
+    s = _SYMBOL[body]
+    keep = s != BLANK
+    after = np.zeros(len(s), dtype=bool)
+    after[1:] = keep[:-1]
+    after[off[:-1][off[:-1] < len(s)]] = False  # white space at the start of a text
+    at = np.flatnonzero(keep | after)
+    cut = np.searchsorted(at, off)
+    s = s[at]
+    some = cut[1:] > cut[:-1]
+    last = cut[1:][some] - 1
+    closed = np.zeros(len(some), dtype=bool)
+    closed[some] = s[last] == BLANK
+    s[cut[1:][closed] - 1] = END
+    return np.insert(s, cut[1:][~closed], END), cut + np.concatenate([[0], np.cumsum(~closed)])
+
+
+def contexts(s: np.ndarray, start: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """(K, hi - lo) slots * 2 of the contexts before symbols lo to hi; start: where each text begins."""
+    first = max(lo - 16, 0)
+    padded = np.concatenate([np.full(16 - (lo - first), END, np.uint8), s[first:hi]])
+    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1)).copy().view("<u8").ravel()
+    n = hi - lo
+    near, far = eight[8 : 8 + n], eight[:n]  # symbols i-8 to i-1, and i-16 to i-9
+    # symbols of the text before do not count: only the first few of each text are concerned
+    begins = start[np.searchsorted(start, lo - 16) : np.searchsorted(start, hi)]
+    head = (begins[:, None] + np.arange(8)).ravel()
+    ok = (head >= lo) & (head < hi)
+    if ok.any():
+        nth = np.tile(np.arange(8), len(begins))[ok]
+        own = np.minimum.reduceat(nth[o := np.argsort(head[ok], kind="stable")], np.flatnonzero(np.diff(head[ok][o], prepend=-1)))  # of two texts, the later
+        near = near.copy()
+        near[np.unique(head[ok]) - lo] &= _LATEST[own]
+    out = np.empty((K, n), dtype=np.int64)
+    for k, order in enumerate(ORDERS):
+        out[k] = (((near >> _U(64 - 8 * order)) + _U(order)) * _FACTOR[k]) >> _U(64 - SLOT_BITS[k])
+    gap = (padded[15 : 15 + n] == BLANK) | (padded[15 : 15 + n] == END)
+    if lo in (0, *begins.tolist()):
+        gap[0] = True
+    place = np.arange(n, dtype=np.int32)
+    since = place - np.maximum.accumulate(np.where(gap, place, -16))  # how much of the word has been seen, from the range's start on
+    if n and not gap[0]:  # the word at the start of the range began before it
+        before = padded[:16][::-1]
+        stop = np.flatnonzero((before == BLANK) | (before == END))
+        gone = int(stop[0]) if len(stop) else 16
+        top = int(np.argmax(gap)) if gap.any() else n
+        since[:top] = np.minimum(place[:top] + gone, 16)
+    since = np.minimum(since, 16)
+    a = near & _LATEST[np.minimum(since, 8)]
+    b = far & _LATEST[np.maximum(since - 8, 0)]
+    out[K - 1] = ((a * _FACTOR[K - 1]) ^ (b * _FACTOR[K]) + since.astype(np.uint64)) * _FACTOR[0] >> _U(64 - SLOT_BITS[K - 1])
+    out <<= 1
+    return out
+
+
+class Code:
+    """The bits of a symbol given the one before: length[before, symbol], and per bit the node of the tree and the value."""
+
+    def __init__(self, pairs: np.ndarray):
+        """pairs: (256, 256) counts. Where little is known, symbols are as likely as in the whole text; none takes over 40 bits."""
+        common = (pairs.sum(0) + 1) / (pairs.sum() + 256)
+        self.length = np.zeros((256, 256), np.int64)
+        paths = {}
+        for before in range(256):
+            share = pairs[before] + 4 * common
+            share = np.maximum(share / share.sum(), 2.0**-22)
+            heap = [(p, i) for i, p in enumerate(share.tolist())]
+            heapq.heapify(heap)
+            kids, n = {}, 256
+            while len(heap) > 1:
+                (p, a), (q, b) = heapq.heappop(heap), heapq.heappop(heap)
+                kids[n] = (a, b)
+                heapq.heappush(heap, (p + q, n))
+                n += 1
+            todo = [(n - 1, ())]
+            while todo:
+                v, path = todo.pop()
+                if v < 256:
+                    paths[before, v] = path
+                    self.length[before, v] = len(path)
+                else:
+                    todo += [(kid, (*path, (v - 256, bit))) for bit, kid in enumerate(kids[v])]
+        self.first = np.concatenate([[0], np.cumsum(self.length.ravel())])[:-1]
+        flat = [x for before in range(256) for v in range(256) for x in paths[before, v]]
+        node, bit = np.array(flat, dtype=np.int64).T
+        self.step = _NODE[node] * 2 + bit
+        self.length = self.length.ravel()
+
+    def bits(self, s: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which symbol, hash of the node * 2 + value) of every bit, and where each symbol's bits begin."""
+        key = before.astype(np.int64) * 256 + s
+        n = self.length[key]
+        begin = np.cumsum(n) - n
+        of = np.repeat(np.arange(len(s)), n)
+        at = np.arange(len(of))
+        at += (self.first[key] - begin).take(of)
+        return of, self.step.take(at), begin
+
+
+def _before(s: np.ndarray, start: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    out = np.empty(hi - lo, np.uint8)
+    out[1:] = s[lo : hi - 1]
+    out[:1] = s[lo - 1] if lo else END
+    out[start[(start >= lo) & (start < hi)] - lo] = END
+    return out
+
+
+def _counter(ctx: np.ndarray, k: int, of: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """slot * 2 + value of every bit."""
+    at = ctx[k].take(of)
+    at ^= step & ((2 << SLOT_BITS[k]) - 1)
+    return at
+
+
+@dataclass
+class Model:
+    """code; per predictor its table of squeezed counts (zeros * 256 + ones) and the log-odds of each such state; weights per gate."""
+
+    code: Code
+    tables: list[np.ndarray]
+    odds: list[np.ndarray]
+    weights: np.ndarray = field(default_factory=lambda: np.concatenate([np.full((GATES, K), 0.4), np.zeros((GATES, 1))], axis=1))
+
+    def inputs(self, s: np.ndarray, start: np.ndarray, lo: int, hi: int, left_out: bool):
+        """Of the bits of symbols lo to hi: the K + 1 inputs and room for two more rows, the gate and the value of each; and where each
+        symbol's bits begin."""
+        ctx = contexts(s, start, lo, hi)
+        of, step, begin = self.code.bits(s[lo:hi], _before(s, start, lo, hi))
+        n = len(of)
+        bit = (step & 1).astype(np.uint8)
+        x = np.empty((K + 3, n + STEP), dtype=np.float32)
+        x[K], x[:, n:] = 0.3, 0
+        gate = np.zeros(n, dtype=np.uint8)
+        own = np.uint16(256) - bit * np.uint16(255) if left_out else None
+        for k in range(K):
+            state = self.tables[k].take(_counter(ctx, k, of, step) >> 1)
+            if left_out:
+                state -= own
+            self.odds[k].take(state, out=x[k, :n], mode="clip")  # with this mode there is no second copy
+            gate *= 4
+            gate += _KNOWN.take(state)
+        return x, gate, bit, begin
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        w, at, n = self.weights.astype(np.float32), gate.astype(np.intp), len(gate)
+        z = w[:, K].take(at)
+        z *= 0.3
+        for k in range(K):
+            part = w[:, k].take(at)
+            part *= x[k, :n]
+            z += part
+        return z
+
+
+_A, _B = np.divmod(np.arange(1 << 16), 256)
+_KNOWN = np.digitize(_A + _B, [1, 3, 12]).astype(np.uint8)
+
+
+def _squeezed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at most 255, in the same proportion, none that occurs becoming 0."""
+    top = c.reshape(-1, 2).max(1)
+    small = np.minimum(np.ceil(c.reshape(-1, 2) * np.where(top > 255, 255 / np.maximum(top, 1), 1.0)[:, None]), 255).astype(np.int64)
+    return small[:, 0], small[:, 1]
+
+
+def _state(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _OF_COUNT[zeros] * len(_LEVEL) + _OF_COUNT[ones]
+
+
+def _observed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, zeros per state, ones per state): every counted bit is seen in the state of its slot without that bit."""
+    a, b = _squeezed(c)
+    n, size = c.reshape(-1, 2).astype(np.float64), len(_LEVEL) ** 2
+    zeros = np.bincount(_state(np.maximum(a - 1, 0), b), weights=n[:, 0], minlength=size)
+    ones = np.bincount(_state(a, np.maximum(b - 1, 0)), weights=n[:, 1], minlength=size)
+    return (a * 256 + b).astype(np.uint16), zeros, ones
+
+
+def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """For each of the 65,536 pairs of counts. States seen rarely are drawn to their counts; well-known ones stand for themselves."""
+    a, b = np.divmod(np.arange(len(zeros)), len(_LEVEL))
+    guess = (_LEVEL[b] + 0.4) / (_LEVEL[a] + _LEVEL[b] + 0.8)
+    p = (ones + 4 * guess) / (ones + zeros + 4)
+    few = np.clip(np.log(p / (1 - p)), -9, 9)[_state(_A, _B)]
+    return np.where(_A + _B >= 24, np.log((_B + 0.4) / (_A + 0.4)), few).astype(np.float32)
+
+
+def _ranges(n: int) -> Iterator[tuple[int, int]]:
+    return ((lo, min(lo + RANGE, n)) for lo in range(0, n, RANGE))
+
+
+def read(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """(pairs of symbols, stored word counts (h, c)) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((ORDERS, SLOTS * 2), dtype=np.int32)
-        for batch in batches:
-            for _, _, b in _batches(*text_buffers(batch.column("word"))):
-                for k in range(ORDERS):
-                    np.add.at(sums[k], b.slots_with_bit(k), 1)
-        at = np.flatnonzero(sums.ravel())
-        for lo in range(0, len(at), chunk):
-            part = at[lo : lo + chunk]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(sums.ravel()[part].astype(np.int64))], ["slot", "n"])
-
-    got = words.select("word").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(ORDERS * SLOTS * 2, dtype=np.float32)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(ORDERS, SLOTS, 2)
-
-
-def train(words: DataFrame, rate: float = 0.5) -> Mixer:
-    """A mixer for the distinct training words (column `word`, binary). Every task learns online over its words; the weights are
-    averaged and the tables added."""
-    model = Mixer(_counted(words))
-    given = words.sparkSession.sparkContext.broadcast(model)  # of fixed size
+        pairs = np.zeros(1 << 16, dtype=np.int64)
+        made = lambda kind, h, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h), pa.array(n)], ["kind", "h", "n"])
+        for batch in slices(batches, "text"):
+            s, off = symbols(batch.column("text"))
+            for lo, hi in _ranges(len(s)):
+                pairs += np.bincount(_before(s, off[:-1], lo, hi).astype(np.int64) * 256 + s[lo:hi], minlength=1 << 16)
+            h, n = np.unique(word_hashes(batch.column("text"))[0], return_counts=True)
+            yield made(0, h.view(np.int64), n.astype(np.int64))
+        some = np.flatnonzero(pairs)
+        yield made(1, some.astype(np.int64), pairs[some])
+
+    counts = stored(docs.select("text").mapInArrow(run, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("c")))
+    got = counts.where("kind = 1").select("h", "c").toArrow()  # at most 65,536 rows
+    pairs = np.zeros(1 << 16, dtype=np.int64)
+    pairs[got["h"].to_numpy()] = got["c"].to_numpy()
+    return pairs.reshape(256, 256), counts
+
+
+def _blob(c: np.ndarray) -> bytes:
+    """Counters as compressed planes of bytes, of which the upper ones are almost empty."""
+    return pa.compress(np.ascontiguousarray(c.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _counters(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 4 * BLOCK, codec="zstd", asbytes=True), np.uint8).reshape(4, BLOCK)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
+def _summed(t: pa.Table) -> np.ndarray:
+    total = np.zeros(BLOCK, dtype=np.int64)
+    for b in t["counts"]:
+        total += _counters(b.as_py())
+    return total
+
+
+def count(docs: DataFrame, code: Code) -> Model:
+    """The model's tables from all texts. Each task counts for itself and passes on its counters in blocks; these are added
+    for 256 tasks at a time, then over all, so no group grows with the input by more than a block for 256 tasks."""
+    given = docs.sparkSession.sparkContext.broadcast(code)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = Mixer(given.value.counts), 0
-        for batch in batches:
-            for _, _, b in _batches(*text_buffers(batch.column("word"))):
-                seen += 1
-                m.learn(b, rate / (1 + seen / 50) + 0.02)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([m.w.ravel()], pa.list_(pa.float64())), pa.array([m.apm.ravel()], pa.list_(pa.float64()))], ["n", "w", "apm"])
-
-    parts = words.select("word").mapInArrow(run, "n long, w array<double>, apm array<double>")
-    w = parts.select("n", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
-    apm = parts.select(F.posexplode("apm").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    rows = w.select(F.lit(0).alias("t"), "i", "x").union(apm.select(F.lit(1).alias("t"), "i", "x")).toArrow()
-    t, i, x = (rows[c].to_numpy() for c in ("t", "i", "x"))
-    if len(t):
-        model.w.ravel()[i[t == 0]] = x[t == 0]
-        model.apm.ravel()[i[t == 1]] = x[t == 1]
-    return model
-
-
-KIND_BITS = 9
-
-
-def _kind_features(texts: pa.Array) -> np.ndarray:
-    """(rows, 2^KIND_BITS) square roots of hashed word counts, at length 1; zero rows for texts without words."""
-    h, rows = word_hashes(texts)
-    n, size = len(texts), 1 << KIND_BITS
-    x = np.sqrt(np.bincount(rows.astype(np.int64) << KIND_BITS | (h >> _U(64 - KIND_BITS)).astype(np.int64), minlength=n * size)[: n * size].reshape(n, size)).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-
-def kinds_of(docs: DataFrame, k: int, passes: int = 3, first: int = 500) -> np.ndarray:
-    """Centres of k kinds of texts. The start is a spread of at most `first` of the texts; each pass sums over all of them."""
-    sample = docs.select("text").orderBy(F.xxhash64("text")).limit(first).toArrow()["text"].combine_chunks()
-    x = _kind_features(sample) if len(sample) else np.zeros((0, 1 << KIND_BITS), np.float32)
-    centres = np.zeros((k, 1 << KIND_BITS), np.float32)
-    for i in range(min(k, len(x))):
-        centres[i] = x[np.argmin((x @ centres[:i].T).max(1)) if i else 0]
-    for _ in range(passes):
-        at = centres
-
-        def run(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((k, 1 << KIND_BITS))
-            for batch in slices(batches, "text", 4 << 20):
-                f = _kind_features(batch.column("text"))
-                np.add.at(sums, (f @ at.T).argmax(1), f)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["k", "x"])
-
-        got = docs.select("text").mapInArrow(run, "k int, x array<double>").select("k", F.posexplode("x").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).toArrow()
-        new = np.zeros_like(centres)
-        new[got["k"].to_numpy(), got["i"].to_numpy()] = got["x"].to_numpy()
-        size = np.linalg.norm(new, axis=1, keepdims=True)
-        centres = np.where(size > 0, new / np.maximum(size, 1e-9), centres).astype(np.float32)
-    return centres
-
-
-def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text", block_docs: int = 2000, kinds: int = 6, again: float = 0.05, shared: float = 0.1) -> DataFrame:
-    """(id, training, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row. training: boolean. again: weight
-    of the text's own words so far; shared: weight of the model of all texts in that of a kind."""
-    spark = docs.sparkSession
+        counts, one = [np.zeros(2 << b, dtype=np.int32) for b in SLOT_BITS], np.int32(1)
+        for batch in slices(batches, "text", 1 << 20):
+            s, off = symbols(batch.column("text"))
+            for lo, hi in _ranges(len(s)):
+                ctx = contexts(s, off[:-1], lo, hi)
+                of, step, _ = given.value.bits(s[lo:hi], _before(s, off[:-1], lo, hi))
+                for k in range(K):
+                    np.add.at(counts[k], _counter(ctx, k, of, step), one)
+        part = TaskContext.get().partitionId() // 256
+        for k in range(K):
+            for b, c in enumerate(counts[k].reshape(-1, BLOCK)):
+                if c.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([_blob(c)])], ["k", "b", "part", "counts"])
+
+    def some(key: tuple, t: pa.Table) -> pa.Table:
+        return pa.table({"k": t["k"][:1], "b": t["b"][:1], "counts": pa.array([_blob(np.minimum(_summed(t), 2**31 - 1))])})
+
+    def last(key: tuple, t: pa.Table) -> pa.Table:
+        table, zeros, ones = _observed(_summed(t))
+        return pa.table({"k": t["k"][:1], "b": t["b"][:1], "states": pa.array([table.tobytes()]), "seen": pa.array([np.stack([zeros, ones]).tobytes()])})
+
+    parts = docs.select("text").mapInArrow(run, "k int, b int, part int, counts binary").groupBy("k", "b", "part").applyInArrow(some, "k int, b int, counts binary")
+    got = parts.groupBy("k", "b").applyInArrow(last, "k int, b int, states binary, seen binary").toArrow()
+    tables, seen = [np.zeros(1 << b, dtype=np.uint16) for b in SLOT_BITS], np.zeros((K, 2, len(_LEVEL) ** 2))
+    for k, b, states, n in zip(*(got[c].to_pylist() for c in ("k", "b", "states", "seen"))):
+        tables[k][b * BLOCK // 2 : (b + 1) * BLOCK // 2] = np.frombuffer(states, np.uint16)
+        seen[k] += np.frombuffer(n).reshape(2, -1)
+    return Model(code, tables, [_log_odds(*seen[k]) for k in range(K)])
+
+
+def fit(docs: DataFrame, model: Model, prior: float = 50.0) -> Model:
+    """The model with the gates' weights after one step of Newton's method over all bits of all texts."""
+    given = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = given.value
+        slope, bend = np.zeros((GATES, K + 1)), np.zeros((GATES, K + 1, K + 1))
+        for batch in slices(batches, "text", 1 << 20):
+            s, off = symbols(batch.column("text"))
+            for lo, hi in _ranges(len(s)):
+                x, gate, bit, _ = m.inputs(s, off[:-1], lo, hi, True)
+                z = m.mixed(x, gate)
+                p = 1 / (1 + np.exp(-np.clip(z, -12, 12, out=z)))
+                order = np.argsort(gate, kind="stable")
+                ends = np.searchsorted(gate[order], np.arange(GATES + 1))
+                e, h = bit - p, p * (1 - p)
+                for g in np.flatnonzero(np.diff(ends)):
+                    at = order[ends[g] : ends[g + 1]]
+                    xg = x[: K + 1].take(at, axis=1)
+                    slope[g] += xg @ e.take(at)
+                    bend[g] += (xg * h.take(at)) @ xg.T
+        n = GATES * (K + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * (K + 2)), pa.int32()), pa.array(np.concatenate([slope.ravel(), bend.ravel()]))], ["i", "x"])
+
+    got = docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    n = GATES * (K + 1)
+    sums = np.zeros(n * (K + 2))
+    sums[got["i"].to_numpy()] = got["x"].to_numpy()
+    slope, bend = sums[:n].reshape(GATES, K + 1), sums[n:].reshape(GATES, K + 1, K + 1)
+    step = np.linalg.solve(bend + prior * np.eye(K + 1), slope[:, :, None])[:, :, 0]
+    return Model(model.code, model.tables, model.odds, model.weights + np.clip(step, -2, 2))
+
+
+def log2_of_texts(model: Model, s: np.ndarray, off: np.ndarray, rate: float = 0.01) -> np.ndarray:
+    """log2 probability of each text of the stream: the gate's weights and, for each segment, a correction of its own that follows the
+    slope of every STEP bits once they have been predicted."""
+    begin = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(off[:-1], off[1:])]) if len(off) > 1 else np.zeros(0, np.int64)
+    end = np.append(begin[1:], len(s))
+    out = np.zeros(len(begin))
+    j = 0
+    while j < len(begin):
+        to = max(j + 1, int(np.searchsorted(end, begin[j] + 2 * RANGE, "right")))
+        lo, hi = int(begin[j]), int(end[to - 1])
+        x, gate, bit, first = model.inputs(s, off[:-1], lo, hi, False)
+        cut = np.append(first, len(bit))[np.append(begin[j:to], hi) - lo]
+        x[K + 1, : len(bit)], x[K + 2, : len(bit)] = model.mixed(x, gate), 1 - 2.0 * bit  # the gate's sum, the value's sign
+        runs = np.lib.stride_tricks.sliding_window_view(x, STEP, axis=1)
+        size = np.diff(cut)
+        order = np.argsort(-size, kind="stable")
+        at, size = cut[:-1][order], size[order]
+        own = np.zeros((K + 1, len(order), 1), dtype=np.float32)
+        sums, step = np.zeros(len(order)), np.arange(STEP)
+        times = np.arange(0, int(size[0]), STEP)
+        for t, n in zip(times.tolist(), np.searchsorted(-size, -times, "left").tolist()):  # n segments have bits left
+            b = runs[:, at[:n] + t]
+            z = np.einsum("knj,knj->nj", np.broadcast_to(own[:, :n], (K + 1, n, STEP)), b[: K + 1]) + b[K + 1]
+            np.clip(z, -12, 12, out=z)
+            sign = b[K + 2]
+            odds = 1 + np.exp(sign * z)  # one over the probability of the value
+            slope = (1 / odds - 1) * sign
+            lost = np.log(odds)
+            if size[n - 1] - t < STEP:
+                there = step < size[:n, None] - t
+                lost, slope = lost * there, slope * there
+            sums[:n] += lost.sum(1)
+            own[:, :n, 0] += rate * np.einsum("knj,nj->kn", b[: K + 1], slope)
+        out[j:to][order] = -sums / np.log(2)
+        j = to
+    return np.add.reduceat(out, np.searchsorted(begin, off[:-1])) if len(begin) else out
+
+
+def _frequent(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(hashes in order, counts) of the words that occur at least so often (third value) that there are at most `most` of them."""
+    grade = F.floor(F.log2("c") * 8)
+    hist = words.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("g")).collect()  # some 500 rows at most
+    least, total = float("inf"), 0
+    for r in hist:
+        total += r.n
+        if total > most:
+            break
+        least = r.g
+    got = words.where(grade >= F.lit(least)).select("h", "c").toArrow()
+    h, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order], least
+
+
+def train(docs: DataFrame, code: Code) -> Model:
+    """The bit model of all texts (column `text`)."""
+    return fit(docs, count(docs, code))
+
+
+def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text", frequent: int = 1 << 19) -> DataFrame:
+    """(id, training, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row. training: boolean."""
+    spark: SparkSession = docs.sparkSession
     d = docs.select(F.col(id).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    centres = kinds_of(d.where("training"), kinds)
-    blocks = max(1, -(-docs.count() // block_docs))
-    d = d.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-
-    def ask(t: pa.Table) -> pa.Table:
-        texts = t["text"].combine_chunks()
-        body, _ = text_buffers(texts)
-        kind = np.full(len(texts), -1, dtype=np.int64)  # rows that are not learned from have none
-        train_rows = np.flatnonzero(t["training"].to_numpy(zero_copy_only=False))
-        for lo in range(0, len(train_rows), 256):
-            part = train_rows[lo : lo + 256]
-            kind[part] = (_kind_features(texts.take(pa.array(part))) @ centres.T).argmax(1)
-        h, rows, a, b = word_hashes(texts, spans=True)
-        key = kind[rows]
-        order = np.lexsort((key, h))
-        h, key = h[order], key[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]) if len(h) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(h)))
-        lead = np.concatenate([[True], h[first][1:] != h[first][:-1]]) if len(h) else np.zeros(0, bool)
-        low = np.where((body >= 65) & (body < 91), body + 32, body).astype(np.uint8).tobytes()
-        words = [low[x:y] for x, y in zip(a[order][first].tolist(), b[order][first].tolist())]
-        ends = np.bincount(kind[train_rows], minlength=kinds)
-        block = pa.array(np.full(len(words) + kinds, t["block"][0].as_py(), np.int32))
-        return pa.table({
-            "block": block, "h": pa.array(np.concatenate([h[first].view(np.int64), np.zeros(kinds, np.int64)])), "word": pa.array([*words, *[None] * kinds], pa.binary()),
-            "kind": pa.array(np.concatenate([key[first], np.arange(kinds)]), pa.int32()), "n": pa.array(np.concatenate([n, ends]).astype(np.int64)), "lead": pa.array(np.concatenate([lead, np.zeros(kinds, bool)])),
-        })
-
-    asked = stored(d.groupBy("block").applyInArrow(ask, "block int, h long, word binary, kind int, n long, lead boolean"))
-    of_kind = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(kinds)]
-    vocab = stored(asked.where("word is not null").groupBy("h", "word").agg(*of_kind).withColumn("c", sum((F.col(f"c{k}") for k in range(1, kinds)), F.col("c0"))))
-    total = vocab.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(kinds))).first()
-    end_rows = asked.where("word is null").groupBy("kind").agg(F.sum("n").alias("n")).collect()  # one per kind
-    ends_of = np.zeros(kinds)
-    for r in end_rows:
-        ends_of[r.kind] = r.n
-    ends = int(ends_of.sum())
-    n_of = np.array([float(total[f"c{k}"] or 0) for k in range(kinds)]) + ends_of
+    seen = d.where("training")
+    pairs, counts = read(seen)
+    words = counts.where("kind = 0").select("h", "c")
+    total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    ends = int(pairs[:, END].sum())
     n_all, v_all = (total.n or 0) + ends, total.v + (ends > 0)
-    discount = min(0.95, max(0.05, total.n1 / (total.n1 + 2 * total.n2))) if total.n1 else 0.5
-    model = train(vocab.where("c > 0"))
-    given = spark.sparkContext.broadcast(model)  # of fixed size
-    free = discount * v_all / n_all if n_all else 1.0
-    mine = 1 - shared if n_all else 0.0
-
-    def mixed_log10(c: np.ndarray, of: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """(words, kinds) log10 probabilities."""
-        with np.errstate(divide="ignore"):
-            common = np.log10((1 - mine) * np.maximum(c - discount, 0) / max(n_all, 1) + 1e-320)
-            own = np.log10(mine * of / np.maximum(n_of, 1) + 1e-320)
-        rare = spelled + np.log10(free * (1 - mine)) if free > 0 else np.full(len(c), -400.0)
-        top = np.maximum(np.maximum(common, rare)[:, None], own)
-        return top + np.log10(10.0 ** (common[:, None] - top) + 10.0 ** (rare[:, None] - top) + 10.0 ** (own - top))
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, off = text_buffers(batch.column("word"))
-            lp = np.zeros(batch.num_rows)
-            for lo, hi, b in _batches(body, off):
-                lp[lo:hi] = given.value.log10(b)
-            of = np.stack([batch.column(f"c{k}").to_numpy() for k in range(kinds)], axis=1).astype(np.float64)
-            got = mixed_log10(batch.column("c").to_numpy().astype(np.float64), of, lp).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array([r.tobytes() for r in got], pa.binary())], ["h", "c", "lp"])
-
-    of_word = vocab.mapInArrow(spelled, "h long, c long, lp binary")
-    answers = asked.where("lead").select("block", "h").join(of_word, "h").select(F.col("block").alias("to"), "h", "c", "lp")
-    prior = np.log10((np.bincount(np.arange(kinds), weights=ends_of) + 1) / (ends + kinds))
-    end_lp = mixed_log10(np.array([float(ends)]), ends_of[None, :], np.array([-1.0 if n_all == 0 else -400.0]))[0]
-    low = n_all + 0.5 * (v_all + 1)
-
-    def sum_up(t: pa.Table, w: pa.Table) -> pa.Table:
-        n = t.num_rows
-        texts = t["text"].combine_chunks()
-        h, rows = word_hashes(texts)
-        known = w["h"].to_numpy().view(np.uint64)
-        order = np.argsort(known)
-        at = order[np.searchsorted(known, h, sorter=order)] if len(h) else np.zeros(0, np.int64)
-        counts = w["c"].to_numpy()
-        lps = np.frombuffer(b"".join(w["lp"].to_pylist()), dtype="<f4").reshape(-1, kinds)
-        base = np.bincount(rows, weights=np.log10((counts[at] + 0.5) / low), minlength=n) + np.log10((ends + 0.5) / low)
-        seen = np.bincount(rows, weights=counts[at] > 0, minlength=n).astype(np.int64) + int(ends > 0)
-        words = np.bincount(rows, minlength=n)
-        # how often the word came before in its text, and how many words came before
-        place = np.arange(len(h)) - np.concatenate([[0], np.cumsum(words)])[rows]
-        by = np.lexsort((place, h, rows))
-        fresh = np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (rows[by][1:] != rows[by][:-1])]) if len(h) else np.zeros(0, bool)
-        run = np.flatnonzero(fresh)
-        before = np.empty(len(h), np.int64)
-        before[by] = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h))))
-        with np.errstate(divide="ignore"):
-            echo = np.log10(again * before / np.maximum(place, 1))
-        total = np.empty((n, kinds))
-        stay = np.where(place > 0, np.log10(1 - again), 0.0)
-        for k in range(kinds):
-            p = lps[at, k] + stay
-            hit = before > 0
-            p[hit] = np.logaddexp(p[hit] * np.log(10), echo[hit] * np.log(10)) / np.log(10)
-            total[:, k] = np.bincount(rows, weights=p, minlength=n) + end_lp[k] + np.where(words > 0, np.log10(1 - again), 0.0) + prior[k]
-        top = total.max(1, keepdims=True)
-        out = top[:, 0] + np.log10((10.0 ** (total - top)).sum(1))
-        _, off = text_buffers(texts)
-        bpb = -out * np.log2(10) / np.maximum(np.diff(off), 1)
-        return pa.table({"id": t["id"], "training": t["training"], "n_tokens": pa.array(words.astype(np.int64) + 1), "n_known": pa.array(seen), "train_tokens": pa.array(np.full(n, n_all, np.int64)), "base_score": pa.array(base), "score": pa.array(out), "bits_per_byte": pa.array(bpb)})
+    top_h, top_c, least = _frequent(words, frequent)
+    model = train(seen, Code(pairs))
+    given = spark.sparkContext.broadcast((model, top_h, np.append(np.log10(top_c + 0.5), np.log10(0.5))))  # of bounded size
+    low, end_base = np.log10(n_all + 0.5 * (v_all + 1)), np.log10(ends + 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known, worth = given.value
+        made = TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text", 1 << 20):
+            n = batch.num_rows
+            s, off = symbols(batch.column("text"))
+            bits = -log2_of_texts(m, s, off)
+            h, rows = word_hashes(batch.column("text"))
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+            base = np.bincount(rows, weights=worth[np.where(hit, at, len(known))], minlength=n)
+            tokens = np.bincount(rows, minlength=n) + 1
+            rest = np.concatenate([[0], np.cumsum(np.bincount(rows[~hit], minlength=n))]).astype(np.int32)
+            _, size = text_buffers(batch.column("text"))
+            cols = [
+                batch.column("id"), batch.column("training"), pa.array(tokens.astype(np.int64)), pa.array(np.bincount(rows, weights=hit, minlength=n).astype(np.int64) + int(ends > 0)),
+                pa.array(base + end_base - tokens * low), pa.array(-bits * np.log10(2)), pa.array(bits / np.maximum(np.diff(size), 1)),
+                pa.array(made + np.arange(n), pa.int64()), pa.ListArray.from_arrays(pa.array(rest), pa.array(h[~hit].view(np.int64))),
+            ]
+            made += n
+            yield pa.RecordBatch.from_arrays(cols, ["id", "training", "n_tokens", "known", "base", "score", "bits_per_byte", "place", "rest"])
 
     kind = dict(d.dtypes)["id"]
-    schema = f"id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    out = d.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(sum_up, schema)
-    return out.withColumnRenamed("id", id)
+    first = stored(d.mapInArrow(run, f"id {kind}, training boolean, n_tokens long, known long, base double, score double, bits_per_byte double, place long, rest array<long>"))
+    # counts of the words outside the table; a word of the text that no training text has gains nothing and finds no partner
+    asked = first.select("place", F.explode("rest").alias("h")).groupBy("place", "h").agg(F.count("*").alias("n"))
+    rare = words.where(F.floor(F.log2("c") * 8) < F.lit(least)) if least < float("inf") else words
+    gain = F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))
+    more = asked.join(rare, "h").groupBy("place").agg(F.sum(gain).alias("gain"), F.sum("n").alias("more"))
+    out = first.join(more, "place", "left")
+    out = stored(out.select(
+        F.col("id").alias(id), "training", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
+    ))
+    drop_stored(counts)
+    drop_stored(first)
+    return out

@@ -171,7 +171,7 @@ def test_context_mixing(spark):
 
     rows = [(k, " ".join(np.random.default_rng(k).choice(["the", "cat", "sat", "on", "mats", f"rare{k}"], 30))) for k in range(40)] + TEXTS
     d = docs(spark, rows)
-    got = context_mixing.score(d, F.coalesce(F.col("doc_id") % 5 != 1, F.lit(False)), block_docs=7).collect()
+    got = context_mixing.score(d, F.coalesce(F.col("doc_id") % 5 != 1, F.lit(False))).collect()
     assert len(got) == len(rows)
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
     c = Counter(w for i, t in rows if i is not None and i % 5 != 1 for w in tokens(t))
@@ -186,17 +186,6 @@ def test_context_mixing(spark):
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in untrained)
 
 
-def test_bit_model_is_a_distribution():
-    """The probabilities of all continuations of one byte sum to one."""
-    m = context_mixing.Mixer(np.zeros((context_mixing.ORDERS, context_mixing.SLOTS, 2), np.float32))
-    body = np.arange(256, dtype=np.uint8)
-    b = context_mixing.Bits(body, np.arange(257))
-    one, st, gate = m._inputs(b, False)
-    p = 1 / (1 + np.exp(-m._mixed(st, gate)))
-    first = np.where(one == 1, p, 1 - p).reshape(-1, 8)[::2].prod(1)  # every second symbol is a terminator
-    assert abs(first.sum() - 1) < 1e-5
-
-
 SECRETS = 'x token = "abcdefghijkl" AKIAABCDEFGHIJKLMN 0123456789abcdef0 é password:short api_key=zzzzzzzzzzzz. key Zx81kQpT0aBvC93nLmW27rYe end'
 
 
