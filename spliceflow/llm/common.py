@@ -81,8 +81,9 @@ def _cuts(body: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[i
         lo = hi
 
 
-def word_hashes(texts: pa.Array, spans: bool = False):
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of the texts, A-Z in lower case.
+def word_hashes(texts: pa.Array, spans: bool = False, kinds: np.ndarray | None = None):
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of the texts, A-Z in lower case. With kinds, a number for each of the 256 bytes,
+    words also end between bytes of kinds 1 and 2.
 
     Returns (hash uint64, row int32), and with spans also (start, end) as byte offsets into the joined texts. Words never
     reach over two texts. The arrays besides these are of bounded size: the bytes are read in chunks cut between words."""
@@ -92,7 +93,11 @@ def word_hashes(texts: pa.Array, spans: bool = False):
         b = _LOWER[body[lo:hi]]
         word = ~_SPACE[b]
         first = word.copy()
-        first[1:] &= ~word[:-1]
+        parted = ~word[:-1]
+        if kinds is not None:
+            kind = kinds[b]
+            parted |= (kind[1:] ^ kind[:-1]) == 3
+        first[1:] &= parted
         cut = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
         first[cut] = word[cut]
         starts = np.flatnonzero(first)

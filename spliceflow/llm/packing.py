@@ -24,40 +24,71 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, stored
+from .common import row_bounds, slices, stored, text_buffers, word_hashes
 
-_MOST = 800_000
+_MOST = 2_000_000
+#: 1: ASCII letters, 2: marks between which and a letter every token of the tokenizer ends, 0: all other bytes.
+_KINDS = np.zeros(256, dtype=np.uint8)
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KINDS[list(b",.!?;:()[]")] = 2
 _loaded: dict[str, "WordCache"] = {}
 
 
-class _Known(dict):
-    """Ids of the parts seen so far; a part that is missing is encoded when it is first asked for."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, part: str) -> bytes:
-        self[part] = ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return ids
-
-
 class WordCache:
-    """Ids of texts, by those of their parts between spaces: no token reaches over a space. Equal parts are encoded once."""
+    """Ids of texts, by those of their words: no token reaches over white space or from a letter to a mark. Words are told apart by
+    64-bit hashes; new ones are encoded, many at a time; beyond `_MOST` words every second one is forgotten.
+
+    keys: hashes in order; of each the place and number of its ids in `flat`."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.known = _Known(tokenizer)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        if len(self.known) > _MOST:
-            self.known.clear()
-        return b"".join(map(self.known.__getitem__, text.split(" ")))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.keys, self.place, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Words in order of their keys: they are encoded as one text, and its tokens dealt out by their places."""
+        sizes, ids = [], [self.flat]
+        for lo in range(0, len(words), 1024):
+            some = words[lo : lo + 1024]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            begin = np.array([x[0] for x in e.offsets], dtype=np.int64)
+            sizes.append(np.diff(np.searchsorted(begin, np.cumsum([0, *(len(w) + 1 for w in some)]))))
+            ids.append(np.array(e.ids, dtype=np.uint32))
+        size = np.concatenate(sizes)
+        place = len(self.flat) + np.cumsum(size) - size
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place, self.size = np.insert(self.keys, at, keys), np.insert(self.place, at, place), np.insert(self.size, at, size)
+        self.flat = np.concatenate(ids)
+
+    def _forget(self) -> None:
+        self.keys, place, self.size = self.keys[::2], self.place[::2], self.size[::2]
+        self.flat = self.flat[_runs(place, self.size)]
+        self.place = np.cumsum(self.size) - self.size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets)."""
+        if len(self.keys) > _MOST:
+            self._forget()
+        h, rows, start, end = word_hashes(texts, spans=True, kinds=_KINDS)
+        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
+        new = np.ones(len(keys), dtype=bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+        if new.any():
+            body = text_buffers(texts)[0]
+            self._learn(keys[new], [body[a:b].tobytes().decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+        at = np.searchsorted(self.keys, keys)
+        size = self.size[at][which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[_runs(self.place[at][which], size)], ends[row_bounds(rows, len(texts))]
+
+
+def _runs(place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """place, place + 1, ... of every run."""
+    return np.arange(int(size.sum())) + np.repeat(place - (np.cumsum(size) - size), size)
 
 
 def word_cache(path: str) -> WordCache:
@@ -149,10 +180,11 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stop, made = word_cache(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 0
         part = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             row, piece, start, size, crc, ids = [], [], [], [], [], []
-            for r, t in enumerate(batch.column("text").to_pylist()):
-                body = words.encode(t or "") + stop
+            flat, off = words.encode(batch.column("text"))
+            for r, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                body = flat[a:b].tobytes() + stop
                 for k, at in enumerate(range(0, len(body), 4 * length)):
                     chunk = body[at : at + 4 * length]
                     row.append(r), piece.append(k), start.append(at // 4), size.append(len(chunk) // 4), crc.append(zlib.crc32(chunk))
