@@ -1,13 +1,17 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A text is cut into sentences (after . ! ? and white space, and at line ends). From every sentence the shortest run of consecutive
-sentences with at least `min_words` words is hashed, forwards and backwards, so that a repeated passage of whole sentences is
-covered from its first to its last one, whatever the lengths of its sentences. Runs are joined by hash over all documents; the one
-with the smallest (doc_id, place) stays, and sentences that another run of the same words covers are removed.
-
-Defined cases: null texts stay null; texts under min_words words are never changed; a text that is removed wholly becomes empty and
-its row stays. White space and case do not count in a comparison. Rows with one doc_id count as one document (their equal runs
-do not remove each other); null ids come last. Extra columns are kept.
+A text is cut into sentences (after . ! ? and white space, and at line ends). Every run of `sentences` consecutive sentences with at
+least `least_words` words is hashed; so is, from every sentence on and up to every sentence, the shortest run of two or more with at
+least `min_words` words, and every single sentence of `long_words` words: passages of few long sentences are found as well as ones
+of many short ones, from their first whole sentence to their last. Runs are joined by hash over all documents; the first, by
+(doc_id, hash of the text, place), stays, and sentences that another run of the same words covers are removed.
+
+A document is a row's id and text: rows that share an id but not the text are documents of their own, ordered by a hash of the text;
+rows equal in both are one document, which stays or loses sentences in all its rows alike.
+
+Defined cases: null texts stay null; a text in which no run reaches its least number of words is never changed; a text that is removed
+wholly becomes empty and its row stays. White space and case do not count in a comparison. Null ids come last. Extra columns
+are kept. Besides the text itself, some 100 bytes for each sentence of a text are held at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import drop_stored, slices, stored
 
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
@@ -37,34 +41,35 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: str, min_words: int) -> list[tuple[int, int, int, bool]]:
-    """(hash, start, end, whether the text has the same run before) of the shortest runs from and up to every sentence."""
+def runs(text: str, sentences_in_run: int = 3, least_words: int = 12, min_words: int = 20, long_words: int = 40) -> list[tuple[int, int, int, bool]]:
+    """(hash, start, end, whether the text has the same run before) of the runs of a text."""
     places = sentences(text)
     low = text.lower() if text.isascii() else text
-    at, size, words, total, n = [0], [], [0], 0, len(places)
+    at, words, total, n = [0], [0], 0, len(places)
     parts = []
     for a, b in places:
         w = low[a:b].split()
         total += len(w)
         words.append(total)
-        p = (" ".join(w) if low is text or text.isascii() else " ".join(w).lower()).encode("utf-8", "surrogatepass")
+        p = (" ".join(w) if text.isascii() else " ".join(w).lower()).encode("utf-8", "surrogatepass")
         parts.append(p)
         at.append(at[-1] + len(p) + 1)
-    if total < min_words:
+    if total < least_words:
         return []
     joined = b"\n".join(parts) + b"\n"
-    spans = set()
+    spans = {(i, i + sentences_in_run) for i in range(n - sentences_in_run + 1) if words[i + sentences_in_run] - words[i] >= least_words}
+    spans |= {(i, i + 1) for i in range(n) if words[i + 1] - words[i] >= long_words}
     j = 0
-    for i in range(n):  # forwards from i
-        j = max(j, i)
+    for i in range(n - 1):  # forwards from i
+        j = max(j, i + 2)
         while j < n and words[j] - words[i] < min_words:
             j += 1
         if words[j] - words[i] < min_words:
             break
         spans.add((i, j))
     i = n
-    for j in range(n, 0, -1):  # backwards from j
-        i = min(i, j)
+    for j in range(n, 1, -1):  # backwards from j
+        i = min(i, j - 2)
         while i > 0 and words[j] - words[i] < min_words:
             i -= 1
         if words[j] - words[i] < min_words:
@@ -80,32 +85,41 @@ def runs(text: str, min_words: int) -> list[tuple[int, int, int, bool]]:
     return out
 
 
-def span_table(docs: DataFrame, id: str, text: str, min_words: int) -> DataFrame:
-    """(hash, doc, start, end, again): every run of every document; doc is the id, or the largest long for a null id."""
-    d = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.col(text).cast("string").alias("text"))
+def span_table(docs: DataFrame, **how) -> DataFrame:
+    """(hash, doc, of, start, end, again): every run of every document (doc, of, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            doc, h, start, end, again = [], [], [], [], []
-            for k, t in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                for a, b, c, e in runs(t, min_words) if t else ():
-                    doc.append(k), h.append(a), start.append(b), end.append(c), again.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(again, pa.bool_())], ["hash", "doc", "start", "end", "again"])
+            row, h, start, end, again = [], [], [], [], []
+            for k, t in enumerate(batch.column("text").to_pylist()):
+                for a, b, c, e in runs(t, **how) if t else ():
+                    row.append(k), h.append(a), start.append(b), end.append(c), again.append(e)
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch.column("doc").take(at), batch.column("of").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(again, pa.bool_())], ["hash", "doc", "of", "start", "end", "again"])
 
-    return d.mapInArrow(run, "hash long, doc long, start int, end int, again boolean")
+    return docs.mapInArrow(run, "hash long, doc long, of long, start int, end int, again boolean")
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = 20, count: str | None = None) -> DataFrame:
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """docs with __doc (the id, or the largest long) and __of (a hash of the text), which tell documents apart."""
+    return docs.withColumns({"__doc": F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)), "__of": F.xxhash64(F.col(text).cast("string"))})
+
+
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", count: str | None = None, **how) -> DataFrame:
     """docs with repeated passages removed from the text; with `count`, a column of that name gets the number of characters
-    removed. Runs are counted per hash before the shuffle, so a passage that a third of all documents share is one row per task;
-    the join back to the documents is one that adaptive execution can split."""
-    names = docs.columns
-    spans = span_table(docs, id, text, min_words)
-    first = spans.where("not again").groupBy("hash").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    later = spans.where("not again").join(first, "hash").where("doc <> first").select("doc", "start", "end")
-    cut = later.union(spans.where("again").select("doc", "start", "end"))
-    cut = cut.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cut"))  # at most two per sentence
-    d = docs.withColumn("__doc", F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1))).join(cut.withColumnRenamed("doc", "__doc"), "__doc", "left")
+    removed. The runs are written once. They are counted per hash before the shuffle, so a passage that a third of all documents share
+    is one row per task; the join back to the runs is one that adaptive execution can split, and only repeated hashes take part."""
+    names = [c for c in docs.columns if c != count]
+    keyed = _keyed(docs, id, text)
+    spans = stored(span_table(keyed.select(F.col("__doc").alias("doc"), F.col("__of").alias("of"), F.col(text).cast("string").alias("text")), **how))
+    key = F.struct("doc", "of")
+    first = spans.where("not again").groupBy("hash").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last").select("hash", "first")
+    later = spans.where("not again").join(first, "hash").where(key != F.col("first")).select("doc", "of", "start", "end")
+    cut = later.union(spans.where("again").select("doc", "of", "start", "end"))
+    cut = cut.groupBy(F.col("doc").alias("__doc"), F.col("of").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cut"))  # at most four per sentence
+    cut = stored(cut)
+    drop_stored(spans)
+    d = keyed.join(cut, ["__doc", "__of"], "left")
     t = F.col(text)
     walk = F.aggregate(
         "__cut",

@@ -120,15 +120,6 @@ def test_repeated_passage_goes_but_for_the_first(spark):
     assert sentence_spans.remove_repeats(docs(spark)).columns == docs(spark).columns
 
 
-def test_runs_cover_a_passage_from_end_to_end():
-    for sizes in ([30, 5, 5, 5, 5], [5, 5, 5, 5, 30], [10] * 5, [55]):
-        text = " ".join(" ".join(f"a{k}{j}" for j in range(n)) + "." for k, n in enumerate(sizes))
-        covered = set()
-        for _, a, b, _ in sentence_spans.runs(text, 20):
-            covered |= set(range(a, b))
-        assert all(i in covered or text[i] == " " for i in range(len(text))), sizes
-
-
 def test_exact_top_k(spark):
     rng = np.random.default_rng(3)
     vec = [(i, [float(x) for x in rng.normal(0, 0.2, 8)], "c") for i in range(300)] + [(301, None, "c"), (302, [None] * 8, "c"), (303, [float("nan")] * 8, "c"), (None, [0.1] * 8, "c"), (320, [0.5] * 8, "c"), (320, [0.5] * 8, "c"), (321, [1.0, 2.0], "c")]
