@@ -143,9 +143,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: spark.checkpoint.dir, or one of our own where it is unset (as in tests)."""
+    """The shared folder for scratch tables: spark.checkpoint.dir. On a local master, where driver and executors share a disk, one of
+    our own if it is unset; elsewhere that is an error, as executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

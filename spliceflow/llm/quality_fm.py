@@ -146,8 +146,9 @@ def _of(batch: pa.RecordBatch, text: str, n_meta: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", metadata: list[str] | None = None, max_rows: int = 8000, **how) -> FactorisationMachine | None:
-    """Fit on at most max_rows of the labelled documents; None where there are none. What comes to the driver is bounded by
-    max_rows, as are the ids that are broadcast."""
+    """Fit on at most max_rows rows of the labelled documents; None where there are none. Ids with the smallest hashes are taken, and
+    of rows that share one, those whose features come first, so both the ids that are broadcast and the rows that come
+    to the driver are at most max_rows."""
     metadata = metadata or []
     good = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.max(label).cast("double").alias("__y"))
     sample = good.orderBy(F.xxhash64(id), id).limit(max_rows)
@@ -160,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), pa.ListArray.from_arrays(off, pa.array(col.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(val.astype(np.float32)))], ["id", "y", "cols", "vals"])
 
     kind = dict(docs.dtypes)[id]
-    got = d.mapInArrow(run, f"id {kind}, y double, cols array<int>, vals array<float>").orderBy(F.xxhash64("id"), "cols").toArrow()
+    got = d.mapInArrow(run, f"id {kind}, y double, cols array<int>, vals array<float>").orderBy(F.xxhash64("id"), "id", "cols", "vals").limit(max_rows).toArrow()
     if got.num_rows == 0:
         return None
     y = got["y"].to_numpy()

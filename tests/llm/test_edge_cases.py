@@ -146,6 +146,30 @@ def test_quality(spark):
     assert {r.score for r in quality_fm.score(docs(spark).drop("score"), None).collect()} == {0.5}
 
 
+def test_quality_sample_is_bounded_in_rows(spark, monkeypatch):
+    rows, seen = [(1, f"text {k} of one id") for k in range(500)], []
+    monkeypatch.setattr(quality_fm, "fit", lambda row, col, val, y, size: seen.append(len(y)))
+    quality_fm.train(docs(spark, rows), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), max_rows=2)
+    assert seen == [2]
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from spliceflow.llm.common import shared_dir
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError):
+            shared_dir(unset(master))
+
+
+def test_quality_score_replaces_a_column_of_that_name(spark):
+    d = docs(spark)
+    got = quality_fm.score(d, None)
+    assert sorted(got.columns) == sorted(d.columns) and {r.score for r in got.collect()} == {0.5}
+
+
 def test_quality_pair_sums_match_the_definition():
     rng = np.random.default_rng(0)
     m = quality_fm.FactorisationMachine(0.3, rng.normal(size=6), rng.normal(size=(6, 3)))
