@@ -45,10 +45,12 @@ _FACTOR = np.random.default_rng(11).integers(1, 2**62, K + 1, dtype=np.uint64) *
 _NODE = np.random.default_rng(12).integers(0, 1 << 22, 256)
 #: The last i of eight symbols, the latest in the highest byte.
 _LATEST = np.array([0, *((~np.uint64(0)) << _U(64 - 8 * i) for i in range(1, 9))], dtype=np.uint64)
-_LEVEL = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 255])
-_OF_COUNT = (np.searchsorted(_LEVEL, np.arange(256), "right") - 1).astype(np.int64)
+#: A slot holds a state: a level for its zeros and one for its ones. The first 32 levels are the counts themselves.
+LEVELS = 64
+_LEVEL = np.concatenate([np.arange(32), np.round(32 * 1.12 ** np.arange(LEVELS - 32))])
+_ZEROS, _ONES = _LEVEL[np.arange(LEVELS**2) // LEVELS], _LEVEL[np.arange(LEVELS**2) % LEVELS]
 GATES = 64
-RANGE, SEGMENT, STEP = 1 << 17, 1024, 32
+RANGE, SEGMENT, STEP = 1 << 17, 1024, 64
 BLOCK = 1 << 16  # counters that travel together
 
 
@@ -170,7 +172,7 @@ def _counter(ctx: np.ndarray, k: int, of: np.ndarray, step: np.ndarray) -> np.nd
 
 @dataclass
 class Model:
-    """code; per predictor its table of squeezed counts (zeros * 256 + ones) and the log-odds of each such state; weights per gate."""
+    """code; per predictor its table of states and the log-odds of each state; weights per gate."""
 
     code: Code
     tables: list[np.ndarray]
@@ -187,11 +189,10 @@ class Model:
         x = np.empty((K + 3, n + STEP), dtype=np.float32)
         x[K], x[:, n:] = 0.3, 0
         gate = np.zeros(n, dtype=np.uint8)
-        own = np.uint16(256) - bit * np.uint16(255) if left_out else None
         for k in range(K):
             state = self.tables[k].take(_counter(ctx, k, of, step) >> 1)
             if left_out:
-                state -= own
+                state = _WITHOUT.take(state * np.uint16(2) + bit)
             self.odds[k].take(state, out=x[k, :n], mode="clip")  # with this mode there is no second copy
             gate *= 4
             gate += _KNOWN.take(state)
@@ -208,37 +209,30 @@ class Model:
         return z
 
 
-_A, _B = np.divmod(np.arange(1 << 16), 256)
-_KNOWN = np.digitize(_A + _B, [1, 3, 12]).astype(np.uint8)
-
-
-def _squeezed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at most 255, in the same proportion, none that occurs becoming 0."""
-    top = c.reshape(-1, 2).max(1)
-    small = np.minimum(np.ceil(c.reshape(-1, 2) * np.where(top > 255, 255 / np.maximum(top, 1), 1.0)[:, None]), 255).astype(np.int64)
-    return small[:, 0], small[:, 1]
-
-
-def _state(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return _OF_COUNT[zeros] * len(_LEVEL) + _OF_COUNT[ones]
+#: How well a state is known, from 0 to 3; and the state without one zero (at 2 * state) or one one (at 2 * state + 1).
+_KNOWN = np.digitize(_ZEROS + _ONES, [1, 3, 12]).astype(np.uint8)
+_LESS = np.where((np.arange(LEVELS) > 0) & (np.arange(LEVELS) < 32), np.arange(LEVELS) - 1, np.arange(LEVELS))
+_WITHOUT = np.stack([LEVELS * _LESS[np.arange(LEVELS**2) // LEVELS] + np.arange(LEVELS**2) % LEVELS, np.arange(LEVELS**2) // LEVELS * LEVELS + _LESS[np.arange(LEVELS**2) % LEVELS]], axis=1).ravel().astype(np.uint16)
 
 
 def _observed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(table, zeros per state, ones per state): every counted bit is seen in the state of its slot without that bit."""
-    a, b = _squeezed(c)
-    n, size = c.reshape(-1, 2).astype(np.float64), len(_LEVEL) ** 2
-    zeros = np.bincount(_state(np.maximum(a - 1, 0), b), weights=n[:, 0], minlength=size)
-    ones = np.bincount(_state(a, np.maximum(b - 1, 0)), weights=n[:, 1], minlength=size)
-    return (a * 256 + b).astype(np.uint16), zeros, ones
+    """(states of the slots, zeros per state, ones per state): every counted bit is seen in the state of its slot without that bit.
+    Counts beyond the last level are brought under it in the same proportion, none that occurs becoming 0."""
+    c = c.reshape(-1, 2).astype(np.float64)
+    top = c.max(1)
+    small = c * np.where(top > _LEVEL[-1], _LEVEL[-1] / np.maximum(top, 1), 1.0)[:, None]
+    level = np.maximum(np.searchsorted(_LEVEL, small, "right") - 1, c > 0)
+    state = (level[:, 0] * LEVELS + level[:, 1]).astype(np.uint16)
+    zeros = np.bincount(_WITHOUT[2 * state.astype(int)], weights=c[:, 0], minlength=LEVELS**2)
+    ones = np.bincount(_WITHOUT[2 * state.astype(int) + 1], weights=c[:, 1], minlength=LEVELS**2)
+    return state, zeros, ones
 
 
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """For each of the 65,536 pairs of counts. States seen rarely are drawn to their counts; well-known ones stand for themselves."""
-    a, b = np.divmod(np.arange(len(zeros)), len(_LEVEL))
-    guess = (_LEVEL[b] + 0.4) / (_LEVEL[a] + _LEVEL[b] + 0.8)
+    """Of every state. States seen rarely are drawn to their counts; well-known ones stand for themselves."""
+    guess = (_ONES + 0.4) / (_ZEROS + _ONES + 0.8)
     p = (ones + 4 * guess) / (ones + zeros + 4)
-    few = np.clip(np.log(p / (1 - p)), -9, 9)[_state(_A, _B)]
-    return np.where(_A + _B >= 24, np.log((_B + 0.4) / (_A + 0.4)), few).astype(np.float32)
+    return np.where(_ZEROS + _ONES >= 24, np.log(guess / (1 - guess)), np.clip(np.log(p / (1 - p)), -9, 9)).astype(np.float32)
 
 
 def _ranges(n: int) -> Iterator[tuple[int, int]]:
@@ -313,7 +307,7 @@ def count(docs: DataFrame, code: Code) -> Model:
 
     parts = docs.select("text").mapInArrow(run, "k int, b int, part int, counts binary").groupBy("k", "b", "part").applyInArrow(some, "k int, b int, counts binary")
     got = parts.groupBy("k", "b").applyInArrow(last, "k int, b int, states binary, seen binary").toArrow()
-    tables, seen = [np.zeros(1 << b, dtype=np.uint16) for b in SLOT_BITS], np.zeros((K, 2, len(_LEVEL) ** 2))
+    tables, seen = [np.zeros(1 << b, dtype=np.uint16) for b in SLOT_BITS], np.zeros((K, 2, LEVELS**2))
     for k, b, states, n in zip(*(got[c].to_pylist() for c in ("k", "b", "states", "seen"))):
         tables[k][b * BLOCK // 2 : (b + 1) * BLOCK // 2] = np.frombuffer(states, np.uint16)
         seen[k] += np.frombuffer(n).reshape(2, -1)
@@ -435,8 +429,10 @@ def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "te
             s, off = symbols(batch.column("text"))
             bits = -log2_of_texts(m, s, off)
             h, rows = word_hashes(batch.column("text"))
-            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+            keys, which = np.unique(h, return_inverse=True)  # in order, so that the search stays in the cache
+            at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+            hit = (known[at] == keys)[which] if len(known) else np.zeros(len(h), bool)
+            at = at[which]
             base = np.bincount(rows, weights=worth[np.where(hit, at, len(known))], minlength=n)
             tokens = np.bincount(rows, minlength=n) + 1
             rest = np.concatenate([[0], np.cumsum(np.bincount(rows[~hit], minlength=n))]).astype(np.int32)

@@ -70,7 +70,7 @@ def brute_force(model, s, rate=0.01):
             x = np.array([*(model.odds[k][states[k]] for k in range(C.K)), 0.3])
             gate = 0
             for a in states:
-                gate = gate * 4 + sum(a // 256 + a % 256 >= n for n in (1, 3, 12))
+                gate = gate * 4 + sum(C._LEVEL[a // C.LEVELS] + C._LEVEL[a % C.LEVELS] >= n for n in (1, 3, 12))
             z = min(12, max(-12, (model.weights[gate] + own) @ x))
             p = 1 / (1 + math.exp(-z))
             total += math.log2(p if bit else 1 - p)
@@ -90,11 +90,11 @@ def test_scores_equal_the_bit_by_bit_definition(model):
 
 
 def test_counts_and_states():
-    c = np.array([0, 0, 3, 1, 1000, 2, 0, 7])
-    table, zeros, ones = C._observed(c)
-    assert table.tolist() == [0, 3 * 256 + 1, 255 * 256 + 1, 7]
-    assert zeros.sum() == 1003 and ones.sum() == 10
-    assert zeros[C._OF_COUNT[2] * len(C._LEVEL) + C._OF_COUNT[1]] == 3
+    c = np.array([0, 0, 3, 1, 100000, 2, 0, 7])
+    state, zeros, ones = C._observed(c)
+    assert state.tolist() == [0, 3 * C.LEVELS + 1, (C.LEVELS - 1) * C.LEVELS + 1, 7]
+    assert zeros.sum() == 100003 and ones.sum() == 10
+    assert zeros[2 * C.LEVELS + 1] == 3 and ones[6] == 7 and ones[3 * C.LEVELS] == 1
 
 
 def test_words_outside_the_table_are_counted_by_the_join(spark, data):
