@@ -59,7 +59,8 @@ def snap_nearest(left: DataFrame, grid: DataFrame) -> DataFrame:
     w = Window.partitionBy("track")
     # at equal times the grid row comes first, and the lowest j last, so that last() finds it
     before = F.last("g", ignorenulls=True).over(w.orderBy("t", F.desc("__grid"), F.desc("g.j")).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("g", ignorenulls=True).over(w.orderBy("t", "__grid", "g.j").rowsBetween(0, Window.unboundedFollowing))
+    # the next grid row as well is a last() over a growing frame, in descending order: Spark evaluates a shrinking frame anew for every row
+    after = F.last("g", ignorenulls=True).over(w.orderBy(F.desc("t"), F.desc("__grid"), F.desc("g.j")).rowsBetween(Window.unboundedPreceding, 0))
     u = u.withColumns({"b": before, "a": after}).where(~F.col("__grid"))
     db, da = F.abs(F.col("t") - F.col("b.t")), F.abs(F.col("a.t") - F.col("t"))
     pick = F.when(F.col("b").isNull(), F.col("a")).when(F.col("a").isNull(), F.col("b")).when(db < da, F.col("b")).when(da < db, F.col("a")).when(F.col("b.j") <= F.col("a.j"), F.col("b")).otherwise(F.col("a"))

@@ -6,29 +6,50 @@ at once: every round joins the landing states with the jump edges and keeps the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 
-def path_edges(candidates: DataFrame, downbeats: DataFrame, meter: int = 4, most: int = 32) -> DataFrame:
+
+def path_edges(candidates: DataFrame, downbeats: DataFrame, meter: int = 4, most: int = 32, jumps: DataFrame | None = None, boundaries: DataFrame | None = None) -> DataFrame:
     """(track, i, j, cost): candidates (track, i, j, cost) that leave before a downbeat and land on one (track, beat), at least
-    4 * meter beats away, the `most` cheapest per i."""
+    4 * meter beats away, the `most` cheapest per i; besides these, whatever their rank, the candidates for repetition jumps (track, i, j)
+    and for landings on segment boundaries (track, beat)."""
     land = downbeats.select("track", F.col("beat").alias("j"))
     leave = downbeats.select("track", (F.col("beat") - 1).alias("i"))
-    e = candidates.where(F.abs(F.col("j") - F.col("i")) >= 4 * meter).join(land, ["track", "j"], "left_semi").join(leave, ["track", "i"], "left_semi")
+    aligned = candidates.join(land, ["track", "j"], "left_semi").join(leave, ["track", "i"], "left_semi").select("track", "i", "j", "cost")
+    far = aligned.where(F.abs(F.col("j") - F.col("i")) >= 4 * meter)
     w = Window.partitionBy("track", "i").orderBy("cost", "j")
-    return e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("track", "i", "j", "cost")
+    e = far.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    more = [] if jumps is None else [aligned.join(jumps.select("track", "i", "j"), ["track", "i", "j"], "left_semi")]
+    more += [] if boundaries is None else [far.join(boundaries.select("track", F.col("beat").alias("j")), ["track", "j"], "left_semi").select("track", "i", "j", "cost")]
+    for x in more:
+        e = e.unionByName(x)
+    return e.distinct() if more else e
 
 
-def retarget_params(runs: DataFrame, tracks: DataFrame) -> DataFrame:
+def retarget_params(runs: DataFrame, tracks: DataFrame, tolerance: float = 5.0, meter: int = 4, intro: int = 8, outro: int = 4) -> DataFrame:
     """runs (run_id, track, target, edit_length) with the numbers the search needs, from tracks (track, n_beats, duration): target
-    clamped to [5, 2.5 * duration], target_beats (half to even), least and most beats (10 % around), jump scale 2^((s - 50) / 25),
-    cooldown."""
+    clamped to [5, 2.5 * duration]; target_beats (half to even, 2 at least); least and most beats, around it by the tolerance in seconds,
+    which shrinks with the target down to 0.4 of it and is 2 s at least (0.5 s where the tolerance asked for is under 2 s); shortening;
+    intro and outro beats, scaled down under 0.8 of the duration; least_jumps; cooldown, four bars or less under half the length; jump
+    scale 2^((s - 50) / 25)."""
     r = runs.join(tracks, "track").withColumn("target", F.least(F.greatest("target", F.lit(5.0)), 2.5 * F.col("duration")))
-    ratio = F.col("target") / F.col("duration")
-    r = r.withColumns({"ratio": ratio, "target_beats": F.bround(ratio * F.col("n_beats")).cast("long")})
-    slack = F.greatest(F.lit(2).cast("long"), F.bround(0.1 * F.col("target_beats")).cast("long"))
-    return r.withColumns({"least": F.greatest(F.lit(1).cast("long"), F.col("target_beats") - slack), "most": F.col("target_beats") + slack, "scale": F.pow(F.lit(2.0), (F.col("edit_length") - 50) / 25), "cooldown": F.when(F.col("ratio") < 0.5, 4).otherwise(8).cast("long")})
+    long = lambda c: c.cast("long")
+    avg, n = F.col("duration") / F.col("n_beats"), F.col("n_beats")
+    r = r.withColumns({"ratio": F.col("target") / F.greatest(F.lit(1.0), "duration"), "target_beats": F.greatest(F.lit(2).cast("long"), long(F.bround(F.col("target") / avg))), "shortening": F.col("target") < F.col("duration")})
+    seconds = F.greatest(F.lit(2.0 if tolerance >= 2 else max(0.5, tolerance)), F.lit(tolerance) * F.greatest(F.lit(0.4), F.least(F.lit(1.0), "ratio")))
+    slack = F.greatest(F.lit(2 if tolerance >= 2 else 1).cast("long"), long(F.bround(seconds / avg)))
+    share = F.col("target_beats") / n
+    scaled = lambda beats, floor, least: F.when(F.col("ratio") < 0.8, F.greatest(F.lit(least).cast("long"), long(F.floor(F.lit(float(beats)) * F.greatest(F.lit(floor), F.col("ratio")))))).otherwise(F.lit(beats).cast("long"))
+    return r.withColumns({
+        "least": F.greatest(F.lit(2).cast("long"), F.col("target_beats") - slack), "most": F.least(3 * n, F.col("target_beats") + slack),
+        "intro_beats": scaled(intro, 0.25, 4), "outro_beats": scaled(outro, 0.3, 2), "least_jumps": F.when((share < 0.45) & F.col("shortening"), 1).otherwise(0).cast("long"),
+        "cooldown": F.when(share < 0.5, F.greatest(F.lit(1).cast("long"), long(F.floor(8 * share)))).otherwise(F.lit(4).cast("long")) * meter, "scale": F.pow(F.lit(2.0), (F.col("edit_length") - 50) / 25),
+    })
 
 
 def without_blocked(edges: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -36,29 +57,24 @@ def without_blocked(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     return edges.join(blocked, ["run_id", "i", "j"], "left_anti")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df computed once, without its lineage: in the shared checkpoint folder, or on the executors where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
-def retarget_path(runs: DataFrame, edges: DataFrame, steps: DataFrame, jumps: int = 6, base: float = 0.8, backward: float = 0.1) -> DataFrame:
+def retarget_path(runs: DataFrame, edges: DataFrame, steps: DataFrame, jumps: int = 6, base: float = 0.8, backward: float = 4.0) -> DataFrame:
     """(run_id, track, cost, length, cuts: array of (i, j)) of the cheapest path of each run with at most `jumps` jumps.
 
-    runs: run_id, track, n_beats, least, most, cooldown, scale. edges: run_id, track, i, j, cost. steps: track, i, cost of i to i + 1.
+    runs: run_id, track, n_beats, least, most, cooldown, scale, shortening. edges: run_id, track, i, j, cost. steps: track, i, cost of i to i + 1.
     A path starts at beat 0 and ends at the last beat; a run of beats between jumps is at least `cooldown` long; a jump costs
-    base * scale * cost^2, and `backward` more against the order. The cost of a run is a difference of running sums.
+    base * scale * cost^2, and `backward` more against the order when shortening. The cost of a run is a difference of running sums.
 
     Between two jumps length - beat does not change: a round takes the cheapest landing so far for every such offset as a running
     minimum over the leaving beats, then joins the edges to these. Rounds end early when no state is left."""
     w = Window.partitionBy("track").orderBy("i")
     sums = steps.select("track", F.col("i"), (F.sum("cost").over(w) - F.col("cost")).alias("p"))
     last = steps.groupBy("track").agg((F.max("i") + 1).alias("i"), F.sum("cost").alias("p"))
-    sums = _cut(sums.union(last.select("track", "i", "p")))
+    sums = cut(sums.union(last.select("track", "i", "p")))
     none = F.expr("cast(array() as array<struct<i:bigint,j:bigint>>)")
     state = runs.select("run_id", "track", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("length"), F.lit(0.0).alias("cost"), none.alias("cuts"))
     at = lambda c, p: sums.select("track", F.col("i").alias(c), F.col("p").alias(p))
-    e = _cut(edges.select("run_id", "track", "i", "j", F.col("cost").alias("e_cost")))
-    conf = _cut(runs.select("run_id", "n_beats", "least", "most", "cooldown", "scale"))
+    e = cut(edges.select("run_id", "track", "i", "j", F.col("cost").alias("e_cost")))
+    conf = cut(runs.select("run_id", "n_beats", "least", "most", "cooldown", "scale", "shortening"))
     leave = e.select("run_id", "track", "i").distinct().join(at("i", "pi"), ["track", "i"])
     done = None
     for k in range(jumps + 1):
@@ -78,29 +94,145 @@ def retarget_path(runs: DataFrame, edges: DataFrame, steps: DataFrame, jumps: in
         n = land.withColumn("pi", F.lit(None).cast("double")).unionByName(asked.select(*key, "i", "pi"), allowMissingColumns=True)
         n = n.withColumn("b", F.min("b").over(Window.partitionBy(key).orderBy("i"))).where("pi is not null")
         n = n.select("run_id", "track", "i", there.alias("length"), (F.col("b.cost") + F.col("pi")).alias("cost"), "b.cuts")
-        n = n.join(e, ["run_id", "track", "i"]).join(conf.select("run_id", "n_beats", "scale"), "run_id").where(F.col("j") < F.col("n_beats"))
-        jump = F.lit(base) * F.col("scale") * F.col("e_cost") * F.col("e_cost") + F.when(F.col("j") < F.col("i"), F.lit(backward)).otherwise(0.0)
+        n = n.join(e, ["run_id", "track", "i"]).join(conf.select("run_id", "n_beats", "scale", "shortening"), "run_id").where(F.col("j") < F.col("n_beats"))
+        jump = F.lit(base) * F.col("scale") * F.col("e_cost") * F.col("e_cost") + F.when((F.col("j") < F.col("i")) & F.col("shortening"), F.lit(backward)).otherwise(0.0)
         n = n.withColumn("cost", F.col("cost") + jump).withColumn("cuts", F.concat("cuts", F.array(F.struct("i", "j"))))
         n = n.groupBy("run_id", "track", F.col("j").alias("at"), "length").agg(F.min(F.struct("cost", "cuts")).alias("b"))
-        state = _cut(n.select("run_id", "track", "at", "length", "b.cost", "b.cuts"))
+        state = cut(n.select("run_id", "track", "at", "length", "b.cost", "b.cuts"))
         if state.isEmpty():
             break
     best = done.groupBy("run_id", "track").agg(F.min(F.struct("cost", "length", "cuts")).alias("b"))
     return best.select("run_id", "track", "b.cost", "b.length", "b.cuts")
 
 
+def search_edges(runs: DataFrame, edges: DataFrame, steps: DataFrame, segments: DataFrame | None = None, alike: DataFrame | None = None, base: float = 0.8, backward: float = 4.0, least_loop: int = 16) -> DataFrame:
+    """(run_id, track, i, j, cost, back, tax): what a step from i to j adds in a run, for best_paths.
+
+    edges: run_id, track, i, j, cost. steps: track, i, cost of i to i + 1. segments: track, beat, seg. alike: track, a, b, similarity of
+    segments. `back` is the penalty against the order when shortening. The tax of a jump is scale * (base * clip(most / n_beats, 0.15, 1) * cost^2,
+    of which a jump at a segment boundary pays a tenth, + max(1, 2 - 2 * most / n_beats) * (1 - similarity) + 3 * (span - 0.7)^2 for
+    spans over 0.7 of the track). Jumps against the order span least_loop beats and do not land in the intro; others span the cooldown."""
+    r = runs.select("run_id", "n_beats", "most", "cooldown", "intro_beats", "scale", "shortening")
+    e = edges.join(r, "run_id")
+    i, j, n = F.col("i"), F.col("j"), F.col("n_beats")
+    e = e.where((j < n) & (j != i + 1) & F.when(j < i, (i - j >= least_loop) & (j >= F.col("intro_beats"))).otherwise(j - i >= F.col("cooldown")))
+    ratio, at_boundary, sim = F.col("most") / n, F.lit(False), F.lit(None).cast("double")
+    if segments is not None:
+        w = Window.partitionBy("track").orderBy("beat")
+        b = segments.select("track", "beat", "seg", F.coalesce(F.col("seg") != F.lag("seg").over(w), F.lit(False)).alias("new"))
+        for c in ("i", "j"):
+            e = e.join(b.select("track", F.col("beat").alias(c), F.col("seg").alias(f"seg_{c}"), F.col("new").alias(f"new_{c}")), ["track", c], "left")
+        at_boundary = F.coalesce(F.col("new_i"), F.lit(False)) | F.coalesce(F.col("new_j"), F.lit(False))
+        if alike is not None:
+            e = e.join(alike.select("track", F.col("a").alias("seg_i"), F.col("b").alias("seg_j"), F.col("similarity").alias("alike")), ["track", "seg_i", "seg_j"], "left")
+            sim = F.col("alike")
+    quality = F.lit(base) * F.greatest(F.lit(0.15), F.least(F.lit(1.0), ratio)) * (F.col("cost") * F.col("cost"))
+    quality = F.when(at_boundary, quality * F.lit(1.0 - 0.9)).otherwise(quality)
+    section = F.when(sim.isNotNull(), F.greatest(F.lit(1.0), 2.0 - ratio * 2.0) * (1.0 - sim)).otherwise(0.0)
+    over = (j - i) / n - 0.7
+    span = F.when((j > i + 1) & (over > 0), over * over * 3.0).otherwise(0.0)
+    back = F.when((j < i) & F.col("shortening"), F.lit(backward)).otherwise(0.0)
+    e = e.select("run_id", "track", "i", "j", "cost", back.alias("back"), ((quality + section + span) * F.col("scale")).alias("tax"))
+    s = steps.join(r.join(runs.select("run_id", "track"), "run_id").select("run_id", "track", "n_beats"), "track").where(i + 1 < n)
+    return e.unionByName(s.select("run_id", "track", "i", (i + 1).alias("j"), "cost", F.lit(0.0).alias("back"), F.lit(0.0).alias("tax")))
+
+
+def best_paths(runs: DataFrame, searched: DataFrame, most_jumps: int = 6, worst_weight: float = 8.0, nudge: float = 0.02, duration_weight: float = 3.0) -> DataFrame:
+    """(run_id, track, cost, length, end, cuts): the path of each run over the edges of search_edges, by dynamic programming over length
+    and beat.
+
+    A path starts at beat 0. The first intro_beats are played in order; after a jump, cooldown beats are; at most most_jumps. A jump pays
+    worst_weight for each unit by which its cost is over the worst so far; under half the length a step in order pays nudge * (0.5 - most /
+    n_beats). Of the paths to one beat at one length the cheapest goes on, the one from the lowest beat of equals, with its number of
+    jumps, its worst jump and its beats since the last one. The end pays by its distance from the outro (or gains inside it) and by its
+    length's distance from `most`. A run is one group: its track's beats and edges; runs spread over the cluster."""
+    numbers = ["n_beats", "least", "most", "cooldown", "intro_beats", "outro_beats", "least_jumps"]
+    x = searched.join(runs.select("run_id", *numbers), "run_id")
+
+    def solve(key: tuple, t: pa.Table) -> pa.Table:
+        row = {c: int(t[c][0].as_py()) for c in numbers}
+        got = _search(row, *(t[c].to_numpy() for c in ("i", "j", "cost", "back", "tax")), most_jumps, worst_weight, nudge, duration_weight)
+        if got is None:
+            return pa.table({"run_id": t["run_id"][:0], "track": t["track"][:0], "cost": pa.array([], pa.float64()), "length": pa.array([], pa.int64()), "end": pa.array([], pa.int64()), "cuts": pa.array([], pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())])))})
+        cost, length, end, cuts = got
+        made = pa.array([[{"i": a, "j": b} for a, b in cuts]], pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())])))
+        return pa.table({"run_id": t["run_id"][:1], "track": t["track"][:1], "cost": pa.array([cost]), "length": pa.array([length]), "end": pa.array([end]), "cuts": made})
+
+    kinds = dict(searched.dtypes)
+    return x.groupBy("run_id").applyInArrow(solve, f"run_id {kinds['run_id']}, track {kinds['track']}, cost double, length bigint, end bigint, cuts array<struct<i:bigint,j:bigint>>")
+
+
+def _search(run: dict, i: np.ndarray, j: np.ndarray, cost: np.ndarray, back: np.ndarray, tax: np.ndarray, most_jumps: int, worst_weight: float, nudge: float, duration_weight: float):
+    """(cost, length, end, cuts) of one run, or None where there is no path; a step per length, over all beats at once."""
+    n, most = run["n_beats"], run["most"]
+    ratio = most / max(1, n)
+    step = np.full(n, np.inf)
+    plain = j == i + 1
+    step[i[plain]] = cost[plain]
+    order = np.flatnonzero(~plain)[np.lexsort((i[~plain], j[~plain]))]
+    i, j, cost, back, tax = (v[order] for v in (i, j, cost, back, tax))
+    lands, first = np.unique(j, return_index=True)
+    group = np.repeat(np.arange(len(lands)), np.diff(np.append(first, len(j))))
+    at, since, jumps, worst = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    at[0], since[0] = 0.0, 999
+    came = np.full((most + 1, len(lands)), -1, dtype=np.int32)  # the beat of the jump that reached a landing at a length, or -1
+    nudged = nudge * (0.5 - ratio) if ratio < 0.5 else 0.0
+    outro = max(0, n - run["outro_beats"]) if run["outro_beats"] else n
+    beats, heavy = np.arange(n), max(1.0, 3.0 * (1 - ratio))
+    if run["outro_beats"]:
+        inside = -0.5 * heavy * (1 - (n - 1 - beats) / max(1, run["outro_beats"])) + np.where(beats >= n - 2, -1.0 * heavy, 0.0)
+        end_cost = np.where(beats >= outro, inside, np.minimum((outro - beats) * 0.2 * heavy, 8.0))
+    else:
+        end_cost = np.zeros(n)
+    best = (np.inf, 0, -1)
+    for t in range(1, most + 1):
+        if t >= run["least"]:
+            total = np.where(jumps >= run["least_jumps"], at, np.inf) + end_cost + abs(t - most) / max(1, most) * duration_weight * max(1.0, 2 - ratio)
+            k = int(np.argmin(total))
+            if total[k] < best[0]:
+                best = (float(total[k]), t, k)
+        if t == most:
+            break
+        free = (since >= run["cooldown"]) & (t >= run["intro_beats"])
+        new = np.full(n, np.inf)
+        new[1:] = (at + step)[:-1] + np.where(free, nudged, 0.0)[:-1]
+        n_since, n_jumps, n_worst = np.roll(since, 1) + 1, np.roll(jumps, 1), np.roll(worst, 1)
+        if len(lands) and free.any():
+            w = np.maximum(worst[i], cost)
+            c = at[i] + cost + back + tax + worst_weight * np.maximum(0.0, w - worst[i])
+            c[~(free[i] & (jumps[i] < most_jumps))] = np.inf
+            low = np.minimum.reduceat(c, first)
+            pick = np.minimum.reduceat(np.where(c == low[group], np.arange(len(c)), len(c)), first)  # the lowest i of equals
+            wins = np.isfinite(low) & ((low < new[lands]) | ((low == new[lands]) & (i[np.minimum(pick, len(c) - 1)] < lands - 1)))
+            to, by = lands[wins], pick[wins]
+            new[to], n_since[to], n_jumps[to], n_worst[to] = c[by], 0, jumps[i[by]] + 1, w[by]
+            came[t + 1, wins] = i[by]
+        at, since, jumps, worst = new, n_since, n_jumps, n_worst
+    if best[2] < 0:
+        return None
+    cuts, k = [], best[2]
+    where = {int(b): a for a, b in enumerate(lands)}
+    for t in range(best[1], 1, -1):
+        jumped = int(came[t, where[k]]) if k in where else -1
+        if jumped >= 0:
+            cuts.append((jumped, k))
+        k = jumped if jumped >= 0 else k - 1
+    return best[0], best[1], best[2], cuts[::-1]
+
+
 def with_fallback(paths: DataFrame, runs: DataFrame) -> DataFrame:
     """paths, and for runs that have none the first target_beats beats in order, at no cost and without cuts."""
     none = F.expr("cast(array() as array<struct<i:bigint,j:bigint>>)")
-    rest = runs.join(paths, ["run_id", "track"], "left_anti").select("run_id", "track", F.lit(0.0).alias("cost"), F.least("target_beats", "n_beats").alias("length"), none.alias("cuts"), F.lit(True).alias("fallback"))
-    return paths.withColumn("fallback", F.lit(False)).union(rest)
+    n = F.least("target_beats", "n_beats")
+    rest = runs.join(paths, ["run_id", "track"], "left_anti").select("run_id", "track", F.lit(0.0).alias("cost"), n.alias("length"), (n - 1).alias("end"), none.alias("cuts"), F.lit(True).alias("fallback"))
+    return paths.withColumn("fallback", F.lit(False)).unionByName(rest if "end" in paths.columns else rest.drop("end"))
 
 
 def path_steps(paths: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, track, pos, beat): the beats of each path in order."""
+    """(run_id, track, pos, beat): the beats of each path in order. Paths without a column `end` go on to the last beat."""
     p = paths.join(runs.select("run_id", "n_beats"), "run_id")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda c: c["j"]))
-    plain = F.when(F.col("fallback"), F.col("length") - 1).otherwise(F.col("n_beats") - 1)
+    plain = F.col("end") if "end" in paths.columns else F.when(F.col("fallback"), F.col("length") - 1).otherwise(F.col("n_beats") - 1)
     ends = F.concat(F.transform("cuts", lambda c: c["i"]), F.array(plain))
     beats = F.flatten(F.zip_with(starts, ends, lambda a, b: F.sequence(a, b)))
     return p.select("run_id", "track", F.posexplode(beats).alias("pos", "beat")).withColumn("pos", F.col("pos").cast("long"))
@@ -113,16 +245,16 @@ def path_transitions(steps: DataFrame, candidates: DataFrame) -> DataFrame:
     return t.join(candidates.select("track", "i", "j", "cost"), ["track", "i", "j"], "left").select("run_id", "track", "pos", "i", "j", "cost")
 
 
-def variations(paths: DataFrame, runs: DataFrame, edges: DataFrame, steps: DataFrame, **how) -> DataFrame:
-    """(run_id, variation, cost, length, cuts): the base path and, with each of its jumps blocked in turn, the next best ones; all
-    solved as one batch of runs; equal paths once, ranked by cost."""
+def variations(paths: DataFrame, runs: DataFrame, searched: DataFrame, **how) -> DataFrame:
+    """(run_id, track, cost, length, end, cuts, variation): the base path and, with each of its jumps blocked in turn, the next best
+    ones, all solved by best_paths as one batch of runs; equal paths once, ranked by cost."""
     jumps = paths.select("run_id", F.posexplode("cuts").alias("n", "c")).select("run_id", "n", "c.i", "c.j")
     name = F.concat_ws("#", F.col("run_id"), F.col("n").cast("string"))
     more = runs.join(jumps.select("run_id", "n"), "run_id").withColumn("base", F.col("run_id")).withColumn("run_id", name).drop("n")
-    e = edges.join(jumps.select("run_id", "n", F.col("i").alias("bi"), F.col("j").alias("bj")), "run_id").where((F.col("i") != F.col("bi")) | (F.col("j") != F.col("bj")))
+    e = searched.join(jumps.select("run_id", "n", F.col("i").alias("bi"), F.col("j").alias("bj")), "run_id").where((F.col("i") != F.col("bi")) | (F.col("j") != F.col("bj")))
     e = e.withColumn("run_id", name).drop("n", "bi", "bj")
-    again = retarget_path(more, e, steps, **how).join(more.select("run_id", "base"), "run_id").select(F.col("base").alias("run_id"), "track", "cost", "length", "cuts")
-    every = paths.select("run_id", "track", "cost", "length", "cuts").union(again).withColumn("key", F.to_json("cuts")).dropDuplicates(["run_id", "key"])
+    again = best_paths(more, e, **how).join(more.select("run_id", "base"), "run_id").select(F.col("base").alias("run_id"), "track", "cost", "length", "end", "cuts")
+    every = paths.select("run_id", "track", "cost", "length", "end", "cuts").union(again).withColumn("key", F.to_json("cuts")).dropDuplicates(["run_id", "key"])
     w = Window.partitionBy("run_id").orderBy(F.round("cost", 9), "key")
     return every.withColumn("variation", F.row_number().over(w) - 1).drop("key")
 

@@ -16,16 +16,36 @@ eg AS (SELECT track, i, j, cost FROM (SELECT *, row_number() OVER (PARTITION BY
 sq AS (SELECT track, beat AS i, least(0.3 * (1 - {cos('feat', 'nx')}), 0.12) AS cost FROM cb WHERE nx IS NOT NULL),
 tk AS (SELECT track, count(*) AS n FROM bv GROUP BY 1)"""
 RUNS = """rn0 AS (SELECT track || ':' || p AS run_id, track, least(greatest(n * 0.5 * f, 5), 2.5 * (n * 0.5)) AS target, n AS n_beats, n * 0.5 AS duration, e AS edit_length FROM tk, (VALUES ('a', 0.6::DOUBLE, 50.0::DOUBLE), ('b', 1.3::DOUBLE, 75.0::DOUBLE)) v(p, f, e)),
-rn1 AS (SELECT *, target / duration AS ratio, round_even(target / duration * n_beats, 0)::BIGINT AS target_beats FROM rn0),
-rn AS (SELECT *, greatest(1, target_beats - greatest(2, round_even(0.1 * target_beats, 0)::BIGINT)) AS least, target_beats + greatest(2, round_even(0.1 * target_beats, 0)::BIGINT) AS most, pow(2, (edit_length - 50) / 25) AS scale, CASE WHEN target / duration < 0.5 THEN 4 ELSE 8 END::BIGINT AS cooldown FROM rn1)"""
+rn1 AS (SELECT *, target / greatest(1, duration) AS ratio, greatest(2, round_even(target / (duration / n_beats), 0)::BIGINT) AS target_beats, target < duration AS shortening FROM rn0),
+rn2 AS (SELECT *, greatest(2, round_even(greatest(2.0::DOUBLE, 5.0::DOUBLE * greatest(0.4, least(1.0, ratio))) / (duration / n_beats), 0)::BIGINT) AS slack FROM rn1),
+rn AS (SELECT *, greatest(2, target_beats - slack) AS least, least(3 * n_beats, target_beats + slack) AS most, pow(2, (edit_length - 50) / 25) AS scale, CASE WHEN target_beats / n_beats < 0.5 THEN greatest(1, floor(8 * (target_beats / n_beats))::BIGINT) ELSE 4 END * 2 AS cooldown,
+ CASE WHEN ratio < 0.8 THEN greatest(4, floor(8 * greatest(0.25, ratio))::BIGINT) ELSE 8 END AS intro_beats, CASE WHEN ratio < 0.8 THEN greatest(2, floor(4 * greatest(0.3, ratio))::BIGINT) ELSE 4 END AS outro_beats, CASE WHEN target_beats / n_beats < 0.45 AND shortening THEN 1 ELSE 0 END AS least_jumps FROM rn2)"""
+#: The dynamic programme itself: one iteration per length, the best state of every beat going on.
+WHOLE = f"""{ED}, {RUNS}, wg AS (SELECT track, i, j, cost FROM (SELECT *, row_number() OVER (PARTITION BY track, i ORDER BY cost, j) AS r FROM ca) WHERE r <= 32 OR j % 16 = 0),
+sm AS (SELECT track, i // 16 AS a, j // 16 AS b, greatest(0, 1 - avg(d)) AS similarity FROM cd GROUP BY 1, 2, 3),
+ne AS (SELECT run_id, wg.i, wg.j, wg.cost AS w, CASE WHEN wg.j < wg.i AND shortening THEN 4.0 ELSE 0.0 END::DOUBLE AS back,
+  (0.8::DOUBLE * greatest(0.15, least(1.0, most / n_beats)) * (wg.cost * wg.cost) * CASE WHEN (wg.i % 16 = 0 AND wg.i > 0) OR (wg.j % 16 = 0 AND wg.j > 0) THEN (1.0::DOUBLE - 0.9::DOUBLE) ELSE 1 END
+   + greatest(1.0, 2.0 - most / n_beats * 2.0) * (1.0 - similarity) + CASE WHEN wg.j > wg.i + 1 AND (wg.j - wg.i) / n_beats > 0.7 THEN pow((wg.j - wg.i) / n_beats - 0.7, 2) * 3.0 ELSE 0 END) * scale AS tax, false AS plain
+  FROM rn JOIN wg USING (track) LEFT JOIN sm ON sm.track = rn.track AND sm.a = wg.i // 16 AND sm.b = wg.j // 16
+  WHERE wg.j <> wg.i + 1 AND wg.j < n_beats AND CASE WHEN wg.j < wg.i THEN wg.i - wg.j >= 8 AND wg.j >= intro_beats ELSE wg.j - wg.i >= cooldown END
+  UNION ALL SELECT run_id, i, i + 1, cost, 0, 0, true FROM rn JOIN sq USING (track) WHERE i + 1 < n_beats),
+dp(run_id, t, b, cost, since, jumps, worst, cuts) AS (SELECT run_id, 1::BIGINT, 0::BIGINT, 0.0::DOUBLE, 999::BIGINT, 0::BIGINT, 0.0::DOUBLE, []::BIGINT[] FROM rn
+  UNION ALL SELECT run_id, t + 1, j, c, CASE WHEN plain THEN since + 1 ELSE 0 END, CASE WHEN plain THEN jumps ELSE jumps + 1 END, CASE WHEN plain THEN worst ELSE greatest(worst, w) END, CASE WHEN plain THEN cuts ELSE cuts || [i, j] END
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, j ORDER BY c, i) AS r FROM (
+    SELECT dp.*, i, j, w, plain, CASE WHEN plain THEN cost + w + CASE WHEN t >= intro_beats AND since >= cooldown AND most / n_beats < 0.5 THEN 0.02::DOUBLE * (0.5 - most / n_beats) ELSE 0 END
+      ELSE cost + w + back + tax + 8.0::DOUBLE * greatest(0, greatest(worst, w) - worst) END AS c
+    FROM dp JOIN rn USING (run_id) JOIN ne ON ne.run_id = dp.run_id AND ne.i = dp.b WHERE t < most AND (plain OR (t >= intro_beats AND since >= cooldown AND jumps < 6)))) WHERE r = 1),
+fin AS (SELECT dp.run_id, rn.track, t AS length, b AS "end", dp.cuts, cost + CASE WHEN b >= n_beats - outro_beats THEN -0.5::DOUBLE * hv * (1 - (n_beats - 1 - b) / outro_beats) + CASE WHEN b >= n_beats - 2 THEN -1.0 * hv ELSE 0 END ELSE least((n_beats - outro_beats - b) * 0.2::DOUBLE * hv, 8.0) END
+   + abs(t - most) / most * 3.0::DOUBLE * greatest(1.0, 2 - most / n_beats) AS cost FROM dp JOIN (SELECT *, greatest(1.0, 3.0 * (1 - most / n_beats)) AS hv FROM rn) rn ON rn.run_id = dp.run_id WHERE t >= least AND jumps >= least_jumps),
+bw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cost, length, "end") AS r FROM fin) WHERE r = 1)"""
 #: All paths of up to two jumps, written out.
 PATHS = f"""{ED}, {RUNS}, ps AS (SELECT track, i, coalesce(sum(cost) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM (SELECT * FROM sq UNION ALL SELECT track, n - 1, NULL FROM tk)),
 el AS (SELECT e.*, x.p AS pi, y.p AS pj FROM eg e JOIN ps x ON x.track = e.track AND x.i = e.i JOIN ps y ON y.track = e.track AND y.i = e.j),
 w AS (SELECT r.*, p AS pz FROM rn r JOIN ps ON ps.track = r.track AND ps.i = n_beats - 1),
 c0 AS (SELECT run_id, track, pz AS cost, n_beats AS length, 0::BIGINT AS n_cuts, [0::BIGINT] AS key FROM w),
-c1 AS (SELECT run_id, w.track, a.pi + 0.8::DOUBLE * scale * a.cost * a.cost + CASE WHEN a.j < a.i THEN 0.1 ELSE 0 END + pz - a.pj AS cost, a.i + 1 + n_beats - a.j AS length, 1::BIGINT AS n_cuts, [a.i, a.j] AS key
+c1 AS (SELECT run_id, w.track, a.pi + 0.8::DOUBLE * scale * a.cost * a.cost + CASE WHEN a.j < a.i AND shortening THEN 4.0 ELSE 0 END + pz - a.pj AS cost, a.i + 1 + n_beats - a.j AS length, 1::BIGINT AS n_cuts, [a.i, a.j] AS key
   FROM w JOIN el a ON a.track = w.track WHERE a.i >= cooldown AND n_beats - 1 - a.j >= cooldown AND a.i + 1 < most AND a.i + 1 + cooldown <= most),
-c2 AS (SELECT run_id, w.track, a.pi + 0.8::DOUBLE * scale * a.cost * a.cost + CASE WHEN a.j < a.i THEN 0.1 ELSE 0 END + b.pi - a.pj + 0.8::DOUBLE * scale * b.cost * b.cost + CASE WHEN b.j < b.i THEN 0.1 ELSE 0 END + pz - b.pj AS cost,
+c2 AS (SELECT run_id, w.track, a.pi + 0.8::DOUBLE * scale * a.cost * a.cost + CASE WHEN a.j < a.i AND shortening THEN 4.0 ELSE 0 END + b.pi - a.pj + 0.8::DOUBLE * scale * b.cost * b.cost + CASE WHEN b.j < b.i AND shortening THEN 4.0 ELSE 0 END + pz - b.pj AS cost,
   a.i + 1 + b.i - a.j + 1 + n_beats - b.j AS length, 2::BIGINT AS n_cuts, [a.i, a.j, b.i, b.j] AS key FROM w JOIN el a ON a.track = w.track JOIN el b ON b.track = w.track
   WHERE a.i >= cooldown AND b.i - a.j >= cooldown AND n_beats - 1 - b.j >= cooldown AND a.i + 1 < most AND a.i + 1 + cooldown <= most AND a.i + 1 + b.i - a.j + 1 < most AND a.i + 1 + b.i - a.j + 1 + cooldown <= most),
 al AS (SELECT c.* FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) c JOIN rn USING (run_id) WHERE c.length BETWEEN least AND most),
@@ -37,7 +57,7 @@ def _inputs(spark, d, most=4):
     tracks = b.groupBy("track").agg(F.count("*").alias("n_beats")).withColumn("duration", F.col("n_beats") * 0.5)
     kinds = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(f).alias("f"), F.lit(e).alias("e")) for p, f, e in (("a", 0.6, 50.0), ("b", 1.3, 75.0))))
     asked = tracks.withColumn("k", F.explode(kinds)).select(F.concat_ws(":", "track", "k.p").alias("run_id"), "track", (F.col("duration") * F.col("k.f")).alias("target"), F.col("k.e").alias("edit_length"))
-    runs = P.retarget_params(asked, tracks)
+    runs = P.retarget_params(asked, tracks, meter=2)
     cand = Q.chroma_distance(b).where("d < 1").withColumnRenamed("d", "cost")
     edges = P.path_edges(cand, b.where("beat % 4 = 0").select("track", "beat"), meter=2, most=most)
     return b, runs, edges, Q.sequential_cost(b)
@@ -53,10 +73,20 @@ def _paths(spark, d):
     return P.retarget_path(runs, _of_runs(runs, edges), steps, jumps=2), runs, edges, steps
 
 
+def _searched(spark, d):
+    """Runs, edges and what each step adds, with the limits of the reference: 6 jumps, 32 edges a beat, and segment boundaries."""
+    b, runs, _, steps = _inputs(spark, d)
+    dist = Q.chroma_distance(b)
+    seg = lambda c: F.floor(F.col(c) / 16)
+    edges = P.path_edges(dist.where("d < 1").withColumnRenamed("d", "cost"), b.where("beat % 4 = 0").select("track", "beat"), meter=2, boundaries=b.where("beat % 16 = 0").select("track", "beat"))
+    alike = dist.groupBy("track", seg("i").alias("a"), seg("j").alias("b")).agg(F.greatest(F.lit(0.0), 1 - F.avg("d")).alias("similarity"))
+    searched = P.search_edges(runs, _of_runs(runs, edges), steps, b.select("track", "beat", seg("beat").alias("seg")), alike, least_loop=8)
+    return runs, edges, searched
+
+
 def _whole(spark, d):
-    """With the limits of the reference: 6 jumps, 32 edges a beat."""
-    _, runs, edges, steps = _inputs(spark, d, most=32)
-    return P.retarget_path(runs, _of_runs(runs, edges), steps), runs, edges, steps
+    runs, edges, searched = _searched(spark, d)
+    return P.best_paths(runs, searched), runs, edges, searched
 
 
 @family(f"WITH {ED} SELECT track, i, j, round(cost, 6) AS cost FROM eg")
@@ -64,9 +94,9 @@ def p1_path_edges(spark, d):
     return rounded(_inputs(spark, d)[2])
 
 
-@family(f"WITH {ED}, {RUNS} SELECT run_id, target_beats, least, most, cooldown, round(ratio, 6) AS ratio, round(scale, 6) AS scale FROM rn")
+@family(f"WITH {ED}, {RUNS} SELECT run_id, target_beats, least, most, cooldown, intro_beats::BIGINT AS intro_beats, outro_beats::BIGINT AS outro_beats, least_jumps::BIGINT AS least_jumps, shortening, round(ratio, 6) AS ratio, round(scale, 6) AS scale FROM rn")
 def p2_retarget_params(spark, d):
-    return rounded(_inputs(spark, d)[1].select("run_id", "target_beats", "least", "most", "cooldown", "ratio", "scale"))
+    return rounded(_inputs(spark, d)[1].select("run_id", "target_beats", "least", "most", "cooldown", "intro_beats", "outro_beats", "least_jumps", "shortening", "ratio", "scale"))
 
 
 @family(f"WITH {PATHS} SELECT run_id, track, round(cost, 6) AS cost, length, n_cuts FROM bp")
@@ -96,19 +126,21 @@ def p8_block_transitions(spark, d):
     return rounded(P.without_blocked(e, e.where("run_id like '%a' and j % 8 = 0").select("run_id", "i", "j")).select("run_id", "track", "i", "j", "cost"))
 
 
-@family()
+@family(f"WITH RECURSIVE {WHOLE} SELECT run_id, track, round(cost, 6) AS cost, length, \"end\", (len(cuts) // 2)::BIGINT AS n_cuts FROM bw")
 def p4_whole_path(spark, d):
     p = _whole(spark, d)[0]
-    return rounded(p.select("run_id", "track", "cost", "length", F.size("cuts").cast("long").alias("n_cuts")))
+    return rounded(p.select("run_id", "track", "cost", "length", "end", F.size("cuts").cast("long").alias("n_cuts")))
 
 
-@family()
+@family(f"""WITH RECURSIVE {WHOLE} SELECT run_id, track, round(cost, 6) AS cost, length, false AS fallback FROM bw UNION ALL SELECT run_id, track, 0, least(target_beats, n_beats), true FROM rn WHERE run_id NOT IN (SELECT run_id FROM bw)""")
 def p6_whole_fallback(spark, d):
     p, runs, _, _ = _whole(spark, d)
     return rounded(P.with_fallback(p, runs).select("run_id", "track", "cost", "length", "fallback"))
 
 
-@family()
+@family(f"""WITH RECURSIVE {WHOLE}, k AS (SELECT run_id, track, cuts, unnest(generate_series(1, len(cuts) // 2)) AS k FROM bw WHERE len(cuts) > 0),
+t AS (SELECT run_id, track, k, cuts[2 * k - 1] AS i, cuts[2 * k] AS j, sum(cuts[2 * k - 1] + 1 - CASE WHEN k = 1 THEN 0 ELSE cuts[2 * k - 2] END) OVER (PARTITION BY run_id ORDER BY k) - 1 AS pos FROM k)
+SELECT t.run_id, t.track, pos::BIGINT AS pos, t.i, t.j, round(wg.cost, 6) AS cost FROM t LEFT JOIN wg ON wg.track = t.track AND wg.i = t.i AND wg.j = t.j""")
 def p7_whole_transitions(spark, d):
     p, runs, edges, _ = _whole(spark, d)
     return rounded(P.path_transitions(P.path_steps(P.with_fallback(p, runs), runs), edges))
@@ -116,8 +148,8 @@ def p7_whole_transitions(spark, d):
 
 @family()
 def p9_variations(spark, d):
-    p, runs, edges, steps = _whole(spark, d)
-    return P.variations(p, runs, _of_runs(runs, edges), steps).select("run_id", "variation", F.round("cost", 6).alias("cost"), "length", F.to_json("cuts").alias("cuts"))
+    p, runs, _, searched = _whole(spark, d)
+    return P.variations(p, runs, searched).select("run_id", "variation", F.round("cost", 6).alias("cost"), "length", F.to_json("cuts").alias("cuts"))
 
 
 REG = f"""{EV}, rg AS (SELECT track, 'r' || track AS run_id, 20.3::DOUBLE AS s, 50.7::DOUBLE AS e FROM (SELECT DISTINCT track FROM ev)),

@@ -35,7 +35,7 @@ def test_retarget_path_is_the_best_one(spark):
         if abs(i - j) > 1:
             edges[int(i), int(j)] = float(rng.uniform(0.1, 0.9))
     step = {i: float(rng.uniform(0, 0.1)) for i in range(n - 1)}
-    runs = frame(spark, [("r", 0, n, 8, 14, 2, 1.0)], "run_id string, track long, n_beats long, least long, most long, cooldown long, scale double")
+    runs = frame(spark, [("r", 0, n, 8, 14, 2, 1.0, True)], "run_id string, track long, n_beats long, least long, most long, cooldown long, scale double, shortening boolean")
     e = frame(spark, [("r", 0, i, j, c) for (i, j), c in edges.items()], "run_id string, track long, i long, j long, cost double")
     s = frame(spark, [(0, i, c) for i, c in step.items()], "track long, i long, cost double")
     got = paths.retarget_path(runs, e, s, jumps=2).collect()
@@ -49,7 +49,7 @@ def test_retarget_path_is_the_best_one(spark):
         if left:
             for (i, j), c in edges.items():
                 if i - at >= 2 and length + i - at + 1 < 14 and length + i - at + 1 + 2 <= 14:
-                    walk(j, length + i - at + 1, cost + sum(step[k] for k in range(at, i)) + 0.8 * c * c + (0.1 if j < i else 0), left - 1)
+                    walk(j, length + i - at + 1, cost + sum(step[k] for k in range(at, i)) + 0.8 * c * c + (4.0 if j < i else 0), left - 1)
 
     walk(0, 0, 0.0, 2)
     assert (not got and best == np.inf) or abs(got[0].cost - best) < 1e-9
@@ -129,10 +129,10 @@ def test_retarget_path_with_more_than_two_jumps(spark):
         if cuts < 6:
             for (i, j), c in edges.items():
                 if i - at >= cool and length + i - at + 1 + cool <= most:
-                    walk(j, length + i - at + 1, cost + run(at, i) + 0.8 * c * c + 0.1, cuts + 1)
+                    walk(j, length + i - at + 1, cost + run(at, i) + 0.8 * c * c, cuts + 1)
 
     walk(0, 0, 0.0, 0)
-    runs = frame(spark, [("r", 0, n, least, most, cool, 1.0)], "run_id string, track long, n_beats long, least long, most long, cooldown long, scale double")
+    runs = frame(spark, [("r", 0, n, least, most, cool, 1.0, False)], "run_id string, track long, n_beats long, least long, most long, cooldown long, scale double, shortening boolean")
     e = frame(spark, [("r", 0, i, j, c) for (i, j), c in edges.items()], "run_id string, track long, i long, j long, cost double")
     s = frame(spark, [(0, i, c) for i, c in step.items()], "track long, i long, cost double")
     got = paths.retarget_path(runs, e, s).collect()

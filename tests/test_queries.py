@@ -37,6 +37,6 @@ def test_query_equals_sql(spark, duck, data, name):
         assert (((got[c] == want[c]) | (got[c].isna() & want[c].isna()))).all(), c
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"p9_variations"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
