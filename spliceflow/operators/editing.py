@@ -76,10 +76,12 @@ def extend_full_track(clips: DataFrame, duration: DataFrame) -> DataFrame:
     return c.withColumns({"source_start": start, "source_end": end}).select(clips.columns)
 
 
-def overlap_seconds(base: Column, preferred: Column, vocal: Column, entry: Column) -> Column:
-    """The preferred overlap where given, else the base; with vocals on either side at most 0.18 s, else at most 0.3 s."""
-    want = F.coalesce(preferred, base)
-    return F.greatest(F.lit(0.0), F.when((vocal > 0.35) | (entry > 0.35), F.least(want, F.lit(0.18))).otherwise(F.least(want, F.lit(0.3))))
+def overlap_seconds(base: Column, preferred: Column, vocal: Column, label_match: Column, entry_support: Column, exit_support: Column, threshold: float = 0.28, across: float = 0.30, within: float = 0.18, supported: float = 0.85) -> Column:
+    """The longer of base and preferred overlap (none or 0: base). Where vocals are present it is raised: to `across` seconds if the labels
+    differ, to `within` if they agree but the weaker of entry and exit is not supported."""
+    want = F.greatest(base, F.coalesce(F.when(preferred > 0, preferred), base))
+    raised = F.when(label_match < 0.5, F.greatest(want, F.lit(across))).when(F.least(entry_support, exit_support) < supported, F.greatest(want, F.lit(within)))
+    return F.when(vocal >= threshold, F.coalesce(raised, want)).otherwise(want)
 
 
 def timeline(clips: DataFrame) -> DataFrame:
@@ -115,12 +117,13 @@ def onset_in_window(energy: DataFrame, marks: DataFrame, before: int, after: int
     return marks.join(best, ["track", "mark"], "left").select("track", "mark", F.coalesce("b.i", "i").alias("onset"))
 
 
-def window_similarity(a: Column | str, b: Column | str, n: int) -> Column:
+def window_similarity(a: Column | str, b: Column | str, n: int | Column) -> Column:
     """0.8 * correlation + 0.2 * correlation of the differences of two windows of n samples, less their means, Hann tapered; -1 if
     either is silent."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    taper = lambda v: F.transform(v, lambda x, k: (x - V.total(v) / n) * (0.5 - 0.5 * F.cos(2 * math.pi * k / (n - 1))))
-    diff = lambda v: F.zip_with(F.slice(v, 2, n - 1), F.slice(v, 1, n - 1), lambda x, y: x - y)
+    size = F.lit(n) if isinstance(n, int) else n.cast("int")
+    taper = lambda v: F.transform(v, lambda x, k: (x - V.total(v) / size) * (0.5 - 0.5 * F.cos(2 * math.pi * k / (size - 1))))
+    diff = lambda v: F.zip_with(F.slice(v, F.lit(2), size - 1), F.slice(v, F.lit(1), size - 1), lambda x, y: x - y)
     ncc = lambda x, y: V.dot(x, y) / (V.norm(x) * V.norm(y))
     ta, tb = taper(a), taper(b)
     return F.when((V.norm(ta) < 1e-9) | (V.norm(tb) < 1e-9), -1.0).otherwise(0.8 * ncc(ta, tb) + 0.2 * ncc(diff(ta), diff(tb)))
@@ -130,6 +133,87 @@ def splice_pair_score(similarity: Column, energy: Column, position: Column, cent
     return similarity - 0.10 * energy - 0.15 * position - 0.14 * centre - 0.10 * alignment
 
 
+def window_onset(v: Column | str, n: int) -> Column:
+    """Place of the steepest rise of the box-smoothed absolute samples of a window of n; the first of equals; n / 2 under 16 samples."""
+    if n < 16:
+        return F.lit(n // 2)
+    k = min(64, max(4, n // 8))
+    v, ahead = F.col(v) if isinstance(v, str) else v, (k - 1) // 2
+    level = lambda i: F.coalesce(F.abs(F.get(v, i)), F.lit(0.0))
+    # neighbouring boxes share all samples but the one that enters and the one that leaves
+    rise = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.round((level(i + ahead) - F.when(i + ahead - k >= 0, level(i + ahead - k)).otherwise(0.0)) / k, 9))))
+    return (F.array_position(rise, F.array_max(rise)) - 1).cast("int")
+
+
+def pair_penalties(a: Column | str, b: Column | str, n: int, out_shift: Column, in_shift: Column, max_shift: int) -> dict[str, Column]:
+    """The four penalties of a pair of windows of n samples, each from 0 to 1: level step in 12 dB, shifts, onsets away from the centre,
+    onsets away from each other."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    rms = lambda v: F.sqrt(V.dot(v, v) / n + F.lit(1e-10))
+    one = F.lit(1.0)
+    oa, ob, centre = window_onset(a, n), window_onset(b, n), F.lit(0.5 * max(n - 1, 0))
+    return {
+        "energy": F.least(one, F.abs(20.0 * F.log10(rms(a) / rms(b))) / 12.0),
+        "position": F.least(one, (F.abs(out_shift) + F.abs(in_shift)) / (2.0 * max_shift)) if max_shift > 0 else F.lit(0.0),
+        "centre": F.least(one, (F.abs(oa - centre) + F.abs(ob - centre)) / (2.0 * max(1.0, 0.35 * n))),
+        "alignment": F.least(one, F.abs(oa - ob) / max(1.0, 0.25 * n)),
+    }
+
+
+def scored_pair(a: Column | str, b: Column | str, n: int, out_shift: Column, in_shift: Column, max_shift: int) -> Column:
+    """Similarity of two windows less their penalties; -1 where either is silent."""
+    sim = window_similarity(a, b, n)
+    return F.when(sim <= -0.99, -1.0).otherwise(splice_pair_score(sim, **pair_penalties(a, b, n, out_shift, in_shift, max_shift)))
+
+
+def anchor_score(a: Column | str, b: Column | str, n: int, anchor: Column, vocal: Column, radius: int) -> Column:
+    """Quality of two windows of n samples aligned at `anchor`: similarity of the whole and of `radius` samples to either side, the latter
+    weighing 0.40 + 0.25 * vocal, less a level step and an anchor near the edge; from 0 to 1. A neighbourhood of under 16 samples
+    counts as the whole."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    sim = window_similarity(a, b, n)
+    lo, hi = F.greatest(F.lit(0), anchor - radius), F.least(F.lit(n), anchor + radius)
+    cut = lambda v: F.slice(v, (lo + 1).cast("int"), (hi - lo).cast("int"))
+    near = F.when(hi - lo >= 16, window_similarity(cut(a), cut(b), hi - lo)).otherwise(sim)
+    rms = lambda v: F.sqrt(V.dot(v, v) / n + F.lit(1e-10))
+    energy = F.least(F.lit(1.0), F.abs(20.0 * F.log10(rms(a) / rms(b))) / 12.0)
+    edge = F.greatest(F.lit(0.0), 1.0 - F.least(anchor, n - anchor) / max(1.0, 0.18 * n))
+    w = F.least(F.lit(0.70), 0.40 + 0.25 * V.clip(vocal, 0.0, 1.0))
+    unit = lambda x: V.clip((x + 1.0) * 0.5, 0.0, 1.0)
+    return F.when(sim <= -0.99, 0.0).otherwise(V.clip((1.0 - w) * unit(sim) + w * unit(near) - 0.08 * energy - 0.04 * edge, 0.0, 1.0))
+
+
+def junction_scores(pairs: DataFrame, weights: dict[str, float], harmonic: bool = True) -> DataFrame:
+    """pairs (track, i, j, ...) with score: the quality of the signals, less the graduated level step, the vocal and the onset penalty,
+    0 at least. Signals made here from raw columns where those are there: label (label_i, label_j), section (0.9 * label + 0.1), bar_align
+    (leads_i, down_j), energy (rms_i, rms_j), edge_energy (energy_diff_db), centroid (centroid_i, centroid_j); other weighted signals
+    must be columns. Penalties need energy_diff_db, vocal_i and vocal_j, onset_j; a missing column means no penalty."""
+    from .transitions import linear_match, onset_penalty, quality_score, vocal_discontinuity
+
+    c, have = F.col, set(pairs.columns)
+    made = {}
+    if {"label_i", "label_j"} <= have:
+        made["label"] = F.when((c("label_i") == c("label_j")) & (c("label_i") != "unknown"), 1.0).otherwise(0.0)
+        made["section"] = 0.9 * made["label"] + 0.1
+    if {"leads_i", "down_j"} <= have:
+        made["bar_align"] = F.when(c("leads_i") & c("down_j"), 1.0).otherwise(0.0)
+    for name, span in (("rms", 0.2), ("centroid", 0.2)):
+        if {f"{name}_i", f"{name}_j"} <= have:
+            made["energy" if name == "rms" else name] = linear_match(c(f"{name}_i"), c(f"{name}_j"), span)
+    if "energy_diff_db" in have:
+        made["edge_energy"] = linear_match(c("energy_diff_db"), F.lit(0.0), 8.0)
+    missing = set(weights) - have - set(made)
+    if missing:
+        raise ValueError(f"no column for the weighted signals {sorted(missing)}")
+    p = pairs.withColumns(made)
+    less = junction_penalty(c("energy_diff_db")) if "energy_diff_db" in have else F.lit(0.0)
+    if {"vocal_i", "vocal_j"} <= have:
+        less = less + vocal_discontinuity(c("vocal_i"), c("vocal_j"))
+    if "onset_j" in have:
+        less = less + F.coalesce(onset_penalty(c("onset_j")), F.lit(0.0))
+    return p.withColumn("score", F.greatest(F.lit(0.0), quality_score(weights, harmonic) - less))
+
+
 def refine_splice(splices: DataFrame, samples: DataFrame, n: int, coarse: int, span: int, keep: int = 4, fine: int = 2) -> DataFrame:
     """(track, splice, out_shift, in_shift, score): of shifts of both sides of a splice (track, splice, i, j) on a coarse grid within
     +- span samples the `keep` best by correlation of the n samples after each, then the best on a fine grid around those."""

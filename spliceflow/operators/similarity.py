@@ -45,20 +45,73 @@ def checkerboard_novelty(ssm: DataFrame, n: DataFrame, kernel: int) -> DataFrame
     return spine.join(s.withColumnRenamed("c", "i"), ["track", "i"], "left").select("track", "i", F.when(fits, F.coalesce("novelty", F.lit(0.0))).otherwise(0.0).alias("novelty"))
 
 
-def find_peaks(curve: DataFrame, height: float, distance: int, prominence: float) -> DataFrame:
-    """(track, i, x) of (track, i, x): plateau midpoints at least `height` high, `distance` apart (highest first) and `prominence`
+def novelty_curve(ssm: DataFrame, n: DataFrame, most: int = 32, least: int = 4, smooth: int = 5) -> DataFrame:
+    """(track, i, novelty): checkerboard_novelty with a block of min(most, n / 4) rows, `least` at least and even, per track (track, n);
+    smoothed by a box of `smooth` places with mirrored ends, the track's largest value becoming 1."""
+    size = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("n") / 4))).cast("int")
+    half = n.select("track", "n", F.floor(size / 2).cast("long").alias("half"))
+    s = ssm.where(F.abs(F.col("i") - F.col("j")) < most).join(half, "track")
+    lo, hi = F.greatest("i", "j") - F.col("half") + 1, F.least("i", "j") + F.col("half")
+    lo, hi = F.greatest(lo, "half"), F.least(hi, F.col("n") - F.col("half") - 1)
+    s = s.where(hi >= lo).withColumn("c", F.explode(F.sequence(lo, hi)))
+    sign = F.when((F.col("i") < F.col("c")) == (F.col("j") < F.col("c")), -F.col("v")).otherwise(F.col("v"))
+    s = s.groupBy("track", F.col("c").alias("i")).agg(F.abs(F.sum(sign)).alias("raw"))
+    spine = n.select("track", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    c = spine.join(s, ["track", "i"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    # mirrored ends: place -1 is place 0, -2 is 1, n is n - 1
+    reach = smooth // 2
+    at = F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach)).alias("p")
+    back = lambda p: F.when(p < 0, -p - 1).when(p >= F.col("n"), 2 * F.col("n") - 1 - p).otherwise(p)
+    boxes = c.select("track", "n", "i", at).select("track", F.col("i").alias("to"), back(F.col("p")).alias("i")).join(c.select("track", "i", "raw"), ["track", "i"])
+    out = boxes.groupBy("track", F.col("to").alias("i")).agg((F.sum("raw") / smooth).alias("novelty"))
+    top = F.max("novelty").over(Window.partitionBy("track"))
+    return out.withColumn("novelty", F.when(top > 0, F.col("novelty") / top).otherwise(F.col("novelty")))
+
+
+def boundaries_from_peaks(novelty: DataFrame, durations: DataFrame, min_seconds: float = 8.0, percentile: float = 0.60, prominence: float = 0.20, margin: float = 2.0) -> DataFrame:
+    """(track, boundary, t): the times of a curve's peaks (track, i, novelty) over tracks (track, duration), with 0 and the duration. A peak is
+    at least as high as the track's percentile, min_seconds from a higher one, and not within the margin of either end."""
+    size = novelty.groupBy("track").agg(F.count("*").alias("n"), F.percentile("novelty", F.lit(percentile)).alias("height"))
+    d = durations.join(size, "track", "left").withColumn("frame", F.col("duration") / F.col("n"))
+    c = novelty.join(d.select("track", "height", F.greatest(F.lit(1).cast("long"), F.floor(min_seconds / F.col("frame"))).alias("apart")), "track")
+    p = find_peaks(c.withColumnRenamed("novelty", "x"), F.col("height"), F.col("apart"), prominence)
+    t = p.join(d, "track").withColumn("t", F.col("i") * F.col("frame")).where((F.col("t") > margin) & (F.col("t") < F.col("duration") - margin)).select("track", "t")
+    every = t.unionByName(d.select("track", F.lit(0.0).alias("t"))).unionByName(d.select("track", F.col("duration").alias("t")))
+    return every.withColumn("boundary", F.row_number().over(Window.partitionBy("track").orderBy("t")).cast("long") - 1).select("track", "boundary", "t")
+
+
+def segment_embeddings(frames: DataFrame, boundaries: DataFrame, rate: float) -> DataFrame:
+    """(track, seg, feat): mean vector of the frames (track, beat, feat) of each segment between consecutive boundaries (track, boundary, t),
+    `rate` frames a second; a segment has one frame at least."""
+    w = Window.partitionBy("track").orderBy("boundary")
+    n = frames.groupBy("track").agg(F.count("*").alias("n"))
+    s = boundaries.withColumn("to", F.lead("t").over(w)).where("to is not null").join(n, "track")
+    at = lambda c: F.floor(F.col(c) * rate)
+    first = F.greatest(F.lit(0).cast("long"), F.least(at("t"), F.col("n") - 1))
+    s = s.select("track", F.col("boundary").alias("seg"), "n", first.alias("first"), at("to").alias("to"))
+    s = s.withColumn("last", F.greatest(F.col("first") + 1, F.least("to", "n")) - 1)
+    # every segment asks for its frames, so the join is on equality
+    asked = s.select("track", "seg", F.explode(F.sequence("first", "last")).alias("beat"))
+    x = asked.join(frames.select("track", "beat", F.posexplode("feat").alias("d", "v")), ["track", "beat"])
+    m = x.groupBy("track", "seg", "d").agg(F.avg("v").alias("v"))
+    return m.groupBy("track", "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda p: p["v"]).alias("feat"))
+
+
+def find_peaks(curve: DataFrame, height: float | Column, distance: int | Column, prominence: float) -> DataFrame:
+    """(track, i, x) of (track, i, x), with height and distance numbers or columns of the track's rows: plateau midpoints at least `height` high, `distance` apart (highest first) and `prominence`
     above the higher of the lowest points between them and the next higher value on each side."""
     w = Window.partitionBy("track").orderBy("i")
     c = curve.withColumn("change", F.coalesce((F.col("x") != F.lag("x").over(w)).cast("int"), F.lit(1)))
     c = c.withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    p = c.groupBy("track", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first("x").alias("x"))
+    height, distance = (v if isinstance(v, Column) else F.lit(v) for v in (height, distance))
+    p = c.groupBy("track", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first("x").alias("x"), F.first(height).alias("__h"), F.first(distance).alias("__d"))
     wr = Window.partitionBy("track").orderBy("run")
-    p = p.withColumns({"l": F.lag("x").over(wr), "r": F.lead("x").over(wr)}).where((F.col("x") > F.col("l")) & (F.col("x") > F.col("r")) & (F.col("x") >= height))
-    p = p.select("track", F.floor((F.col("a") + F.col("b")) / 2).alias("i"), "x")
+    p = p.withColumns({"l": F.lag("x").over(wr), "r": F.lead("x").over(wr)}).where((F.col("x") > F.col("l")) & (F.col("x") > F.col("r")) & (F.col("x") >= F.col("__h")))
+    p = p.select("track", F.floor((F.col("a") + F.col("b")) / 2).alias("i"), "x", "__d")
     # greedy suppression carries the kept ones along: a fold over the track's peaks, highest first
-    arr = p.groupBy("track").agg(F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("k"), "i"))).alias("p"))
-    kept = F.aggregate("p", F.expr("cast(array() as array<bigint>)"), lambda a, x: F.when(F.exists(a, lambda y: F.abs(y - x["i"]) < distance), a).otherwise(F.concat(a, F.array(x["i"]))))
-    p = p.join(arr.select("track", F.explode(kept).alias("i")), ["track", "i"])
+    arr = p.groupBy("track").agg(F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("k"), "i"))).alias("p"), F.first("__d").alias("__d"))
+    kept = F.aggregate("p", F.expr("cast(array() as array<bigint>)"), lambda a, x: F.when(F.exists(a, lambda y: F.abs(y - x["i"]) < F.col("__d")), a).otherwise(F.concat(a, F.array(x["i"]))))
+    p = p.drop("__d").join(arr.select("track", F.explode(kept).alias("i")), ["track", "i"])
     rows = curve.where("x is not null").select("track", "i", F.col("x").cast("double").alias("x"), F.lit(False).alias("peak")).union(p.select("track", "i", F.col("x").cast("double"), F.lit(True)))
     low = _lowest_since_higher(rows, True).withColumnRenamed("low", "left").join(_lowest_since_higher(rows, False).withColumnRenamed("low", "right").drop("x"), ["track", "i"])
     return p.join(low.where(F.col("x") - F.greatest("left", "right") >= prominence).select("track", "i"), ["track", "i"])

@@ -31,6 +31,24 @@ def beats_to_bars(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
     return b.where(F.col("end").isNotNull()).select("track", "bar", F.col("j").alias("start"), "end")
 
 
+def bar_features(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
+    """(track, bar, start, t, end_t, feat): mean vector of the beats (track, beat, t, feat) of each bar, from one beat nearest to a downbeat
+    (track, t) to the next; the last bar goes on to the track's last beat, and ends a beat's gap after it (0.5 for a single beat). Tracks of
+    under two beats or downbeats have none."""
+    near = snap_nearest(downbeats.select("track", "t"), beats.select("track", F.col("beat").alias("j"), "t")).where("j is not null")
+    w = _w("beat")
+    n = beats.groupBy("track").agg(F.count("*").alias("n"), F.max_by("t", "beat").alias("last_t"))
+    gap = beats.withColumn("gap", F.col("t") - F.lag("t").over(w)).groupBy("track").agg(F.max_by("gap", "beat").alias("gap"))
+    enough = downbeats.groupBy("track").agg(F.count("*").alias("m")).where("m >= 2").join(n.where("n >= 2"), "track").join(gap, "track")
+    starts = near.select("track", F.col("j").alias("beat")).distinct().join(enough.select("track", "n", "last_t", "gap"), "track")
+    starts = starts.join(beats.select("track", "beat", "t"), ["track", "beat"])
+    b = starts.withColumns({"bar": F.row_number().over(w).cast("long") - 1, "to": F.coalesce(F.lead("beat").over(w), F.col("n")), "end_t": F.coalesce(F.lead("t").over(w), F.col("last_t") + F.coalesce("gap", F.lit(0.5)))})
+    asked = b.select("track", "bar", F.col("beat").alias("start"), "t", "end_t", F.explode(F.sequence(F.col("beat"), F.col("to") - 1)).alias("beat"))
+    x = asked.join(beats.select("track", "beat", F.posexplode("feat").alias("d", "v")), ["track", "beat"])
+    m = x.groupBy("track", "bar", "start", "t", "end_t", "d").agg(F.avg("v").alias("v"))
+    return m.groupBy("track", "bar", "start", "t", "end_t").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda p: p["v"]).alias("feat"))
+
+
 def block_scores(sim: DataFrame, n: DataFrame, band: int = 7, longest: int = 16) -> DataFrame:
     """(track, start, len, score) of every block of up to `longest` bars: the sum of similarities at distance 1..band inside it over
     len^2, less a penalty for lengths that are not 8, 4k or 2k bars (0, .25, .5, 1)."""

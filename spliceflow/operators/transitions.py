@@ -168,6 +168,12 @@ def vocal_penalty(discontinuity: Column, least_edge: Column, track_max: Column)
     return F.when(track_max >= 0.75, 0.10 * discontinuity + 0.30 * F.greatest(F.lit(0.0), least_edge - 0.40)).otherwise(0.0)
 
 
+def vocal_discontinuity(vocal_i: Column, vocal_j: Column, edge_i: Column | None = None, edge_j: Column | None = None) -> Column:
+    """0.10 of the step in vocal activity (twice the difference, 1 at most) and 0.30 of what the quieter side of the cut is over 0.40."""
+    least = F.least(vocal_i if edge_i is None else edge_i, vocal_j if edge_j is None else edge_j)
+    return 0.10 * F.least(F.lit(1.0), 2.0 * F.abs(vocal_i - vocal_j)) + 0.30 * F.greatest(F.lit(0.0), least - 0.40)
+
+
 def onset_penalty(onset: Column, below: float = 0.25, most: float = 0.12) -> Column:
     return F.when(onset < below, most * (below - onset) / below).otherwise(0.0)
 
@@ -181,9 +187,10 @@ def quality_bucket(q: Column) -> Column:
     return F.when(q.isNull(), "unknown").when(q > 0.7, "great").when(q >= 0.5, "good").otherwise("weak")
 
 
-def transition_candidates(beats: DataFrame, snippets: DataFrame, edge_db: DataFrame, k: int = 16, guard: int = 15, most: float = 0.45, floor: float = 0.20, max_lag: int = 4, weights: dict | None = None) -> DataFrame:
+def transition_candidates(beats: DataFrame, snippets: DataFrame, edge_db: DataFrame, k: int = 16, guard: int = 15, most: float = 0.45, floor: float = 0.20, max_lag: int = 4, weights: dict | None = None, marks: DataFrame | None = None, alike: DataFrame | None = None) -> DataFrame:
     """(track, i, j, d, energy_diff_db, waveform, lag, successor, context, mfcc, sequential, energy, quality, cost) of the pairs
-    that pass distance, energy and quality."""
+    that pass distance, energy and quality. With marks of the beats (see marked_signals) also label, section, bar_align, edge_energy,
+    centroid and transient, which the default weights need, and the quality less its penalties."""
     c = candidates_topk(chroma_distance(beats), k, guard, most)
     c = waveform_similarity(gate_energy(c, edge_db), snippets, max_lag)
     v = beats.withColumns({"next": F.lead("feat").over(_w())}).join(context_vectors(beats), ["track", "beat"])
@@ -195,9 +202,47 @@ def transition_candidates(beats: DataFrame, snippets: DataFrame, edge_db: DataFr
         "mfcc": 1 - F.least(F.lit(1.0), V.distance("mi", "mj") / F.sqrt(F.lit(13.0)) / 0.6), "energy": linear_match(F.col("energy_diff_db"), F.lit(0.0), 8.0),
     }).drop("next", "before", "mi", "fj", "after", "mj")
     c = c.withColumn("sequential", sequential_signal(F.col("successor"), F.col("context"), F.col("mfcc")))
-    use = {n: w for n, w in (weights or DEFAULT_WEIGHTS).items() if n in c.columns}
-    c = c.withColumn("quality", quality_score(use)).where(F.col("quality") >= floor)
-    return c.withColumn("cost", 1 - F.col("quality"))
+    use = weights or DEFAULT_WEIGHTS
+    if marks is not None:
+        c = marked_signals(c, marks, alike)
+    missing = sorted(set(use) - set(c.columns))
+    if missing:
+        raise ValueError(f"the weighted signals {missing} need marks of the beats")
+    c = c.withColumn("quality", quality_score(use))
+    if marks is not None:
+        c = penalised(c)
+    return c.where(F.col("quality") >= floor).withColumn("cost", 1 - F.col("quality"))
+
+
+def marked_signals(candidates: DataFrame, marks: DataFrame, alike: DataFrame | None = None) -> DataFrame:
+    """candidates with the signals that need marks (track, beat, label, seg, rms, centroid, onset, vocal, leads_in, is_downbeat) of both
+    beats: label, section (similarity of their segments: track, a, b, similarity), bar_align, energy, edge_energy, centroid, transient (onset
+    strength as share of the track's largest); and the marks that penalties read."""
+    w = Window.partitionBy("track")
+    top = F.max("onset").over(w)
+    m = marks.withColumns({"onset_share": F.when(top > 0, F.col("onset") / top).otherwise(0.0), "most_vocal": F.max("vocal").over(w)})
+    of = lambda beat, s, more: m.select("track", F.col("beat").alias(beat), *(F.col(x).alias(f"{x}_{s}") for x in ("label", "seg", "rms", "centroid", "onset_share", "vocal")), *more)
+    c = candidates.drop("energy").join(of("i", "i", [F.col("leads_in"), F.col("most_vocal")]), ["track", "i"]).join(of("j", "j", [F.col("is_downbeat"), F.col("onset").alias("onset_j")]), ["track", "j"])
+    col = F.col
+    section = F.lit(None).cast("double")
+    if alike is not None:
+        c = c.join(alike.select("track", col("a").alias("seg_i"), col("b").alias("seg_j"), col("similarity").alias("alike")), ["track", "seg_i", "seg_j"], "left")
+        section = col("alike")
+    return c.withColumns({
+        "label": F.when((col("label_i") == col("label_j")) & (col("label_i") != "unknown"), 1.0).otherwise(0.0), "section": section,
+        "bar_align": F.when(col("leads_in") & col("is_downbeat"), 1.0).otherwise(0.0), "energy": linear_match(col("rms_i"), col("rms_j"), 0.2),
+        "edge_energy": linear_match(col("energy_diff_db"), F.lit(0.0), 8.0), "centroid": linear_match(col("centroid_i"), col("centroid_j"), 0.2),
+        "transient": 1 - F.abs(col("onset_share_i") - col("onset_share_j")),
+    }).drop("label_i", "label_j", "seg_i", "seg_j", "rms_i", "rms_j", "centroid_i", "centroid_j", "onset_share_i", "onset_share_j", "leads_in", "is_downbeat", "alike")
+
+
+def penalised(scored: DataFrame) -> DataFrame:
+    """scored with the quality less the span penalty, then the vocal one in tracks with vocals (0.75 anywhere), then the onset one, never
+    under 0."""
+    less = lambda q, p: F.greatest(F.lit(0.0), q - p)
+    q = less(F.col("quality"), span_penalty(F.col("i"), F.col("j"), F.col("label") >= 0.5))
+    q = less(q, F.when(F.col("most_vocal") >= 0.75, vocal_discontinuity(F.col("vocal_i"), F.col("vocal_j"))).otherwise(0.0))
+    return scored.withColumn("quality", less(q, F.coalesce(onset_penalty(F.col("onset_j")), F.lit(0.0)))).drop("vocal_i", "vocal_j", "most_vocal", "onset_j")
 
 
 def weight_sweep(components: DataFrame, runs: DataFrame, signals: list[str], floor: float = 0.2) -> DataFrame:

@@ -51,12 +51,12 @@ def k5_assemble_blocks(spark, d):
 
 
 @family(f"""WITH {EV} SELECT track, i, CASE WHEN x / 100 >= 0.65 THEN 0.075 WHEN x / 100 >= 0.4 THEN 0.15 ELSE 0.3 END::DOUBLE AS fade, round(least(0.3, greatest(0, abs(x - 50) - 6) * 0.025), 6) AS penalty,
-  round(greatest(0, CASE WHEN x / 100 > 0.35 OR (i % 10) / 10.0 > 0.35 THEN least(CASE WHEN i % 3 > 0 THEN x / 300 ELSE 0.25 END, 0.18) ELSE least(CASE WHEN i % 3 > 0 THEN x / 300 ELSE 0.25 END, 0.3) END), 6) AS overlap,
-  round(x / 100 - 0.1 * 0.3 - 0.15 * (i % 10) / 10.0::DOUBLE - 0.14 * 0.2 - 0.1 * 0.1, 6) AS pair_score, (x / 100 >= 0.52) OR (x / 200 >= 0.28 AND (i % 10) / 10.0 >= 0.51) AS accepted FROM ev""")
+  round(CASE WHEN x / 100 < 0.28 THEN wo WHEN i % 4 < 2 THEN greatest(wo, 0.30) WHEN least(x / 100, (i % 10) / 10.0) < 0.85 THEN greatest(wo, 0.18) ELSE wo END::DOUBLE, 6) AS overlap,
+  round(x / 100 - 0.1 * 0.3 - 0.15 * (i % 10) / 10.0::DOUBLE - 0.14 * 0.2 - 0.1 * 0.1, 6) AS pair_score, (x / 100 >= 0.52) OR (x / 200 >= 0.28 AND (i % 10) / 10.0 >= 0.51) AS accepted FROM (SELECT *, greatest(0.1, CASE WHEN i % 3 > 0 THEN x / 300 ELSE 0.1 END)::DOUBLE AS wo FROM ev)""")
 def e3_splice_rules(spark, d):
     x, y = F.col("x") / 100, (F.col("i") % 10) / F.lit(10.0)
     return rounded(T.events(spark, d).select(
-        "track", "i", E.crossfade_for_quality(x).alias("fade"), E.junction_penalty(F.col("x") - 50).alias("penalty"), E.overlap_seconds(F.lit(0.25), F.when(F.col("i") % 3 > 0, F.col("x") / 300), x, y).alias("overlap"),
+        "track", "i", E.crossfade_for_quality(x).alias("fade"), E.junction_penalty(F.col("x") - 50).alias("penalty"), E.overlap_seconds(F.lit(0.1), F.when(F.col("i") % 3 > 0, F.col("x") / 300), x, F.when(F.col("i") % 4 < 2, 0.0).otherwise(1.0), x, y).alias("overlap"),
         E.splice_pair_score(x, F.lit(0.3), y, F.lit(0.2), F.lit(0.1)).alias("pair_score"), E.accept_anchor(x, F.lit(0.5), y, F.lit(0.5), F.col("x") / 200).alias("accepted"),
     ))
 
@@ -132,6 +132,54 @@ def e8_window_similarity(spark, d):
     return rounded(p.select("track", "i", "j", E.window_similarity("fi", "fj", 64).alias("v")))
 
 
+#: Pairs of windows of 64 samples, one to three beats apart: tapered similarity, level, onsets.
+WIN = """bv AS (SELECT label::BIGINT AS track, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS beat, list_transform(embedding, lambda v: v::DOUBLE) AS feat FROM embeddings),
+tp AS (SELECT track, beat, feat, list_transform(range(64), lambda k: (feat[k + 1] - list_sum(feat) / 64) * (0.5 - 0.5 * cos(2 * pi() * k / 63))) AS w FROM bv), df AS (SELECT *, list_transform(range(63), lambda k: w[k + 2] - w[k + 1]) AS g, sqrt(list_inner_product(feat, feat) / 64 + 1e-10) AS rms,
+  list_transform(range(64), lambda k: CASE WHEN k = 0 THEN 0 ELSE greatest(0, round((CASE WHEN k + 3 < 64 THEN abs(feat[k + 4]) ELSE 0 END - CASE WHEN k >= 5 THEN abs(feat[k - 4]) ELSE 0 END) / 8, 9)) END) AS rise FROM tp),
+wn AS (SELECT *, list_position(rise, list_max(rise)) - 1 AS o FROM df),
+wp AS (SELECT a.track, a.beat AS i, b.beat AS j, a.feat AS fa, b.feat AS fb, 0.8 * list_cosine_similarity(a.w, b.w) + 0.2 * list_cosine_similarity(a.g, b.g) AS sim, least(1, abs(20 * log10(a.rms / b.rms)) / 12) AS energy,
+  a.o AS oa, b.o AS ob FROM wn a JOIN wn b ON a.track = b.track AND b.beat BETWEEN a.beat + 1 AND a.beat + 3)"""
+
+
+def _windows(spark, d):
+    b = T.beats(spark, d)
+    return pairs(b, b, (F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + 3))
+
+
+@family(f"""WITH {WIN} SELECT track, i, j, oa AS onset_i, round(sim - 0.1 * energy - 0.15 * least(1, (i % 5 + j % 3) / 16.0::DOUBLE) - 0.14 * least(1, (abs(oa - 31.5) + abs(ob - 31.5)) / 44.8::DOUBLE) - 0.1 * least(1, abs(oa - ob) / 16.0::DOUBLE), 6) AS score FROM wp""")
+def e9_scored_pair(spark, d):
+    p = _windows(spark, d)
+    return rounded(p.select("track", "i", "j", E.window_onset("fi", 64).cast("long").alias("onset_i"), E.scored_pair("fi", "fj", 64, F.col("i") % 5, -(F.col("j") % 3), 8).alias("score")))
+
+
+def _near(a: str, b: str) -> str:
+    """Similarity of the samples 8 to 39 of two windows, which an anchor at 24 with 16 to either side looks at."""
+    t = lambda x: f"list_transform(range(32), lambda k: ({x}[k + 9] - list_sum({x}[9:40]) / 32) * (0.5 - 0.5 * cos(2 * pi() * k / 31)))"
+    g = lambda x: f"list_transform(range(31), lambda q: {x}[q + 2] - {x}[q + 1])"
+    return f"(SELECT 0.8 * list_cosine_similarity(ta, tb) + 0.2 * list_cosine_similarity({g('ta')}, {g('tb')}) FROM (SELECT {t(a)} AS ta, {t(b)} AS tb))"
+
+
+@family(f"""WITH {WIN}, nr AS (SELECT *, {_near("fa", "fb")} AS near, least(0.7, 0.4 + 0.25 * ((i % 10) / 10.0::DOUBLE)) AS w FROM wp)
+SELECT track, i, j, round(greatest(0, least(1, (1 - w) * greatest(0, least(1, (sim + 1) / 2)) + w * greatest(0, least(1, (near + 1) / 2)) - 0.08 * energy)), 6) AS score FROM nr""")
+def e10_anchor_score(spark, d):
+    return rounded(_windows(spark, d).select("track", "i", "j", E.anchor_score("fi", "fj", 64, F.lit(24), (F.col("i") % 10) / 10.0, 16).alias("score")))
+
+
+@family(f"""WITH {CD}, p AS (SELECT cd.track, cd.i, cd.j, greatest(0, 1 - d) AS successor, 20 * log10(greatest(abs(y.full[1]), 1e-6)) - 20 * log10(greatest(abs(x.full[64]), 1e-6)) AS e, abs(x.full[2]) AS ri, abs(y.full[2]) AS rj, abs(x.full[3]) AS vi, abs(y.full[3]) AS vj, abs(y.full[4]) AS oj
+  FROM cd JOIN cb x ON x.track = cd.track AND x.beat = cd.i JOIN cb y ON y.track = cd.track AND y.beat = cd.j WHERE abs(cd.j - cd.i) BETWEEN 4 AND 9),
+s AS (SELECT *, CASE WHEN i // 8 % 3 = j // 8 % 3 THEN 1.0 ELSE 0 END AS label, greatest(0, 1 - abs(ri - rj) / 0.2::DOUBLE) AS energy, greatest(0, 1 - abs(e) / 8.0::DOUBLE) AS edge FROM p),
+q AS (SELECT *, greatest(0, least(1, 1.0::DOUBLE / (0.4 / greatest(successor, 0.001) + 0.2 / greatest(0.9 * label + 0.1, 0.001) + 0.2 / greatest(energy, 0.001) + 0.2 / greatest(edge, 0.001)))) AS q FROM s)
+SELECT track, i, j, round(greatest(0, q - (least(0.3, greatest(0, abs(e) - 6) * 0.025) + 0.1 * least(1, 2 * abs(vi - vj)) + 0.3 * greatest(0, least(vi, vj) - 0.4) + CASE WHEN oj < 0.25 THEN 0.12 * (0.25 - oj) / 0.25 ELSE 0 END)), 6) AS score FROM q""")
+def k2_junction_scores(spark, d):
+    b = T.beats(spark, d)
+    at = lambda k: F.abs(F.get("feat", F.lit(k)))
+    db = lambda k: 20 * F.log10(F.greatest(at(k), F.lit(1e-6)))
+    p = Q.chroma_distance(b, F.abs(F.col("j") - F.col("i")).between(4, 9)).withColumn("successor", F.greatest(F.lit(0.0), 1 - F.col("d")))
+    of = lambda c, *more: b.select("track", F.col("beat").alias(c), at(1).alias(f"rms_{c}"), at(2).alias(f"vocal_{c}"), (F.floor(F.col("beat") / 8) % 3).cast("string").alias(f"label_{c}"), *more)
+    p = p.join(of("i", db(63).alias("end")), ["track", "i"]).join(of("j", db(0).alias("begin"), at(3).alias("onset_j")), ["track", "j"]).withColumn("energy_diff_db", F.col("begin") - F.col("end"))
+    return rounded(E.junction_scores(p, {"successor": 0.4, "section": 0.2, "energy": 0.2, "edge_energy": 0.2}).select("track", "i", "j", "score"))
+
+
 @family()
 def e11_refine_splice(spark, d):
     s = T.signal(spark, d)

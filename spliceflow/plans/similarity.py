@@ -51,6 +51,51 @@ def m4_find_peaks(spark, d):
     return M.find_peaks(T.events(spark, d).select("track", "i", "x"), 40.0, 1, 30.0)
 
 
+#: Novelty with a block of a quarter of the track, mirrored box of five, largest value 1.
+NOV = f"""{SSM}, cn AS (SELECT track, count(*) AS n, greatest(4, least(32, count(*) // 4)) // 2 AS half FROM bv GROUP BY 1), sp AS (SELECT track, n, half, unnest(generate_series(0, n - 1)) AS c FROM cn),
+nr AS (SELECT sp.track, c, any_value(n) AS n, abs(coalesce(sum(CASE WHEN (i < c) = (j < c) THEN -v ELSE v END) FILTER (c >= half AND c < n - half), 0)) AS raw FROM sp LEFT JOIN ssm ON ssm.track = sp.track AND i BETWEEN c - half AND c + half - 1 AND j BETWEEN c - half AND c + half - 1 GROUP BY 1, 2),
+bx AS (SELECT track, c, n, unnest(generate_series(c - 2, c + 2)) AS p FROM nr), sm AS (SELECT bx.track, bx.c AS i, sum(nr.raw) / 5 AS x FROM bx JOIN nr ON nr.track = bx.track AND nr.c = CASE WHEN p < 0 THEN -p - 1 WHEN p >= bx.n THEN 2 * bx.n - 1 - p ELSE p END GROUP BY 1, 2),
+nc AS (SELECT track, i, CASE WHEN max(x) OVER (PARTITION BY track) > 0 THEN x / max(x) OVER (PARTITION BY track) ELSE x END AS x FROM sm)"""
+
+
+def _novelty(b):
+    return M.novelty_curve(M.self_similarity(b), _n(b))
+
+
+@family(f"WITH {NOV} SELECT track, i, round(x, 6) AS novelty FROM nc")
+def m2_novelty_curve(spark, d):
+    return rounded(_novelty(_b(spark, d)))
+
+
+#: Greedy suppression written out as a recursion over the peaks of a track, highest first; a frame lasts half a second.
+BND = f"""{NOV}, ht AS (SELECT track, quantile_cont(x, 0.6) AS h FROM nc GROUP BY 1), rn AS (SELECT track, i, x, sum(ch) OVER (PARTITION BY track ORDER BY i) AS r FROM (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY track ORDER BY i) THEN 0 ELSE 1 END AS ch FROM nc)),
+pl AS (SELECT track, r, min(i) AS a, max(i) AS b, any_value(x) AS x FROM rn GROUP BY 1, 2), pn AS (SELECT *, lag(x) OVER w AS l, lead(x) OVER w AS rr FROM pl WINDOW w AS (PARTITION BY track ORDER BY r)),
+pk AS (SELECT track, (a + b) // 2 AS i, x, row_number() OVER (PARTITION BY track ORDER BY x DESC, (a + b) // 2) AS k FROM pn JOIN ht USING (track) WHERE x > l AND x > rr AND x >= h),
+gr(track, k, kept) AS (SELECT DISTINCT track, 0::BIGINT, []::BIGINT[] FROM pk UNION ALL SELECT gr.track, gr.k + 1, CASE WHEN len(list_filter(kept, lambda y: abs(y - i) < 16)) > 0 THEN kept ELSE kept || [i] END FROM gr JOIN pk ON pk.track = gr.track AND pk.k = gr.k + 1),
+kp AS (SELECT track, unnest(arg_max(kept, k)) AS i FROM gr GROUP BY 1), ps AS (SELECT kp.track, kp.i, nc.x FROM kp JOIN nc ON nc.track = kp.track AND nc.i = kp.i),
+hl AS (SELECT ps.track, ps.i, ps.x, coalesce(max(c.i) FILTER (c.i < ps.i AND c.x > ps.x), -1) AS lo, coalesce(min(c.i) FILTER (c.i > ps.i AND c.x > ps.x), 1000000000) AS hi FROM ps JOIN nc c USING (track) GROUP BY 1, 2, 3),
+lr AS (SELECT hl.track, hl.i, hl.x, min(c.x) FILTER (c.i <= hl.i AND c.i > lo) AS l, min(c.x) FILTER (c.i >= hl.i AND c.i < hi) AS r FROM hl JOIN nc c USING (track) GROUP BY 1, 2, 3),
+tt AS (SELECT track, i * 0.5 AS t FROM lr JOIN cn USING (track) WHERE x - greatest(l, r) >= 0.2 AND i * 0.5 > 2 AND i * 0.5 < n * 0.5 - 2 UNION ALL SELECT track, 0 FROM cn UNION ALL SELECT track, n * 0.5 FROM cn),
+bd AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY t) - 1 AS boundary, t::DOUBLE AS t FROM tt)"""
+
+
+def _boundaries(b):
+    return M.boundaries_from_peaks(_novelty(b), _n(b).select("track", (F.col("n") * 0.5).alias("duration")))
+
+
+@family(f"WITH RECURSIVE {BND} SELECT track, boundary, t FROM bd")
+def m5_boundaries_from_peaks(spark, d):
+    return _boundaries(_b(spark, d))
+
+
+@family(f"""WITH RECURSIVE {BND}, sg AS (SELECT track, boundary AS seg, t, lead(t) OVER (PARTITION BY track ORDER BY boundary) AS e FROM bd), fr AS (SELECT sg.track, seg, least(floor(t * 2), n - 1)::BIGINT AS a, greatest(floor(t * 2) + 1, least(floor(e * 2), n))::BIGINT AS z FROM sg JOIN cn USING (track) WHERE e IS NOT NULL)
+SELECT fr.track, seg, list_sum(list(round(feat[1], 9)))::DOUBLE IS NOT NULL AS there, round(avg(feat[1]), 6) AS first, round(avg(feat[64]), 6) AS last, count(*) AS frames FROM fr JOIN bv ON bv.track = fr.track AND beat >= a AND beat < z GROUP BY 1, 2""".replace("list_sum(list(round(feat[1], 9)))::DOUBLE IS NOT NULL AS there, ", "").replace(", count(*) AS frames", ""))
+def m6_segment_embeddings(spark, d):
+    b = _b(spark, d)
+    e = M.segment_embeddings(b, _boundaries(b), 2.0)
+    return rounded(e.select("track", "seg", F.get("feat", F.lit(0)).alias("first"), F.get("feat", F.lit(63)).alias("last")))
+
+
 @family(f"WITH {SSM} SELECT track, i, j, round(v, 6) AS v FROM ssm WHERE least(i, 99) < 20 AND least(j, 99) < 20")
 def m7_affinity(spark, d):
     return rounded(M.affinity(_b(spark, d).where("beat < 20")))

@@ -163,3 +163,12 @@ SELECT track, seg, lag, round(mean, 6) AS mean FROM r WHERE r <= 5""")
 def t18_within_section_jumps(spark, d):
     b = T.beats(spark, d).groupBy("track", F.floor(F.col("beat") / 25).alias("seg")).agg(F.min("beat").alias("start"), (F.max("beat") + 1).alias("end"))
     return rounded(S.within_section_jumps(_rec(spark, d), b, 4, 0.02))
+
+
+@family(f"""WITH {BV}, bt AS (SELECT track, beat, beat * 0.5::DOUBLE AS t, feat FROM bv), db AS (SELECT track, beat * 0.5 + 0.1 AS t FROM bv WHERE beat % 4 = 1), ds AS (SELECT d.track, b.beat, row_number() OVER (PARTITION BY d.track, d.t ORDER BY abs(b.t - d.t), b.beat) AS r FROM db d JOIN bt b USING (track)),
+st AS (SELECT DISTINCT track, beat FROM ds WHERE r = 1), cn AS (SELECT track, count(*) AS n FROM bv GROUP BY 1), bs AS (SELECT track, row_number() OVER w - 1 AS bar, beat AS start, beat * 0.5 AS t, coalesce(lead(beat) OVER w, n) AS stop FROM st JOIN cn USING (track) WINDOW w AS (PARTITION BY track ORDER BY beat))
+SELECT bs.track, bar, start, t::DOUBLE AS t, (stop * 0.5)::DOUBLE AS end_t, round(avg(feat[1]), 6) AS first, round(avg(feat[64]), 6) AS last FROM bs JOIN bv ON bv.track = bs.track AND beat >= start AND beat < stop GROUP BY ALL""")
+def t2_bar_features(spark, d):
+    b = T.beats(spark, d).withColumn("t", F.col("beat") * 0.5)
+    f = S.bar_features(b, b.where("beat % 4 = 1").select("track", (F.col("t") + 0.1).alias("t")))
+    return rounded(f.select("track", "bar", "start", "t", "end_t", F.get("feat", F.lit(0)).alias("first"), F.get("feat", F.lit(63)).alias("last")))

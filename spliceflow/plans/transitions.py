@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import beats as B
 from ..operators import transitions as Q
 from ..sources import tables as T
+from ..sources.files import component_rows
 from .base import BV, EV, Family, rounded
 from .similarity import REC, _rec
 
@@ -157,10 +158,47 @@ s AS (SELECT *, (successor + context + mfcc) / 3 AS sequential FROM c), z AS (SE
 SELECT track, i, j, round(d, 6) AS d, round(waveform, 6) AS waveform, round(sequential, 6) AS sequential, round(energy, 6) AS energy, round(quality, 6) AS quality, round(1 - quality, 6) AS cost FROM z WHERE quality >= 0.2""")
 def q20_transition_candidates(spark, d):
     b = _b(spark, d)
-    c = Q.transition_candidates(b, _snippets(b), _edge_db(b), k=6, guard=3, most=0.9)
+    c = Q.transition_candidates(b, _snippets(b), _edge_db(b), k=6, guard=3, most=0.9, weights={"waveform": 0.5, "sequential": 0.2, "energy": 0.07})
     return rounded(c.select("track", "i", "j", "d", "waveform", "sequential", "energy", "quality", "cost"))
 
 
+def _marks(b):
+    """Labels and segments of eight beats, bars of four; level, brightness, onsets and voice from single dimensions."""
+    at = lambda k: F.abs(F.get("feat", F.lit(k)))
+    seg = F.floor(F.col("beat") / 8)
+    return b.select("track", "beat", (seg % 3).cast("string").alias("label"), seg.alias("seg"), at(1).alias("rms"), at(4).alias("centroid"), at(3).alias("onset"), (2 * at(2)).alias("vocal"), (F.col("beat") % 4 == 3).alias("leads_in"), (F.col("beat") % 4 == 0).alias("is_downbeat"))
+
+
+def _full(spark, d):
+    b = _b(spark, d)
+    alike = Q.chroma_distance(b).groupBy("track", F.floor(F.col("i") / 8).alias("a"), F.floor(F.col("j") / 8).alias("b")).agg((1 - F.avg("d")).alias("similarity"))
+    return Q.transition_candidates(b, _snippets(b), _edge_db(b), k=6, guard=3, most=0.9, floor=0.05, marks=_marks(b), alike=alike)
+
+
+#: All seven weighted signals of the default weights, then the span, vocal and onset penalties.
+FULL = f"""{WAVE}, {CTX}, tv AS (SELECT track, max(2 * abs(feat[3])) AS mv, max(abs(feat[4])) AS mo FROM bv GROUP BY 1), sl AS (SELECT track, i // 8 AS a, j // 8 AS b, 1 - avg(d) AS section FROM cd GROUP BY 1, 2, 3),
+c AS (SELECT wf.*, greatest(0, least(1, {cos('n.feat', 'y.feat')})) AS successor, greatest(0, least(1, {cos('p.before', 'q.after')})) AS context, 1 - least(1, list_distance(x.feat[1:13], y.feat[1:13]) / sqrt(13.0::DOUBLE) / 0.6) AS mfcc,
+  CASE WHEN i // 8 % 3 = j // 8 % 3 THEN 1.0 ELSE 0 END::DOUBLE AS label, section, CASE WHEN i % 4 = 3 AND j % 4 = 0 THEN 1.0 ELSE 0 END::DOUBLE AS bar_align, greatest(0, 1 - abs(abs(x.feat[2]) - abs(y.feat[2])) / 0.2::DOUBLE) AS energy, greatest(0, 1 - abs(e) / 8.0::DOUBLE) AS edge_energy,
+  greatest(0, 1 - abs(abs(x.feat[5]) - abs(y.feat[5])) / 0.2::DOUBLE) AS centroid, 1 - abs(abs(x.feat[4]) / mo - abs(y.feat[4]) / mo) AS transient, 2 * abs(x.feat[3]) AS vi, 2 * abs(y.feat[3]) AS vj, mv, abs(y.feat[4]) AS oj
+  FROM wf JOIN bv x ON x.track = wf.track AND x.beat = i JOIN bv n ON n.track = wf.track AND n.beat = i + 1 JOIN bv y ON y.track = wf.track AND y.beat = j JOIN cv p ON p.track = wf.track AND p.beat = i JOIN cv q ON q.track = wf.track AND q.beat = j
+  JOIN tv ON tv.track = wf.track LEFT JOIN sl ON sl.track = wf.track AND sl.a = i // 8 AND sl.b = j // 8),
+s AS (SELECT *, (successor + context + mfcc) / 3 AS sequential FROM c),
+h AS (SELECT *, greatest(0, least(1, 1.0::DOUBLE / (0.5 / greatest(waveform, 0.001) + 0.2 / greatest(sequential, 0.001) + 0.15 / greatest(transient, 0.001) + 0.07 / greatest(energy, 0.001) + 0.04 / greatest(edge_energy, 0.001) + 0.02 / greatest(bar_align, 0.001) + 0.02 / greatest(centroid, 0.001)))) AS q0 FROM s),
+h1 AS (SELECT *, greatest(0, q0 - CASE WHEN abs(j - i) >= 32 THEN 0 WHEN label >= 0.5 THEN 0.12 ELSE 0.25 END) AS q1 FROM h), h2 AS (SELECT *, greatest(0, q1 - CASE WHEN mv >= 0.75 THEN 0.1 * least(1, 2 * abs(vi - vj)) + 0.3 * greatest(0, least(vi, vj) - 0.4) ELSE 0 END) AS q2 FROM h1),
+full_c AS (SELECT *, greatest(0, q2 - CASE WHEN oj < 0.25 THEN 0.12 * (0.25 - oj) / 0.25 ELSE 0 END) AS quality FROM h2)"""
+
+
+@family(f"WITH {FULL} SELECT track, i, j, label, bar_align, round(section, 6) AS section, round(energy, 6) AS energy, round(edge_energy, 6) AS edge_energy, round(centroid, 6) AS centroid, round(transient, 6) AS transient, round(sequential, 6) AS sequential, round(quality, 6) AS quality, round(1 - quality, 6) AS cost FROM full_c WHERE quality >= 0.05")
+def q20_full_candidates(spark, d):
+    return rounded(_full(spark, d).select("track", "i", "j", "label", "bar_align", "section", "energy", "edge_energy", "centroid", "transient", "sequential", "quality", "cost"))
+
+
+@family(f"""WITH {FULL} SELECT track, i AS from_beat, j AS to_beat, round(quality, 6) AS quality, round(waveform, 6) AS waveform, round(successor, 6) AS successor, 0.0::DOUBLE AS edge_splice, round(context, 6) AS context, label, round(section, 6) AS section, bar_align,
+  round(energy, 6) AS energy, round(edge_energy, 6) AS edge_energy, round(centroid, 6) AS centroid, round(transient, 6) AS transient_continuity, round(mfcc, 6) AS mfcc_continuity, round(d, 6) AS chroma_distance, round(abs(e), 3) AS energy_diff_db FROM full_c WHERE quality >= 0.05""")
+def s9_component_rows(spark, d):
+    return rounded(component_rows(_full(spark, d)))
+
+
 @family(f"""WITH {REC}, sgm AS (SELECT track, unnest(generate_series(0, 4)) AS seg FROM (SELECT DISTINCT track FROM bv)), bo AS (SELECT track, seg, seg * 10 AS st, seg * 10 + 10 AS en FROM sgm),
 c AS (SELECT r.track, a.seg AS a, b.seg AS b, i, j, v, row_number() OVER (PARTITION BY r.track, a.seg, b.seg ORDER BY v DESC, i, j) AS n FROM rec r JOIN bo a ON a.track = r.track AND abs(i - a.en) <= 4 JOIN bo b ON b.track = r.track AND abs(j - b.st) <= 4 WHERE a.seg <> b.seg AND v >= 0.05)
 SELECT track, a, b, i, j, round(v, 6) AS v FROM c WHERE n = 1""")
