@@ -1,8 +1,8 @@
 """Language-model scores by online logistic mixing of hashed-context bit predictors, over the running text.
 
 A text is read as one stream of symbols: its words, A-Z in lower case, with one blank between them, then one end. A symbol is a path
-through a binary tree that depends on the symbol before it (a Huffman code of the training text's pairs), so that a symbol takes
-few bits; every bit of every symbol is predicted. Three predictors look at the last 4 and 7 symbols and at the word so far; each
+through a binary tree that depends on the symbol before it and the class of the one before that (Huffman codes of the training text's
+counts), so that a symbol takes few bits; every bit of every symbol is predicted. Three predictors look at the last 4 and 7 symbols and at the word so far; each
 hashes its context and the place in the tree to a slot that holds how often a zero and a one followed in the training text. What a
 pair of counts is worth is itself observed: for every state, how often a one followed when the bit in question was left out. The
 log-odds are added with weights; which set of weights holds is decided by how well the contexts are known (the gate). The sets are
@@ -39,17 +39,24 @@ _SYMBOL = np.arange(256, dtype=np.uint8)
 _SYMBOL[0x41:0x5B] += 32
 _SYMBOL[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = BLANK
 ORDERS = (4, 7)  # and the word so far
-SLOT_BITS = (22, 22, 22)
-K = len(SLOT_BITS)
-_FACTOR = np.random.default_rng(11).integers(1, 2**62, K + 1, dtype=np.uint64) * _U(2) + _U(1)
-_NODE = np.random.default_rng(12).integers(0, 1 << 22, 256)
+SLOT_BITS = 22
+K = len(ORDERS) + 1
+#: Classes of the symbol before the last: some letters, blank and end, other letters, all else.
+_CLASS = np.full(256, 15, dtype=np.int64)
+_CLASS[0x61:0x7B] = 14
+for _i, _letters in enumerate([bytes([BLANK, END]), *(bytes([c]) for c in b"aeioulnrstdch")]):
+    _CLASS[list(_letters)] = _i
+PLACES = 16 * 256
+OWN_CODES = 512
+_FACTOR = np.random.default_rng(11).integers(1, 2**62, K + 2, dtype=np.uint64) * _U(2) + _U(1)
+_NODE = np.random.default_rng(12).integers(0, 1 << SLOT_BITS, 256)
 #: The last i of eight symbols, the latest in the highest byte.
 _LATEST = np.array([0, *((~np.uint64(0)) << _U(64 - 8 * i) for i in range(1, 9))], dtype=np.uint64)
 #: A slot holds a state: a level for its zeros and one for its ones. The first 32 levels are the counts themselves.
 LEVELS = 64
 _LEVEL = np.concatenate([np.arange(32), np.round(32 * 1.12 ** np.arange(LEVELS - 32))])
 _ZEROS, _ONES = _LEVEL[np.arange(LEVELS**2) // LEVELS], _LEVEL[np.arange(LEVELS**2) % LEVELS]
-GATES = 64
+GATES = 4**K
 RANGE, SEGMENT, STEP = 1 << 17, 1024, 64
 BLOCK = 1 << 16  # counters that travel together
 
@@ -73,8 +80,8 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(s, cut[1:][~closed], END), cut + np.concatenate([[0], np.cumsum(~closed)])
 
 
-def contexts(s: np.ndarray, start: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """(K, hi - lo) slots * 2 of the contexts before symbols lo to hi; start: where each text begins."""
+def contexts(s: np.ndarray, start: np.ndarray, lo: int, hi: int, place: np.ndarray) -> np.ndarray:
+    """(K, hi - lo) slots of the contexts before symbols lo to hi; start: where each text begins; place: from places()."""
     first = max(lo - 16, 0)
     padded = np.concatenate([np.full(16 - (lo - first), END, np.uint8), s[first:hi]])
     eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1)).copy().view("<u8").ravel()
@@ -91,85 +98,97 @@ def contexts(s: np.ndarray, start: np.ndarray, lo: int, hi: int) -> np.ndarray:
         near[np.unique(head[ok]) - lo] &= _LATEST[own]
     out = np.empty((K, n), dtype=np.int64)
     for k, order in enumerate(ORDERS):
-        out[k] = (((near >> _U(64 - 8 * order)) + _U(order)) * _FACTOR[k]) >> _U(64 - SLOT_BITS[k])
+        out[k] = (((near >> _U(64 - 8 * order)) + _U(order)) * _FACTOR[k]) >> _U(64 - SLOT_BITS)
     gap = (padded[15 : 15 + n] == BLANK) | (padded[15 : 15 + n] == END)
     if lo in (0, *begins.tolist()):
         gap[0] = True
-    place = np.arange(n, dtype=np.int32)
-    since = place - np.maximum.accumulate(np.where(gap, place, -16))  # how much of the word has been seen, from the range's start on
+    at = np.arange(n, dtype=np.int32)
+    since = at - np.maximum.accumulate(np.where(gap, at, -16))  # how much of the word has been seen, from the range's start on
     if n and not gap[0]:  # the word at the start of the range began before it
         before = padded[:16][::-1]
         stop = np.flatnonzero((before == BLANK) | (before == END))
         gone = int(stop[0]) if len(stop) else 16
         top = int(np.argmax(gap)) if gap.any() else n
-        since[:top] = np.minimum(place[:top] + gone, 16)
+        since[:top] = np.minimum(at[:top] + gone, 16)
     since = np.minimum(since, 16)
     a = near & _LATEST[np.minimum(since, 8)]
     b = far & _LATEST[np.maximum(since - 8, 0)]
-    out[K - 1] = ((a * _FACTOR[K - 1]) ^ (b * _FACTOR[K]) + since.astype(np.uint64)) * _FACTOR[0] >> _U(64 - SLOT_BITS[K - 1])
-    out <<= 1
+    # the tree is part of the context: under two symbols the word so far does not tell it
+    out[K - 1] = ((a * _FACTOR[K - 1]) ^ (b * _FACTOR[K]) + (since.astype(np.uint64) << _U(16)) + place.astype(np.uint64) * _FACTOR[K + 1]) * _FACTOR[0] >> _U(64 - SLOT_BITS)
     return out
 
 
 class Code:
-    """The bits of a symbol given the one before: length[before, symbol], and per bit the node of the tree and the value."""
-
-    def __init__(self, pairs: np.ndarray):
-        """pairs: (256, 256) counts. Where little is known, symbols are as likely as in the whole text; none takes over 40 bits."""
-        common = (pairs.sum(0) + 1) / (pairs.sum() + 256)
-        self.length = np.zeros((256, 256), np.int64)
-        paths = {}
-        for before in range(256):
-            share = pairs[before] + 4 * common
-            share = np.maximum(share / share.sum(), 2.0**-22)
-            heap = [(p, i) for i, p in enumerate(share.tolist())]
-            heapq.heapify(heap)
-            kids, n = {}, 256
-            while len(heap) > 1:
-                (p, a), (q, b) = heapq.heappop(heap), heapq.heappop(heap)
-                kids[n] = (a, b)
-                heapq.heappush(heap, (p + q, n))
-                n += 1
-            todo = [(n - 1, ())]
-            while todo:
-                v, path = todo.pop()
-                if v < 256:
-                    paths[before, v] = path
-                    self.length[before, v] = len(path)
-                else:
-                    todo += [(kid, (*path, (v - 256, bit))) for bit, kid in enumerate(kids[v])]
-        self.first = np.concatenate([[0], np.cumsum(self.length.ravel())])[:-1]
-        flat = [x for before in range(256) for v in range(256) for x in paths[before, v]]
+    """The bits of a symbol at a place: of each the node of the tree and the value. Every symbol has a tree for what follows it; the
+    OWN_CODES most frequent places have their own."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: (PLACES, 256). Where little is known, symbols are as likely as in the whole text; none takes over 40 bits."""
+        common = (counts.sum(0) + 1) / (counts.sum() + 256)
+        after = counts.reshape(16, 256, 256).sum(0)
+        seen = counts.sum(1)
+        own = [int(x) for x in np.argsort(-seen, kind="stable")[:OWN_CODES] if seen[x] >= 1000]
+        self.which = np.tile(np.arange(256), 16)
+        self.which[own] = 256 + np.arange(len(own))
+        lengths, flat = [], []
+        for c in [*after, *counts[own]]:
+            share = c + 4 * common
+            paths = _huffman(np.maximum(share / share.sum(), 2.0**-22).tolist())
+            lengths += [len(p) for p in paths]
+            flat += [x for p in paths for x in p]
+        self.length = np.array(lengths)
+        self.first = np.cumsum(self.length) - self.length
         node, bit = np.array(flat, dtype=np.int64).T
         self.step = _NODE[node] * 2 + bit
-        self.length = self.length.ravel()
 
-    def bits(self, s: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def bits(self, s: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which symbol, hash of the node * 2 + value) of every bit, and where each symbol's bits begin."""
-        key = before.astype(np.int64) * 256 + s
-        n = self.length[key]
+        key = self.which.take(place)
+        key *= 256
+        key += s
+        n = self.length.take(key)
         begin = np.cumsum(n) - n
         of = np.repeat(np.arange(len(s)), n)
         at = np.arange(len(of))
-        at += (self.first[key] - begin).take(of)
+        at += (self.first.take(key) - begin).take(of)
         return of, self.step.take(at), begin
 
 
-def _before(s: np.ndarray, start: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    out = np.empty(hi - lo, np.uint8)
-    out[1:] = s[lo : hi - 1]
-    out[:1] = s[lo - 1] if lo else END
-    out[start[(start >= lo) & (start < hi)] - lo] = END
+def _huffman(share: list[float]) -> list[tuple]:
+    """(node, bit) of every step to each symbol."""
+    heap = [(p, i) for i, p in enumerate(share)]
+    heapq.heapify(heap)
+    kids, n = {}, 256
+    while len(heap) > 1:
+        (p, a), (q, b) = heapq.heappop(heap), heapq.heappop(heap)
+        kids[n] = (a, b)
+        heapq.heappush(heap, (p + q, n))
+        n += 1
+    paths: list[tuple] = [()] * 256
+    todo = [(n - 1, ())]
+    while todo:
+        v, path = todo.pop()
+        if v < 256:
+            paths[v] = path
+        else:
+            todo += [(kid, (*path, (v - 256, bit))) for bit, kid in enumerate(kids[v])]
+    return paths
+
+
+def places(s: np.ndarray, start: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The place of symbols lo to hi: class of the symbol before the last * 256 + the last; END before a text."""
+    last, other = (np.concatenate([np.full(max(0, k - lo), END, np.uint8), s[max(0, lo - k) : max(0, hi - k)]])[: hi - lo] for k in (1, 2))
+    begins = start[np.searchsorted(start, lo - 1) : np.searchsorted(start, hi)] - lo
+    last[begins[begins >= 0]] = END
+    other[begins[begins >= 0]] = END
+    after = begins + 1
+    other[after[(after >= 0) & (after < hi - lo)]] = END
+    out = _CLASS.take(other)
+    out *= 256
+    out += last
     return out
 
 
-def _counter(ctx: np.ndarray, k: int, of: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """slot * 2 + value of every bit."""
-    at = ctx[k].take(of)
-    at ^= step & ((2 << SLOT_BITS[k]) - 1)
-    return at
-
-
 @dataclass
 class Model:
     """code; per predictor its table of states and the log-odds of each state; weights per gate."""
@@ -180,28 +199,31 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.concatenate([np.full((GATES, K), 0.4), np.zeros((GATES, 1))], axis=1))
 
     def inputs(self, s: np.ndarray, start: np.ndarray, lo: int, hi: int, left_out: bool):
-        """Of the bits of symbols lo to hi: the K + 1 inputs and room for two more rows, the gate and the value of each; and where each
+        """Of the bits of symbols lo to hi: the K inputs and room for two more rows, the gate and the value of each; and where each
         symbol's bits begin."""
-        ctx = contexts(s, start, lo, hi)
-        of, step, begin = self.code.bits(s[lo:hi], _before(s, start, lo, hi))
+        place = places(s, start, lo, hi)
+        ctx = contexts(s, start, lo, hi, place)
+        of, node, begin = self.code.bits(s[lo:hi], place)
         n = len(of)
-        bit = (step & 1).astype(np.uint8)
-        x = np.empty((K + 3, n + STEP), dtype=np.float32)
-        x[K], x[:, n:] = 0.3, 0
-        gate = np.zeros(n, dtype=np.uint8)
+        bit = (node & 1).astype(np.uint8)
+        node >>= 1
+        x = np.empty((K + 2, n + STEP), dtype=np.float32)
+        x[:, n:] = 0
+        gate = np.zeros(n, dtype=np.uint32)
         for k in range(K):
-            state = self.tables[k].take(_counter(ctx, k, of, step) >> 1)
+            slot = ctx[k].take(of)
+            slot ^= node
+            state = self.tables[k].take(slot)
             if left_out:
                 state = _WITHOUT.take(state * np.uint16(2) + bit)
             self.odds[k].take(state, out=x[k, :n], mode="clip")  # with this mode there is no second copy
-            gate *= 4
-            gate += _KNOWN.take(state)
+            gate <<= 2
+            gate |= x[k, :n].view(np.uint32) & 3  # see _log_odds
         return x, gate, bit, begin
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         w, at, n = self.weights.astype(np.float32), gate.astype(np.intp), len(gate)
         z = w[:, K].take(at)
-        z *= 0.3
         for k in range(K):
             part = w[:, k].take(at)
             part *= x[k, :n]
@@ -210,7 +232,7 @@ class Model:
 
 
 #: How well a state is known, from 0 to 3; and the state without one zero (at 2 * state) or one one (at 2 * state + 1).
-_KNOWN = np.digitize(_ZEROS + _ONES, [1, 3, 12]).astype(np.uint8)
+_KNOWN = np.digitize(_ZEROS + _ONES, [1, 3, 12]).astype(np.uint32)
 _LESS = np.where((np.arange(LEVELS) > 0) & (np.arange(LEVELS) < 32), np.arange(LEVELS) - 1, np.arange(LEVELS))
 _WITHOUT = np.stack([LEVELS * _LESS[np.arange(LEVELS**2) // LEVELS] + np.arange(LEVELS**2) % LEVELS, np.arange(LEVELS**2) // LEVELS * LEVELS + _LESS[np.arange(LEVELS**2) % LEVELS]], axis=1).ravel().astype(np.uint16)
 
@@ -229,10 +251,12 @@ def _observed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Of every state. States seen rarely are drawn to their counts; well-known ones stand for themselves."""
+    """Of every state. States seen rarely are drawn to their counts; well-known ones stand for themselves. How well the state is known goes
+    along in the two lowest bits of the number."""
     guess = (_ONES + 0.4) / (_ZEROS + _ONES + 0.8)
     p = (ones + 4 * guess) / (ones + zeros + 4)
-    return np.where(_ZEROS + _ONES >= 24, np.log(guess / (1 - guess)), np.clip(np.log(p / (1 - p)), -9, 9)).astype(np.float32)
+    odds = np.where(_ZEROS + _ONES >= 24, np.log(guess / (1 - guess)), np.clip(np.log(p / (1 - p)), -9, 9)).astype(np.float32)
+    return (odds.view(np.uint32) & ~np.uint32(3) | _KNOWN).view(np.float32)
 
 
 def _ranges(n: int) -> Iterator[tuple[int, int]]:
@@ -240,25 +264,25 @@ def _ranges(n: int) -> Iterator[tuple[int, int]]:
 
 
 def read(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """(pairs of symbols, stored word counts (h, c)) of all texts."""
+    """(symbols after each place, stored counts (kind, h, c), words being kind 0) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(1 << 16, dtype=np.int64)
+        seen = np.zeros(PLACES * 256, dtype=np.int64)
         made = lambda kind, h, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int8)), pa.array(h), pa.array(n)], ["kind", "h", "n"])
         for batch in slices(batches, "text"):
             s, off = symbols(batch.column("text"))
             for lo, hi in _ranges(len(s)):
-                pairs += np.bincount(_before(s, off[:-1], lo, hi).astype(np.int64) * 256 + s[lo:hi], minlength=1 << 16)
+                np.add.at(seen, places(s, off[:-1], lo, hi) * 256 + s[lo:hi], np.int64(1))
             h, n = np.unique(word_hashes(batch.column("text"))[0], return_counts=True)
             yield made(0, h.view(np.int64), n.astype(np.int64))
-        some = np.flatnonzero(pairs)
-        yield made(1, some.astype(np.int64), pairs[some])
+        some = np.flatnonzero(seen)
+        yield made(1, some.astype(np.int64), seen[some])
 
     counts = stored(docs.select("text").mapInArrow(run, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("c")))
-    got = counts.where("kind = 1").select("h", "c").toArrow()  # at most 65,536 rows
-    pairs = np.zeros(1 << 16, dtype=np.int64)
-    pairs[got["h"].to_numpy()] = got["c"].to_numpy()
-    return pairs.reshape(256, 256), counts
+    got = counts.where("kind = 1").select("h", "c").toArrow()  # at most PLACES * 256 rows
+    seen = np.zeros(PLACES * 256, dtype=np.int64)
+    seen[got["h"].to_numpy()] = got["c"].to_numpy()
+    return seen.reshape(PLACES, 256), counts
 
 
 def _blob(c: np.ndarray) -> bytes:
@@ -284,14 +308,17 @@ def count(docs: DataFrame, code: Code) -> Model:
     given = docs.sparkSession.sparkContext.broadcast(code)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, one = [np.zeros(2 << b, dtype=np.int32) for b in SLOT_BITS], np.int32(1)
+        counts, one = [np.zeros(2 << SLOT_BITS, dtype=np.int32) for _ in range(K)], np.int32(1)
         for batch in slices(batches, "text", 1 << 20):
             s, off = symbols(batch.column("text"))
             for lo, hi in _ranges(len(s)):
-                ctx = contexts(s, off[:-1], lo, hi)
-                of, step, _ = given.value.bits(s[lo:hi], _before(s, off[:-1], lo, hi))
+                place = places(s, off[:-1], lo, hi)
+                ctx = contexts(s, off[:-1], lo, hi, place) << 1
+                of, step, _ = given.value.bits(s[lo:hi], place)
                 for k in range(K):
-                    np.add.at(counts[k], _counter(ctx, k, of, step), one)
+                    at = ctx[k].take(of)
+                    at ^= step
+                    np.add.at(counts[k], at, one)
         part = TaskContext.get().partitionId() // 256
         for k in range(K):
             for b, c in enumerate(counts[k].reshape(-1, BLOCK)):
@@ -307,7 +334,7 @@ def count(docs: DataFrame, code: Code) -> Model:
 
     parts = docs.select("text").mapInArrow(run, "k int, b int, part int, counts binary").groupBy("k", "b", "part").applyInArrow(some, "k int, b int, counts binary")
     got = parts.groupBy("k", "b").applyInArrow(last, "k int, b int, states binary, seen binary").toArrow()
-    tables, seen = [np.zeros(1 << b, dtype=np.uint16) for b in SLOT_BITS], np.zeros((K, 2, LEVELS**2))
+    tables, seen = [np.zeros(1 << SLOT_BITS, dtype=np.uint16) for _ in range(K)], np.zeros((K, 2, LEVELS**2))
     for k, b, states, n in zip(*(got[c].to_pylist() for c in ("k", "b", "states", "seen"))):
         tables[k][b * BLOCK // 2 : (b + 1) * BLOCK // 2] = np.frombuffer(states, np.uint16)
         seen[k] += np.frombuffer(n).reshape(2, -1)
@@ -327,12 +354,10 @@ def fit(docs: DataFrame, model: Model, prior: float = 50.0) -> Model:
                 x, gate, bit, _ = m.inputs(s, off[:-1], lo, hi, True)
                 z = m.mixed(x, gate)
                 p = 1 / (1 + np.exp(-np.clip(z, -12, 12, out=z)))
-                order = np.argsort(gate, kind="stable")
-                ends = np.searchsorted(gate[order], np.arange(GATES + 1))
-                e, h = bit - p, p * (1 - p)
-                for g in np.flatnonzero(np.diff(ends)):
-                    at = order[ends[g] : ends[g + 1]]
-                    xg = x[: K + 1].take(at, axis=1)
+                e, h, gate = bit - p, p * (1 - p), gate.astype(np.uint8)
+                for g in np.flatnonzero(np.bincount(gate, minlength=GATES)):
+                    at = np.flatnonzero(gate == g)
+                    xg = np.concatenate([x[:K].take(at, axis=1), np.ones((1, len(at)), np.float32)])
                     slope[g] += xg @ e.take(at)
                     bend[g] += (xg * h.take(at)) @ xg.T
         n = GATES * (K + 1)
@@ -359,19 +384,21 @@ def log2_of_texts(model: Model, s: np.ndarray, off: np.ndarray, rate: float = 0.
         lo, hi = int(begin[j]), int(end[to - 1])
         x, gate, bit, first = model.inputs(s, off[:-1], lo, hi, False)
         cut = np.append(first, len(bit))[np.append(begin[j:to], hi) - lo]
-        x[K + 1, : len(bit)], x[K + 2, : len(bit)] = model.mixed(x, gate), 1 - 2.0 * bit  # the gate's sum, the value's sign
+        x[K, : len(bit)], x[K + 1, : len(bit)] = model.mixed(x, gate), 1 - 2.0 * bit  # the gate's sum, the value's sign
         runs = np.lib.stride_tricks.sliding_window_view(x, STEP, axis=1)
         size = np.diff(cut)
         order = np.argsort(-size, kind="stable")
         at, size = cut[:-1][order], size[order]
-        own = np.zeros((K + 1, len(order), 1), dtype=np.float32)
+        own, bias = np.zeros((K, len(order), 1), dtype=np.float32), np.zeros((len(order), 1), dtype=np.float32)
         sums, step = np.zeros(len(order)), np.arange(STEP)
         times = np.arange(0, int(size[0]), STEP)
         for t, n in zip(times.tolist(), np.searchsorted(-size, -times, "left").tolist()):  # n segments have bits left
             b = runs[:, at[:n] + t]
-            z = np.einsum("knj,knj->nj", np.broadcast_to(own[:, :n], (K + 1, n, STEP)), b[: K + 1]) + b[K + 1]
+            z = np.einsum("knj,knj->nj", np.broadcast_to(own[:, :n], (K, n, STEP)), b[:K])
+            z += b[K]
+            z += bias[:n]
             np.clip(z, -12, 12, out=z)
-            sign = b[K + 2]
+            sign = b[K + 1]
             odds = 1 + np.exp(sign * z)  # one over the probability of the value
             slope = (1 / odds - 1) * sign
             lost = np.log(odds)
@@ -379,7 +406,8 @@ def log2_of_texts(model: Model, s: np.ndarray, off: np.ndarray, rate: float = 0.
                 there = step < size[:n, None] - t
                 lost, slope = lost * there, slope * there
             sums[:n] += lost.sum(1)
-            own[:, :n, 0] += rate * np.einsum("knj,nj->kn", b[: K + 1], slope)
+            own[:, :n, 0] += rate * np.einsum("knj,nj->kn", b[:K], slope)
+            bias[:n, 0] += 0.1 * rate * slope.sum(1)
         out[j:to][order] = -sums / np.log(2)
         j = to
     return np.add.reduceat(out, np.searchsorted(begin, off[:-1])) if len(begin) else out
@@ -411,13 +439,13 @@ def score(docs: DataFrame, training: Column, id: str = "doc_id", text: str = "te
     spark: SparkSession = docs.sparkSession
     d = docs.select(F.col(id).alias("id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     seen = d.where("training")
-    pairs, counts = read(seen)
+    after, counts = read(seen)
     words = counts.where("kind = 0").select("h", "c")
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    ends = int(pairs[:, END].sum())
+    ends = int(after[:, END].sum())
     n_all, v_all = (total.n or 0) + ends, total.v + (ends > 0)
     top_h, top_c, least = _frequent(words, frequent)
-    model = train(seen, Code(pairs))
+    model = train(seen, Code(after))
     given = spark.sparkContext.broadcast((model, top_h, np.append(np.log10(top_c + 0.5), np.log10(0.5))))  # of bounded size
     low, end_base = np.log10(n_all + 0.5 * (v_all + 1)), np.log10(ends + 0.5)
 

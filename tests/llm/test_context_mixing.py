@@ -28,13 +28,14 @@ def test_symbols():
 
 def test_contexts_do_not_depend_on_neighbours_or_ranges():
     s, off = C.symbols(pa.array(TEXTS * 2))
-    whole = C.contexts(s, off[:-1], 0, len(s))
+    contexts = lambda s, start, lo, hi: np.vstack([C.contexts(s, start, lo, hi, C.places(s, start, lo, hi)), C.places(s, start, lo, hi)])
+    whole = contexts(s, off[:-1], 0, len(s))
     for a, b in zip(off[:-1], off[1:]):
-        alone = C.contexts(s[a:b], np.array([0]), 0, b - a)
+        alone = contexts(s[a:b], np.array([0]), 0, b - a)
         assert (alone == whole[:, a:b]).all()
     for lo in range(0, len(s), 7):
         hi = min(lo + 7, len(s))
-        assert (C.contexts(s, off[:-1], lo, hi) == whole[:, lo:hi]).all(), lo
+        assert (contexts(s, off[:-1], lo, hi) == whole[:, lo:hi]).all(), lo
 
 
 @pytest.fixture(scope="module")
@@ -43,8 +44,8 @@ def model(spark):
     words = ["the", "cat", "sat", "on", "mats", "being", "seen", "größer"]
     rows = [(k, " ".join(rng.choice(words, 60))) for k in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    pairs, _ = C.read(d)
-    return C.train(d, C.Code(pairs))
+    after, _ = C.read(d)
+    return C.train(d, C.Code(after))
 
 
 def test_probabilities_of_all_continuations_sum_to_one(model):
@@ -61,20 +62,20 @@ def brute_force(model, s, rate=0.01):
     for i, v in enumerate(s.tolist()):
         if i % C.SEGMENT == 0:
             own, grown, done = np.zeros(C.K + 1), np.zeros(C.K + 1), 0
-        before = s[i - 1] if i else C.END
-        slots = C.contexts(s[: i + 1], np.array([0]), i, i + 1)[:, 0] >> 1
-        key = int(before) * 256 + v
+        place = C.places(s[: i + 1], np.array([0]), i, i + 1)
+        slots = C.contexts(s[: i + 1], np.array([0]), i, i + 1, place)[:, 0]
+        key = int(model.code.which[place[0]]) * 256 + v
         for step in model.code.step[model.code.first[key] : model.code.first[key] + model.code.length[key]].tolist():
             node, bit = step >> 1, step & 1
-            states = [int(model.tables[k][slots[k] ^ (node & ((1 << C.SLOT_BITS[k]) - 1))]) for k in range(C.K)]
-            x = np.array([*(model.odds[k][states[k]] for k in range(C.K)), 0.3])
+            states = [int(model.tables[k][slots[k] ^ node]) for k in range(C.K)]
+            x = np.array([*(model.odds[k][states[k]] for k in range(C.K)), 1.0])
             gate = 0
             for a in states:
                 gate = gate * 4 + sum(C._LEVEL[a // C.LEVELS] + C._LEVEL[a % C.LEVELS] >= n for n in (1, 3, 12))
             z = min(12, max(-12, (model.weights[gate] + own) @ x))
             p = 1 / (1 + math.exp(-z))
             total += math.log2(p if bit else 1 - p)
-            grown += (bit - p) * x
+            grown += (bit - p) * np.array([*x[:-1], 0.1])
             done += 1
             if done % C.STEP == 0:
                 own, grown = own + rate * grown, np.zeros(C.K + 1)
