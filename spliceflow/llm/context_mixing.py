@@ -354,9 +354,11 @@ def fit(docs: DataFrame, model: Model, prior: float = 50.0) -> Model:
                 x, gate, bit, _ = m.inputs(s, off[:-1], lo, hi, True)
                 z = m.mixed(x, gate)
                 p = 1 / (1 + np.exp(-np.clip(z, -12, 12, out=z)))
-                e, h, gate = bit - p, p * (1 - p), gate.astype(np.uint8)
-                for g in np.flatnonzero(np.bincount(gate, minlength=GATES)):
-                    at = np.flatnonzero(gate == g)
+                order = np.argsort(gate.astype(np.uint8), kind="stable")
+                ends = np.cumsum(np.bincount(gate, minlength=GATES))
+                e, h = bit - p, p * (1 - p)
+                for g in np.flatnonzero(np.diff(ends, prepend=0)):
+                    at = order[ends[g - 1] if g else 0 : ends[g]]
                     xg = np.concatenate([x[:K].take(at, axis=1), np.ones((1, len(at)), np.float32)])
                     slope[g] += xg @ e.take(at)
                     bend[g] += (xg * h.take(at)) @ xg.T
