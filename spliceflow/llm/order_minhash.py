@@ -1,15 +1,14 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
 A text is cut into tokens of up to 8 characters that are not white space; its k-mers are runs of `k` tokens, numbered by occurrence
-so that repeats differ. Every occurrence-numbered k-mer is hashed onto a circle. Each of `anchors` points of the circle orders the
-k-mers by their distance after it (an ordering under which every k-mer is equally likely to come first); the `picks` first
-ones are put back into the order in which they stand in the text, and the hash of that tuple is one element of the signature. The
-share of equal elements tells how much of two texts agrees in content and order, and falls with edit distance.
-All orderings share one sort of the hashes, so a text costs the same for any number of anchors.
+so that repeats differ. Each of `permutations` independent hash functions orders the k-mers, and so does each in reverse; the `picks`
+first ones of an ordering are put back into the order in which they stand in the text, and the hash of that tuple is one element of
+the signature. The share of equal elements tells how much of two texts agrees in content and order, and falls with edit distance.
+The smallest and the largest values of one function are disjoint, so both orderings cost one sort.
 
 Defined cases: null text counts as empty; texts without tokens share one signature; a text of fewer k-mers than `picks` uses
-all it has, in a circle. Equal texts have equal signatures. Extra columns are ignored by the query and kept by `fingerprints`.
-Positions past 2^25 tokens count as equal.
+all it has. Equal texts have equal signatures. Extra columns are ignored by the query and kept by `fingerprints`. Positions are
+exact for every text: Spark's arrays of longs hold fewer than 2^28.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-POS_BITS, HASH_BITS = 25, 38
+POS_BITS, HASH_BITS = 28, 35
 _POS, _HASH = (1 << POS_BITS) - 1, (1 << HASH_BITS) - 1
 
 
@@ -27,16 +26,12 @@ def _pack(hashed: Column, pos: Column) -> Column:
     return F.shiftleft(hashed.bitwiseAND(F.lit(_HASH)), POS_BITS).bitwiseOR(pos)
 
 
-def with_signature(df: DataFrame, text: str, out: str, k: int = 2, picks: int = 2, anchors: int = 32) -> DataFrame:
-    """df with `out`: array of `anchors` longs. The steps are separate projections, each used more than once by the next."""
+def with_signature(df: DataFrame, text: str, out: str, k: int = 2, picks: int = 2, permutations: int = 16) -> DataFrame:
+    """df with `out`: array of 2 * permutations longs. The steps are separate projections, each used more than once by the next."""
     names = df.columns
-    bits = anchors.bit_length() - 1
-    if 1 << bits != anchors:
-        raise ValueError("anchors must be a power of two")
-    shift = POS_BITS + HASH_BITS - bits
     d = df.withColumn("__t", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S{1,8}"), F.lit(0)))
     mer = lambda t, i: F.xxhash64(t, *(F.coalesce(F.get("__t", i + j), F.lit("")) for j in range(1, k)))
-    d = d.withColumn("__a", F.sort_array(F.transform("__t", lambda t, i: _pack(mer(t, i), F.least(i.cast("long"), F.lit(_POS))))))
+    d = d.withColumn("__a", F.sort_array(F.transform("__t", lambda t, i: _pack(mer(t, i), i.cast("long")))))
     d = d.withColumn("__h", F.transform("__a", lambda x: F.shiftright(x, POS_BITS)))
     # sorted, equal k-mers stand together in the order of the text: the occurrence number is the distance to the first of them,
     # which is found by steps of halving length
@@ -46,19 +41,19 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = 2, picks: int =
         first = F.aggregate(steps, i, lambda at, step: F.when(same(at - step), at - step).otherwise(at))
         return F.when(same(i - 1), i - first).otherwise(F.lit(0)).cast("long")
 
-    d = d.withColumn("__s", F.sort_array(F.transform("__a", lambda x, i: _pack(F.xxhash64(F.shiftright(x, POS_BITS), again(x, i)), x.bitwiseAND(F.lit(_POS))))))
-    # places in the sorted circle where a new sector begins, as sector * 2^32 + place
-    begins = F.transform("__s", lambda x, i: F.when((i == 0) | (F.shiftright(F.get("__s", i - 1), shift) != F.shiftright(x, shift)), F.shiftleft(F.shiftright(x, shift), 32) + i))
-    d = d.withColumn("__b", F.filter(begins, lambda x: x.isNotNull())).withColumn("__n", F.size("__s"))
+    d = d.withColumn("__s", F.transform("__a", lambda x, i: _pack(F.xxhash64(F.shiftright(x, POS_BITS), again(x, i)), x.bitwiseAND(F.lit(_POS))))).withColumn("__n", F.size("__s"))
 
-    def element(b: Column) -> Column:
-        at = F.coalesce(F.get(F.filter("__b", lambda x: F.shiftright(x, 32) >= b), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0).cast("long")).cast("int")
-        picked = F.transform(F.sequence(F.lit(0), F.least(F.lit(picks), F.col("__n")) - 1), lambda j: F.get("__s", (at + j) % F.col("__n")))
+    def element(at: str, first: Column) -> Column:
+        """Hash of the picks k-mers from `first` on in the ordering `at`, as they stand in the text."""
+        picked = F.slice(at, first, picks)
         in_text = F.sort_array(F.transform(picked, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_POS)), HASH_BITS).bitwiseOR(F.shiftright(x, POS_BITS))))
         return F.xxhash64(F.transform(in_text, lambda x: x.bitwiseAND(F.lit(_HASH))))
 
-    some = F.transform(F.sequence(F.lit(0), F.lit(anchors - 1)), element)
-    return d.withColumn(out, F.when(F.col("__n") > 0, some).otherwise(F.array_repeat(F.lit(0).cast("long"), anchors))).select(*names, out)
+    ordered = lambda n: F.sort_array(F.transform("__s", lambda x: _pack(F.xxhash64(F.shiftright(x, POS_BITS), F.lit(n)), x.bitwiseAND(F.lit(_POS)))))
+    d = d.withColumns({f"__o{n}": ordered(n) for n in range(permutations)})
+    back = F.greatest(F.lit(1), F.col("__n") - picks + 1)
+    some = F.array(*(element(f"__o{n}", first) for n in range(permutations) for first in (F.lit(1), back)))
+    return d.withColumn(out, F.when(F.col("__n") > 0, some).otherwise(F.array_repeat(F.lit(0).cast("long"), 2 * permutations))).select(*names, out)
 
 
 def likeness(a: Column, b: Column) -> Column:
