@@ -132,9 +132,14 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """The components after further links (a, b): only the graph of components is solved again."""
     of = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     x = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    up = components(stored(x.select("ca", "cb").distinct()), "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("up"))
+    edges = stored(x.select("ca", "cb").distinct())
+    solved = components(edges, "ca", "cb")
+    up = solved.select(F.col("id").alias("component"), F.col("component").alias("up"))
     new = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comps, "id", "left_anti").select("id", F.col("id").alias("component"))
-    return stored(comps.union(new).join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+    out = stored(comps.union(new).join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")))
+    for table in (edges, solved, links, comps):
+        drop_stored(table)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 2, percent: int = 80, permutations: int = 64, band: int = 4) -> DataFrame:
@@ -173,7 +178,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     of_set = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = stored(out.select(F.col("id").alias(id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
+    for table in (rows, reps, sets, at, comps):
+        drop_stored(table)
+    return out
 
 
 def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -189,11 +197,13 @@ def _rest(at: DataFrame, sets: DataFrame, rows: DataFrame, fits, percent: int) -
     counts = at.groupBy("band", "component").agg(F.count("*").alias("m"))
     main = counts.groupBy("band").agg(F.max(F.struct("m", "component")).alias("main")).select("band", F.col("main.component").alias("main"))
     known = sets.join(rows.select("id", "bands").where(F.size("bands") > 0).dropDuplicates(["id"]), "id").select("id", "shingles", "bands")
-    full = at.select("j", "band", "id", "n", "component").join(known, "id")
-    out = full.join(main, "band").where("component <> main").drop("main")
+    # a large band is dealt out in parts of about 512 members; those outside its main component meet every part
+    parts = counts.groupBy("band").agg(F.ceil(F.sum("m") / 512).alias("parts"))
+    full = at.select("j", "band", "id", "n", "component").join(parts, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).join(known, "id")
+    out = full.join(main, "band").where("component <> main").drop("main", "part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     x, y = out.alias("x"), full.alias("y")
     c = lambda name: F.col(name)
     both = F.size(F.array_intersect(c("x.shingles"), c("y.shingles")))
     before = F.exists(F.zip_with(F.slice(c("x.bands"), 1, c("x.j")), F.slice(c("y.bands"), 1, c("y.j")), lambda p, q: p == q), lambda e: e)
     link = F.when((c("x.component") == c("y.component")) | ~fits(c("x.n"), c("y.n")), False).when(before, False).otherwise(100 * both >= percent * (c("x.n") + c("y.n") - both))
-    return x.join(y, (c("x.band") == c("y.band")) & link).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    return x.join(y, (c("x.band") == c("y.band")) & (c("x.part") == c("y.part")) & link).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
