@@ -134,6 +134,18 @@ def test_exact_top_k(spark):
     assert ball_tree.top_k(ball_tree.quantised(v.limit(0)), every=20).count() == 0
 
 
+def test_search_prunes_what_it_need_not_score():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 60, (40, 16))
+    x = np.floor(np.repeat(centres, 200, axis=0) + rng.normal(0, 3, (8000, 16))).astype(np.int64)
+    ids, q = rng.permutation(8000), x[::100]
+    found = ball_tree.Search(ids, x, ids[::100], q, np.full(len(q), -(2.0**62)), 20)
+    for n in range(len(q)):
+        want = sorted((-int(s), int(i)) for s, i in zip(x @ q[n], ids) if i != ids[100 * n])[:20]
+        assert [(-int(s), int(i)) for s, i in zip(*found.best[n])] == want
+    assert found.scored < 0.45 * len(x) * len(q)
+
+
 def test_quality(spark):
     good, bad = "a calm text of plain words about things. ", "BUY!!! NOW### $$$ CLICK!!! "
     rows = [(k, (good if k % 2 else bad) * (3 + k % 5)) for k in range(80)]
