@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_bounds, slices, stored, text_buffers, word_hashes
+from .common import drop_stored, row_bounds, slices, stored, text_buffers, word_hashes
 
 _MOST = 2_000_000
 #: 1: ASCII letters, 2: marks between which and a letter every token of the tokenizer ends, 0: all other bytes.
@@ -257,7 +257,10 @@ def pack(table: DataFrame, cap: int = 2048, shard_pieces: int = 4096, islands: i
     again = packed.where(poor).groupBy(group).applyInArrow(met, f"{ddl}, seq long, offset long, fill long")
     out = packed.where(~poor).union(again).select(*cols, F.col("seq").alias("sequence_id"), "offset")
     alone = full.select(*cols, (-1 - F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return out.union(alone)
+    out = stored(out.union(alone))
+    drop_stored(packed)
+    drop_stored(table)
+    return out
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", length: int = 2048, with_ids: bool = False, **how) -> DataFrame:
