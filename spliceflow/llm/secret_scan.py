@@ -24,7 +24,6 @@ BASE_KINDS = [
 ]
 ENTROPY_KIND = "entropy"
 KINDS = [*(k for k, *_ in BASE_KINDS), ENTROPY_KIND]
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Character class, pattern of the whole run, least entropy of its best window (20 characters have at most 4.32 bits).
@@ -33,7 +32,7 @@ CLASSES = [("hex", r"^([0-9A-F]+|[0-9a-f]+)$", 3.0), ("alnum", r"^[A-Za-z0-9]+$"
 ALLOW = [
     r"^[A-Za-z]+$", r"^[A-Za-z]*([-_/=+]+[A-Za-z]*)+$", r"^[0-9_=+/-]+$", r"^/?([a-z0-9.]{1,16}[/_-])+[a-z0-9.]{0,16}$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)abcdefghijklm|0123456789|example|placeholder|changeme|your[_-]", r"^(.{1,4})\1{3,}$",
+    r"(?i)^[a-z0-9]{0,8}[_-]?(abcdefghijklm[a-z]*|0?123456789[0-9]*|example|placeholder|changeme|your)([_-]?[a-z]{0,12}){0,4}[0-9]{0,4}$", r"^(.{1,4})\1{3,}.{0,3}$",
 ]
 
 
@@ -57,24 +56,23 @@ def _placed(text: Column, pattern: str, found: Column, kept: Column, kind: int,
 
 
 def _best_entropy(run: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, over all windows of the run. The state holds the counts and the sum of c * log2 c."""
-    n = len(ALPHABET)
+    """Largest Shannon entropy, in bits, over all windows of the run. The state is the window's text, from which the count of the character
+    that enters and of the one that leaves are read, and the sum of c * log2 c, which these two counts change."""
     f = lambda c: F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i, F.lit(1))) - 1
-    bump = lambda counts, k, by: F.transform(counts, lambda c, j: F.when(j == k, c + by).otherwise(c))
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
 
     def step(a: Column, i: Column) -> Column:
-        k, out = code(i), code(i - window)
-        c = F.get(a["counts"], k)
-        grown, s1 = bump(a["counts"], k, 1), a["s"] + f(c + 1) - f(c)
-        d = F.get(grown, out)
-        full = i > window
-        counts = F.when(full, bump(grown, out, -1)).otherwise(grown)
-        s = F.when(full, s1 + f(d - 1) - f(d)).otherwise(s1)
-        best = F.when(i >= window, F.greatest(a["best"], F.log2(F.lit(float(window))) - s / window)).otherwise(a["best"])
-        return F.struct(counts.alias("counts"), s.alias("s"), best.alias("best"))
-
-    start = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+        new, full = F.substring(run, i, F.lit(1)), i > window
+        old = F.substring(a["text"], F.lit(1), F.lit(1))
+        d = count(a["text"], old)
+        s1 = F.when(full, a["s"] + f(d - 1) - f(d)).otherwise(a["s"])
+        kept = F.when(full, F.substring(a["text"], F.lit(2), F.lit(window))).otherwise(a["text"])
+        c = count(kept, new)
+        s2 = s1 + f(c + 1) - f(c)
+        best = F.when(i >= window, F.greatest(a["best"], F.log2(F.lit(float(window))) - s2 / window)).otherwise(a["best"])
+        return F.struct(F.concat(kept, new).alias("text"), s2.alias("s"), best.alias("best"))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
     return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda a: a["best"])
 
 
@@ -114,7 +112,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.select(*names, "base_spans", F.when(F.size("__more") > 0, F.array_sort(F.concat("base_spans", outside))).otherwise(F.col("base_spans")).alias("spans"))
 
 
-def written(spans: Column) -> Column:
+def written(spans: Column | str) -> Column:
     """kind:start:end of the spans, joined by commas."""
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
