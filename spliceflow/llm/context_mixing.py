@@ -52,10 +52,11 @@ _FACTOR = np.random.default_rng(11).integers(1, 2**62, K + 2, dtype=np.uint64) *
 _NODE = np.random.default_rng(12).integers(0, 1 << SLOT_BITS, 256)
 #: The last i of eight symbols, the latest in the highest byte.
 _LATEST = np.array([0, *((~np.uint64(0)) << _U(64 - 8 * i) for i in range(1, 9))], dtype=np.uint64)
-#: A slot holds a state: a level for its zeros and one for its ones. The first 32 levels are the counts themselves.
-LEVELS = 64
-_LEVEL = np.concatenate([np.arange(32), np.round(32 * 1.12 ** np.arange(LEVELS - 32))])
-_ZEROS, _ONES = _LEVEL[np.arange(LEVELS**2) // LEVELS], _LEVEL[np.arange(LEVELS**2) % LEVELS]
+#: A slot holds a state of one byte: a level for its zeros and one for its ones, each the least count of the level.
+LEVELS = 16
+_LEVEL = np.array([0, 1, 2, 3, 4, 5, 7, 10, 14, 20, 32, 52, 90, 160, 300, 600])
+_MIDDLE = np.where(np.arange(LEVELS) < 6, _LEVEL, np.sqrt(_LEVEL * np.append(_LEVEL[1:], 600)))
+_ZEROS, _ONES = _MIDDLE[np.arange(LEVELS**2) // LEVELS], _MIDDLE[np.arange(LEVELS**2) % LEVELS]
 GATES = 4**K
 RANGE, SEGMENT, STEP = 1 << 17, 1024, 64
 BLOCK = 1 << 16  # counters that travel together
@@ -198,7 +199,7 @@ class Model:
     odds: list[np.ndarray]
     weights: np.ndarray = field(default_factory=lambda: np.concatenate([np.full((GATES, K), 0.4), np.zeros((GATES, 1))], axis=1))
 
-    def inputs(self, s: np.ndarray, start: np.ndarray, lo: int, hi: int, left_out: bool):
+    def inputs(self, s: np.ndarray, start: np.ndarray, lo: int, hi: int):
         """Of the bits of symbols lo to hi: the K inputs and room for two more rows, the gate and the value of each; and where each
         symbol's bits begin."""
         place = places(s, start, lo, hi)
@@ -213,10 +214,7 @@ class Model:
         for k in range(K):
             slot = ctx[k].take(of)
             slot ^= node
-            state = self.tables[k].take(slot)
-            if left_out:
-                state = _WITHOUT.take(state * np.uint16(2) + bit)
-            self.odds[k].take(state, out=x[k, :n], mode="clip")  # with this mode there is no second copy
+            self.odds[k].take(self.tables[k].take(slot), out=x[k, :n], mode="clip")  # with this mode there is no second copy
             gate <<= 2
             gate |= x[k, :n].view(np.uint32) & 3  # see _log_odds
         return x, gate, bit, begin
@@ -231,10 +229,21 @@ class Model:
         return z
 
 
-#: How well a state is known, from 0 to 3; and the state without one zero (at 2 * state) or one one (at 2 * state + 1).
+#: How well a state is known, from 0 to 3.
 _KNOWN = np.digitize(_ZEROS + _ONES, [1, 3, 12]).astype(np.uint32)
-_LESS = np.where((np.arange(LEVELS) > 0) & (np.arange(LEVELS) < 32), np.arange(LEVELS) - 1, np.arange(LEVELS))
-_WITHOUT = np.stack([LEVELS * _LESS[np.arange(LEVELS**2) // LEVELS] + np.arange(LEVELS**2) % LEVELS, np.arange(LEVELS**2) // LEVELS * LEVELS + _LESS[np.arange(LEVELS**2) % LEVELS]], axis=1).ravel().astype(np.uint16)
+
+
+def _without() -> np.ndarray:
+    """The state without the bit itself, at (draw * LEVELS^2 + state) * 2 + bit. One less than the counts of a wide level is mostly of the same
+    level: of eight draws the share that counts equal to the level's least have goes a level down."""
+    width = np.append(np.diff(_LEVEL), 10**6)
+    down = np.arange(8)[:, None] < np.rint(8 / width)[None, :]
+    less = np.where(down, np.maximum(np.arange(LEVELS) - 1, 0), np.arange(LEVELS))
+    zeros, ones = np.divmod(np.arange(LEVELS**2), LEVELS)
+    return np.stack([less[:, zeros] * LEVELS + ones, zeros * LEVELS + less[:, ones]], axis=2).ravel()
+
+
+_WITHOUT = _without()
 
 
 def _observed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,17 +251,17 @@ def _observed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Counts beyond the last level are brought under it in the same proportion, none that occurs becoming 0."""
     c = c.reshape(-1, 2).astype(np.float64)
     top = c.max(1)
-    small = c * np.where(top > _LEVEL[-1], _LEVEL[-1] / np.maximum(top, 1), 1.0)[:, None]
-    level = np.maximum(np.searchsorted(_LEVEL, small, "right") - 1, c > 0)
-    state = (level[:, 0] * LEVELS + level[:, 1]).astype(np.uint16)
-    zeros = np.bincount(_WITHOUT[2 * state.astype(int)], weights=c[:, 0], minlength=LEVELS**2)
-    ones = np.bincount(_WITHOUT[2 * state.astype(int) + 1], weights=c[:, 1], minlength=LEVELS**2)
-    return state, zeros, ones
+    share = np.where(top > _LEVEL[-1], _LEVEL[-1] / np.maximum(top, 1), 1.0)
+    level = lambda n: np.maximum(np.searchsorted(_LEVEL, n * share, "right") - 1, n > 0)
+    zeros, ones = c[:, 0], c[:, 1]
+    lz, lo = level(zeros), level(ones)
+    seen = lambda a, b, n: np.bincount((a * LEVELS + b)[n > 0], weights=n[n > 0], minlength=LEVELS**2)
+    return (lz * LEVELS + lo).astype(np.uint8), seen(level(np.maximum(zeros - 1, 0)), lo, zeros), seen(lz, level(np.maximum(ones - 1, 0)), ones)
 
 
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Of every state. States seen rarely are drawn to their counts; well-known ones stand for themselves. How well the state is known goes
-    along in the two lowest bits of the number."""
+    """Of every state. Those of few counts are as observed, drawn to their counts where seen rarely; those of many stand for themselves, as
+    copies of texts would make them look surer than they are. How well the state is known goes along in the two lowest bits of the number."""
     guess = (_ONES + 0.4) / (_ZEROS + _ONES + 0.8)
     p = (ones + 4 * guess) / (ones + zeros + 4)
     odds = np.where(_ZEROS + _ONES >= 24, np.log(guess / (1 - guess)), np.clip(np.log(p / (1 - p)), -9, 9)).astype(np.float32)
@@ -334,44 +343,71 @@ def count(docs: DataFrame, code: Code) -> Model:
 
     parts = docs.select("text").mapInArrow(run, "k int, b int, part int, counts binary").groupBy("k", "b", "part").applyInArrow(some, "k int, b int, counts binary")
     got = parts.groupBy("k", "b").applyInArrow(last, "k int, b int, states binary, seen binary").toArrow()
-    tables, seen = [np.zeros(1 << SLOT_BITS, dtype=np.uint16) for _ in range(K)], np.zeros((K, 2, LEVELS**2))
+    tables, seen = [np.zeros(1 << SLOT_BITS, dtype=np.uint8) for _ in range(K)], np.zeros((K, 2, LEVELS**2))
     for k, b, states, n in zip(*(got[c].to_pylist() for c in ("k", "b", "states", "seen"))):
-        tables[k][b * BLOCK // 2 : (b + 1) * BLOCK // 2] = np.frombuffer(states, np.uint16)
+        tables[k][b * BLOCK // 2 : (b + 1) * BLOCK // 2] = np.frombuffer(states, np.uint8)
         seen[k] += np.frombuffer(n).reshape(2, -1)
     return Model(code, tables, [_log_odds(*seen[k]) for k in range(K)])
 
 
-def fit(docs: DataFrame, model: Model, prior: float = 50.0) -> Model:
-    """The model with the gates' weights after one step of Newton's method over all bits of all texts."""
-    given = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+def _kinds(odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kind of every state, log-odds of every kind): how well a state is known, and sixteen levels of its log-odds."""
+    level = np.clip(np.rint(odds / 0.75 + 7.5), 0, 15).astype(np.int64)
+    kind = _KNOWN.astype(np.int64) * 16 + level
+    n = np.bincount(kind, minlength=64)
+    return kind, np.bincount(kind, weights=odds, minlength=64) / np.maximum(n, 1)
+
+
+def fit(docs: DataFrame, model: Model, prior: float = 50.0, rounds: int = 8) -> Model:
+    """The model with the gates' weights that fit all bits of all texts best, by Newton's method. For this the states of a predictor fall into
+    64 kinds: the bits of all texts are counted by the kinds of their states (the bit itself being left out) and by value, which settles
+    every sum that the method needs."""
+    kinds, levels = zip(*(_kinds(o) for o in model.odds))
+    without = [(k[_WITHOUT] << 6 * (K - 1 - i)) * 2 for i, k in enumerate(kinds)]  # by (draw, state, value)
+    given = docs.sparkSession.sparkContext.broadcast((model, without))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = given.value
-        slope, bend = np.zeros((GATES, K + 1)), np.zeros((GATES, K + 1, K + 1))
+        m, without = given.value
+        seen, one = np.zeros(2 << 6 * K, dtype=np.int64), np.int64(1)
         for batch in slices(batches, "text", 1 << 20):
             s, off = symbols(batch.column("text"))
             for lo, hi in _ranges(len(s)):
-                x, gate, bit, _ = m.inputs(s, off[:-1], lo, hi, True)
-                z = m.mixed(x, gate)
-                p = 1 / (1 + np.exp(-np.clip(z, -12, 12, out=z)))
-                order = np.argsort(gate.astype(np.uint8), kind="stable")
-                ends = np.cumsum(np.bincount(gate, minlength=GATES))
-                e, h = bit - p, p * (1 - p)
-                for g in np.flatnonzero(np.diff(ends, prepend=0)):
-                    at = order[ends[g - 1] if g else 0 : ends[g]]
-                    xg = np.concatenate([x[:K].take(at, axis=1), np.ones((1, len(at)), np.float32)])
-                    slope[g] += xg @ e.take(at)
-                    bend[g] += (xg * h.take(at)) @ xg.T
-        n = GATES * (K + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n * (K + 2)), pa.int32()), pa.array(np.concatenate([slope.ravel(), bend.ravel()]))], ["i", "x"])
-
-    got = docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    n = GATES * (K + 1)
-    sums = np.zeros(n * (K + 2))
-    sums[got["i"].to_numpy()] = got["x"].to_numpy()
-    slope, bend = sums[:n].reshape(GATES, K + 1), sums[n:].reshape(GATES, K + 1, K + 1)
-    step = np.linalg.solve(bend + prior * np.eye(K + 1), slope[:, :, None])[:, :, 0]
-    return Model(model.code, model.tables, model.odds, model.weights + np.clip(step, -2, 2))
+                place = places(s, off[:-1], lo, hi)
+                ctx = contexts(s, off[:-1], lo, hi, place)
+                of, node, _ = m.code.bits(s[lo:hi], place)
+                bit = node & 1
+                node >>= 1
+                cell = bit.copy()
+                for k in range(K):
+                    slot = ctx[k].take(of)
+                    slot ^= node
+                    at = m.tables[k].take(slot).astype(np.intp)
+                    slot &= 7  # the draw
+                    slot *= LEVELS**2
+                    at += slot
+                    at <<= 1
+                    at += bit
+                    cell += without[k].take(at)
+                np.add.at(seen, cell, one)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some])], ["cell", "n"])
+
+    got = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * 64^K rows
+    cell, n = got["cell"].to_numpy(), got["n"].to_numpy().astype(np.float64)
+    kind = [cell >> 1 + 6 * (K - 1 - k) & 63 for k in range(K)]
+    gate, x = np.zeros(len(cell), np.int64), np.ones((len(cell), K + 1))
+    for k in range(K):
+        gate = gate * 4 + kind[k] // 16
+        x[:, k] = levels[k][kind[k]]
+    weights = model.weights.copy()
+    for g in np.unique(gate):
+        at = gate == g
+        xg, ng, one = x[at], n[at], cell[at] & 1
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(xg @ weights[g], -12, 12)))
+            step = np.linalg.solve((xg * (ng * p * (1 - p))[:, None]).T @ xg + prior * np.eye(K + 1), xg.T @ (ng * (one - p)))
+            weights[g] += np.clip(step, -2, 2)
+    return Model(model.code, model.tables, model.odds, weights)
 
 
 def log2_of_texts(model: Model, s: np.ndarray, off: np.ndarray, rate: float = 0.01) -> np.ndarray:
@@ -384,7 +420,7 @@ def log2_of_texts(model: Model, s: np.ndarray, off: np.ndarray, rate: float = 0.
     while j < len(begin):
         to = max(j + 1, int(np.searchsorted(end, begin[j] + 2 * RANGE, "right")))
         lo, hi = int(begin[j]), int(end[to - 1])
-        x, gate, bit, first = model.inputs(s, off[:-1], lo, hi, False)
+        x, gate, bit, first = model.inputs(s, off[:-1], lo, hi)
         cut = np.append(first, len(bit))[np.append(begin[j:to], hi) - lo]
         x[K, : len(bit)], x[K + 1, : len(bit)] = model.mixed(x, gate), 1 - 2.0 * bit  # the gate's sum, the value's sign
         runs = np.lib.stride_tricks.sliding_window_view(x, STEP, axis=1)
