@@ -247,6 +247,42 @@ def accept_anchor(score: Column, baseline: Column, local: Column, local_baseline
     return (score >= baseline + 0.02) | ((vocal >= 0.28) & (local >= local_baseline + 0.01))
 
 
+def resolve_splices(splices: DataFrame, rate: int, teaser_out: float = 0.320, teaser_in: float = 0.180, teaser_gap: float = 0.060) -> DataFrame:
+    """splices with fade_out, fade_in, gap (teaser fades) or out_cut, in_start, overlap, all in samples, null where they do not apply.
+
+    splices: successor (sample after the outgoing beat), beat_start and beat_end of the incoming one, crossfade (samples), n_samples of the
+    track; teaser (boolean); refined_out and refined_in, anchor_out, anchor_in, anchor_end and anchor_overlap, null where nothing was found. A
+    teaser fades out and in around a gap. An anchor takes precedence over a refined cut, and that over the cut half a crossfade after
+    the successor and before the beat. The outgoing cut leaves room for the crossfade, the incoming start stays before the beat's end, and
+    the overlap is at most what either side has."""
+    c, half = F.col, F.floor(F.col("crossfade") / 2)
+    samples = lambda sec: F.lit(max(0, round(sec * rate))).cast("long")
+    out = F.coalesce(c("anchor_out"), c("refined_out"), c("successor") + half)
+    out = F.greatest(c("crossfade"), F.least(out, c("n_samples")))
+    start = F.greatest(F.lit(0).cast("long"), F.least(F.coalesce(c("anchor_in"), c("refined_in"), c("beat_start") - half), c("beat_end")))
+    room = F.greatest(F.lit(0).cast("long"), F.coalesce(c("anchor_end"), c("beat_end")) - start)
+    overlap = F.least(F.coalesce(c("anchor_overlap"), c("crossfade")), out, room)
+    cut = lambda x: F.when(~c("teaser"), x).cast("long")
+    return splices.withColumns({
+        "fade_out": F.when(c("teaser"), samples(teaser_out)), "fade_in": F.when(c("teaser"), samples(teaser_in)), "gap": F.when(c("teaser"), samples(teaser_gap)),
+        "out_cut": cut(out), "in_start": cut(start), "overlap": cut(overlap),
+    })
+
+
+def spliced_clips(runs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(run_id, clip, source_start, source_end, fade_in, fade_out, overlap_before, gap_after) in samples, of runs (run_id, clip, first, last:
+    samples of the clip as it stands) and the splice after each of them (run_id, clip, ...). A cut replaces the end of the clip before it and the
+    start of the one after, whose fades are the overlap; a teaser leaves both and fades them around the gap."""
+    w = Window.partitionBy("run_id").orderBy("clip")
+    r = runs.select("run_id", "clip", "first", "last").join(resolved.select("run_id", "clip", "teaser", "fade_out", "fade_in", "gap", "out_cut", "in_start", "overlap"), ["run_id", "clip"], "left")
+    before = lambda x: F.lag(x).over(w)
+    none = F.lit(0).cast("long")
+    return r.select(
+        "run_id", "clip", F.coalesce(before("in_start"), "first").alias("source_start"), F.coalesce("out_cut", "last").alias("source_end"),
+        F.coalesce(before(F.coalesce("overlap", "fade_in")), none).alias("fade_in"), F.coalesce("overlap", "fade_out", none).alias("fade_out"), F.coalesce(before("overlap"), none).alias("overlap_before"), F.coalesce("gap", none).alias("gap_after"),
+    )
+
+
 def mixdown(clips: DataFrame, samples: DataFrame) -> DataFrame:
     """(run_id, i, x): samples (track, i, x) of clips (run_id, track, clip, first, n, at, fade_in, fade_out in samples) at their place on
     the timeline, with equal-power fades, added up. Every clip asks for its own places, so the join is on equality."""

@@ -6,6 +6,8 @@ at once: every round joins the landing states with the jump edges and keeps the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -146,26 +148,74 @@ def best_paths(runs: DataFrame, searched: DataFrame, most_jumps: int = 6, worst_
     n_beats). Of the paths to one beat at one length the cheapest goes on, the one from the lowest beat of equals, with its number of
     jumps, its worst jump and its beats since the last one. The end pays by its distance from the outro (or gains inside it) and by its
     length's distance from `most`. A run is one group: its track's beats and edges; runs spread over the cluster."""
-    numbers = ["n_beats", "least", "most", "cooldown", "intro_beats", "outro_beats", "least_jumps"]
+    def of(run: dict) -> dict:
+        n, most = run["n_beats"], run["most"]
+        ratio, beats, outro = most / max(1, n), np.arange(n), run["outro_beats"]
+        heavy, ends = max(1.0, 3.0 * (1 - ratio)), np.zeros(n)
+        if outro:
+            inside = -0.5 * heavy * (1 - (n - 1 - beats) / max(1, outro)) + np.where(beats >= n - 2, -1.0 * heavy, 0.0)
+            first = max(0, n - outro)
+            ends = np.where(beats >= first, inside, np.minimum((first - beats) * 0.2 * heavy, 8.0))
+        lengths = np.abs(np.arange(most + 1) - most) / max(1, most) * duration_weight * max(1.0, 2 - ratio)
+        return {"ends": ends, "lengths": lengths, "nudge": nudge * (0.5 - ratio) if ratio < 0.5 else 0.0, "most_jumps": most_jumps, "worst_weight": worst_weight}
+
+    return _solved(runs, searched, ["n_beats", "least", "most", "cooldown", "intro_beats", "outro_beats", "least_jumps"], of)
+
+
+def _solved(runs: DataFrame, searched: DataFrame, numbers: list[str], of: Callable[[dict], dict]) -> DataFrame:
+    """(run_id, track, cost, length, end, cuts) of the runs that have a path; of: the terms of _search for the numbers of a run."""
     x = searched.join(runs.select("run_id", *numbers), "run_id")
+    cut = pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())]))
 
     def solve(key: tuple, t: pa.Table) -> pa.Table:
-        row = {c: int(t[c][0].as_py()) for c in numbers}
-        got = _search(row, *(t[c].to_numpy() for c in ("i", "j", "cost", "back", "tax")), most_jumps, worst_weight, nudge, duration_weight)
-        if got is None:
-            return pa.table({"run_id": t["run_id"][:0], "track": t["track"][:0], "cost": pa.array([], pa.float64()), "length": pa.array([], pa.int64()), "end": pa.array([], pa.int64()), "cuts": pa.array([], pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())])))})
-        cost, length, end, cuts = got
-        made = pa.array([[{"i": a, "j": b} for a, b in cuts]], pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())])))
-        return pa.table({"run_id": t["run_id"][:1], "track": t["track"][:1], "cost": pa.array([cost]), "length": pa.array([length]), "end": pa.array([end]), "cuts": made})
+        run = {c: int(t[c][0].as_py()) for c in numbers}
+        got = _search(run, *(t[c].to_numpy() for c in ("i", "j", "cost", "back", "tax")), **of(run))
+        n = 0 if got is None else 1
+        cost, length, end, cuts = got or (0.0, 0, 0, [])
+        made = pa.array([[{"i": a, "j": b} for a, b in cuts]][:n], cut)
+        return pa.table({"run_id": t["run_id"][:n], "track": t["track"][:n], "cost": pa.array([cost][:n], pa.float64()), "length": pa.array([length][:n], pa.int64()), "end": pa.array([end][:n], pa.int64()), "cuts": made})
 
     kinds = dict(searched.dtypes)
     return x.groupBy("run_id").applyInArrow(solve, f"run_id {kinds['run_id']}, track {kinds['track']}, cost double, length bigint, end bigint, cuts array<struct<i:bigint,j:bigint>>")
 
 
-def _search(run: dict, i: np.ndarray, j: np.ndarray, cost: np.ndarray, back: np.ndarray, tax: np.ndarray, most_jumps: int, worst_weight: float, nudge: float, duration_weight: float):
-    """(cost, length, end, cuts) of one run, or None where there is no path; a step per length, over all beats at once."""
+def region_edges(runs: DataFrame, candidates: DataFrame, steps: DataFrame, most: int = 8, base: float = 0.8, cap: float = 1.0, backward: float = 0.5) -> DataFrame:
+    """(run_id, track, i, j, cost, back, tax), beats counted from the region's entry: what a step adds inside the region of a run (run_id,
+    track, entry, exit, extending, scale), for region_paths. candidates: run_id, track, i, j, cost, of the whole track; steps: track, i, cost.
+    When extending, a jump against the order costs `backward` more, and so does its rank: the `most` cheapest per beat are tried. The
+    tax of a jump is scale * base * min(cap, 2 * cost)."""
+    r = runs.select("run_id", "entry", "exit", "extending", "scale")
+    inside = lambda c: (F.col(c) >= F.col("entry")) & (F.col(c) < F.col("exit"))
+    e = candidates.join(r, "run_id").where(inside("i") & inside("j") & (F.col("j") != F.col("i")) & (F.col("j") != F.col("i") + 1))
+    e = e.withColumn("cost", F.col("cost") + F.when((F.col("j") < F.col("i")) & F.col("extending"), F.lit(backward)).otherwise(0.0))
+    w = Window.partitionBy("run_id", "i").orderBy("cost", "j")
+    e = e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    zero = F.lit(0.0)
+    e = e.select("run_id", "track", (F.col("i") - F.col("entry")).alias("i"), (F.col("j") - F.col("entry")).alias("j"), "cost", zero.alias("back"), (F.col("scale") * F.lit(base) * F.least(F.lit(cap), F.col("cost") * 2.0)).alias("tax"))
+    s = steps.join(runs.select("run_id", "track", "entry", "exit"), "track").where(inside("i") & (F.col("i") + 1 < F.col("exit")))
+    return e.unionByName(s.select("run_id", "track", (F.col("i") - F.col("entry")).alias("i"), (F.col("i") + 1 - F.col("entry")).alias("j"), "cost", zero.alias("back"), zero.alias("tax")))
+
+
+def region_paths(runs: DataFrame, searched: DataFrame, cooldown: int = 8, terminal: float = 3.0, duration_weight: float = 3.0) -> DataFrame:
+    """(run_id, track, cost, length, end, cuts): the path of each run (run_id, track, entry, exit, least, most, target_beats) inside its region,
+    from the entry to near the last beat before the exit. As best_paths, with any number of jumps and no intro lock, worst jump or nudge; an
+    end more than one beat before the last pays `terminal` a beat, a length its share of the target beats off."""
+    r = runs.select("run_id", "entry", (F.col("exit") - F.col("entry")).alias("n_beats"), "least", "most", "target_beats", F.lit(cooldown).alias("cooldown"), F.lit(0).alias("intro_beats"), F.lit(0).alias("least_jumps"))
+
+    def of(run: dict) -> dict:
+        off = run["n_beats"] - 1 - np.arange(run["n_beats"])
+        target = run["target_beats"]
+        return {"ends": np.where(off > 1, off * terminal, 0.0), "lengths": np.abs(np.arange(run["most"] + 1) - target) / max(1, target) * duration_weight, "nudge": 0.0, "most_jumps": 2**62, "worst_weight": 0.0}
+
+    p = _solved(r, searched, ["n_beats", "least", "most", "target_beats", "cooldown", "intro_beats", "least_jumps"], of).join(r.select("run_id", "entry"), "run_id")
+    moved = F.transform("cuts", lambda c: F.struct((c["i"] + F.col("entry")).alias("i"), (c["j"] + F.col("entry")).alias("j")))
+    return p.select("run_id", "track", "cost", "length", (F.col("end") + F.col("entry")).alias("end"), moved.alias("cuts"))
+
+
+def _search(run: dict, i: np.ndarray, j: np.ndarray, cost: np.ndarray, back: np.ndarray, tax: np.ndarray, ends: np.ndarray, lengths: np.ndarray, nudge: float, most_jumps: int, worst_weight: float):
+    """(cost, length, end, cuts) of one run, or None where there is no path; a step per length, over all beats at once. ends: what ending
+    at a beat adds; lengths: what a length adds; nudge: what a step in order adds where a jump is possible."""
     n, most = run["n_beats"], run["most"]
-    ratio = most / max(1, n)
     step = np.full(n, np.inf)
     plain = j == i + 1
     step[i[plain]] = cost[plain]
@@ -176,18 +226,10 @@ def _search(run: dict, i: np.ndarray, j: np.ndarray, cost: np.ndarray, back: np.
     at, since, jumps, worst = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
     at[0], since[0] = 0.0, 999
     came = np.full((most + 1, len(lands)), -1, dtype=np.int32)  # the beat of the jump that reached a landing at a length, or -1
-    nudged = nudge * (0.5 - ratio) if ratio < 0.5 else 0.0
-    outro = max(0, n - run["outro_beats"]) if run["outro_beats"] else n
-    beats, heavy = np.arange(n), max(1.0, 3.0 * (1 - ratio))
-    if run["outro_beats"]:
-        inside = -0.5 * heavy * (1 - (n - 1 - beats) / max(1, run["outro_beats"])) + np.where(beats >= n - 2, -1.0 * heavy, 0.0)
-        end_cost = np.where(beats >= outro, inside, np.minimum((outro - beats) * 0.2 * heavy, 8.0))
-    else:
-        end_cost = np.zeros(n)
     best = (np.inf, 0, -1)
     for t in range(1, most + 1):
         if t >= run["least"]:
-            total = np.where(jumps >= run["least_jumps"], at, np.inf) + end_cost + abs(t - most) / max(1, most) * duration_weight * max(1.0, 2 - ratio)
+            total = np.where(jumps >= run["least_jumps"], at, np.inf) + ends + lengths[t]
             k = int(np.argmin(total))
             if total[k] < best[0]:
                 best = (float(total[k]), t, k)
@@ -195,7 +237,7 @@ def _search(run: dict, i: np.ndarray, j: np.ndarray, cost: np.ndarray, back: np.
             break
         free = (since >= run["cooldown"]) & (t >= run["intro_beats"])
         new = np.full(n, np.inf)
-        new[1:] = (at + step)[:-1] + np.where(free, nudged, 0.0)[:-1]
+        new[1:] = (at + step)[:-1] + np.where(free, nudge, 0.0)[:-1]
         n_since, n_jumps, n_worst = np.roll(since, 1) + 1, np.roll(jumps, 1), np.roll(worst, 1)
         if len(lands) and free.any():
             w = np.maximum(worst[i], cost)
@@ -245,15 +287,17 @@ def path_transitions(steps: DataFrame, candidates: DataFrame) -> DataFrame:
     return t.join(candidates.select("track", "i", "j", "cost"), ["track", "i", "j"], "left").select("run_id", "track", "pos", "i", "j", "cost")
 
 
-def variations(paths: DataFrame, runs: DataFrame, searched: DataFrame, **how) -> DataFrame:
+def variations(paths: DataFrame, runs: DataFrame, searched: DataFrame, solve: Callable = best_paths, **how) -> DataFrame:
     """(run_id, track, cost, length, end, cuts, variation): the base path and, with each of its jumps blocked in turn, the next best
-    ones, all solved by best_paths as one batch of runs; equal paths once, ranked by cost."""
+    ones, all solved (by best_paths, or by region_paths) as one batch of runs; equal paths once, ranked by cost."""
     jumps = paths.select("run_id", F.posexplode("cuts").alias("n", "c")).select("run_id", "n", "c.i", "c.j")
+    if "entry" in runs.columns:  # the edges of a region count from its entry
+        jumps = jumps.join(runs.select("run_id", "entry"), "run_id").select("run_id", "n", (F.col("i") - F.col("entry")).alias("i"), (F.col("j") - F.col("entry")).alias("j"))
     name = F.concat_ws("#", F.col("run_id"), F.col("n").cast("string"))
     more = runs.join(jumps.select("run_id", "n"), "run_id").withColumn("base", F.col("run_id")).withColumn("run_id", name).drop("n")
     e = searched.join(jumps.select("run_id", "n", F.col("i").alias("bi"), F.col("j").alias("bj")), "run_id").where((F.col("i") != F.col("bi")) | (F.col("j") != F.col("bj")))
     e = e.withColumn("run_id", name).drop("n", "bi", "bj")
-    again = best_paths(more, e, **how).join(more.select("run_id", "base"), "run_id").select(F.col("base").alias("run_id"), "track", "cost", "length", "end", "cuts")
+    again = solve(more, e, **how).join(more.select("run_id", "base"), "run_id").select(F.col("base").alias("run_id"), "track", "cost", "length", "end", "cuts")
     every = paths.select("run_id", "track", "cost", "length", "end", "cuts").union(again).withColumn("key", F.to_json("cuts")).dropDuplicates(["run_id", "key"])
     w = Window.partitionBy("run_id").orderBy(F.round("cost", 9), "key")
     return every.withColumn("variation", F.row_number().over(w) - 1).drop("key")

@@ -180,6 +180,40 @@ def k2_junction_scores(spark, d):
     return rounded(E.junction_scores(p, {"successor": 0.4, "section": 0.2, "energy": 0.2, "edge_energy": 0.2}).select("track", "i", "j", "score"))
 
 
+#: Splices between the clips of the paths, in samples of a hundredth: some refined, some anchored, every ninth a teaser.
+SPL = f"""{CLP}, sc AS (SELECT run_id, track, clip, start_beat, end_beat, round(source_start * 100)::BIGINT AS f, round(source_end * 100)::BIGINT AS l, lead(round(source_start * 100)::BIGINT) OVER w AS bs, lead(start_beat) OVER w AS nb, (clip + track) % 9 AS m FROM ct WINDOW w AS (PARTITION BY run_id ORDER BY clip)),
+sx AS (SELECT *, l AS successor, bs + 90 AS be, 31 AS x, 9000 AS ns, m = 8 AS teaser, CASE WHEN m IN (1, 2) THEN l + 7 END AS ro, CASE WHEN m IN (1, 2) THEN bs - 9 END AS ri, CASE WHEN m IN (2, 3) THEN l + 40 END AS ao, CASE WHEN m IN (2, 3) THEN bs - 60 END AS ai, CASE WHEN m IN (2, 3) THEN bs + 20 END AS ae, CASE WHEN m IN (2, 3) THEN 100 END AS ax FROM sc WHERE bs IS NOT NULL),
+sr AS (SELECT *, greatest(x, least(coalesce(ao, ro, successor + 15), ns)) AS oc, greatest(0, least(coalesce(ai, ri, bs - 15), be)) AS ist FROM sx),
+so AS (SELECT run_id, clip, teaser, CASE WHEN teaser THEN 32 END AS fo, CASE WHEN teaser THEN 18 END AS fi, CASE WHEN teaser THEN 6 END AS gap, CASE WHEN NOT teaser THEN oc END AS oc, CASE WHEN NOT teaser THEN ist END AS ist, CASE WHEN NOT teaser THEN least(coalesce(ax, x), oc, greatest(0, coalesce(ae, be) - ist)) END AS ov FROM sr)"""
+
+
+def _resolved(spark, d):
+    c = _clips(spark, d)[2]
+    w = Window.partitionBy("run_id").orderBy("clip")
+    at = lambda x: F.round(F.col(x) * 100).cast("long")
+    c = c.select("run_id", "track", "clip", at("source_start").alias("first"), at("source_end").alias("last")).withColumn("beat_start", F.lead("first").over(w))
+    m = (F.col("clip") + F.col("track")) % 9
+    s = c.where("beat_start is not null").withColumns({
+        "successor": F.col("last"), "beat_end": F.col("beat_start") + 90, "crossfade": F.lit(31).cast("long"), "n_samples": F.lit(9000).cast("long"), "teaser": m == 8,
+        "refined_out": F.when(m.isin(1, 2), F.col("last") + 7), "refined_in": F.when(m.isin(1, 2), F.col("beat_start") - 9), "anchor_out": F.when(m.isin(2, 3), F.col("last") + 40),
+        "anchor_in": F.when(m.isin(2, 3), F.col("beat_start") - 60), "anchor_end": F.when(m.isin(2, 3), F.col("beat_start") + 20), "anchor_overlap": F.when(m.isin(2, 3), F.lit(100).cast("long")),
+    })
+    return c, E.resolve_splices(s, 100)
+
+
+@family(f"WITH {SPL} SELECT run_id, clip, teaser, fo::BIGINT AS fade_out, fi::BIGINT AS fade_in, gap::BIGINT AS gap, oc::BIGINT AS out_cut, ist::BIGINT AS in_start, ov::BIGINT AS overlap FROM so")
+def e4_resolve_splices(spark, d):
+    return _resolved(spark, d)[1].select("run_id", "clip", "teaser", "fade_out", "fade_in", "gap", "out_cut", "in_start", "overlap")
+
+
+@family(f"""WITH {SPL}, j AS (SELECT sc.run_id, sc.clip, f, l, so.* EXCLUDE (run_id, clip) FROM sc LEFT JOIN so ON so.run_id = sc.run_id AND so.clip = sc.clip)
+SELECT run_id, clip, coalesce(lag(ist) OVER w, f)::BIGINT AS source_start, coalesce(oc, l)::BIGINT AS source_end, coalesce(lag(coalesce(ov, fi)) OVER w, 0)::BIGINT AS fade_in, coalesce(ov, fo, 0)::BIGINT AS fade_out, coalesce(lag(ov) OVER w, 0)::BIGINT AS overlap_before, coalesce(gap, 0)::BIGINT AS gap_after
+FROM j WINDOW w AS (PARTITION BY run_id ORDER BY clip)""")
+def e4_spliced_clips(spark, d):
+    c, s = _resolved(spark, d)
+    return E.spliced_clips(c, s)
+
+
 @family()
 def e11_refine_splice(spark, d):
     s = T.signal(spark, d)

@@ -152,6 +152,42 @@ def p9_variations(spark, d):
     return P.variations(p, runs, searched).select("run_id", "variation", F.round("cost", 6).alias("cost"), "length", F.to_json("cuts").alias("cuts"))
 
 
+#: The region search: two runs a track inside [4, n - 4), longer and shorter; one iteration per length.
+RGN = f"""{CD}, tk AS (SELECT track, count(*) AS n FROM bv GROUP BY 1), sq AS (SELECT track, beat AS i, least(0.3 * (1 - {cos('feat', 'nx')}), 0.12) AS cost FROM cb WHERE nx IS NOT NULL),
+rr AS (SELECT track || ':' || p AS run_id, track, 4::BIGINT AS entry, n - 4 AS ex, floor((n - 8) * f)::BIGINT AS target, f > 1 AS extending, 1.0::DOUBLE AS scale FROM tk, (VALUES ('x', 1.4::DOUBLE), ('y', 0.6::DOUBLE)) v(p, f)),
+rw AS (SELECT *, greatest(2, target - 4) AS least, target + 4 AS most, ex - entry AS n FROM rr),
+rc AS (SELECT run_id, i - entry AS i, j - entry AS j, d + CASE WHEN j < i AND extending THEN 0.5 ELSE 0 END::DOUBLE AS w FROM rw JOIN cd USING (track) WHERE i >= entry AND i < ex AND j >= entry AND j < ex AND j <> i AND j <> i + 1 AND abs(j - i) >= 4 AND d <= 0.55),
+re AS (SELECT run_id, i, j, w, 0.8::DOUBLE * least(1.0, w * 2.0) AS tax, false AS plain FROM (SELECT *, row_number() OVER (PARTITION BY run_id, i ORDER BY w, j) AS r FROM rc) WHERE r <= 8 UNION ALL SELECT run_id, i - entry, i + 1 - entry, cost, 0, true FROM rw JOIN sq USING (track) WHERE i >= entry AND i + 1 < ex),
+dp(run_id, t, b, cost, since, cuts) AS (SELECT run_id, 1::BIGINT, 0::BIGINT, 0.0::DOUBLE, 999::BIGINT, []::BIGINT[] FROM rw
+  UNION ALL SELECT run_id, t + 1, j, c, CASE WHEN plain THEN since + 1 ELSE 0 END, CASE WHEN plain THEN cuts ELSE cuts || [i, j] END FROM (SELECT *, row_number() OVER (PARTITION BY run_id, j ORDER BY c, i) AS r FROM (
+    SELECT dp.*, i, j, plain, CASE WHEN plain THEN cost + w ELSE cost + w + tax END AS c FROM dp JOIN rw USING (run_id) JOIN re ON re.run_id = dp.run_id AND re.i = dp.b WHERE t < most AND (plain OR since >= 8))) WHERE r = 1),
+rf AS (SELECT dp.run_id, track, t AS length, b + entry AS "end", cuts, entry, cost + CASE WHEN n - 1 - b > 1 THEN (n - 1 - b) * 3.0 ELSE 0 END + abs(t - target) / target * 3.0::DOUBLE AS cost FROM dp JOIN rw USING (run_id) WHERE t >= least),
+rb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cost, length, "end") AS r FROM rf) WHERE r = 1)"""
+
+
+def _region(spark, d):
+    b = T.beats(spark, d)
+    n = b.groupBy("track").agg(F.count("*").alias("n"))
+    kinds = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(f).alias("f")) for p, f in (("x", 1.4), ("y", 0.6))))
+    target = F.floor((F.col("n") - 8) * F.col("k.f"))
+    runs = n.withColumn("k", F.explode(kinds)).select(F.concat_ws(":", "track", "k.p").alias("run_id"), "track", F.lit(4).cast("long").alias("entry"), (F.col("n") - 4).alias("exit"), target.alias("target_beats"), F.greatest(F.lit(2).cast("long"), target - 4).alias("least"), (target + 4).alias("most"), (F.col("k.f") > 1).alias("extending"), F.lit(1.0).alias("scale"))
+    cand = Q.region_candidates(Q.chroma_distance(b), runs.select("run_id", "track", "entry", "exit"))
+    searched = P.region_edges(runs, cand.select("run_id", "track", "i", "j", "cost"), Q.sequential_cost(b))
+    return P.region_paths(runs, searched), runs, searched
+
+
+@family(f"WITH RECURSIVE {RGN} SELECT run_id, track, round(cost, 6) AS cost, length, \"end\", (len(cuts) // 2)::BIGINT AS n_cuts, coalesce(list_sum(cuts) + entry * len(cuts), 0)::BIGINT AS cut_beats FROM rb")
+def p11_region_path(spark, d):
+    p = _region(spark, d)[0]
+    return rounded(p.select("run_id", "track", "cost", "length", "end", F.size("cuts").cast("long").alias("n_cuts"), F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["i"] + c["j"]).alias("cut_beats")))
+
+
+@family()
+def p14_region_variations(spark, d):
+    p, runs, searched = _region(spark, d)
+    return P.variations(p, runs, searched, P.region_paths).select("run_id", "variation", F.round("cost", 6).alias("cost"), "length", F.to_json("cuts").alias("cuts"))
+
+
 REG = f"""{EV}, rg AS (SELECT track, 'r' || track AS run_id, 20.3::DOUBLE AS s, 50.7::DOUBLE AS e FROM (SELECT DISTINCT track FROM ev)),
 ds AS (SELECT run_id, rg.track, i, row_number() OVER (PARTITION BY run_id ORDER BY abs(t - s), i) AS rs, row_number() OVER (PARTITION BY run_id ORDER BY abs(t - e), i) AS re FROM rg JOIN ev USING (track)),
 bd AS (SELECT run_id, track, max(CASE WHEN rs = 1 THEN i END) AS entry, max(CASE WHEN re = 1 THEN i END) AS "exit" FROM ds GROUP BY 1, 2)"""

@@ -94,3 +94,21 @@ def test_search_edges(spark):
     assert set(got) == {(39, 20), (3, 84), (39, 80)}  # under least_loop, into the intro, under the cooldown
     for key, back, tax in (((39, 20), 4.0, q * 0.1 + section), ((39, 80), 0.0, q * 0.1 + section), ((3, 84), 0.0, q + section + 3 * 0.11**2)):
         assert got[key][0] == back and abs(got[key][1] - 2 * tax) < 1e-12
+
+
+def test_variations_block_one_jump_each(spark):
+    rng = np.random.default_rng(11)
+    n, conf = 48, (48, 60, 70, 3, 4, 3, 0)
+    steps = [float(rng.uniform(0, 0.1)) for _ in range(n - 1)]
+    edges = {i: [(int(j), float(rng.uniform(0.1, 0.6)), 0.0, 0.1) for j in range(0, n, 4) if abs(j - i) > 4] for i in range(3, n, 4)}
+    numbers = "n_beats long, least long, most long, cooldown long, intro_beats long, outro_beats long, least_jumps long"
+    runs = spark.createDataFrame([("r", 0, *conf)], f"run_id string, track long, {numbers}")
+    rows = [("r", 0, i, i + 1, steps[i], 0.0, 0.0) for i in range(n - 1)] + [("r", 0, i, *e) for i, es in edges.items() for e in es]
+    e = spark.createDataFrame(rows, "run_id string, track long, i long, j long, cost double, back double, tax double")
+    solve = lambda blocked: plain(n, conf[2], conf[1], conf[3], conf[4], conf[5], 0, steps, {i: [x for x in es if (i, x[0]) != blocked] for i, es in edges.items()})
+    base = solve(None)
+    want = {base[3]: base[0]} | {p[3]: p[0] for p in map(solve, base[3])}
+    got = paths.variations(paths.best_paths(runs, e), runs, e).orderBy("variation").collect()
+    assert len(base[3]) >= 2 and [r.variation for r in got] == list(range(len(want)))
+    assert {tuple((c.i, c.j) for c in r.cuts): round(r.cost, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert [r.cost for r in got] == sorted(r.cost for r in got)
