@@ -48,7 +48,7 @@ for _i, _letters in enumerate([bytes([BLANK, END]), *(bytes([c]) for c in b"aeio
     _CLASS[list(_letters)] = _i
 PLACES = 16 * 256
 OWN_CODES = 512
-_FACTOR = np.random.default_rng(11).integers(1, 2**62, K + 2, dtype=np.uint64) * _U(2) + _U(1)
+_FACTOR = np.random.default_rng(11).integers(1, 2**62, K + 1, dtype=np.uint64) * _U(2) + _U(1)
 _NODE = np.random.default_rng(12).integers(0, 1 << SLOT_BITS, 256)
 #: The last i of eight symbols, the latest in the highest byte.
 _LATEST = np.array([0, *((~np.uint64(0)) << _U(64 - 8 * i) for i in range(1, 9))], dtype=np.uint64)
@@ -58,7 +58,7 @@ _LEVEL = np.array([0, 1, 2, 3, 4, 5, 7, 10, 14, 20, 32, 52, 90, 160, 300, 600])
 _MIDDLE = np.where(np.arange(LEVELS) < 6, _LEVEL, np.sqrt(_LEVEL * np.append(_LEVEL[1:], 600)))
 _ZEROS, _ONES = _MIDDLE[np.arange(LEVELS**2) // LEVELS], _MIDDLE[np.arange(LEVELS**2) % LEVELS]
 GATES = 4**K
-RANGE, SEGMENT, STEP = 1 << 17, 1024, 64
+RANGE, SEGMENT, STEP = 1 << 17, 1024, 96
 BLOCK = 1 << 16  # counters that travel together
 
 
@@ -83,39 +83,29 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def contexts(s: np.ndarray, start: np.ndarray, lo: int, hi: int, place: np.ndarray) -> np.ndarray:
     """(K, hi - lo) slots of the contexts before symbols lo to hi; start: where each text begins; place: from places()."""
-    first = max(lo - 16, 0)
-    padded = np.concatenate([np.full(16 - (lo - first), END, np.uint8), s[first:hi]])
-    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(padded) - 7, 8), (1, 1)).copy().view("<u8").ravel()
     n = hi - lo
-    near, far = eight[8 : 8 + n], eight[:n]  # symbols i-8 to i-1, and i-16 to i-9
+    padded = np.concatenate([np.full(max(0, 8 - lo), END, np.uint8), s[max(0, lo - 8) : hi]])
+    near = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view("<u8").ravel()  # symbols i-8 to i-1
     # symbols of the text before do not count: only the first few of each text are concerned
-    begins = start[np.searchsorted(start, lo - 16) : np.searchsorted(start, hi)]
-    head = (begins[:, None] + np.arange(8)).ravel()
-    ok = (head >= lo) & (head < hi)
-    if ok.any():
-        nth = np.tile(np.arange(8), len(begins))[ok]
-        own = np.minimum.reduceat(nth[o := np.argsort(head[ok], kind="stable")], np.flatnonzero(np.diff(head[ok][o], prepend=-1)))  # of two texts, the later
-        near = near.copy()
-        near[np.unique(head[ok]) - lo] &= _LATEST[own]
+    begins = start[np.searchsorted(start, lo - 8) : np.searchsorted(start, hi)]
+    for nth in range(7, -1, -1):  # of two texts, the later counts
+        at = begins + nth - lo
+        at = at[(at >= 0) & (at < n)]
+        near[at] &= _LATEST[nth]
     out = np.empty((K, n), dtype=np.int64)
     for k, order in enumerate(ORDERS):
         out[k] = (((near >> _U(64 - 8 * order)) + _U(order)) * _FACTOR[k]) >> _U(64 - SLOT_BITS)
-    gap = (padded[15 : 15 + n] == BLANK) | (padded[15 : 15 + n] == END)
-    if lo in (0, *begins.tolist()):
-        gap[0] = True
-    at = np.arange(n, dtype=np.int32)
-    since = at - np.maximum.accumulate(np.where(gap, at, -16))  # how much of the word has been seen, from the range's start on
-    if n and not gap[0]:  # the word at the start of the range began before it
-        before = padded[:16][::-1]
-        stop = np.flatnonzero((before == BLANK) | (before == END))
-        gone = int(stop[0]) if len(stop) else 16
-        top = int(np.argmax(gap)) if gap.any() else n
-        since[:top] = np.minimum(at[:top] + gone, 16)
-    since = np.minimum(since, 16)
-    a = near & _LATEST[np.minimum(since, 8)]
-    b = far & _LATEST[np.maximum(since - 8, 0)]
+    # the word so far, of which the last eight symbols count: in padded, symbol i stands at i - lo + 8
+    gap = (padded[: n + 7] == BLANK) | (padded[: n + 7] == END)
+    gap[begins[begins > lo - 8] - lo + 7] = True
+    at = np.arange(n + 7, dtype=np.int32)
+    since = np.minimum(at - np.maximum.accumulate(np.where(gap, at, -1)), 8)[7:]
     # the tree is part of the context: under two symbols the word so far does not tell it
-    out[K - 1] = ((a * _FACTOR[K - 1]) ^ (b * _FACTOR[K]) + (since.astype(np.uint64) << _U(16)) + place.astype(np.uint64) * _FACTOR[K + 1]) * _FACTOR[0] >> _U(64 - SLOT_BITS)
+    word = (near & _LATEST.take(since)) * _FACTOR[K - 1]
+    word += since.astype(np.uint64) << _U(16)
+    word += place.astype(np.uint64) * _FACTOR[K]
+    word *= _FACTOR[0]
+    out[K - 1] = word >> _U(64 - SLOT_BITS)
     return out
 
 
@@ -253,10 +243,10 @@ def _observed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     top = c.max(1)
     share = np.where(top > _LEVEL[-1], _LEVEL[-1] / np.maximum(top, 1), 1.0)
     level = lambda n: np.maximum(np.searchsorted(_LEVEL, n * share, "right") - 1, n > 0)
-    zeros, ones = c[:, 0], c[:, 1]
+    zeros, ones, one = c[:, 0], c[:, 1], share == 1  # one bit less does not show in a proportion
     lz, lo = level(zeros), level(ones)
     seen = lambda a, b, n: np.bincount((a * LEVELS + b)[n > 0], weights=n[n > 0], minlength=LEVELS**2)
-    return (lz * LEVELS + lo).astype(np.uint8), seen(level(np.maximum(zeros - 1, 0)), lo, zeros), seen(lz, level(np.maximum(ones - 1, 0)), ones)
+    return (lz * LEVELS + lo).astype(np.uint8), seen(level(np.maximum(zeros - one, 0)), lo, zeros), seen(lz, level(np.maximum(ones - one, 0)), ones)
 
 
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
