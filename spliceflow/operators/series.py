@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,37 +79,36 @@ def hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
 
 
-def fourier_basis(spark, n_fft: int) -> DataFrame:
-    """(k, bin, re, im): windowed cosines and sines."""
-    rows = [(k, b, float(w * math.cos(2 * math.pi * b * k / n_fft)), float(-w * math.sin(2 * math.pi * b * k / n_fft))) for k, w in enumerate(hann(n_fft)) for b in range(n_fft // 2 + 1)]
-    return spark.createDataFrame(rows, "k long, bin long, re double, im double")
-
-
-def dft_bins(framed: DataFrame, n_fft: int) -> DataFrame:
-    """(track, frame, bin, re, im, v) of small frames by a join with the basis; v is the magnitude."""
-    b = F.broadcast(fourier_basis(framed.sparkSession, n_fft))  # n_fft * (n_fft / 2 + 1) rows
-    s = framed.join(b, "k").groupBy("track", "frame", "bin").agg(F.sum(F.col("x") * F.col("re")).alias("re"), F.sum(F.col("x") * F.col("im")).alias("im"))
-    return s.withColumn("v", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-
-
-def _dense(rows: pd.Series, n: int) -> np.ndarray:
+def _dense(rows: pa.ListArray, n: int) -> np.ndarray:
+    """(frames, n) of lists of (k, x); places that a frame does not have are 0."""
     out = np.zeros((len(rows), n))
-    for r, pairs in enumerate(rows):
-        for p in pairs:
-            out[r, p["k"]] = p["x"]
+    pairs = rows.flatten()
+    out[np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy()), pairs.field("k").to_numpy()] = pairs.field("x").to_numpy(zero_copy_only=False)
     return out
 
 
 def spectrum(framed: DataFrame, n_fft: int) -> DataFrame:
-    """(track, frame, re array, im array) of large frames: FFTs in batches of frames."""
-    arrays = framed.groupBy("track", "frame").agg(F.collect_list(F.struct("k", "x")).alias("s"))  # n_fft values at most
+    """(track, frame, re array, im array) of windowed frames: FFTs in batches of frames, over Arrow buffers."""
+    arrays = framed.groupBy("track", "frame").agg(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), F.col("x").cast("double").alias("x"))).alias("s"))  # n_fft values at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            z = np.fft.rfft(_dense(pdf["s"], n_fft) * hann(n_fft), axis=1)
-            yield pd.DataFrame({"track": pdf["track"], "frame": pdf["frame"], "re": list(z.real), "im": list(z.imag)})
+    def lists(v: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(v).ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                z = np.fft.rfft(_dense(batch.column("s"), n_fft) * hann(n_fft), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("track"), batch.column("frame"), lists(z.real), lists(z.imag)], ["track", "frame", "re", "im"])
+
+    kinds = dict(arrays.dtypes)
+    return arrays.mapInArrow(run, f"track {kinds['track']}, frame {kinds['frame']}, re array<double>, im array<double>")
 
-    return arrays.mapInPandas(run, "track long, frame long, re array<double>, im array<double>")
+
+def dft_bins(framed: DataFrame, n_fft: int) -> DataFrame:
+    """(track, frame, bin, re, im, v): the spectrum of every frame, a row per bin; v is the magnitude."""
+    s = spectrum(framed, n_fft).select("track", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+    s = s.select("track", "frame", F.col("bin").cast("long").alias("bin"), "z.re", "z.im")
+    return s.withColumn("v", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
 
 
 def inverse_overlap_add(spec: DataFrame, n_fft: int, hop: int) -> DataFrame:

@@ -188,7 +188,7 @@ def segment_similarity(segments: DataFrame) -> DataFrame:
 
 def importance(segments: DataFrame, weights: DataFrame, default: float = 0.5) -> DataFrame:
     """segments with importance, looked up by label (label, weight)."""
-    return segments.join(F.broadcast(weights), "label", "left").withColumn("importance", F.coalesce("weight", F.lit(default))).drop("weight")
+    return segments.join(weights, "label", "left").withColumn("importance", F.coalesce("weight", F.lit(default))).drop("weight")
 
 
 def repeated_sections(segments: DataFrame, not_these: tuple = ("intro", "outro", "unknown")) -> DataFrame:

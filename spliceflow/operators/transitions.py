@@ -245,10 +245,17 @@ def penalised(scored: DataFrame) -> DataFrame:
     return scored.withColumn("quality", less(q, F.coalesce(onset_penalty(F.col("onset_j")), F.lit(0.0)))).drop("vocal_i", "vocal_j", "most_vocal", "onset_j")
 
 
-def weight_sweep(components: DataFrame, runs: DataFrame, signals: list[str], floor: float = 0.2) -> DataFrame:
-    """(run_id, n, mean_quality) of a table of components under every row of weights (run_id, w_<signal>); runs are few and sent
-    to all tasks, so the components are read once."""
-    c = components.join(F.broadcast(runs))
+def weight_sweep(components: DataFrame, runs: DataFrame, signals: list[str], floor: float = 0.2, most_runs: int = 1000) -> DataFrame:
+    """(run_id, n, mean_quality) of a table of components under every row of weights (run_id, w_<signal>). The components are read once:
+    each row is scored under all runs, which travel as a literal and are therefore at most most_runs; more are an error (sweep them in
+    parts)."""
+    rows = runs.select("run_id", *(f"w_{s}" for s in signals)).limit(most_runs + 1).collect()
+    if len(rows) > most_runs:
+        raise ValueError(f"more than {most_runs} runs")
+    if not rows:
+        return components.select(F.lit(None).cast(dict(runs.dtypes)["run_id"]).alias("run_id"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean_quality")).limit(0)
+    every = F.array(*(F.struct(F.lit(r.run_id).alias("run_id"), *(F.lit(float(r[f"w_{s}"])).alias(f"w_{s}") for s in signals)) for r in rows))
+    c = components.withColumn("__run", F.explode(every)).select("*", "__run.*")
     q = quality_score({s: F.col(f"w_{s}") for s in signals})
     return c.withColumn("q", q).where(F.col("q") >= floor).groupBy("run_id").agg(F.count("*").alias("n"), F.avg("q").alias("mean_quality"))
 

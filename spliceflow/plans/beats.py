@@ -38,12 +38,12 @@ def a1_sync_mean(spark, d):
     return rounded(m.select("track", "beat", _digest("feat").alias("digest"), V.total("feat").alias("total")))
 
 
-@family(f"""WITH {IV}, v AS (SELECT track, frame AS beat, feat[1] AS v FROM fr WHERE frame < 30), s AS (SELECT track, unnest(generate_series(0, 44)) AS beat FROM cn)
+@family(f"""WITH {IV}, v AS (SELECT track, frame AS beat, feat[1] AS v FROM fr JOIN cn USING (track) WHERE frame < n * 2 // 3), s AS (SELECT track, unnest(generate_series(0, n - 1)) AS beat FROM cn)
 SELECT s.track, s.beat, round(coalesce(v.v, last_value(v.v IGNORE NULLS) OVER (PARTITION BY s.track ORDER BY s.beat)), 6) AS v FROM s LEFT JOIN v USING (track, beat)""")
 def a2_conform_length(spark, d):
     f = _frames(spark, d)
-    b = f.where("frame < 30").select("track", F.col("frame").alias("beat"), F.get("feat", F.lit(0)).alias("v"))
-    return rounded(B.conform_length(b, _n(f).withColumn("n", F.lit(45).cast("long")), "v"))
+    b = f.join(_n(f), "track").where(F.col("frame") < F.floor(F.col("n") * 2 / 3)).select("track", F.col("frame").alias("beat"), F.get("feat", F.lit(0)).alias("v"))
+    return rounded(B.conform_length(b, _n(f), "v"))
 
 
 @family(f"WITH {EV} SELECT track, i, trunc(trunc(t * 22050.0::DOUBLE)::BIGINT / 512.0::DOUBLE)::BIGINT AS frame FROM ev")

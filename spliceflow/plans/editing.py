@@ -23,7 +23,7 @@ def k1_build_blocks(spark, d):
     return E.build_blocks(S.islands(T.events(spark, d), "i", "label")).select("track", "seg", "name")
 
 
-COMP = f"""{CD}, bl AS (SELECT track, b AS block, b * 10 AS entry, b * 10 + 9 AS "exit" FROM (SELECT DISTINCT track FROM cb), (SELECT unnest(generate_series(0, 3)) AS b)),
+COMP = f"""{CD}, bl AS (SELECT track, b AS block, b * 10 AS entry, b * 10 + 9 AS "exit" FROM (SELECT DISTINCT track, beat // 10 AS b FROM cb)),
 x AS (SELECT cd.track, a.block AS a, b.block AS b, i, j, 1 - d - 0.1::DOUBLE / 3 * (abs(i - a."exit") + abs(j - b.entry)) AS score FROM cd JOIN bl a ON a.track = cd.track AND abs(i - a."exit") <= 3 JOIN bl b ON b.track = cd.track AND abs(j - b.entry) <= 3 WHERE a.block <> b.block),
 cm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track, a, b ORDER BY round(score, 9) DESC, i, j) AS rank FROM x) WHERE rank <= 3)"""
 
@@ -31,23 +31,28 @@ cm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track, a, b ORDE
 def _blocks(spark, d):
     b = T.beats(spark, d)
     n = F.col("block") * 10
-    blocks = b.select("track").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumns({"entry": n, "exit": n + 9})
+    blocks = b.select("track", F.floor(F.col("beat") / 10).alias("block")).distinct().withColumns({"entry": n, "exit": n + 9})
     return blocks, E.block_compatibility(blocks, Q.chroma_distance(b).withColumn("quality", 1 - F.col("d")), window=3, top=3)
 
 
+def _queue(blocks):
+    """Every block of a track: the even ones in order, then the odd ones."""
+    pos = F.row_number().over(Window.partitionBy("track").orderBy(F.col("block") % 2, "block")).cast("long") - 1
+    return blocks.select("track", F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id"), pos.alias("pos"), "block")
+
+
 @family(f"WITH {COMP} SELECT track, a, b, rank::INTEGER AS rank, i AS from_beat, j AS to_beat, round(score, 6) + 0 AS score FROM cm")
 def k3_block_compatibility(spark, d):
     return rounded(_blocks(spark, d)[1])
 
 
-@family(f"""WITH {COMP}, q AS (SELECT track, 'r' || track AS run_id, pos, [0, 2, 1, 3][pos + 1]::BIGINT AS block FROM (SELECT DISTINCT track FROM cb), (SELECT unnest(generate_series(0, 3)) AS pos)),
+@family(f"""WITH {COMP}, q AS (SELECT track, 'r' || track AS run_id, row_number() OVER (PARTITION BY track ORDER BY block % 2, block) - 1 AS pos, block FROM bl),
 n AS (SELECT *, lag(block) OVER (PARTITION BY run_id ORDER BY pos) AS p, lead(block) OVER (PARTITION BY run_id ORDER BY pos) AS f FROM q), b1 AS (SELECT * FROM cm WHERE rank = 1 AND score > 0)
 SELECT run_id, pos, n.block, coalesce(x.j, bl.entry) AS entry, coalesce(y.i, bl."exit") AS "exit", round(CASE WHEN f IS NULL THEN 0 ELSE 1 - coalesce(y.score, 0) END, 6) AS cost
 FROM n JOIN bl ON bl.track = n.track AND bl.block = n.block LEFT JOIN b1 x ON x.track = n.track AND x.a = p AND x.b = n.block LEFT JOIN b1 y ON y.track = n.track AND y.a = n.block AND y.b = f""")
 def k5_assemble_blocks(spark, d):
     blocks, comp = _blocks(spark, d)
-    queue = blocks.select("track", F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id")).distinct().select("*", F.posexplode(F.array(*(F.lit(k).cast("long") for k in (0, 2, 1, 3)))).alias("pos", "block")).withColumn("pos", F.col("pos").cast("long"))
-    return rounded(E.assemble_blocks(queue, blocks, comp))
+    return rounded(E.assemble_blocks(_queue(blocks), blocks, comp))
 
 
 @family(f"""WITH {EV} SELECT track, i, CASE WHEN x / 100 >= 0.65 THEN 0.075 WHEN x / 100 >= 0.4 THEN 0.15 ELSE 0.3 END::DOUBLE AS fade, round(least(0.3, greatest(0, abs(x - 50) - 6) * 0.025), 6) AS penalty,
@@ -221,13 +226,13 @@ def e11_refine_splice(spark, d):
     return rounded(E.refine_splice(splices, s, 16, 4, 8))
 
 
-@family(f"""WITH {SG}, cl AS (SELECT track, 'r' || track AS run_id, c, c * 40 AS f, 30 AS n, c * 25 AS pos FROM (SELECT DISTINCT track FROM sg), (SELECT unnest(generate_series(0, 3)) AS c)),
+@family(f"""WITH {SG}, cl AS (SELECT track, 'r' || track AS run_id, c, c * 40 AS f, 30 AS n, c * 25 AS pos FROM (SELECT DISTINCT track, i // 40 AS c FROM sg)),
 k AS (SELECT *, unnest(generate_series(0, 29)) AS k FROM cl), s AS (SELECT run_id, pos + k AS i, x * CASE WHEN k < 5 THEN sin(pi() / 2 * (k + 0.5) / 5) ELSE 1 END * CASE WHEN n - k <= 5 THEN sin(pi() / 2 * (n - k - 0.5) / 5) ELSE 1 END AS x FROM k JOIN sg ON sg.track = k.track AND sg.i = f + k)
 SELECT run_id, i, round(sum(x), 9) AS x FROM s GROUP BY 1, 2""")
 def e13_mixdown(spark, d):
     s = T.signal(spark, d)
     long = lambda v: F.lit(v).cast("long")
-    clips = s.select("track").distinct().withColumn("clip", F.explode(F.sequence(long(0), long(3))))
+    clips = s.select("track", F.floor(F.col("i") / 40).alias("clip")).distinct()
     clips = clips.select("track", "clip", F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id"), (F.col("clip") * 40).alias("first"), long(30).alias("n"), (F.col("clip") * 25).alias("at"), F.lit(5).alias("fade_in"), F.lit(5).alias("fade_out"))
     return rounded(E.mixdown(clips, s), 9)
 

@@ -9,7 +9,7 @@ from ..operators import paths as P
 from ..operators import transitions as Q
 from ..sources import tables as T
 from .base import EV, Family, rounded
-from .editing import TL, _timeline
+from .editing import TL, _queue, _timeline
 from .transitions import CD
 
 family = Family()
@@ -55,7 +55,7 @@ def e14_transition_times(spark, d):
 @family()
 def k4_queued_compatibility(spark, d):
     b = T.beats(spark, d)
-    blocks = b.select("track").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).withColumns({"entry": F.col("block") * 10, "exit": F.col("block") * 10 + 9})
-    queue = blocks.select("track", F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id")).distinct().select("*", F.posexplode(F.array(*(F.lit(k).cast("long") for k in (0, 2, 1, 3)))).alias("pos", "block"))
+    blocks = b.select("track", F.floor(F.col("beat") / 10).alias("block")).distinct().withColumns({"entry": F.col("block") * 10, "exit": F.col("block") * 10 + 9})
+    queue = _queue(blocks)
     quality = Q.chroma_distance(b).withColumn("quality", 1 - F.col("d"))
     return rounded(E.queued_compatibility(queue, blocks, quality, b.where("beat % 2 = 0").select("track", "beat"), window=4, top=3, separation=3))

@@ -220,12 +220,13 @@ def p13_tiled(spark, d):
     return P.tiled(_bounds(spark, d).where("exit > entry").withColumn("target_beats", F.lit(100).cast("long")))
 
 
-@family(f"""WITH {BV}, c AS (SELECT track, count(*) AS n FROM bv GROUP BY 1), s AS (SELECT track, beat AS pos, beat FROM bv WHERE beat < 30 AND track % 2 = 0 OR beat < 10), m AS (SELECT track, max(pos) AS pos FROM s GROUP BY 1),
-a AS (SELECT m.track, pos, unnest(generate_series(1, least(greatest(4, floor(0.2::DOUBLE * (pos + 1))::BIGINT), n - 1 - pos))) AS k FROM m JOIN c USING (track) WHERE pos >= 20)
+@family(f"""WITH {BV}, c AS (SELECT track, count(*) AS n FROM bv GROUP BY 1), s AS (SELECT track, beat AS pos, beat FROM bv JOIN c USING (track) WHERE beat < n * 3 // 5 AND track % 2 = 0 OR beat < n // 5), m AS (SELECT track, max(pos) AS pos FROM s GROUP BY 1),
+a AS (SELECT m.track, pos, unnest(generate_series(1, least(greatest(4, floor(0.2::DOUBLE * (pos + 1))::BIGINT), n - 1 - pos))) AS k FROM m JOIN c USING (track) WHERE pos >= n * 2 // 5)
 SELECT 'r' || track AS run_id, track, pos, beat FROM s UNION ALL SELECT 'r' || track, track, pos + k, pos + k FROM a""")
 def p5_extend_outro(spark, d):
     b = T.beats(spark, d)
     name = F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id")
-    steps = b.where("(beat < 30 and track % 2 = 0) or beat < 10").select(name, "track", F.col("beat").alias("pos"), "beat")
-    runs = b.groupBy("track").agg(F.count("*").alias("n_beats")).select(name, "n_beats", F.lit(20).cast("long").alias("outro_start"))
+    n = b.groupBy("track").agg(F.count("*").alias("n_beats"))
+    steps = b.join(n, "track").where("(beat < n_beats * 3 div 5 and track % 2 = 0) or beat < n_beats div 5").select(name, "track", F.col("beat").alias("pos"), "beat")
+    runs = n.select(name, "n_beats", F.expr("n_beats * 2 div 5").alias("outro_start"))
     return P.extend_outro(steps, runs)

@@ -96,9 +96,9 @@ def m6_segment_embeddings(spark, d):
     return rounded(e.select("track", "seg", F.get("feat", F.lit(0)).alias("first"), F.get("feat", F.lit(63)).alias("last")))
 
 
-@family(f"WITH {SSM} SELECT track, i, j, round(v, 6) AS v FROM ssm WHERE least(i, 99) < 20 AND least(j, 99) < 20")
+@family(f"WITH {SSM} SELECT track, i, j, round(v, 6) AS v FROM ssm")
 def m7_affinity(spark, d):
-    return rounded(M.affinity(_b(spark, d).where("beat < 20")))
+    return rounded(M.affinity(_b(spark, d)))
 
 
 @family()

@@ -141,9 +141,9 @@ def t15_importance(spark, d):
     return S.importance(o, w).select("track", "importance")
 
 
-@family(f"WITH {ISL}, s AS (SELECT * FROM sgs WHERE seg < 12 AND label <> 'error') SELECT a.track, a.seg AS a, b.seg AS b, a.label FROM s a JOIN s b ON a.track = b.track AND a.label = b.label AND a.seg < b.seg")
+@family(f"WITH {ISL}, s AS (SELECT * FROM sgs WHERE label <> 'error') SELECT a.track, a.seg AS a, b.seg AS b, a.label FROM s a JOIN s b ON a.track = b.track AND a.label = b.label AND a.seg < b.seg")
 def t16_repeated_sections(spark, d):
-    s = S.islands(T.events(spark, d), "i", "label").where("seg < 12").withColumn("label", F.initcap("label"))
+    s = S.islands(T.events(spark, d), "i", "label").withColumn("label", F.initcap("label"))
     return S.repeated_sections(s, ("error",))
 
 

@@ -199,11 +199,11 @@ def s9_component_rows(spark, d):
     return rounded(component_rows(_full(spark, d)))
 
 
-@family(f"""WITH {REC}, sgm AS (SELECT track, unnest(generate_series(0, 4)) AS seg FROM (SELECT DISTINCT track FROM bv)), bo AS (SELECT track, seg, seg * 10 AS st, seg * 10 + 10 AS en FROM sgm),
+@family(f"""WITH {REC}, sgm AS (SELECT DISTINCT track, beat // 10 AS seg FROM bv), bo AS (SELECT track, seg, seg * 10 AS st, seg * 10 + 10 AS en FROM sgm),
 c AS (SELECT r.track, a.seg AS a, b.seg AS b, i, j, v, row_number() OVER (PARTITION BY r.track, a.seg, b.seg ORDER BY v DESC, i, j) AS n FROM rec r JOIN bo a ON a.track = r.track AND abs(i - a.en) <= 4 JOIN bo b ON b.track = r.track AND abs(j - b.st) <= 4 WHERE a.seg <> b.seg AND v >= 0.05)
 SELECT track, a, b, i, j, round(v, 6) AS v FROM c WHERE n = 1""")
 def q22_prescreen(spark, d):
-    seg = _b(spark, d).select("track").distinct().select("track", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("seg"))
+    seg = _b(spark, d).select("track", F.floor(F.col("beat") / 10).alias("seg")).distinct()
     seg = seg.withColumns({"start": F.col("seg") * 10, "end": F.col("seg") * 10 + 10})
     return rounded(Q.prescreen(_rec(spark, d), seg))
 

@@ -98,7 +98,7 @@ def test_search_edges(spark):
 
 def test_variations_block_one_jump_each(spark):
     rng = np.random.default_rng(11)
-    n, conf = 48, (48, 60, 70, 3, 4, 3, 0)
+    n, conf = 48, (48, 120, 130, 3, 4, 3, 0)
     steps = [float(rng.uniform(0, 0.1)) for _ in range(n - 1)]
     edges = {i: [(int(j), float(rng.uniform(0.1, 0.6)), 0.0, 0.1) for j in range(0, n, 4) if abs(j - i) > 4] for i in range(3, n, 4)}
     numbers = "n_beats long, least long, most long, cooldown long, intro_beats long, outro_beats long, least_jumps long"
