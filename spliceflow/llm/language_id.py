@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_buffers
+from .common import drop_stored, slices, stored, text_buffers
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -137,16 +137,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", penalty: floa
             k = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(s[k], pa.int64())], ["lang", "bucket", "n"])
 
-    counted = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = counted.groupBy("lang", F.pmod("bucket", F.lit(64)).alias("part")).agg(F.collect_list(F.struct("bucket", "n")).alias("sums"))
-    rows = packed.limit(64 * max_languages + 1).collect()
-    languages = sorted({r.lang for r in rows})
+    counted = stored(labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    languages = sorted(r.lang for r in counted.select("lang").distinct().limit(max_languages + 1).collect())
     if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+        raise ValueError(f"more than {max_languages} languages: raise max_languages if the workers can hold so many tables of {BUCKETS} numbers")
+    got = counted.toArrow()  # at most max_languages * (BUCKETS + scripts) rows
+    drop_stored(counted)
     sums = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))
-    for r in rows:
-        k = np.array([x.bucket for x in r.sums])
-        sums[k, languages.index(r.lang)] = [x.n for x in r.sums]
+    sums[got["bucket"].to_numpy(), np.searchsorted(np.array(languages, dtype=object), got["lang"].to_numpy())] = got["n"].to_numpy()
     grams, scripts = sums[:BUCKETS], sums[BUCKETS:]
     logp = np.log(grams + smoothing) - np.log(grams.sum(0) + smoothing * BUCKETS)
     allowed = scripts >= script_share * np.maximum(scripts.sum(0), 1)
@@ -193,10 +191,17 @@ def _label(model: LanguageModel, texts: pa.Array, with_spans: bool):
     letters = np.zeros((n, k))
     spans: list[list[dict]] = [[] for _ in range(n)]
     if len(w.row):
-        per_letter = model.logp[w.grams[:, 0]]
-        per_letter += model.logp[w.grams[:, 1]]
-        per_letter += model.logp[w.grams[:, 2]]
-        scores = np.add.reduceat(per_letter, w.first, axis=0)
+        scores = np.empty((len(w.row), k), dtype=np.float32)
+        ends = np.append(w.first[1:], len(w.grams))
+        lo = 0
+        while lo < len(w.row):  # so many words at a time that the letters' scores take some 16 MB, or one word
+            hi = max(lo + 1, int(np.searchsorted(ends, w.first[lo] + (1 << 22) // k, "right")))
+            a, b = w.first[lo], ends[hi - 1]
+            per_letter = model.logp[w.grams[a:b, 0]]
+            per_letter += model.logp[w.grams[a:b, 1]]
+            per_letter += model.logp[w.grams[a:b, 2]]
+            scores[lo:hi] = np.add.reduceat(per_letter, w.first[lo:hi] - a, axis=0)
+            lo = hi
         scores = np.where(model.allowed[w.script], scores, scores.min(1, keepdims=True) - 4 * model.penalty)
         got = _viterbi(scores, w.row, model.penalty)
         np.add.at(letters, (w.row, got), w.size)

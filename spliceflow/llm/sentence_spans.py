@@ -101,28 +101,26 @@ def span_table(docs: DataFrame, **how) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """docs with __doc (the id, or the largest long) and __of (a hash of the text), which tell documents apart."""
-    return docs.withColumns({"__doc": F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)), "__of": F.xxhash64(F.col(text).cast("string"))})
+    """(row, t, doc, of): the whole row, its text, and the id (or the largest long) and a hash of the text, which tell documents apart."""
+    t = F.col(text).cast("string")
+    return docs.select(F.struct(*docs.columns).alias("row"), t.alias("t"), F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(t).alias("of"))
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", count: str | None = None, **how) -> DataFrame:
     """docs with repeated passages removed from the text; with `count`, a column of that name gets the number of characters
     removed. The runs are written once. They are counted per hash before the shuffle, so a passage that a third of all documents share
     is one row per task; the join back to the runs is one that adaptive execution can split, and only repeated hashes take part."""
-    names = [c for c in docs.columns if c != count]
     keyed = _keyed(docs, id, text)
-    spans = stored(span_table(keyed.select(F.col("__doc").alias("doc"), F.col("__of").alias("of"), F.col(text).cast("string").alias("text")), **how))
+    spans = stored(span_table(keyed.select("doc", "of", F.col("t").alias("text")), **how))
     key = F.struct("doc", "of")
     first = spans.where("not again").groupBy("hash").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last").select("hash", "first")
     later = spans.where("not again").join(first, "hash").where(key != F.col("first")).select("doc", "of", "start", "end")
     cut = later.union(spans.where("again").select("doc", "of", "start", "end"))
-    cut = cut.groupBy(F.col("doc").alias("__doc"), F.col("of").alias("__of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cut"))  # at most four per sentence
-    cut = stored(cut)
+    cut = stored(cut.groupBy("doc", "of").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cut")))  # at most four per sentence
     drop_stored(spans)
-    d = keyed.join(cut, ["__doc", "__of"], "left")
-    t = F.col(text)
+    t = F.col("t")
     walk = F.aggregate(
-        "__cut",
+        "cut",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.struct(
             F.greatest(a["at"], x["end"]).alias("at"),
@@ -130,7 +128,6 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", coun
         ),
         lambda a: F.trim(F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t)))),
     )
-    d = d.withColumn("__new", F.when(F.col("__cut").isNotNull(), walk).otherwise(t))
-    if count:
-        return d.select(*[c for c in names if c != text], F.col("__new").alias(text), (F.length(t) - F.length("__new")).cast("long").alias(count))
-    return d.select(*(F.col("__new").alias(c) if c == text else F.col(c) for c in names))
+    d = keyed.join(cut, ["doc", "of"], "left").select("row", "t", F.when(F.col("cut").isNotNull(), walk).otherwise(t).alias("new"))
+    out = [F.col("new").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != count]
+    return d.select(*out, *([(F.length("t") - F.length("new")).cast("long").alias(count)] if count else []))
