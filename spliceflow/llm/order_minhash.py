@@ -2,9 +2,9 @@
 
 A text is cut into tokens of up to 8 characters that are not white space; its k-mers are runs of `k` tokens, numbered by occurrence
 so that repeats differ. Each of `permutations` independent hash functions orders the k-mers, and so does each in reverse; the `picks`
-first ones of an ordering are put back into the order in which they stand in the text, and the hash of that tuple is one element of
-the signature. The share of equal elements tells how much of two texts agrees in content and order, and falls with edit distance.
-The smallest and the largest values of one function are disjoint, so both orderings cost one sort.
+first ones of an ordering, and the `picks` next ones, are put back into the order in which they stand in the text, and the hash of such a
+tuple is one element of the signature. The share of equal elements tells how much of two texts agrees in content and order, and falls
+with edit distance. The four tuples of one function are disjoint (in texts of enough k-mers) and cost one sort.
 
 Defined cases: null text counts as empty; texts without tokens share one signature; a text of fewer k-mers than `picks` uses
 all it has. Equal texts have equal signatures. Extra columns are ignored by the query and kept by `fingerprints`. Positions are
@@ -26,8 +26,12 @@ def _pack(hashed: Column, pos: Column) -> Column:
     return F.shiftleft(hashed.bitwiseAND(F.lit(_HASH)), POS_BITS).bitwiseOR(pos)
 
 
-def with_signature(df: DataFrame, text: str, out: str, k: int = 2, picks: int = 2, permutations: int = 16) -> DataFrame:
-    """df with `out`: array of 2 * permutations longs. The steps are separate projections, each used more than once by the next."""
+#: An odd multiplier of 28 bits for each hash function.
+_ODD = [(0x9E3779B97F4A7C15 * (n + 1) * (2 * n + 3)) % 2**64 >> 37 << 1 | 2**27 | 1 for n in range(64)]
+
+
+def with_signature(df: DataFrame, text: str, out: str, k: int = 2, picks: int = 2, permutations: int = 8) -> DataFrame:
+    """df with `out`: array of 4 * permutations longs. The steps are separate projections, each used more than once by the next."""
     names = df.columns
     d = df.withColumn("__t", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S{1,8}"), F.lit(0)))
     mer = lambda t, i: F.xxhash64(t, *(F.coalesce(F.get("__t", i + j), F.lit("")) for j in range(1, k)))
@@ -49,11 +53,13 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = 2, picks: int =
         in_text = F.sort_array(F.transform(picked, lambda x: F.shiftleft(x.bitwiseAND(F.lit(_POS)), HASH_BITS).bitwiseOR(F.shiftright(x, POS_BITS))))
         return F.xxhash64(F.transform(in_text, lambda x: x.bitwiseAND(F.lit(_HASH))))
 
-    ordered = lambda n: F.sort_array(F.transform("__s", lambda x: _pack(F.xxhash64(F.shiftright(x, POS_BITS), F.lit(n)), x.bitwiseAND(F.lit(_POS)))))
+    # a product of 35 and 28 bits fits a long; its middle bits depend on all bits of the hash
+    ordered = lambda n: F.sort_array(F.transform("__s", lambda x: _pack(F.shiftright(x, POS_BITS) * F.lit(_ODD[n]), x.bitwiseAND(F.lit(_POS)))))
     d = d.withColumns({f"__o{n}": ordered(n) for n in range(permutations)})
-    back = F.greatest(F.lit(1), F.col("__n") - picks + 1)
-    some = F.array(*(element(f"__o{n}", first) for n in range(permutations) for first in (F.lit(1), back)))
-    return d.withColumn(out, F.when(F.col("__n") > 0, some).otherwise(F.array_repeat(F.lit(0).cast("long"), 2 * permutations))).select(*names, out)
+    size = F.col("__n")
+    starts = [F.lit(1), F.greatest(F.lit(1), F.least(F.lit(picks), size - picks) + 1), F.greatest(F.lit(1), size - picks + 1), F.greatest(F.lit(1), size - 2 * picks + 1)]
+    some = F.array(*(element(f"__o{n}", first) for n in range(permutations) for first in starts))
+    return d.withColumn(out, F.when(F.col("__n") > 0, some).otherwise(F.array_repeat(F.lit(0).cast("long"), 4 * permutations))).select(*names, out)
 
 
 def likeness(a: Column, b: Column) -> Column:
