@@ -2,8 +2,8 @@
 
 Documents longer than a sequence are cut into whole sequences and a rest; all other pieces stay whole. The pieces are dealt into shards;
 each shard is given to several islands. An individual is a grouping of the shard's pieces into bins; crossover puts whole
-well-filled bins of one parent into the other, removes the bins that hold the same pieces, and places the displaced pieces by
-best fit; mutation empties the least filled bins. The best of each island migrates: one more population per shard starts
+well-filled bins of one parent into the other, removes the bins that hold the same pieces, and places the displaced pieces, in
+exchange for smaller ones where that fills a bin better, then by best fit; mutation empties the least filled bins. The best of each island migrates: one more population per shard starts
 from all islands' best. Last, the badly filled bins of neighbouring shards meet and evolve together. A population stops when it
 reaches the least possible number of bins. No result is worse than best-fit decreasing on its shard.
 
@@ -129,9 +129,29 @@ class Population:
         return -len(bins), sum(sum(s[i] for i in b) ** 2 for b in bins) / (len(bins) or 1)
 
     def _rebuilt(self, kept: list[list[int]], loose: list[int]) -> list[list[int]]:
+        """Bins of the kept ones and the loose pieces: first a loose piece takes the place of one or of two smaller ones where that fills a
+        bin better, which leaves smaller pieces to place, then the loose ones are put by best fit."""
         bins = [list(b) for b in kept]
         room = [self.cap - sum(self.sizes[i] for i in b) for b in bins]
-        best_fit(self.sizes, loose, bins, room, self.cap)
+        s, free = self.sizes, sorted((self.sizes[i], i) for i in loose)
+        for b in np.argsort(room, kind="stable")[::-1].tolist():
+            if not free or room[b] == 0:
+                continue
+            outs = [(i,) for i in bins[b]] + [(i, j) for n, i in enumerate(bins[b][:12]) for j in bins[b][n + 1 : 12]]
+            best = (0, None, None)
+            for out in outs:
+                size = sum(s[i] for i in out)
+                at = bisect_left(free, (size + room[b] + 1, -1)) - 1  # the largest loose piece that fits
+                if at >= 0 and free[at][0] - size > best[0]:
+                    best = (free[at][0] - size, out, at)
+            if best[1]:
+                gain, out, at = best
+                _, new = free.pop(at)
+                bins[b] = [i for i in bins[b] if i not in out] + [new]
+                room[b] -= gain
+                for i in out:
+                    insort(free, (s[i], i))
+        best_fit(s, [i for _, i in free], bins, room, self.cap)
         return bins
 
     def cross(self, into: list[list[int]], of: list[list[int]]) -> list[list[int]]:

@@ -259,6 +259,16 @@ def test_packing_is_near_the_bound():
     assert pop.least <= len(bins) <= first
 
 
+def test_packing_evolves_past_best_fit():
+    for seed in range(6):
+        sizes = np.random.default_rng(100 + seed).integers(400, 1100, 300).tolist()
+        pop = packing.Population(sizes, 2048, seed)
+        first = len(pop.members[0])
+        bins = pop.evolve(6)
+        assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+        assert pop.least <= len(bins) < first
+
+
 @pytest.fixture(scope="module")
 def ranks():
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
@@ -280,3 +290,24 @@ def test_byte_bpe_equals_the_rank_encoder(spark, ranks):
     placed = byte_bpe.encode(docs(spark, [(1, "naïve 日本")]), path, P.PATTERN, with_offsets=True).first()
     assert placed.ids_start[0] == 0 and placed.ids_end[-1] == 8 and len(placed.ids_start) == len(placed.ids)
     assert byte_bpe.encode(none(spark), path, P.PATTERN).count() == 0
+
+
+def test_order_minhash_falls_with_edits(spark):
+    """The share of equal elements is near what random orderings give, on average over texts, and falls with the share of replaced words."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k:05d}" for k in range(5000)]
+    rows, seen = [], {}
+    for n in range(30):
+        base = rng.choice(words, 300).tolist()
+        for m, share in enumerate((0.0, 0.05, 0.2, 0.5)):
+            text = list(base)
+            for at in rng.choice(300, int(300 * share), replace=False):
+                text[at] = str(rng.choice(words))
+            rows.append((10 * n + m, " ".join(text)))
+            mers = [set(zip(t, t[1:])) for t in (base, text)]
+            seen[n, m] = len(mers[0] & mers[1]) / len(mers[0] | mers[1])
+    got = {r.doc_id: np.array(r.signature) for r in order_minhash.fingerprints(docs(spark, rows)).select("doc_id", "signature").collect()}
+    like = [np.mean([(got[10 * n] == got[10 * n + m]).mean() for n in range(30)]) for m in range(4)]
+    want = [np.mean([seen[n, m] ** 2 for n in range(30)]) for m in range(4)]  # two k-mers agree, in order
+    assert like[0] == 1.0 and all(a > b for a, b in zip(like, like[1:]))
+    assert all(abs(a - b) < 0.12 for a, b in zip(like, want))
