@@ -85,7 +85,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op6_quality_fm, op7_context_mixing, op8_secret_scan, op9_best_fit_packing, op10_byte_bpe)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle as M
+
+    docs = documents(spark, sf_dir)
+    values, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    tampered = F.when((fold(n=2) == 0) & F.contains(text, F.lit("\n")), M.leaf(*values, F.replace(text, F.lit("\n"), F.lit(""))))
+    leaves = docs.select(F.col("source").alias("g"), "doc_id", M.leaf(*values, text).alias("h"), tampered.alias("tampered"))
+    p = M.proofs(leaves, ["doc_id"], ["doc_id", "tampered"])
+    p = p.select("doc_id", F.col("h").alias("leaf"), "subroot", "root", M.siblings("path").alias("proof_sha256"), M.fold(F.coalesce("tampered", "h"), "path").alias("folded_root"))
+    return p.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import prefix_bpe as B
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    both = B.decode(B.encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op6_quality_fm, op7_context_mixing, op8_secret_scan, op9_best_fit_packing, op10_byte_bpe, op11_merkle_manifest, op12_prefix_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -105,4 +128,25 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE d AS (SELECT *, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS v, list_reduce(
+  list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+e AS (SELECT *, list_aggregate(list_transform(v, lambda x: coalesce(strlen(x) || ':' || x, '-')), 'string_agg', '') AS head, replace(text, chr(10), '') AS cut FROM d),
+f AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS other, xor(crc, 4294967295) % 2 = 0 AS tampered FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM f),
+t(source, l, i, n, h) AS (SELECT source, 0, i, n, leaf FROM g UNION ALL
+  SELECT source, l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY source, l, i // 3, (n + 2) // 3),
+s AS (SELECT source, l AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(l, i, n, h) AS (SELECT 0, i, n, subroot FROM s UNION ALL SELECT l + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY l, i // 3, (n + 2) // 3),
+k AS (SELECT g.*, s.subroot, s.i AS si, s.height, (SELECT h FROM u WHERE n = 1) AS root, (SELECT max(l) FROM u) AS tops, row_number() OVER () AS id FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source),
+a AS (SELECT id, i AS p, unnest(range(height)) AS l, FALSE AS up, source FROM k UNION ALL SELECT id, si, unnest(range(tops)), TRUE, NULL FROM k),
+b AS (SELECT id, l, up, source, (p // (3 ** l)::BIGINT) AS q FROM a),
+m AS (SELECT source, FALSE AS up, l, i, h FROM t UNION ALL SELECT NULL, TRUE, l, i, h FROM u),
+w AS (SELECT b.id, b.up, b.l, coalesce(string_agg(h, '' ORDER BY m.i) FILTER (m.i < q), '') AS x, coalesce(string_agg(h, '' ORDER BY m.i) FILTER (m.i > q), '') AS y
+      FROM b JOIN m ON b.up = m.up AND b.l = m.l AND b.source IS NOT DISTINCT FROM m.source AND m.i // 3 = q // 3 GROUP BY ALL),
+z AS (SELECT id, list({'x': x, 'y': y} ORDER BY up, l) AS path FROM w GROUP BY id),
+r AS (SELECT k.*, list_aggregate(list_transform(coalesce(path, []), lambda o: o.x || o.y), 'string_agg', '') AS sib,
+      list_reduce(list_concat([{'x': CASE WHEN tampered THEN other ELSE leaf END, 'y': ''}], coalesce(path, [])), lambda c, o: {'x': sha256(o.x || c.x || o.y), 'y': ''}).x AS folded_root FROM k LEFT JOIN z USING (id))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(sib, '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM r""",
 }
