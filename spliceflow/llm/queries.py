@@ -108,7 +108,17 @@ def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op6_quality_fm, op7_context_mixing, op8_secret_scan, op9_best_fit_packing, op10_byte_bpe, op11_merkle_manifest, op12_prefix_bpe)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_alignment as A
+
+    paths = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    out = A.measures(documents(spark, sf_dir).select("doc_id", "text"), *paths, digest=F.sha2("groups", 256))
+    return out.withColumnRenamed("groups_digest", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_order_minhash, op4_substring_dedup, op5_exact_top_k, op6_quality_fm, op7_context_mixing, op8_secret_scan, op9_best_fit_packing, op10_byte_bpe, op11_merkle_manifest, op12_prefix_bpe, op13_token_alignment)}
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
