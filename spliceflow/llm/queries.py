@@ -140,7 +140,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op11_merkle_manifest": """
 WITH RECURSIVE d AS (SELECT *, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS v, list_reduce(
-  list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT)),
+  list_concat([4294967295::BIGINT], list_transform(list_filter(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT)),
   lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
 e AS (SELECT *, list_aggregate(list_transform(v, lambda x: coalesce(strlen(x) || ':' || x, '-')), 'string_agg', '') AS head, replace(text, chr(10), '') AS cut FROM d),
 f AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS other, xor(crc, 4294967295) % 2 = 0 AS tampered FROM e),
