@@ -25,15 +25,20 @@ BASE_KINDS = [
 ENTROPY_KIND = "entropy"
 KINDS = [*(k for k, *_ in BASE_KINDS), ENTROPY_KIND]
 WINDOW = 20
+#: Matches of a text that are placed at a time.
+PART = 512
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Character class, pattern of the whole run, least entropy of its best window (20 characters have at most 4.32 bits).
 CLASSES = [("hex", r"^([0-9A-F]+|[0-9a-f]+)$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8)]
-#: Runs that are no secrets however mixed they are.
+#: Runs that are no secrets however mixed they are. No pattern repeats a group without bound: Java's would call itself for each turn, and a
+#: long run would end the program.
 ALLOW = [
-    r"^[A-Za-z]+$", r"^[A-Za-z]*([-_/=+]+[A-Za-z]*)+$", r"^[0-9_=+/-]+$", r"^/?([a-z0-9.]{1,16}[/_-])+[a-z0-9.]{0,16}$",
+    r"^[A-Za-z_/=+-]+$", r"^[0-9_=+/-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)^[a-z0-9]{0,8}[_-]?(abcdefghijklm[a-z]*|0?123456789[0-9]*|example|placeholder|changeme|your)([_-]?[a-z]{0,12}){0,4}[0-9]{0,4}$", r"^(.{1,4})\1{3,}.{0,3}$",
+    r"(?i)^[a-z0-9]{0,8}[_-]?(abcdefghijklm[a-z]*+|0?123456789[0-9]*+|example|placeholder|changeme|your)([_-]?[a-z]{0,12}){0,4}[0-9]{0,4}$", r"^(.{1,4})\1{3,}.{0,3}$",
 ]
+#: Paths and slugs: single separators between parts of up to 16 characters, given as what must and what must not be found.
+PATH = [r"^[a-z0-9./_-]+$", r"[a-z0-9.][/_-]"], [r"^[_-]", r"[/_-]{2}", r"[a-z0-9.]{17}"]
 
 
 def _placed(text: Column, pattern: str, found: Column, kept: Column, kind: int, group: Column | None = None) -> Column:
@@ -43,13 +48,24 @@ def _placed(text: Column, pattern: str, found: Column, kept: Column, kind: int,
     steps = F.zip_with(F.slice(rest, 1, F.size(found)), F.arrays_zip(found.alias("m"), groups.alias("g")), lambda p, x: F.struct(F.length(p).alias("gap"), x["m"].alias("m"), x["g"].alias("g")))
     span = lambda s, e: F.array(F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    size = lambda x: F.length(x["m"])
+
+    def walk(part: Column, at: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(at.alias("at"), none.alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["gap"] + size(x)).alias("at"),
+                F.when(kept(x["m"], x["g"]), F.concat(a["out"], span(a["at"] + x["gap"], a["at"] + x["gap"] + size(x)))).otherwise(a["out"]).alias("out"),
+            ),
+        )
+
+    # in parts of PART matches, so that texts of many matches do not copy all spans for each
+    numbers = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PART).cast("int"))
     walked = F.aggregate(
-        steps,
+        F.transform(numbers, lambda n: F.slice(steps, n * PART + 1, PART)),
         F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.when(kept(x["m"], x["g"]), F.concat(a["out"], span(a["at"] + x["gap"], a["at"] + x["gap"] + F.length(x["m"])))).otherwise(a["out"]).alias("out"),
-        ),
+        lambda a, part: (lambda w: F.struct(w["at"].alias("at"), F.concat(a["out"], w["out"]).alias("out")))(walk(part, a["at"])),
         lambda a: a["out"],
     )
     return F.when(F.size(found) > 0, walked).otherwise(none)
@@ -61,29 +77,33 @@ def _best_entropy(run: Column, window: int = WINDOW) -> Column:
     f = lambda c: F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
     count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
 
-    def step(a: Column, i: Column) -> Column:
-        new, full = F.substring(run, i, F.lit(1)), i > window
+    def step(a: Column, new: Column) -> Column:
+        full = F.length(a["text"]) == window
         old = F.substring(a["text"], F.lit(1), F.lit(1))
         d = count(a["text"], old)
         s1 = F.when(full, a["s"] + f(d - 1) - f(d)).otherwise(a["s"])
         kept = F.when(full, F.substring(a["text"], F.lit(2), F.lit(window))).otherwise(a["text"])
         c = count(kept, new)
         s2 = s1 + f(c + 1) - f(c)
-        best = F.when(i >= window, F.greatest(a["best"], F.log2(F.lit(float(window))) - s2 / window)).otherwise(a["best"])
+        best = F.when(F.length(kept) >= window - 1, F.greatest(a["best"], F.log2(F.lit(float(window))) - s2 / window)).otherwise(a["best"])
         return F.struct(F.concat(kept, new).alias("text"), s2.alias("s"), best.alias("best"))
 
     start = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda a: a["best"])
+    return F.aggregate(F.split(run, ""), start, step, lambda a: a["best"])
 
 
 def _suspicious(run: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | run.rlike(pattern)
+    must, never = PATH
+    slug = run.rlike(must[0]) & run.rlike(must[1])
+    for pattern in never:
+        slug = slug & ~run.rlike(pattern)
     least = F.lit(None).cast("double")
     for _, pattern, threshold in reversed(CLASSES):
         least = F.when(run.rlike(pattern), F.lit(threshold)).otherwise(least)
-    return F.when(allowed, F.lit(False)).otherwise(F.coalesce(_best_entropy(run) >= least, F.lit(False)))
+    return F.when(allowed | slug, F.lit(False)).otherwise(F.coalesce(_best_entropy(run) >= least, F.lit(False)))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -15,6 +15,12 @@ from spliceflow.llm.common import documents
 ALNUM = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
 
 
+def slug(run):
+    """Parts of up to 16 characters, each followed by one separator but perhaps the last, behind a slash or not."""
+    parts = re.split("[/_-]", run.removeprefix("/"))
+    return len(parts) > 1 and all(re.fullmatch("[a-z0-9.]{1,16}", p) for p in parts[:-1]) and bool(re.fullmatch("[a-z0-9.]{0,16}", parts[-1]))
+
+
 def brute_force(text):
     """(base, all) spans as (start, kind number, end)."""
     base = []
@@ -24,7 +30,7 @@ def brute_force(text):
     more = []
     for m in re.finditer(S.CANDIDATE, text):
         run = m.group()
-        if any(re.search(p, run) for p in S.ALLOW):
+        if any(re.search(p, run) for p in S.ALLOW) or slug(run):
             continue
         least = next((t for _, p, t in S.CLASSES if re.search(p, run)), None)
         windows = [Counter(run[i : i + S.WINDOW]) for i in range(len(run) - S.WINDOW + 1)]
@@ -60,3 +66,38 @@ def test_query_columns(spark, data):
         base, every = brute_force(text[r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in base) for n in range(3)]
         assert r.base_sha256 == hashlib.sha256(written(base).encode()).hexdigest() and r.spans == written(every)
+
+
+def test_slugs_and_paths(spark):
+    rng = np.random.default_rng(4)
+    runs = ["".join(rng.choice(list("a0/_-b"), rng.integers(20, 40))) for _ in range(300)]
+    runs += ["-".join("".join(rng.choice(list("ab01"), rng.integers(0, 19))) for _ in range(4)) + e for _ in range(200) for e in ("", "/", "a")]
+    runs += ["/abcdefghij0123456789", "/ab/cdefghij0123456789", "_ab/cd/ef/gh/ij/kl/mn/op"]
+    runs = [r for r in runs if len(r) >= S.WINDOW]
+    must, never = S.PATH
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame(list(enumerate(runs)), "k int, r string")
+    ok = F.lit(True)
+    for p in must:
+        ok = ok & F.col("r").rlike(p)
+    for p in never:
+        ok = ok & ~F.col("r").rlike(p)
+    got = {r.k: r.ok for r in d.select("k", ok.alias("ok")).collect()}
+    want = {k: slug(r) for k, r in enumerate(runs)}
+    assert got == want and 20 < sum(want.values()) < len(runs) - 20
+
+
+def test_runs_of_a_megabyte(spark):
+    """Runs of any length are scanned and redacted in linear time, without Java's stack."""
+    rng = np.random.default_rng(5)
+    n = 1 << 20
+    key = "".join(rng.choice(list(ALNUM + "+/"), n))
+    odd = ["abc/" * (n // 4), "aB-" * (n // 3), "-" * n, key, "abcdefghijklm" + "a" * n + "=", "0123456789" * (n // 10), "xy" * (n // 2) + "!", "0123456789abcdefghij-" * (n // 21), "a1B2" * (n // 4)]
+    rows = [(k, f"x {t} y") for k, t in enumerate(odd)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in S.scan(d).select("doc_id", S.written("spans").alias("spans")).collect()}
+    assert got[3] == f"entropy:2:{n + 2}"
+    assert all(not got[k] for k in (0, 1, 2, 6, 8)) and got[5].startswith("hex:")
+    clean = {r.doc_id: r.text for r in S.redact(d).collect()}
+    assert clean[3] == "x [SECRET] y" and clean[0] == rows[0][1]
