@@ -5,8 +5,11 @@ Vectors are (track, frame, feat array<double>); intervals are (track, beat, star
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 
@@ -110,10 +113,15 @@ def event_snippets(samples: DataFrame, marks: DataFrame, before: int, after: int
     ask = ask.withColumn("i", F.col("at") - before + F.col("k"))
     got = ask.join(samples.select("track", "i", "x"), ["track", "i"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
     arr = got.groupBy("track", "mark").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("w"))
-    arr = arr.withColumn("w", F.transform("w", lambda x: x - V.total("w") / size))
-    arr = arr.withColumn("w", F.transform("w", lambda x, k: x * (0.5 - 0.5 * F.cos(2 * F.pi() * k / size))))
-    rms = V.norm("w") / F.sqrt(F.lit(float(size)))
-    return arr.withColumn("__r", rms).withColumn("w", F.transform("w", lambda x: x / F.when(F.col("__r") > 1e-12, F.col("__r")).otherwise(1.0))).drop("__r")
+    return arr.withColumn("w", _snippet("w"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _snippet(w: pd.Series) -> pd.Series:
+    x = np.array(w.tolist(), dtype=float)
+    x = (x - x.mean(-1, keepdims=True)) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(x.shape[1]) / x.shape[1]))
+    rms = np.sqrt((x**2).mean(-1, keepdims=True))
+    return pd.Series(list(x / np.where(rms > 1e-12, rms, 1.0)))
 
 
 def edge_db(rms: Column) -> Column:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..functions import windows as W
 
 
 def build_blocks(segments: DataFrame) -> DataFrame:
@@ -117,32 +122,47 @@ def onset_in_window(energy: DataFrame, marks: DataFrame, before: int, after: int
     return marks.join(best, ["track", "mark"], "left").select("track", "mark", F.coalesce("b.i", "i").alias("onset"))
 
 
-def window_similarity(a: Column | str, b: Column | str, n: int | Column) -> Column:
-    """0.8 * correlation + 0.2 * correlation of the differences of two windows of n samples, less their means, Hann tapered; -1 if
-    either is silent."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    size = F.lit(n) if isinstance(n, int) else n.cast("int")
-    taper = lambda v: F.transform(v, lambda x, k: (x - V.total(v) / size) * (0.5 - 0.5 * F.cos(2 * math.pi * k / (size - 1))))
-    diff = lambda v: F.zip_with(F.slice(v, F.lit(2), size - 1), F.slice(v, F.lit(1), size - 1), lambda x, y: x - y)
-    ncc = lambda x, y: V.dot(x, y) / (V.norm(x) * V.norm(y))
-    ta, tb = taper(a), taper(b)
-    return F.when((V.norm(ta) < 1e-9) | (V.norm(tb) < 1e-9), -1.0).otherwise(0.8 * ncc(ta, tb) + 0.2 * ncc(diff(ta), diff(tb)))
+def _stacks(*columns: pd.Series) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Rows whose arrays are there and of one length: (their numbers, an array (rows, 1, length) for each column)."""
+    rows: dict[int, list[int]] = {}
+    for k, v in enumerate(zip(*columns)):
+        if all(x is not None for x in v) and len({len(x) for x in v}) == 1:
+            rows.setdefault(len(v[0]), []).append(k)
+    for n, at in rows.items():
+        for lo in range(0, len(at), max(1, (1 << 20) // max(n, 1))):
+            part = at[lo : lo + max(1, (1 << 20) // max(n, 1))]
+            yield part, [np.array([c.iloc[k] for k in part], dtype=float).reshape(len(part), 1, n) for c in columns]
+
+
+@F.pandas_udf(T.DoubleType())
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.full(len(a), W.NONE)
+    for at, (x, y) in _stacks(a, b):
+        out[at] = W.similarity(x, y)
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.IntegerType())
+def _onset(v: pd.Series) -> pd.Series:
+    out = np.zeros(len(v), dtype=np.int32)
+    for at, (x,) in _stacks(v):
+        out[at] = W.onset(x)
+    return pd.Series(out)
+
+
+def window_similarity(a: Column | str, b: Column | str) -> Column:
+    """0.8 * correlation + 0.2 * correlation of the differences of two windows of equal length, less their means, Hann tapered; -1 if
+    either is silent, missing or under 16 samples. Batches of rows at a time, linear in the samples."""
+    return _similarity(a, b)
 
 
 def splice_pair_score(similarity: Column, energy: Column, position: Column, centre: Column, alignment: Column) -> Column:
     return similarity - 0.10 * energy - 0.15 * position - 0.14 * centre - 0.10 * alignment
 
 
-def window_onset(v: Column | str, n: int) -> Column:
-    """Place of the steepest rise of the box-smoothed absolute samples of a window of n; the first of equals; n / 2 under 16 samples."""
-    if n < 16:
-        return F.lit(n // 2)
-    k = min(64, max(4, n // 8))
-    v, ahead = F.col(v) if isinstance(v, str) else v, (k - 1) // 2
-    level = lambda i: F.coalesce(F.abs(F.get(v, i)), F.lit(0.0))
-    # neighbouring boxes share all samples but the one that enters and the one that leaves
-    rise = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.round((level(i + ahead) - F.when(i + ahead - k >= 0, level(i + ahead - k)).otherwise(0.0)) / k, 9))))
-    return (F.array_position(rise, F.array_max(rise)) - 1).cast("int")
+def window_onset(v: Column | str) -> Column:
+    """Place of the steepest rise of the box-smoothed absolute samples of a window; the first of equals; the middle under 16 samples."""
+    return _onset(v)
 
 
 def pair_penalties(a: Column | str, b: Column | str, n: int, out_shift: Column, in_shift: Column, max_shift: int) -> dict[str, Column]:
@@ -151,7 +171,7 @@ def pair_penalties(a: Column | str, b: Column | str, n: int, out_shift: Column,
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     rms = lambda v: F.sqrt(V.dot(v, v) / n + F.lit(1e-10))
     one = F.lit(1.0)
-    oa, ob, centre = window_onset(a, n), window_onset(b, n), F.lit(0.5 * max(n - 1, 0))
+    oa, ob, centre = window_onset(a), window_onset(b), F.lit(0.5 * max(n - 1, 0))
     return {
         "energy": F.least(one, F.abs(20.0 * F.log10(rms(a) / rms(b))) / 12.0),
         "position": F.least(one, (F.abs(out_shift) + F.abs(in_shift)) / (2.0 * max_shift)) if max_shift > 0 else F.lit(0.0),
@@ -162,7 +182,7 @@ def pair_penalties(a: Column | str, b: Column | str, n: int, out_shift: Column,
 
 def scored_pair(a: Column | str, b: Column | str, n: int, out_shift: Column, in_shift: Column, max_shift: int) -> Column:
     """Similarity of two windows less their penalties; -1 where either is silent."""
-    sim = window_similarity(a, b, n)
+    sim = window_similarity(a, b)
     return F.when(sim <= -0.99, -1.0).otherwise(splice_pair_score(sim, **pair_penalties(a, b, n, out_shift, in_shift, max_shift)))
 
 
@@ -171,10 +191,10 @@ def anchor_score(a: Column | str, b: Column | str, n: int, anchor: Column, vocal
     weighing 0.40 + 0.25 * vocal, less a level step and an anchor near the edge; from 0 to 1. A neighbourhood of under 16 samples
     counts as the whole."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    sim = window_similarity(a, b, n)
+    sim = window_similarity(a, b)
     lo, hi = F.greatest(F.lit(0), anchor - radius), F.least(F.lit(n), anchor + radius)
     cut = lambda v: F.slice(v, (lo + 1).cast("int"), (hi - lo).cast("int"))
-    near = F.when(hi - lo >= 16, window_similarity(cut(a), cut(b), hi - lo)).otherwise(sim)
+    near = F.when(hi - lo >= 16, window_similarity(cut(a), cut(b))).otherwise(sim)
     rms = lambda v: F.sqrt(V.dot(v, v) / n + F.lit(1e-10))
     energy = F.least(F.lit(1.0), F.abs(20.0 * F.log10(rms(a) / rms(b))) / 12.0)
     edge = F.greatest(F.lit(0.0), 1.0 - F.least(anchor, n - anchor) / max(1.0, 0.18 * n))
@@ -214,35 +234,6 @@ def junction_scores(pairs: DataFrame, weights: dict[str, float], harmonic: bool
     return p.withColumn("score", F.greatest(F.lit(0.0), quality_score(weights, harmonic) - less))
 
 
-def refine_splice(splices: DataFrame, samples: DataFrame, n: int, coarse: int, span: int, keep: int = 4, fine: int = 2) -> DataFrame:
-    """(track, splice, out_shift, in_shift, score): of shifts of both sides of a splice (track, splice, i, j) on a coarse grid within
-    +- span samples the `keep` best by correlation of the n samples after each, then the best on a fine grid around those."""
-    reach, key = span + fine, ["track", "splice"]
-    first = lambda c: F.greatest(F.lit(0).cast("long"), F.col(c) - reach)
-
-    def window(c: str, out: str) -> DataFrame:
-        """(track, splice, out): the samples that shifts of the side c can touch, from first(c)."""
-        places = splices.select(*key, F.explode(F.sequence(first(c), F.greatest(first(c), F.col(c) + reach) + n - 1)).alias("i"))
-        p = places.join(samples, ["track", "i"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
-        return p.select(*key, F.transform("p", lambda p: p["x"]).alias(out))
-
-    base = splices.join(samples.select("track").distinct(), "track", "left_semi").join(window("i", "xi"), key, "left").join(window("j", "xj"), key, "left")
-
-    def scored(d: DataFrame) -> DataFrame:
-        cut = lambda x, c, shift: F.slice(F.coalesce(x, F.array().cast("array<double>")), (F.greatest(F.lit(0).cast("long"), F.col(c) + F.col(shift)) - first(c) + 1).cast("int"), n)
-        a, b = cut(F.col("xi"), "i", "o"), cut(F.col("xj"), "j", "q")
-        return d.withColumn("score", F.when((F.size(a) == n) & (F.size(b) == n), V.dot(a, b) / (V.norm(a) * V.norm(b) + 1e-12)).otherwise(-1.0))
-
-    grid = F.sequence(F.lit(-span), F.lit(span), F.lit(coarse))
-    c = scored(base.withColumn("o", F.explode(grid)).withColumn("q", F.explode(grid)))
-    w = Window.partitionBy("track", "splice").orderBy(F.desc(F.round("score", 9)), "o", "q")
-    c = c.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).drop("r", "score")
-    steps = F.sequence(F.lit(-fine), F.lit(fine))
-    f = c.withColumn("do", F.explode(steps)).withColumn("dq", F.explode(steps)).withColumns({"o": F.col("o") + F.col("do"), "q": F.col("q") + F.col("dq")}).drop("do", "dq").dropDuplicates(["track", "splice", "o", "q"])
-    f = scored(f).withColumn("r", F.row_number().over(w)).where("r = 1")
-    return f.select("track", "splice", F.col("o").alias("out_shift"), F.col("q").alias("in_shift"), "score")
-
-
 def accept_anchor(score: Column, baseline: Column, local: Column, local_baseline: Column, vocal: Column) -> Column:
     return (score >= baseline + 0.02) | ((vocal >= 0.28) & (local >= local_baseline + 0.01))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import editing as E
+from ..operators import splices as X
 from ..operators import structure as S
 from ..operators import transitions as Q
 from ..operators.similarity import pairs
@@ -134,7 +135,7 @@ SELECT a.track, a.beat AS i, b.beat AS j, round(0.8 * list_cosine_similarity(a.w
 def e8_window_similarity(spark, d):
     b = T.beats(spark, d)
     p = pairs(b, b, (F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + 3))
-    return rounded(p.select("track", "i", "j", E.window_similarity("fi", "fj", 64).alias("v")))
+    return rounded(p.select("track", "i", "j", E.window_similarity("fi", "fj").alias("v")))
 
 
 #: Pairs of windows of 64 samples, one to three beats apart: tapered similarity, level, onsets.
@@ -154,7 +155,7 @@ def _windows(spark, d):
 @family(f"""WITH {WIN} SELECT track, i, j, oa AS onset_i, round(sim - 0.1 * energy - 0.15 * least(1, (i % 5 + j % 3) / 16.0::DOUBLE) - 0.14 * least(1, (abs(oa - 31.5) + abs(ob - 31.5)) / 44.8::DOUBLE) - 0.1 * least(1, abs(oa - ob) / 16.0::DOUBLE), 6) AS score FROM wp""")
 def e9_scored_pair(spark, d):
     p = _windows(spark, d)
-    return rounded(p.select("track", "i", "j", E.window_onset("fi", 64).cast("long").alias("onset_i"), E.scored_pair("fi", "fj", 64, F.col("i") % 5, -(F.col("j") % 3), 8).alias("score")))
+    return rounded(p.select("track", "i", "j", E.window_onset("fi").cast("long").alias("onset_i"), E.scored_pair("fi", "fj", 64, F.col("i") % 5, -(F.col("j") % 3), 8).alias("score")))
 
 
 def _near(a: str, b: str) -> str:
@@ -219,11 +220,26 @@ def e4_spliced_clips(spark, d):
     return E.spliced_clips(c, s)
 
 
+def _splices(s):
+    """A splice at every 120th sample of every track: from there to 90 samples on, beats of 60 samples."""
+    beats = s.where("i % 60 = 0").select("track", F.floor(F.col("i") / 60).alias("beat"), "i")
+    return beats, beats.where("beat % 2 = 0").select("track", F.floor(F.col("beat") / 2).alias("splice"), "beat", "i", ((F.col("beat") % 10) / 10.0).alias("vocal"))
+
+
+@family()
+def e10_anchor_search(spark, d):
+    s = T.signal(spark, d)
+    beats, at = _splices(s)
+    asked = at.select("track", "splice", F.col("beat").alias("prev_beat"), (F.col("beat") + 3).alias("curr_beat"), "vocal")
+    return rounded(X.anchor_search(asked, beats, s, rate=1000, least_ms=40.0, local_ms=60.0, back_ms=90.0, ahead_ms=60.0))
+
+
 @family()
 def e11_refine_splice(spark, d):
     s = T.signal(spark, d)
-    splices = s.where("i % 100 = 50").select("track", F.floor(F.col("i") / 100).alias("splice"), "i", (F.col("i") + 25).alias("j"))
-    return rounded(E.refine_splice(splices, s, 16, 4, 8))
+    _, at = _splices(s)
+    asked = at.select("track", "splice", F.col("i").alias("successor"), (F.col("i") + 90).alias("target"), (F.col("i") + 150).alias("beat_end"), F.lit(48).cast("long").alias("overlap"))
+    return rounded(X.refine_splice(asked, s, rate=1000, coarse=4, back_ms=90.0, ahead_ms=60.0))
 
 
 @family(f"""WITH {SG}, cl AS (SELECT track, 'r' || track AS run_id, c, c * 40 AS f, 30 AS n, c * 25 AS pos FROM (SELECT DISTINCT track, i // 40 AS c FROM sg)),
