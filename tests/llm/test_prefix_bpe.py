@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 
 from spliceflow.llm import queries
-from spliceflow.llm.prefix_bpe import SuffixAutomaton, decode, encode, prefix_bpe
+from spliceflow.llm.prefix_bpe import SuffixAutomaton, decode, decoder, encode, prefix_bpe
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -31,7 +31,7 @@ def _same(library, texts):
         want = library.encode(text, add_special_tokens=False).ids
         got = np.frombuffer(codec.encode(text), "<i4").tolist()
         assert got == want, repr(text)[:200]
-        assert codec.decode(got) == library.decode(want, skip_special_tokens=False)
+        assert decoder(PATH).decode(got) == library.decode(want, skip_special_tokens=False)
 
 
 def test_random_texts(library):
@@ -92,6 +92,6 @@ def test_edge_cases(spark):
     assert sorted((len(r["ids"]), r["decoded"]) for r in got.collect()) == [(0, ""), (0, ""), (2, "two</w> words</w>"), (2, "two</w> words</w>")]
     assert decode(encode(spark.createDataFrame([], kind), PATH), PATH).count() == 0
     with pytest.raises(IndexError):
-        prefix_bpe(PATH).decode([sys.maxsize])
+        decoder(PATH).decode([sys.maxsize])
     with pytest.raises(ValueError):
-        prefix_bpe(PATH).decode([-1])
+        decoder(PATH).decode([-1])
