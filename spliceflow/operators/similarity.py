@@ -24,11 +24,75 @@ def pairs(a: DataFrame, b: DataFrame, on: Column | None = None, vector: str = "f
     return x.join(y, cond if on is None else cond & on).drop("__t")
 
 
+def _scores(a: np.ndarray, b: np.ndarray, kind: str, eps: float) -> np.ndarray:
+    """Every row of a with every row of b: their cosine, or their distance (of differences, as products of lengths would lose digits)."""
+    if kind == "cosine":
+        na, nb = (np.sqrt(np.einsum("kn,kn->k", x, x)) for x in (a, b))
+        return (a @ b.T) / (na[:, None] * nb[None] + eps)
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T):  # one dimension of all pairs at a time
+        out += (x[:, None] - y[None]) ** 2
+    return np.sqrt(out)
+
+
+def tile_scores(a: DataFrame, b: DataFrame, kind: str = "cosine", apart: tuple[int, int | None] = (0, None), nearest: int | None = None, most: float | None = None, missing: float | None = None, size: int = 1024, eps: float = 1e-8) -> DataFrame:
+    """(track, i, j, v): cosine or distance of the vectors (track, beat, feat) of a with those of b in their track, for all pairs `apart` beats
+    (from the first number to the second) from each other.
+
+    With `nearest` only the k best j of each i, by v rounded to twelve digits and then by j, and none over `most`: the lowest distances, or for
+    cosines 1 - v. A null vector scores `missing`, or is left out. Tiles of `size` x `size` beats are a product of matrices each, and
+    hand on at most k rows for each i: the pairs of a long track are spread over tasks and never all rows of a table."""
+    lo, hi = apart
+    rows = a.select("track", F.col("beat").cast("long").alias("k"), F.col("feat").cast("array<double>").alias("x"), F.lit(0).alias("side"))
+    rows = rows.unionByName(b.select("track", F.col("beat").cast("long").alias("k"), F.col("feat").cast("array<double>").alias("x"), F.lit(1).alias("side")))
+    if missing is None:
+        rows = rows.where("x is not null")
+    n = rows.groupBy("track").agg(F.floor(F.max("k") / size).alias("n"))
+    rows = rows.join(n, "track").withColumn("own", F.floor(F.col("k") / size))
+    reach = F.col("n") if hi is None else F.lit(hi // size + 1).cast("long")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("own") - reach), F.least(F.col("n"), F.col("own") + reach))))
+    first = F.col("side") == 0
+    rows = rows.select("track", F.when(first, F.col("own")).otherwise(F.col("other")).alias("ti"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("tj"), "k", "x", "side")
+
+    def tile(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"track": [key[0]][:0], "i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "v": np.zeros(0)})
+        both = both.sort_values("k")
+        x, y = both[both["side"] == 0], both[both["side"] == 1]
+        if not len(x) or not len(y):
+            return empty
+        width = max((len(v) for s in (x, y) for v in s["x"] if v is not None), default=0)
+        stack = lambda s: np.array([np.full(width, np.nan) if v is None else np.asarray(v, dtype=float) for v in s["x"]]).reshape(len(s), width)
+        v = _scores(stack(x), stack(y), kind, eps)
+        if missing is not None:
+            v = np.where(np.isnan(v), missing, v)
+        i, j = x["k"].to_numpy(), y["k"].to_numpy()
+        gap = np.abs(i[:, None] - j[None])
+        ok = gap >= lo if hi is None else (gap >= lo) & (gap <= hi)
+        if nearest is None:
+            p, q = np.nonzero(ok)
+        else:
+            cost = np.round(1.0 - v if kind == "cosine" else v, 12)
+            ok &= cost <= (np.inf if most is None else most)
+            cost = np.where(ok, cost, np.inf)
+            q = np.argsort(cost, axis=1, kind="stable")[:, :nearest]
+            p = np.repeat(np.arange(len(i)), q.shape[1])
+            q = q.ravel()
+            there = np.isfinite(cost[p, q])
+            p, q = p[there], q[there]
+        return pd.DataFrame({"track": key[0], "i": i[p], "j": j[q], "v": v[p, q]}) if len(p) else empty
+
+    kind_of = dict(a.dtypes)["track"]
+    out = rows.groupBy("track", "ti", "tj").applyInPandas(tile, f"track {kind_of}, i long, j long, v double")
+    if nearest is None:
+        return out
+    order = F.round(1 - F.col("v") if kind == "cosine" else F.col("v"), 12)
+    return out.withColumn("__r", F.row_number().over(Window.partitionBy("track", "i").orderBy(order, "j"))).where(F.col("__r") <= nearest).drop("__r")
+
+
 def self_similarity(beats: DataFrame, stride: int = 1) -> DataFrame:
-    """(track, i, j, v): cosine of every stride-th vector with every other, clipped to [0, 1]; computed for i <= j and mirrored."""
+    """(track, i, j, v): cosine of every stride-th vector with every other, clipped to [0, 1]."""
     b = beats.where(F.col("beat") % stride == 0)
-    up = pairs(b, b, F.col("i") <= F.col("j")).select("track", "i", "j", V.clip(V.cosine("fi", "fj"), 0.0, 1.0).alias("v"))
-    return up.union(up.where("i < j").select("track", F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    return tile_scores(b, b).withColumn("v", V.clip(F.col("v"), 0.0, 1.0))
 
 
 def checkerboard_novelty(ssm: DataFrame, n: DataFrame, kernel: int) -> DataFrame:
@@ -200,9 +264,8 @@ def knn_recurrence(beats: DataFrame, k: int) -> DataFrame:
     """(track, i, j, v): the k nearest by distance on unit vectors, the row itself left out, ties to the lower j; weight exp(-d2 / mu),
     mu the track's median nearest distance; edges hold both ways."""
     u = beats.withColumn("feat", V.l2_normalized("feat"))
-    d = pairs(u, u, F.col("i") != F.col("j")).select("track", "i", "j", V.distance("fi", "fj").alias("d"))
-    near = d.withColumn("r", F.row_number().over(Window.partitionBy("track", "i").orderBy("d", "j"))).where(F.col("r") <= k)
-    mu = near.where("r = 1").groupBy("track").agg(F.greatest(F.median("d"), F.lit(1e-8)).alias("mu"))
+    near = tile_scores(u, u, "distance", apart=(1, None), nearest=k).withColumnRenamed("v", "d")
+    mu = near.groupBy("track", "i").agg(F.min("d").alias("d")).groupBy("track").agg(F.greatest(F.median("d"), F.lit(1e-8)).alias("mu"))
     e = near.join(mu, "track").select("track", "i", "j", F.exp(-F.col("d") * F.col("d") / F.col("mu")).alias("v"))
     return e.union(e.select("track", F.col("j").alias("i"), F.col("i").alias("j"), "v")).groupBy("track", "i", "j").agg(F.max("v").alias("v"))
 

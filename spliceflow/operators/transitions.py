@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .events import snap_nearest
-from .similarity import lag_correlation, pairs
+from .similarity import lag_correlation, tile_scores
 
 #: Default weights of the signals; combined by a harmonic mean (fixed values).
 DEFAULT_WEIGHTS = {"waveform": 0.50, "sequential": 0.20, "transient": 0.15, "energy": 0.07, "edge_energy": 0.04, "bar_align": 0.02, "centroid": 0.02}
+#: Level step at which nothing of the edge energy is left, in dB (a fixed value; steps over 8 dB are dropped before).
+EDGE_SPAN_DB = 12.0
 SIGNALS = ["waveform", "successor", "edge_splice", "context", "label", "section", "bar_align", "energy", "edge_energy", "centroid", "transient", "sequential", "mfcc", "chroma", "vocal", "extra1"]
 
 
@@ -24,10 +26,9 @@ def _w():
     return Window.partitionBy("track").orderBy("beat")
 
 
-def next_vector_pairs(beats: DataFrame, on: Column | None = None, vector: str = "feat") -> DataFrame:
-    """(track, i, j, fi, fj) where fi is the vector of the beat after i (null for the last)."""
-    nxt = beats.withColumn(vector, F.lead(vector).over(_w()))
-    return pairs(nxt, beats, on, vector)
+def _next(beats: DataFrame, vector: str = "feat") -> DataFrame:
+    """beats with the vector of the beat after each (null for the last)."""
+    return beats.withColumn(vector, F.lead(vector).over(_w()))
 
 
 def chroma_of(feat: Column | str) -> Column:
@@ -36,21 +37,32 @@ def chroma_of(feat: Column | str) -> Column:
     return F.slice(f, F.size(f) - 18, 12)
 
 
-def chroma_distance(beats: DataFrame, on: Column | None = None) -> DataFrame:
-    """(track, i, j, d): 1 - cosine of the chroma after i with that of j; 1 for the last i."""
-    c = beats.withColumn("feat", chroma_of("feat"))
-    return next_vector_pairs(c, on).select("track", "i", "j", F.coalesce(1 - V.cosine("fi", "fj"), F.lit(1.0)).alias("d"))
+def chroma_distance(beats: DataFrame, apart: tuple[int, int | None] = (0, None)) -> DataFrame:
+    """(track, i, j, d): 1 - cosine of the chroma after i with that of j; 1 for the last i. All pairs `apart` beats from each other."""
+    c = beats.select("track", "beat", chroma_of("feat").alias("feat"))
+    return tile_scores(_next(c), c, apart=apart, missing=0.0).select("track", "i", "j", (1 - F.col("v")).alias("d"))
 
 
-def successor_similarity(beats: DataFrame, on: Column | None = None) -> DataFrame:
+def chroma_nearest(beats: DataFrame, k: int = 16, guard: int = 15, most: float = 0.45, extra: DataFrame | None = None) -> DataFrame:
+    """candidates_topk(chroma_distance(beats), ...) without a row for every pair: tiles of a track keep the k nearest of each beat."""
+    c = beats.select("track", "beat", chroma_of("feat").alias("feat"))
+    top = tile_scores(_next(c), c, apart=(guard + 1, None), nearest=k, most=most, missing=0.0).select("track", "i", "j", (1 - F.col("v")).alias("d"))
+    if extra is None:
+        return top
+    a, b = _next(c).select("track", F.col("beat").alias("i"), F.col("feat").alias("fi")), c.select("track", F.col("beat").alias("j"), F.col("feat").alias("fj"))
+    more = extra.select("track", "i", "j").join(a, ["track", "i"]).join(b, ["track", "j"]).select("track", "i", "j", F.coalesce(1 - V.cosine("fi", "fj"), F.lit(1.0)).alias("d"))
+    return top.union(more).groupBy("track", "i", "j").agg(F.min("d").alias("d"))
+
+
+def successor_similarity(beats: DataFrame, apart: tuple[int, int | None] = (0, None)) -> DataFrame:
     """(track, i, j, v): cosine of the vector after i with that of j; 0 for the last i."""
-    return next_vector_pairs(beats, on).select("track", "i", "j", F.coalesce(V.cosine("fi", "fj"), F.lit(0.0)).alias("v"))
+    return tile_scores(_next(beats), beats, apart=apart, missing=0.0)
 
 
-def edge_similarity(edges: DataFrame, on: Column | None = None) -> DataFrame:
+def edge_similarity(edges: DataFrame, apart: tuple[int, int | None] = (0, None)) -> DataFrame:
     """(track, i, j, v): cosine of edge_end of i with edge_start of j."""
-    x = pairs(edges.withColumn("feat", F.col("edge_end")), edges.withColumn("feat", F.col("edge_start")), on)
-    return x.select("track", "i", "j", V.cosine("fi", "fj").alias("v"))
+    side = lambda c: edges.select("track", "beat", F.col(c).alias("feat"))
+    return tile_scores(side("edge_end"), side("edge_start"), apart=apart)
 
 
 def context_vectors(beats: DataFrame, back: int = 3, ahead: int = 3) -> DataFrame:
@@ -62,11 +74,11 @@ def context_vectors(beats: DataFrame, back: int = 3, ahead: int = 3) -> DataFram
     return g.select("track", "beat", F.transform("p", lambda p: p["b"]).alias("before"), F.transform("p", lambda p: p["a"]).alias("after"))
 
 
-def context_similarity(beats: DataFrame, on: Column | None = None, back: int = 3, ahead: int = 3) -> DataFrame:
+def context_similarity(beats: DataFrame, apart: tuple[int, int | None] = (0, None), back: int = 3, ahead: int = 3) -> DataFrame:
     """(track, i, j, v): cosine of the context before i with that after j."""
     c = context_vectors(beats, back, ahead)
-    x = pairs(c.withColumn("feat", F.col("before")), c.withColumn("feat", F.col("after")), on)
-    return x.select("track", "i", "j", V.cosine("fi", "fj").alias("v"))
+    side = lambda x: c.select("track", "beat", F.col(x).alias("feat"))
+    return tile_scores(side("before"), side("after"), apart=apart)
 
 
 def sequential_cost(beats: DataFrame, boundary: str | None = None) -> DataFrame:
@@ -107,19 +119,36 @@ def deceptive_guard(waveform: Column, band: Column, vocal_i: Column, vocal_j: Co
     return F.when((vocal_i > 0.35) & (vocal_j > 0.35) & (waveform - band > 0.3), band).otherwise(waveform)
 
 
-def mfcc_continuity(beats: DataFrame, on: Column | None = None, share: float = 0.7, span: float = 0.6) -> DataFrame:
-    """(track, i, j, v): 1 - min(1, (0.7 static + 0.3 delta) / 0.6) on the first 13 dimensions, distances per root dimension."""
-    m = beats.withColumn("m", F.slice("feat", 1, 13))
-    m = m.withColumn("dm", F.zip_with("m", F.coalesce(F.lag("m").over(_w()), "m"), lambda a, b: a - b))
-    m = m.select("track", "beat", F.concat("m", "dm").alias("feat"))
-    part = lambda c, at: F.slice(c, at, 13)
-    gap = lambda at: V.distance(part("fi", at), part("fj", at)) / F.sqrt(F.lit(13.0))
-    return pairs(m, m, on).select("track", "i", "j", (1 - F.least(F.lit(1.0), (share * gap(1) + (1 - share) * gap(14)) / span)).alias("v"))
+#: Share of the static distance, and the distance from which nothing is left (fixed values).
+MFCC_STATIC, MFCC_SPAN, MFCC_N = 0.7, 0.6, 13
+
+
+def mfcc_vectors(beats: DataFrame) -> DataFrame:
+    """(track, beat, m, leaving, landing): the first 13 dimensions, their step from the beat before, and that to the beat after (0 at the ends)."""
+    m = beats.select("track", "beat", F.slice("feat", 1, MFCC_N).alias("m"))
+    step = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    return m.withColumns({"leaving": step("m", F.coalesce(F.lag("m").over(_w()), "m")), "landing": step(F.coalesce(F.lead("m").over(_w()), "m"), "m")})
+
 
+def mfcc_of_pair(m_i: Column | str, leaving: Column | str, m_j: Column | str, landing: Column | str) -> Column:
+    """1 - min(1, (0.7 static + 0.3 dynamic) / 0.6): distances per root dimension of the vectors, and of the step into i and that out of j."""
+    gap = lambda a, b: V.distance(a, b) / F.sqrt(F.lit(float(MFCC_N)))
+    return 1 - F.least(F.lit(1.0), (MFCC_STATIC * gap(m_i, m_j) + (1 - MFCC_STATIC) * gap(leaving, landing)) / MFCC_SPAN)
 
-def chroma_continuity(beats: DataFrame, on: Column | None = None) -> DataFrame:
-    c = beats.withColumn("feat", chroma_of("feat"))
-    return pairs(c, c, on).select("track", "i", "j", V.clip(V.cosine("fi", "fj"), 0.0, 1.0).alias("v"))
+
+def mfcc_continuity(beats: DataFrame, apart: tuple[int, int | None] = (0, None)) -> DataFrame:
+    """(track, i, j, v): mfcc_of_pair for all pairs of a track."""
+    m, root = mfcc_vectors(beats), F.sqrt(F.lit(float(MFCC_N)))
+    side = lambda c: m.select("track", "beat", F.col(c).alias("feat"))
+    static = tile_scores(side("m"), side("m"), "distance", apart)
+    dynamic = tile_scores(side("leaving"), side("landing"), "distance", apart).withColumnRenamed("v", "w")
+    far = (MFCC_STATIC * F.col("v") + (1 - MFCC_STATIC) * F.col("w")) / root / MFCC_SPAN
+    return static.join(dynamic, ["track", "i", "j"]).select("track", "i", "j", (1 - F.least(F.lit(1.0), far)).alias("v"))
+
+
+def chroma_continuity(beats: DataFrame, apart: tuple[int, int | None] = (0, None)) -> DataFrame:
+    c = beats.select("track", "beat", chroma_of("feat").alias("feat"))
+    return tile_scores(c, c, apart=apart).withColumn("v", V.clip(F.col("v"), 0.0, 1.0))
 
 
 def vocal_continuity(density: Column, release_i: Column, onset_j: Column) -> Column:
@@ -187,36 +216,51 @@ def quality_bucket(q: Column) -> Column:
     return F.when(q.isNull(), "unknown").when(q > 0.7, "great").when(q >= 0.5, "good").otherwise("weak")
 
 
-def transition_candidates(beats: DataFrame, snippets: DataFrame, edge_db: DataFrame, k: int = 16, guard: int = 15, most: float = 0.45, floor: float = 0.20, max_lag: int = 4, weights: dict | None = None, marks: DataFrame | None = None, alike: DataFrame | None = None) -> DataFrame:
-    """(track, i, j, d, energy_diff_db, waveform, lag, successor, context, mfcc, sequential, energy, quality, cost) of the pairs
-    that pass distance, energy and quality. With marks of the beats (see marked_signals) also label, section, bar_align, edge_energy,
-    centroid and transient, which the default weights need, and the quality less its penalties."""
-    c = candidates_topk(chroma_distance(beats), k, guard, most)
+def transition_candidates(
+    beats: DataFrame, snippets: DataFrame, edge_db: DataFrame, k: int = 16, guard: int = 15, most: float = 0.45, floor: float = 0.20, max_lag: int = 4, weights: dict | None = None,
+    marks: DataFrame | None = None, alike: DataFrame | None = None, band_snippets: DataFrame | None = None, extra: DataFrame | None = None, harmonic: bool = True, tone: float = 0.0,
+) -> DataFrame:
+    """(track, i, j, d, energy_diff_db, waveform, lag, successor, context, mfcc, chroma, sequential, energy, quality, cost) of the pairs that
+    pass distance, energy and quality.
+
+    Pairs of `extra` (track, i, j) pass the distance in any case. With marks of the beats (see marked_signals) also label, section, bar_align,
+    edge_energy, centroid, transient and vocal (where marks have vocal_onset and vocal_release), which the default weights need, and the quality less
+    its penalties. With band_snippets (track, beat, w: the snippets in the band of voices), where both sides are vocal in a track with voices,
+    a waveform similarity that the band does not bear out is replaced by that of the band. tone blends in the chroma."""
+    c = chroma_nearest(beats, k, guard, most, extra)
     c = waveform_similarity(gate_energy(c, edge_db), snippets, max_lag)
-    v = beats.withColumns({"next": F.lead("feat").over(_w())}).join(context_vectors(beats), ["track", "beat"])
-    a = v.select("track", F.col("beat").alias("i"), F.col("next"), F.col("before"), F.slice("feat", 1, 13).alias("mi"))
-    b = v.select("track", F.col("beat").alias("j"), F.col("feat").alias("fj"), F.col("after"), F.slice("feat", 1, 13).alias("mj"))
+    v = beats.withColumns({"next": F.lead("feat").over(_w())}).join(context_vectors(beats), ["track", "beat"]).join(mfcc_vectors(beats), ["track", "beat"])
+    a = v.select("track", F.col("beat").alias("i"), F.col("next"), F.col("before"), F.col("m").alias("mi"), "leaving", chroma_of("feat").alias("ci"))
+    b = v.select("track", F.col("beat").alias("j"), F.col("feat").alias("fj"), F.col("after"), F.col("m").alias("mj"), "landing", chroma_of("feat").alias("cj"))
     c = c.join(a, ["track", "i"]).join(b, ["track", "j"])
     c = c.withColumns({
-        "successor": V.clip(V.cosine("next", "fj"), 0.0, 1.0), "context": V.clip(V.cosine("before", "after"), 0.0, 1.0),
-        "mfcc": 1 - F.least(F.lit(1.0), V.distance("mi", "mj") / F.sqrt(F.lit(13.0)) / 0.6), "energy": linear_match(F.col("energy_diff_db"), F.lit(0.0), 8.0),
-    }).drop("next", "before", "mi", "fj", "after", "mj")
+        "successor": V.clip(V.cosine("next", "fj"), 0.0, 1.0), "context": V.clip(V.cosine("before", "after"), 0.0, 1.0), "mfcc": mfcc_of_pair("mi", "leaving", "mj", "landing"),
+        "chroma": V.clip(V.cosine("ci", "cj"), 0.0, 1.0), "energy": linear_match(F.col("energy_diff_db"), F.lit(0.0), 8.0),
+    }).drop("next", "before", "mi", "leaving", "ci", "fj", "after", "mj", "landing", "cj")
     c = c.withColumn("sequential", sequential_signal(F.col("successor"), F.col("context"), F.col("mfcc")))
     use = weights or DEFAULT_WEIGHTS
     if marks is not None:
         c = marked_signals(c, marks, alike)
+    if band_snippets is not None:
+        if marks is None:
+            raise ValueError("the guard against deceptive splices needs marks of the beats")
+        band = waveform_similarity(c.select("track", "i", "j"), band_snippets, max_lag).select("track", "i", "j", F.col("waveform").alias("band"))
+        c = c.join(band, ["track", "i", "j"], "left")
+        guarded = deceptive_guard(F.col("waveform"), F.col("band"), F.col("vocal_i"), F.col("vocal_j"))
+        c = c.withColumn("waveform", F.when((F.col("most_vocal") >= 0.75) & F.col("band").isNotNull(), guarded).otherwise(F.col("waveform"))).drop("band")
     missing = sorted(set(use) - set(c.columns))
     if missing:
         raise ValueError(f"the weighted signals {missing} need marks of the beats")
-    c = c.withColumn("quality", quality_score(use))
+    q = quality_score(use, harmonic)
+    c = c.withColumn("quality", q if tone <= 0 else tone_blend(q, F.col("chroma"), tone))
     if marks is not None:
         c = penalised(c)
     return c.where(F.col("quality") >= floor).withColumn("cost", 1 - F.col("quality"))
 
 
 def marked_signals(candidates: DataFrame, marks: DataFrame, alike: DataFrame | None = None) -> DataFrame:
-    """candidates with the signals that need marks (track, beat, label, seg, rms, centroid, onset, vocal, leads_in, is_downbeat) of both
-    beats: label, section (similarity of their segments: track, a, b, similarity), bar_align, energy, edge_energy, centroid, transient (onset
+    """candidates with the signals that need marks (track, beat, label, seg, rms, centroid, onset, vocal, leads_in, is_downbeat[, vocal_onset,
+    vocal_release]) of both beats: label, section (similarity of their segments: track, a, b, similarity), bar_align, energy, edge_energy, centroid, transient (onset
     strength as share of the track's largest); and the marks that penalties read."""
     w = Window.partitionBy("track")
     top = F.max("onset").over(w)
@@ -224,6 +268,10 @@ def marked_signals(candidates: DataFrame, marks: DataFrame, alike: DataFrame | N
     of = lambda beat, s, more: m.select("track", F.col("beat").alias(beat), *(F.col(x).alias(f"{x}_{s}") for x in ("label", "seg", "rms", "centroid", "onset_share", "vocal")), *more)
     c = candidates.drop("energy").join(of("i", "i", [F.col("leads_in"), F.col("most_vocal")]), ["track", "i"]).join(of("j", "j", [F.col("is_downbeat"), F.col("onset").alias("onset_j")]), ["track", "j"])
     col = F.col
+    vocal = F.lit(None).cast("double")
+    if {"vocal_onset", "vocal_release"} <= set(marks.columns):
+        c = c.join(m.select("track", col("beat").alias("i"), col("vocal_release").alias("release_i")), ["track", "i"]).join(m.select("track", col("beat").alias("j"), col("vocal_onset").alias("starts_j")), ["track", "j"])
+        vocal = vocal_continuity(F.greatest("vocal_i", "vocal_j"), col("release_i"), col("starts_j"))
     section = F.lit(None).cast("double")
     if alike is not None:
         c = c.join(alike.select("track", col("a").alias("seg_i"), col("b").alias("seg_j"), col("similarity").alias("alike")), ["track", "seg_i", "seg_j"], "left")
@@ -231,9 +279,9 @@ def marked_signals(candidates: DataFrame, marks: DataFrame, alike: DataFrame | N
     return c.withColumns({
         "label": F.when((col("label_i") == col("label_j")) & (col("label_i") != "unknown"), 1.0).otherwise(0.0), "section": section,
         "bar_align": F.when(col("leads_in") & col("is_downbeat"), 1.0).otherwise(0.0), "energy": linear_match(col("rms_i"), col("rms_j"), 0.2),
-        "edge_energy": linear_match(col("energy_diff_db"), F.lit(0.0), 8.0), "centroid": linear_match(col("centroid_i"), col("centroid_j"), 0.2),
+        "edge_energy": linear_match(col("energy_diff_db"), F.lit(0.0), EDGE_SPAN_DB), "vocal": vocal, "centroid": linear_match(col("centroid_i"), col("centroid_j"), 0.2),
         "transient": 1 - F.abs(col("onset_share_i") - col("onset_share_j")),
-    }).drop("label_i", "label_j", "seg_i", "seg_j", "rms_i", "rms_j", "centroid_i", "centroid_j", "onset_share_i", "onset_share_j", "leads_in", "is_downbeat", "alike")
+    }).drop("label_i", "label_j", "seg_i", "seg_j", "rms_i", "rms_j", "centroid_i", "centroid_j", "onset_share_i", "onset_share_j", "leads_in", "is_downbeat", "alike", "release_i", "starts_j")
 
 
 def penalised(scored: DataFrame) -> DataFrame:

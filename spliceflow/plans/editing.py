@@ -180,7 +180,7 @@ def k2_junction_scores(spark, d):
     b = T.beats(spark, d)
     at = lambda k: F.abs(F.get("feat", F.lit(k)))
     db = lambda k: 20 * F.log10(F.greatest(at(k), F.lit(1e-6)))
-    p = Q.chroma_distance(b, F.abs(F.col("j") - F.col("i")).between(4, 9)).withColumn("successor", F.greatest(F.lit(0.0), 1 - F.col("d")))
+    p = Q.chroma_distance(b, (4, 9)).withColumn("successor", F.greatest(F.lit(0.0), 1 - F.col("d")))
     of = lambda c, *more: b.select("track", F.col("beat").alias(c), at(1).alias(f"rms_{c}"), at(2).alias(f"vocal_{c}"), (F.floor(F.col("beat") / 8) % 3).cast("string").alias(f"label_{c}"), *more)
     p = p.join(of("i", db(63).alias("end")), ["track", "i"]).join(of("j", db(0).alias("begin"), at(3).alias("onset_j")), ["track", "j"]).withColumn("energy_diff_db", F.col("begin") - F.col("end"))
     return rounded(E.junction_scores(p, {"successor": 0.4, "section": 0.2, "energy": 0.2, "edge_energy": 0.2}).select("track", "i", "j", "score"))

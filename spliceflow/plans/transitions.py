@@ -13,7 +13,7 @@ from .base import BV, EV, Family, rounded
 from .similarity import REC, _rec
 
 family = Family()
-CB = f"{BV}, cb AS (SELECT track, beat, feat[46:57] AS feat, lead(feat[46:57]) OVER w AS nx, feat AS full, lead(feat) OVER w AS fnx, feat[1:13] AS mf, lag(feat[1:13]) OVER w AS mp FROM bv WINDOW w AS (PARTITION BY track ORDER BY beat))"
+CB = f"{BV}, cb AS (SELECT track, beat, feat[46:57] AS feat, lead(feat[46:57]) OVER w AS nx, feat AS full, lead(feat) OVER w AS fnx, feat[1:13] AS mf, lag(feat[1:13]) OVER w AS mp, lead(feat[1:13]) OVER w AS mn FROM bv WINDOW w AS (PARTITION BY track ORDER BY beat))"
 
 
 def cos(a: str, b: str) -> str:
@@ -72,13 +72,13 @@ def q5_sequential_cost(spark, d):
 
 @family(f"WITH {TOPK} SELECT track, i, j, round(d, 6) AS d FROM tk")
 def q7_candidates_topk(spark, d):
-    return rounded(Q.candidates_topk(Q.chroma_distance(_b(spark, d)), 6, 3, 0.9))
+    return rounded(Q.chroma_nearest(_b(spark, d), 6, 3, 0.9))
 
 
 @family(f"WITH {GATE} SELECT track, i, j, round(d, 6) AS d, round(e, 6) + 0 AS energy_diff_db FROM gt")
 def q8_gate_energy(spark, d):
     b = _b(spark, d)
-    return rounded(Q.gate_energy(Q.candidates_topk(Q.chroma_distance(b), 6, 3, 0.9), _edge_db(b)).select("track", "i", "j", "d", "energy_diff_db"))
+    return rounded(Q.gate_energy(Q.chroma_nearest(b, 6, 3, 0.9), _edge_db(b)).select("track", "i", "j", "d", "energy_diff_db"))
 
 
 WAVE = f"""{GATE}, lg AS (SELECT gt.*, x.feat AS wa, y.feat AS wb, unnest(generate_series(-4, 4)) AS lag FROM gt JOIN bv x ON x.track = gt.track AND x.beat = i + 1 JOIN bv y ON y.track = gt.track AND y.beat = j),
@@ -89,7 +89,7 @@ wf AS (SELECT track, i, j, d, e, lag, greatest(0, c) AS waveform FROM (SELECT *,
 @family(f"WITH {WAVE} SELECT track, i, j, lag, round(waveform, 6) AS waveform FROM wf")
 def q9_waveform_similarity(spark, d):
     b = _b(spark, d)
-    c = Q.gate_energy(Q.candidates_topk(Q.chroma_distance(b), 6, 3, 0.9), _edge_db(b))
+    c = Q.gate_energy(Q.chroma_nearest(b, 6, 3, 0.9), _edge_db(b))
     return rounded(Q.waveform_similarity(c, _snippets(b), 4).select("track", "i", "j", "lag", "waveform"))
 
 
@@ -102,8 +102,12 @@ def q10_deceptive_guard(spark, d):
     return rounded(e.select("track", "i", Q.deceptive_guard(F.col("w"), F.col("b"), F.col("vi"), F.col("vj")).alias("guarded")))
 
 
-@family(f"""WITH {CB}, dl AS (SELECT track, beat, mf, list_transform(list_zip(mf, coalesce(mp, mf)), lambda p: p[1] - p[2]) AS dm FROM cb)
-SELECT a.track, a.beat AS i, b.beat AS j, round(1 - least(1, (0.7 * list_distance(a.mf, b.mf) + 0.3 * list_distance(a.dm, b.dm)) / sqrt(13.0::DOUBLE) / 0.6), 6) AS v FROM dl a JOIN dl b USING (track)""")
+#: Steps into and out of each beat, and the continuity of a pair of rows of dl.
+DL = "dl AS (SELECT track, beat, mf, list_transform(list_zip(mf, coalesce(mp, mf)), lambda p: p[1] - p[2]) AS leaving, list_transform(list_zip(coalesce(mn, mf), mf), lambda p: p[1] - p[2]) AS landing FROM cb)"
+MFCC = "(1 - least(1, (0.7 * list_distance({a}.mf, {b}.mf) + 0.3 * list_distance({a}.leaving, {b}.landing)) / sqrt(13.0::DOUBLE) / 0.6))"
+
+
+@family(f"WITH {CB}, {DL} SELECT a.track, a.beat AS i, b.beat AS j, round({MFCC.format(a='a', b='b')}, 6) AS v FROM dl a JOIN dl b USING (track)")
 def q12_mfcc_continuity(spark, d):
     return rounded(Q.mfcc_continuity(_b(spark, d)))
 
@@ -151,9 +155,9 @@ def q16_quality_score(spark, d):
     return rounded(_signals(spark, d).select("track", "i", Q.quality_score(w).alias("harmonic"), Q.quality_score(w, harmonic=False).alias("arithmetic")))
 
 
-@family(f"""WITH {WAVE}, {CTX}, c AS (SELECT wf.*, greatest(0, least(1, {cos('n.feat', 'y.feat')})) AS successor, greatest(0, least(1, {cos('p.before', 'q.after')})) AS context,
-  1 - least(1, list_distance(x.feat[1:13], y.feat[1:13]) / sqrt(13.0::DOUBLE) / 0.6) AS mfcc, greatest(0, 1 - abs(e) / 8.0::DOUBLE) AS energy FROM wf JOIN bv x ON x.track = wf.track AND x.beat = i JOIN bv n ON n.track = wf.track AND n.beat = i + 1
-  JOIN bv y ON y.track = wf.track AND y.beat = j JOIN cv p ON p.track = wf.track AND p.beat = i JOIN cv q ON q.track = wf.track AND q.beat = j),
+@family(f"""WITH {WAVE}, {CTX}, {DL}, c AS (SELECT wf.*, greatest(0, least(1, {cos('n.feat', 'y.feat')})) AS successor, greatest(0, least(1, {cos('p.before', 'q.after')})) AS context,
+  {MFCC.format(a='dx', b='dy')} AS mfcc, greatest(0, 1 - abs(e) / 8.0::DOUBLE) AS energy FROM wf JOIN bv x ON x.track = wf.track AND x.beat = i JOIN bv n ON n.track = wf.track AND n.beat = i + 1
+  JOIN bv y ON y.track = wf.track AND y.beat = j JOIN cv p ON p.track = wf.track AND p.beat = i JOIN cv q ON q.track = wf.track AND q.beat = j JOIN dl dx ON dx.track = wf.track AND dx.beat = i JOIN dl dy ON dy.track = wf.track AND dy.beat = j),
 s AS (SELECT *, (successor + context + mfcc) / 3 AS sequential FROM c), z AS (SELECT *, greatest(0, least(1, (0.5::DOUBLE + 0.2 + 0.07) / (0.5 / greatest(waveform, 0.001) + 0.2 / greatest(sequential, 0.001) + 0.07 / greatest(energy, 0.001)))) AS quality FROM s)
 SELECT track, i, j, round(d, 6) AS d, round(waveform, 6) AS waveform, round(sequential, 6) AS sequential, round(energy, 6) AS energy, round(quality, 6) AS quality, round(1 - quality, 6) AS cost FROM z WHERE quality >= 0.2""")
 def q20_transition_candidates(spark, d):
@@ -166,31 +170,34 @@ def _marks(b):
     """Labels and segments of eight beats, bars of four; level, brightness, onsets and voice from single dimensions."""
     at = lambda k: F.abs(F.get("feat", F.lit(k)))
     seg = F.floor(F.col("beat") / 8)
-    return b.select("track", "beat", (seg % 3).cast("string").alias("label"), seg.alias("seg"), at(1).alias("rms"), at(4).alias("centroid"), at(3).alias("onset"), (2 * at(2)).alias("vocal"), (F.col("beat") % 4 == 3).alias("leads_in"), (F.col("beat") % 4 == 0).alias("is_downbeat"))
+    return b.select("track", "beat", (seg % 3).cast("string").alias("label"), seg.alias("seg"), at(1).alias("rms"), at(4).alias("centroid"), at(3).alias("onset"), (2 * at(2)).alias("vocal"), (F.col("beat") % 4 == 3).alias("leads_in"), (F.col("beat") % 4 == 0).alias("is_downbeat"), F.least(F.lit(1.0), at(6)).alias("vocal_onset"), F.least(F.lit(1.0), at(5)).alias("vocal_release"))
 
 
 def _full(spark, d):
     b = _b(spark, d)
     alike = Q.chroma_distance(b).groupBy("track", F.floor(F.col("i") / 8).alias("a"), F.floor(F.col("j") / 8).alias("b")).agg((1 - F.avg("d")).alias("similarity"))
-    return Q.transition_candidates(b, _snippets(b), _edge_db(b), k=6, guard=3, most=0.9, floor=0.05, marks=_marks(b), alike=alike)
-
-
-#: All seven weighted signals of the default weights, then the span, vocal and onset penalties.
-FULL = f"""{WAVE}, {CTX}, tv AS (SELECT track, max(2 * abs(feat[3])) AS mv, max(abs(feat[4])) AS mo FROM bv GROUP BY 1), sl AS (SELECT track, i // 8 AS a, j // 8 AS b, 1 - avg(d) AS section FROM cd GROUP BY 1, 2, 3),
-c AS (SELECT wf.*, greatest(0, least(1, {cos('n.feat', 'y.feat')})) AS successor, greatest(0, least(1, {cos('p.before', 'q.after')})) AS context, 1 - least(1, list_distance(x.feat[1:13], y.feat[1:13]) / sqrt(13.0::DOUBLE) / 0.6) AS mfcc,
-  CASE WHEN i // 8 % 3 = j // 8 % 3 THEN 1.0 ELSE 0 END::DOUBLE AS label, section, CASE WHEN i % 4 = 3 AND j % 4 = 0 THEN 1.0 ELSE 0 END::DOUBLE AS bar_align, greatest(0, 1 - abs(abs(x.feat[2]) - abs(y.feat[2])) / 0.2::DOUBLE) AS energy, greatest(0, 1 - abs(e) / 8.0::DOUBLE) AS edge_energy,
-  greatest(0, 1 - abs(abs(x.feat[5]) - abs(y.feat[5])) / 0.2::DOUBLE) AS centroid, 1 - abs(abs(x.feat[4]) / mo - abs(y.feat[4]) / mo) AS transient, 2 * abs(x.feat[3]) AS vi, 2 * abs(y.feat[3]) AS vj, mv, abs(y.feat[4]) AS oj
-  FROM wf JOIN bv x ON x.track = wf.track AND x.beat = i JOIN bv n ON n.track = wf.track AND n.beat = i + 1 JOIN bv y ON y.track = wf.track AND y.beat = j JOIN cv p ON p.track = wf.track AND p.beat = i JOIN cv q ON q.track = wf.track AND q.beat = j
-  JOIN tv ON tv.track = wf.track LEFT JOIN sl ON sl.track = wf.track AND sl.a = i // 8 AND sl.b = j // 8),
+    band = b.select("track", "beat", F.slice("feat", 33, 32).alias("w"))
+    weights = Q.DEFAULT_WEIGHTS | {"vocal": 0.1}
+    return Q.transition_candidates(b, _snippets(b), _edge_db(b), k=6, guard=3, most=0.9, floor=0.05, weights=weights, marks=_marks(b), alike=alike, band_snippets=band)
+
+
+#: The seven signals of the default weights and the vocal one, the guard by half of each snippet, then the span, vocal and onset penalties.
+FULL = f"""{WAVE}, {CTX}, {DL}, lb AS (SELECT gt.*, x.feat[33:64] AS wa, y.feat[33:64] AS wb, unnest(generate_series(-4, 4)) AS lag FROM gt JOIN bv x ON x.track = gt.track AND x.beat = i + 1 JOIN bv y ON y.track = gt.track AND y.beat = j),
+bd AS (SELECT track, i, j, greatest(0, max(list_inner_product(wa[5:28], wb[5 + lag:28 + lag]) / sqrt(list_inner_product(wa[5:28], wa[5:28]) * list_inner_product(wb[5 + lag:28 + lag], wb[5 + lag:28 + lag]) + 1e-20))) AS band FROM lb GROUP BY 1, 2, 3), tv AS (SELECT track, max(2 * abs(feat[3])) AS mv, max(abs(feat[4])) AS mo FROM bv GROUP BY 1), sl AS (SELECT track, i // 8 AS a, j // 8 AS b, 1 - avg(d) AS section FROM cd GROUP BY 1, 2, 3),
+c AS (SELECT wf.* EXCLUDE (waveform), CASE WHEN mv >= 0.75 AND 2 * abs(x.feat[3]) > 0.35 AND 2 * abs(y.feat[3]) > 0.35 AND waveform - band > 0.3 THEN band ELSE waveform END AS waveform, greatest(0, least(1, {cos('n.feat', 'y.feat')})) AS successor, greatest(0, least(1, {cos('p.before', 'q.after')})) AS context, {MFCC.format(a='dx', b='dy')} AS mfcc,
+  CASE WHEN wf.i // 8 % 3 = wf.j // 8 % 3 THEN 1.0 ELSE 0 END::DOUBLE AS label, section, CASE WHEN wf.i % 4 = 3 AND wf.j % 4 = 0 THEN 1.0 ELSE 0 END::DOUBLE AS bar_align, greatest(0, 1 - abs(abs(x.feat[2]) - abs(y.feat[2])) / 0.2::DOUBLE) AS energy, greatest(0, 1 - abs(e) / 12.0::DOUBLE) AS edge_energy,
+  CASE WHEN 2 * greatest(abs(x.feat[3]), abs(y.feat[3])) < 0.1 THEN 1 ELSE 0.5 + 0.5 * least(1, greatest(abs(x.feat[6]), abs(y.feat[7]))) END::DOUBLE AS vocal, greatest(0, 1 - abs(abs(x.feat[5]) - abs(y.feat[5])) / 0.2::DOUBLE) AS centroid, 1 - abs(abs(x.feat[4]) / mo - abs(y.feat[4]) / mo) AS transient, 2 * abs(x.feat[3]) AS vi, 2 * abs(y.feat[3]) AS vj, mv, abs(y.feat[4]) AS oj
+  FROM wf JOIN bv x ON x.track = wf.track AND x.beat = wf.i JOIN bv n ON n.track = wf.track AND n.beat = wf.i + 1 JOIN bv y ON y.track = wf.track AND y.beat = wf.j JOIN cv p ON p.track = wf.track AND p.beat = wf.i JOIN cv q ON q.track = wf.track AND q.beat = wf.j
+  JOIN tv ON tv.track = wf.track JOIN bd ON bd.track = wf.track AND bd.i = wf.i AND bd.j = wf.j JOIN dl dx ON dx.track = wf.track AND dx.beat = wf.i JOIN dl dy ON dy.track = wf.track AND dy.beat = wf.j LEFT JOIN sl ON sl.track = wf.track AND sl.a = wf.i // 8 AND sl.b = wf.j // 8),
 s AS (SELECT *, (successor + context + mfcc) / 3 AS sequential FROM c),
-h AS (SELECT *, greatest(0, least(1, 1.0::DOUBLE / (0.5 / greatest(waveform, 0.001) + 0.2 / greatest(sequential, 0.001) + 0.15 / greatest(transient, 0.001) + 0.07 / greatest(energy, 0.001) + 0.04 / greatest(edge_energy, 0.001) + 0.02 / greatest(bar_align, 0.001) + 0.02 / greatest(centroid, 0.001)))) AS q0 FROM s),
+h AS (SELECT *, greatest(0, least(1, 1.1::DOUBLE / (0.5 / greatest(waveform, 0.001) + 0.1 / greatest(vocal, 0.001) + 0.2 / greatest(sequential, 0.001) + 0.15 / greatest(transient, 0.001) + 0.07 / greatest(energy, 0.001) + 0.04 / greatest(edge_energy, 0.001) + 0.02 / greatest(bar_align, 0.001) + 0.02 / greatest(centroid, 0.001)))) AS q0 FROM s),
 h1 AS (SELECT *, greatest(0, q0 - CASE WHEN abs(j - i) >= 32 THEN 0 WHEN label >= 0.5 THEN 0.12 ELSE 0.25 END) AS q1 FROM h), h2 AS (SELECT *, greatest(0, q1 - CASE WHEN mv >= 0.75 THEN 0.1 * least(1, 2 * abs(vi - vj)) + 0.3 * greatest(0, least(vi, vj) - 0.4) ELSE 0 END) AS q2 FROM h1),
 full_c AS (SELECT *, greatest(0, q2 - CASE WHEN oj < 0.25 THEN 0.12 * (0.25 - oj) / 0.25 ELSE 0 END) AS quality FROM h2)"""
 
 
-@family(f"WITH {FULL} SELECT track, i, j, label, bar_align, round(section, 6) AS section, round(energy, 6) AS energy, round(edge_energy, 6) AS edge_energy, round(centroid, 6) AS centroid, round(transient, 6) AS transient, round(sequential, 6) AS sequential, round(quality, 6) AS quality, round(1 - quality, 6) AS cost FROM full_c WHERE quality >= 0.05")
+@family(f"WITH {FULL} SELECT track, i, j, label, bar_align, round(section, 6) AS section, round(energy, 6) AS energy, round(edge_energy, 6) AS edge_energy, round(centroid, 6) AS centroid, round(transient, 6) AS transient, round(waveform, 6) AS waveform, round(vocal, 6) AS vocal, round(mfcc, 6) AS mfcc, round(sequential, 6) AS sequential, round(quality, 6) AS quality, round(1 - quality, 6) AS cost FROM full_c WHERE quality >= 0.05")
 def q20_full_candidates(spark, d):
-    return rounded(_full(spark, d).select("track", "i", "j", "label", "bar_align", "section", "energy", "edge_energy", "centroid", "transient", "sequential", "quality", "cost"))
+    return rounded(_full(spark, d).select("track", "i", "j", "label", "bar_align", "section", "energy", "edge_energy", "centroid", "transient", "waveform", "vocal", "mfcc", "sequential", "quality", "cost"))
 
 
 @family(f"""WITH {FULL} SELECT track, i AS from_beat, j AS to_beat, round(quality, 6) AS quality, round(waveform, 6) AS waveform, round(successor, 6) AS successor, 0.0::DOUBLE AS edge_splice, round(context, 6) AS context, label, round(section, 6) AS section, bar_align,
