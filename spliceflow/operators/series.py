@@ -104,13 +104,6 @@ def spectrum(framed: DataFrame, n_fft: int) -> DataFrame:
     return arrays.mapInArrow(run, f"track {kinds['track']}, frame {kinds['frame']}, re array<double>, im array<double>")
 
 
-def dft_bins(framed: DataFrame, n_fft: int) -> DataFrame:
-    """(track, frame, bin, re, im, v): the spectrum of every frame, a row per bin; v is the magnitude."""
-    s = spectrum(framed, n_fft).select("track", "frame", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
-    s = s.select("track", "frame", F.col("bin").cast("long").alias("bin"), "z.re", "z.im")
-    return s.withColumn("v", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-
-
 def inverse_overlap_add(spec: DataFrame, n_fft: int, hop: int) -> DataFrame:
     """(track, i, x): windowed inverse FFTs added up, over the sum of squared windows where that is not tiny."""
 
@@ -128,14 +121,6 @@ def inverse_overlap_add(spec: DataFrame, n_fft: int, hop: int) -> DataFrame:
     return s.where(F.col("w2") > 2.0**-126).select("track", "i", (F.col("y") / F.col("w2")).alias("x"))
 
 
-def power_to_db(spec: DataFrame, value: str = "v", amin: float = 1e-10, top_db: float = 80.0, ref: float = 1.0) -> DataFrame:
-    """spec with db: 10 log10 of max(amin, value) over ref (ref <= 0: the track's largest), not under the track's largest less top_db."""
-    v = F.greatest(F.lit(amin), F.col(value))
-    base = F.lit(ref) if ref > 0 else F.greatest(F.lit(amin), F.max(value).over(_track()))
-    d = spec.withColumn("db", 10 * F.log10(v) - 10 * F.log10(base))
-    return d.withColumn("db", F.greatest(F.col("db"), F.max("db").over(_track()) - F.lit(top_db)))
-
-
 def mel_basis(n_fft: int, sr: float, n_mels: int, lo: float = 0.0, hi: float | None = None, norm: bool = True) -> list[tuple[int, int, float]]:
     """(bin, mel, weight) of triangles that are even on the Slaney mel scale (linear to 1000 Hz, 200/3 Hz a mel; then logarithmic)."""
     step = math.log(6.4) / 27
@@ -154,52 +139,6 @@ def mel_basis(n_fft: int, sr: float, n_mels: int, lo: float = 0.0, hi: float | N
     return out
 
 
-def mel_power(spec: DataFrame, n_fft: int, sr: float, n_mels: int, norm: bool = True) -> DataFrame:
-    """(track, frame, mel, v): weighted sums of squared magnitudes."""
-    basis = F.broadcast(spec.sparkSession.createDataFrame(mel_basis(n_fft, sr, n_mels, norm=norm), "bin long, mel long, w double"))
-    return spec.join(basis, "bin").groupBy("track", "frame", "mel").agg(F.sum(F.col("w") * F.col("v") * F.col("v")).alias("v"))
-
-
-def log1p_mel(mel: DataFrame, gain: float = 1000.0) -> DataFrame:
-    return mel.withColumn("v", F.log1p(F.lit(gain) * F.greatest(F.col("v"), F.lit(1e-10))))
-
-
-def mfcc(mel_db: DataFrame, n_mels: int, n: int) -> DataFrame:
-    """(track, frame, coef, v): orthonormal cosine transform of the db column."""
-    rows = [(m, c, math.sqrt((1 if c == 0 else 2) / n_mels) * math.cos(math.pi * c * (2 * m + 1) / (2 * n_mels))) for m in range(n_mels) for c in range(n)]
-    basis = F.broadcast(mel_db.sparkSession.createDataFrame(rows, "mel long, coef long, w double"))
-    return mel_db.join(basis, "mel").groupBy("track", "frame", "coef").agg(F.sum(F.col("w") * F.col("db")).alias("v"))
-
-
-def spectral_centroid(spec: DataFrame, n_fft: int, sr: float) -> DataFrame:
-    total = F.sum("v")
-    return spec.groupBy("track", "frame").agg((F.sum(F.col("bin") * F.lit(sr / n_fft) * F.col("v")) / F.when(total < 1.1754944e-38, 1.0).otherwise(total)).alias("centroid"))
-
-
-def spectral_flatness(spec: DataFrame, amin: float = 1e-10) -> DataFrame:
-    p = F.greatest(F.col("v") * F.col("v"), F.lit(amin))
-    return spec.groupBy("track", "frame").agg((F.exp(F.avg(F.log(p))) / F.avg(p)).alias("flatness"))
-
-
-def onset_strength(mel_db: DataFrame, shift: int = 3) -> DataFrame:
-    """(track, frame, onset): mean over bands of the rise since the frame before, moved by `shift` frames, zero before."""
-    rise = F.greatest(F.lit(0.0), F.col("db") - F.lag("db").over(Window.partitionBy("track", "mel").orderBy("frame")))
-    r = mel_db.withColumn("rise", rise).groupBy("track", "frame").agg(F.avg(F.coalesce("rise", F.lit(0.0))).alias("o"))
-    w = _track().orderBy("frame")
-    return r.select("track", "frame", F.coalesce(F.lag("o", shift - 1).over(w), F.lit(0.0)).alias("onset")) if shift > 1 else r.withColumnRenamed("o", "onset")
-
-
-def flux_onsets(spec: DataFrame, reach: int = 3, factor: float = 0.3) -> DataFrame:
-    """(track, frame, flux) of local maxima of the rectified spectral difference that exceed mean + factor * deviation around."""
-    rise = F.greatest(F.lit(0.0), F.col("v") - F.lag("v").over(Window.partitionBy("track", "bin").orderBy("frame")))
-    f = spec.withColumn("rise", F.coalesce(rise, F.lit(0.0))).groupBy("track", "frame").agg(F.sum("rise").alias("flux"))
-    w = _track().orderBy("frame")
-    near = w.rowsBetween(-reach, reach)
-    f = f.withColumns({"before": F.lag("flux").over(w), "after": F.lead("flux").over(w), "mean": F.avg("flux").over(near), "dev": F.stddev_pop("flux").over(near)})
-    peak = (F.col("flux") > F.col("before")) & (F.col("flux") >= F.col("after")) & (F.col("flux") > F.col("mean") + F.lit(factor) * F.col("dev"))
-    return f.where(peak).select("track", "frame", "flux")
-
-
 def _reflected(series: DataFrame, reach: int, mirror: bool) -> DataFrame:
     """The series with `reach` rows added at each end by symmetric reflection, numbered on."""
     n = lengths(series)
@@ -225,18 +164,6 @@ def uniform_filter(series: DataFrame, k: int) -> DataFrame:
     return r.withColumn("m", F.avg("x").over(near)).where((F.col("i") >= 0) & (F.col("i") < F.col("n"))).select("track", "i", F.col("m").alias("x"))
 
 
-def spectral_contrast(spec: DataFrame, n_fft: int, sr: float, bands: int = 4, fmin: float = 200.0, quantile: float = 0.02) -> DataFrame:
-    """(track, frame, band, contrast): db of the mean of the strongest bins of each octave less that of the weakest."""
-    f = F.col("bin") * F.lit(sr / n_fft)
-    band = F.when(f < fmin, 0).otherwise(F.least(F.lit(bands - 1), F.floor(F.log2(f / F.lit(fmin))) + 1)).cast("long")
-    s = spec.withColumn("band", band)
-    g = Window.partitionBy("track", "frame", "band")
-    s = s.withColumns({"up": F.row_number().over(g.orderBy("v", "bin")), "down": F.row_number().over(g.orderBy(F.desc("v"), "bin")), "m": F.greatest(F.lit(1), F.rint(F.count("*").over(g) * F.lit(quantile)).cast("int"))})
-    s = s.groupBy("track", "frame", "band").agg(F.avg(F.when(F.col("up") <= F.col("m"), F.col("v"))).alias("low"), F.avg(F.when(F.col("down") <= F.col("m"), F.col("v"))).alias("high"))
-    hi = power_to_db(s, "high").withColumnRenamed("db", "hi_db")
-    return power_to_db(hi, "low").select("track", "frame", "band", (F.col("hi_db") - F.col("db")).alias("contrast"))
-
-
 def hpss_harmonic(spec: DataFrame, k: int = 31) -> DataFrame:
     """spec with mask: share of the harmonic part, from the median along time against that along frequency; 0.5 where both vanish."""
     along = lambda key, order: Window.partitionBy("track", key).orderBy(order).rowsBetween(-(k // 2), k // 2)
@@ -311,14 +238,6 @@ def chroma_basis(n_fft: int, sr: float, tuning: float = 0.0, centre_octave: floa
     return out
 
 
-def chroma(spec: DataFrame, n_fft: int, sr: float, tuning: float = 0.0) -> DataFrame:
-    """(track, frame, pitch, v): power per pitch class, over the frame's largest."""
-    basis = F.broadcast(spec.sparkSession.createDataFrame(chroma_basis(n_fft, sr, tuning), "bin long, pitch long, w double"))
-    c = spec.join(basis, "bin").groupBy("track", "frame", "pitch").agg(F.sum(F.col("w") * F.col("v") * F.col("v")).alias("v"))
-    top = F.max("v").over(Window.partitionBy("track", "frame"))
-    return c.withColumn("top", top).select("track", "frame", "pitch", F.when(F.col("top") > 1e-30, F.col("v") / F.col("top")).otherwise(0.0).alias("v"))
-
-
 def estimate_tuning(spec: DataFrame, n_fft: int, sr: float, lo: float = 150.0, hi: float = 4000.0, share: float = 0.1) -> DataFrame:
     """(track, tuning) in semitones from -0.5: the fullest hundredth of the offsets from equal temperament of spectral peaks, placed by a
     parabola, in [lo, hi), over `share` of their frame's largest and not under the track's median peak; the lowest of equals."""

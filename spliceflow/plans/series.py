@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series as S
+from ..operators import spectra as P
 from ..sources.tables import events, signal
 from .base import EV, SG, Family, rounded
 
@@ -33,12 +34,16 @@ ML = _mel_sql()
 MD = f"{ML}, md AS {_db('ml')}"
 
 
+def _features(spark, d, *want, **how):
+    return P.frame_features(signal(spark, d), N_FFT, HOP, SR, list(want), n_mels=MELS, bands=4, **how)
+
+
 def _spec(spark, d):
-    return S.dft_bins(S.frames(signal(spark, d), N_FFT, HOP), N_FFT)
+    return P.bins(_features(spark, d, "re", "im"))
 
 
 def _mel_db(spark, d):
-    return S.power_to_db(S.mel_power(_spec(spark, d), N_FFT, SR, MELS))
+    return P.in_db(_features(spark, d, "mel"), "mel")
 
 
 @family("""SELECT o_custkey AS track, (o_orderkey % 8) AS i, round(avg(o_totalprice / 1e5), 9) AS x FROM orders GROUP BY 1, 2""")
@@ -68,7 +73,7 @@ def f2_dft_bins(spark, d):
 
 @family(f"WITH {SP}, e AS (SELECT track, frame, sum(CASE WHEN bin IN (0, 8) THEN 1 ELSE 2 END * v * v) / 16 AS energy FROM sp GROUP BY 1, 2) SELECT track, frame, round(energy, 6) AS energy FROM e")
 def f2_spectrum_energy(spark, d):
-    sp = S.spectrum(S.frames(signal(spark, d), N_FFT, HOP), N_FFT)
+    sp = _features(spark, d, "re", "im")
     both = F.zip_with("re", "im", lambda a, b: a * a + b * b)
     e = (2 * F.aggregate(both, F.lit(0.0), lambda s, x: s + x) - F.get(both, F.lit(0)) - F.get(both, F.lit(N_FFT // 2))) / F.lit(float(N_FFT))
     return rounded(sp.select("track", "frame", e.alias("energy")))
@@ -83,7 +88,7 @@ def f3_inverse_overlap_add(spark, d):
 
 @family(f"WITH {FR} SELECT track, frame, round(sqrt(sum(x * x) / 16.0), 6) AS rms FROM fr GROUP BY 1, 2")
 def f4_frame_rms(spark, d):
-    return rounded(S.frame_rms(signal(spark, d), N_FFT, HOP))
+    return rounded(_features(spark, d, "rms"))
 
 
 @family(f"""WITH {SG}, e AS (SELECT track, i // 8 AS bucket, sqrt(avg(x * x)) AS rms FROM sg GROUP BY 1, 2),
@@ -106,23 +111,36 @@ def f6_roll_up(spark, d):
 
 @family(f"WITH {ML} SELECT track, frame, mel, round(v, 9) AS v FROM ml")
 def f7_mel_power(spark, d):
-    return rounded(S.mel_power(_spec(spark, d), N_FFT, SR, MELS), 9)
+    return rounded(P.unfolded(_features(spark, d, "mel"), "mel", "mel"), 9)
+
+
+def _log1p(spark, d):
+    return P.log1p_mel(signal(spark, d), N_FFT, HOP, SR, MELS, 30.0, 900.0)
+
 
+#: Frames padded by reflection, their magnitudes, triangles that are not normalised.
+RF = f"""{SG}, rp AS (SELECT track, i, x, n FROM sg JOIN nn USING (track) UNION ALL SELECT track, -i, x, n FROM sg JOIN nn USING (track) WHERE i BETWEEN 1 AND 8 UNION ALL SELECT track, 2 * (n - 1) - i, x, n FROM sg JOIN nn USING (track) WHERE i < n - 1 AND i >= n - 9),
+rf AS (SELECT s.track, f.frame, s.i - f.frame * 4 + 8 AS k, s.x FROM rp s, LATERAL (SELECT unnest(generate_series(greatest(0, floor((s.i - 8) / 4.0)::BIGINT + 1), least(floor((s.i + 8) / 4.0)::BIGINT, n // 4))) AS frame) f WHERE n > 8),
+rs AS (SELECT track, frame, bin, sqrt(re * re + im * im) AS v FROM (SELECT track, frame, b.bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * k / 16)) * cos(2 * pi() * b.bin * k / 16)) AS re, sum(x * (0.5 - 0.5 * cos(2 * pi() * k / 16)) * sin(2 * pi() * b.bin * k / 16)) AS im
+  FROM rf, (SELECT unnest(generate_series(0, 8)) AS bin) b GROUP BY 1, 2, 3))"""
+_PLAIN = ", ".join(f"({b}, {m}, {w!r}::DOUBLE)" for b, m, w in S.mel_basis(N_FFT, SR, MELS, 30.0, 900.0, False))
 
-@family(f"WITH {ML} SELECT track, frame, mel, round(ln(1 + 1000 * greatest(v, 1e-10)), 6) AS v FROM ml")
+
+@family(f"""WITH {RF}, pb(bin, mel, w) AS (VALUES {_PLAIN}), z AS (SELECT track, frame, m.mel::BIGINT AS mel, coalesce(sum(w * v), 0) / 4 AS v FROM rs CROSS JOIN (SELECT unnest(generate_series(0, {MELS - 1})) AS mel) m LEFT JOIN pb ON pb.bin = rs.bin AND pb.mel = m.mel GROUP BY 1, 2, 3)
+SELECT track, frame, mel, round(ln(1 + 1000 * greatest(v, 1e-10)), 6) AS v FROM z""")
 def f8_log1p_mel(spark, d):
-    return rounded(S.log1p_mel(S.mel_power(_spec(spark, d), N_FFT, SR, MELS)))
+    return rounded(P.unfolded(_log1p(spark, d), "mel", "mel"))
 
 
 @family(f"WITH {MD} SELECT track, frame, mel, round(db, 6) AS db FROM md")
 def f9_power_to_db(spark, d):
-    return rounded(_mel_db(spark, d).select("track", "frame", "mel", "db"))
+    return rounded(P.unfolded(_mel_db(spark, d), "db", "mel", "db"))
 
 
 @family(f"""WITH {MD} SELECT track, frame, coef, round(sum(sqrt(CASE coef WHEN 0 THEN 0.2 ELSE 0.4 END::DOUBLE) * cos(pi() * coef * (2 * mel + 1) / 10) * db), 6) + 0 AS v
 FROM md, (SELECT unnest(generate_series(0, 3)) AS coef) GROUP BY 1, 2, 3""")
 def f10_mfcc(spark, d):
-    return rounded(S.mfcc(_mel_db(spark, d), MELS, 4))
+    return rounded(P.unfolded(P.mfcc(_mel_db(spark, d), MELS, 4), "mfcc", "coef"))
 
 
 @family(f"""WITH {SP}, b AS (SELECT *, CASE WHEN bin * 125 < 200 THEN 0 ELSE least(3, floor(log2(bin * 125 / 200.0)) + 1) END::BIGINT AS band FROM sp),
@@ -132,24 +150,24 @@ e AS (SELECT track, frame, band, avg(v) FILTER (up <= m) AS low, avg(v) FILTER (
 h AS {_db('e', 'high', 'hi')}, l AS {_db('h', 'low', 'lo')}
 SELECT track, frame, band, round(hi - lo, 6) + 0 AS contrast FROM l""")
 def f12_spectral_contrast(spark, d):
-    return rounded(S.spectral_contrast(_spec(spark, d), N_FFT, SR))
+    return rounded(P.unfolded(P.contrast(_features(spark, d, "contrast_low", "contrast_high")), "contrast", "band", "contrast"))
 
 
 @family(f"WITH {SP} SELECT track, frame, round(sum(bin * 125.0::DOUBLE * v) / sum(v), 6) AS centroid FROM sp GROUP BY 1, 2")
 def f13_centroid(spark, d):
-    return rounded(S.spectral_centroid(_spec(spark, d), N_FFT, SR))
+    return rounded(_features(spark, d, "centroid"))
 
 
 @family(f"WITH {SP} SELECT track, frame, round(exp(avg(ln(greatest(v * v, 1e-10)))) / avg(greatest(v * v, 1e-10)), 6) AS flatness FROM sp GROUP BY 1, 2")
 def f14_flatness(spark, d):
-    return rounded(S.spectral_flatness(_spec(spark, d)))
+    return rounded(_features(spark, d, "flatness"))
 
 
 @family(f"""WITH {MD}, r AS (SELECT track, frame, greatest(0, db - lag(db) OVER (PARTITION BY track, mel ORDER BY frame)) AS rise FROM md),
 o AS (SELECT track, frame, avg(coalesce(rise, 0)) AS o FROM r GROUP BY 1, 2)
 SELECT track, frame, round(coalesce(lag(o, 2) OVER (PARTITION BY track ORDER BY frame), 0), 6) AS onset FROM o""")
 def f15_onset_strength(spark, d):
-    return rounded(S.onset_strength(_mel_db(spark, d)))
+    return rounded(P.onset_strength(_mel_db(spark, d)))
 
 
 @family(f"""WITH {SP}, r AS (SELECT track, frame, greatest(0, v - lag(v) OVER (PARTITION BY track, bin ORDER BY frame)) AS rise FROM sp),
@@ -158,7 +176,7 @@ g AS (SELECT *, lag(flux) OVER w AS b, lead(flux) OVER w AS a, avg(flux) OVER n
   WINDOW w AS (PARTITION BY track ORDER BY frame), n AS (PARTITION BY track ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
 SELECT track, frame, round(flux, 6) AS flux FROM g WHERE flux > b AND flux >= a AND flux > m + 0.3 * s""")
 def f16_flux_onsets(spark, d):
-    return rounded(S.flux_onsets(_spec(spark, d)))
+    return rounded(P.flux_peaks(_features(spark, d, "flux")))
 
 
 def _mirror(k: int) -> str:
@@ -195,10 +213,9 @@ z AS (SELECT track, quantile_cont(greatest(step, 0), 0.95) AS qe, quantile_cont(
 SELECT track, frame, round(activity, 6) AS activity, round(CASE WHEN qe > 0 THEN least(1, greatest(step, 0) / qe) ELSE 0 END, 6) + 0 AS entry,
   round(CASE WHEN qx > 0 THEN least(1, greatest(-step, 0) / qx) ELSE 0 END, 6) + 0 AS exit FROM s JOIN z USING (track)""")
 def f20_vocal_activity(spark, d):
-    sp = _spec(spark, d)
-    total = F.sum("v")
-    f = sp.groupBy("track", "frame").agg((F.sum(F.when(F.col("bin") <= 2, F.col("v"))) / total).alias("harmonic"), (F.sum(F.when(F.col("bin").between(2, 5), F.col("v"))) / total).alias("band"))
-    return rounded(S.vocal_activity(f.join(S.spectral_flatness(sp), ["track", "frame"])))
+    f = _features(spark, d, "magnitude", "total", "flatness")
+    share = lambda first, n: F.aggregate(F.slice("magnitude", first + 1, n), F.lit(0.0), lambda s, x: s + x) / F.col("total")
+    return rounded(S.vocal_activity(f.select("track", "frame", share(0, 3).alias("harmonic"), share(2, 4).alias("band"), "flatness")))
 
 
 @family(f"""WITH {EV}, p AS (SELECT track, quantile_cont(x, 0.95) AS p FROM ev GROUP BY 1) SELECT track, i, round(CASE WHEN p > 0 THEN least(1, greatest(0, x / p)) ELSE 0 END, 6) AS x FROM ev JOIN p USING (track)""")
@@ -231,7 +248,7 @@ _CHROMA = ", ".join(f"({b}, {c}, {w!r}::DOUBLE)" for b, c, w in S.chroma_basis(N
 @family(f"""WITH {SP}, cb(bin, pitch, w) AS (VALUES {_CHROMA}), c AS (SELECT track, frame, pitch::BIGINT AS pitch, sum(w * v * v) AS v FROM sp JOIN cb USING (bin) GROUP BY 1, 2, 3)
 SELECT track, frame, pitch, round(v / max(v) OVER (PARTITION BY track, frame), 6) AS v FROM c""")
 def f11_chroma(spark, d):
-    return rounded(S.chroma(_spec(spark, d), N_FFT, SR))
+    return rounded(P.unfolded(_features(spark, d, "chroma"), "chroma", "pitch"))
 
 
 @family(f"""WITH {SP}, n AS (SELECT track, frame, bin, v, lag(v) OVER w AS a, lead(v) OVER w AS b, max(v) OVER (PARTITION BY track, frame) AS top FROM sp WINDOW w AS (PARTITION BY track, frame ORDER BY bin)),
@@ -241,3 +258,21 @@ h AS (SELECT track, floor(round((CASE WHEN o >= 0.5 THEN o - 1 ELSE o END + 0.5)
 r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY n DESC, bucket) AS r FROM h) SELECT track, round(bucket / 100 - 0.5, 6) + 0 AS tuning FROM r WHERE r = 1""")
 def f19_estimate_tuning(spark, d):
     return rounded(S.estimate_tuning(_spec(spark, d), N_FFT, SR))
+
+
+@family(f"""WITH {SG}, fr AS (SELECT s.track, f.frame, s.i - f.frame * 512 + 1024 AS k, s.x FROM sg s JOIN nn USING (track), LATERAL (SELECT unnest(generate_series(greatest(0, floor((s.i - 1024) / 512.0)::BIGINT + 1), least(floor((s.i + 1024) / 512.0)::BIGINT, n // 512))) AS frame) f)
+SELECT track, frame, round(sqrt(sum(x * x) / 2048), 6) AS rms, round(sum((x * (0.5 - 0.5 * cos(2 * pi() * k / 2048))) ** 2), 6) AS energy, round(abs(sum(x * (0.5 - 0.5 * cos(2 * pi() * k / 2048)))), 6) AS dc FROM fr GROUP BY 1, 2""")
+def f2_spectrum_2048(spark, d):
+    """Frames of 2048 samples: level, energy by the spectrum, and its first bin."""
+    f = P.frame_features(signal(spark, d), 2048, 512, 22050.0, ["rms", "magnitude"])
+    whole = F.aggregate("magnitude", F.lit(0.0), lambda s, x: s + x * x)
+    edge = lambda k: F.pow(F.get("magnitude", F.lit(k)), F.lit(2.0))
+    return rounded(f.select("track", "frame", "rms", ((2 * whole - edge(0) - edge(1024)) / 2048).alias("energy"), F.get("magnitude", F.lit(0)).alias("dc")))
+
+
+@family()
+def f14_features_2048(spark, d):
+    """All frame features at frames of 2048 samples."""
+    f = P.frame_features(signal(spark, d), 2048, 512, 22050.0, ["rms", "centroid", "flatness", "flux", "mel", "chroma", "contrast_low", "contrast_high"])
+    m = P.mfcc(P.in_db(f, "mel"), 128, 40)
+    return rounded(m.join(P.contrast(f), ["track", "frame"]).select("track", "frame", "rms", "centroid", "flatness", "flux", "mfcc", "chroma", "contrast"))
