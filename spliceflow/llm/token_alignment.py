@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ HOT = 1000
 #: Parts that a worker remembers, and the longest of them.
 _MOST, _LONGEST = 150_000, 64
 _CUT = re.compile(r"(?<! )(?= \S)")
+#: A part of one space and text that ends without white space.
+_PLAIN = lambda p: p[1:2] not in ("", " ") and not p[1].isspace() and not p[-1].isspace()
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 SPACE = "▁"
 _loaded: dict[tuple[str, str], "Aligner"] = {}
@@ -63,6 +66,11 @@ class Aligner:
         pieces = [self.b.id_to_piece(n) for n in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m.group(1), 16)]) if self.b.is_byte(n) and (m := _BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for n, p in enumerate(pieces)]
         normal = [n for n in range(len(pieces)) if not (self.b.is_control(n) or self.b.is_unknown(n) or self.b.is_byte(n))]
+        n = 1 + max(self.bytes_a)
+        self.size_a = np.array([len(self.bytes_a.get(t, b"")) for t in range(n)])
+        self.size_b = np.array([len(x) for x in self.bytes_b])
+        follow = lambda n, end: np.array([f"{t}," for t in range(n)] + [f"{t}{end}" for t in range(n)], dtype=object)
+        self.shown_a, self.shown_b = follow(n, "|"), follow(len(pieces), ";")
         #: Whether texts may be cut at spaces: no piece goes on with a space after another character, and spaces are kept as they are.
         self.cuts = not any(SPACE in pieces[n].lstrip(SPACE) for n in normal) and self.b.encode("a  b", out_type=str)[0].startswith(SPACE) and self._kept("a  b ")
         self.known: dict[str, tuple | None] = {}
@@ -76,24 +84,55 @@ class Aligner:
 
     def part(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, str, bytes] | None:
         """(tokens of A, of B, groups, groups as text, links as packed longs) of a part that begins with a space; None if it is not given back."""
-        raw = text.encode()
-        size_a = [len(self.bytes_a[t]) for t in ids_a]
-        size_b = [len(self.bytes_b[t]) for t in ids_b]
-        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+        raw, of_a, of_b = text.encode(), [self.bytes_a[t] for t in ids_a], [self.bytes_b[t] for t in ids_b]
+        if b"".join(of_a) != raw or b"".join(of_b) != raw:
             return None
-        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
-        common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        for x, y in zip(at_a.tolist(), at_b.tolist()):
-            groups.append(",".join(map(str, ids_a[i : x + 1])) + "|" + ",".join(map(str, ids_b[j : y + 1])))
-            i, j = x + 1, y + 1
-        links = np.array(ids_a, dtype="<i8")[at_a] << 32 | np.array(ids_b, dtype="<i8")[at_b]
-        return len(ids_a), len(ids_b), len(common), ";".join(groups), links.tobytes()
-
-    def parts(self, texts: list[str]) -> list[tuple | None]:
-        a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return [self.part(t, x.ids, y) for t, x, y in zip(texts, a, b)]
+        groups, links = [], []
+        i = j = at_i = at_j = begin_i = begin_j = 0
+        n_a, n_b = len(ids_a), len(ids_b)
+        while i < n_a or j < n_b:
+            if at_i <= at_j:
+                at_i += len(of_a[i])
+                i += 1
+            else:
+                at_j += len(of_b[j])
+                j += 1
+            if at_i == at_j:
+                groups.append(f"{','.join(map(str, ids_a[begin_i:i]))}|{','.join(map(str, ids_b[begin_j:j]))}")
+                links.append((ids_a[i - 1] << 32 | ids_b[j - 1]).to_bytes(8, "little"))
+                begin_i, begin_j = i, j
+        return n_a, n_b, len(groups), ";".join(groups), b"".join(links)
+
+    def parts(self, texts: list[str], plain: bool) -> list[tuple | None]:
+        """part() of many parts; plain: all of one space and text that ends without white space."""
+        raw = "".join(texts).encode()
+        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        # words of A begin where plain parts do, so that they can be encoded in one piece
+        lists_a = [self.a.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids] if plain else [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        flat_a, flat_b = np.array(list(chain.from_iterable(lists_a)), dtype=np.int64), np.array(list(chain.from_iterable(ids_b)), dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        stop = np.cumsum([len(t.encode()) for t in texts])
+        last_a, last_b = np.searchsorted(ends_a, stop, "right"), np.cumsum([len(y) for y in ids_b])
+        good = b"".join(map(self.bytes_a.__getitem__, flat_a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, flat_b.tolist())) == raw
+        if not good or (last_b == 0).any() or (ends_b[last_b - 1] != stop).any() or (ends_a[last_a - 1] != stop).any():
+            a = self.a.encode_batch_fast(texts, add_special_tokens=False)
+            return [self.part(t, x.ids, y) for t, x, y in zip(texts, a, ids_b)]
+        # both give back the same bytes: where both end, over all parts, and how many tokens each group has
+        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        links = (flat_a[at_a] << 32 | flat_b[at_b]).astype("<i8").tobytes()
+        group_a, group_b = np.searchsorted(at_a, np.arange(len(flat_a))), np.searchsorted(at_b, np.arange(len(flat_b)))
+        # the tokens as text with what follows each, A's of a group and then B's
+        shown = np.empty(len(flat_a) + len(flat_b), dtype=object)
+        through_a, before_b = at_a + 1, np.concatenate([[0], at_b[:-1] + 1])
+        final_a, final_b = np.isin(np.arange(len(flat_a)), at_a, assume_unique=True), np.isin(np.arange(len(flat_b)), at_b, assume_unique=True)
+        shown[np.arange(len(flat_a)) + before_b[group_a]] = self.shown_a[flat_a + len(self.size_a) * final_a]
+        shown[np.arange(len(flat_b)) + through_a[group_b]] = self.shown_b[flat_b + len(self.size_b) * final_b]
+        words, stop_g = shown.tolist(), np.searchsorted(at_a, last_a)
+        out, la, lb, lg = [], 0, 0, 0
+        for na, nb, ng in zip(last_a.tolist(), last_b.tolist(), stop_g.tolist()):
+            out.append((na - la, nb - lb, ng - lg, "".join(words[la + lb : na + nb])[:-1], links[8 * lg : 8 * ng]))
+            la, lb, lg = na, nb, ng
+        return out
 
     def align(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes] | None]:
         """The same for whole texts, without their leading space; None where they have no tokens."""
@@ -106,14 +145,19 @@ class Aligner:
                 del c[0]  # the cut before the leading space
         here: dict[str, tuple | None] = {}
         new = [p for p in {p for c in cut for p in c} if p not in known]
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for p, got in zip(some, self.parts(some)):
+        careful = [p for p in new if not _PLAIN(p)]
+        few = len(careful)
+        if few:
+            apart = set(careful)
+            new = careful + [p for p in new if p not in apart]
+        for lo, hi in [*((k, min(few, k + 4096)) for k in range(0, few, 4096)), *((k, k + 4096) for k in range(few, len(new), 4096))]:
+            some = new[lo:hi]
+            for p, got in zip(some, self.parts(some, lo >= few)):
                 (known if len(p) <= _LONGEST else here)[p] = got
         out: list[tuple[int, int, int, str, bytes] | None] = []
         for text, c in zip(texts, cut):
-            got = [known[p] if p in known else here[p] for p in c] if text else [None]
-            if any(g is None for g in got):
+            got = [here[p] if p in here else known[p] for p in c] if here else list(map(known.__getitem__, c))
+            if not text or None in got:
                 out.append(None)
             else:
                 n_a, n_b, n_groups, groups, links = zip(*got)
