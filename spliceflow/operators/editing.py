@@ -274,14 +274,39 @@ def spliced_clips(runs: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
-def mixdown(clips: DataFrame, samples: DataFrame) -> DataFrame:
+def junction_gain(clips: DataFrame, samples: DataFrame, least: float = 0.35, most: float = 2.83, silent: float = 1e-6) -> DataFrame:
+    """clips (run_id, track, clip, first, n, fade_in, ...) with gain: the level of the samples that the clip before it in the run has in their
+    overlap (as many as the clip's fade_in, its last ones) over that of the clip's own, within [least, most]; 1 without an overlap or where
+    either is silent. Levels are of the clips as they stand. Every side of an overlap asks for its own places."""
+    w, c = Window.partitionBy("run_id").orderBy("clip"), F.col
+    before = [F.lag(x).over(w).alias(f"__{x}") for x in ("track", "first", "n")]
+    j = clips.select("*", *before).withColumn("__ov", F.when(c("__n").isNotNull(), F.least("fade_in", "n", c("__n"))).cast("long"))
+    side = lambda t, first, s: j.where("__ov > 0").select("run_id", "clip", c(t).alias("track"), F.lit(s).alias("s"), "__ov", F.explode(F.sequence(first, first + c("__ov") - 1)).alias("i"))
+    ask = side("__track", c("__first") + c("__n") - c("__ov"), "out").unionByName(side("track", c("first"), "in"))
+    total = lambda s: F.sum(F.when(c("s") == s, c("x") * c("x")))
+    got = ask.join(samples.select("track", "i", "x"), ["track", "i"]).groupBy("run_id", "clip", "__ov").agg(total("out").alias("o"), total("in").alias("n"))
+    rms = lambda x: F.sqrt(F.coalesce(x, F.lit(0.0)) / c("__ov") + F.lit(1e-10))
+    got = got.select("run_id", "clip", rms(c("o")).alias("o"), rms(c("n")).alias("i"))
+    gain = F.when((c("o") > silent) & (c("i") > silent), F.greatest(F.lit(least), F.least(F.lit(most), c("o") / c("i")))).otherwise(F.lit(1.0))
+    return clips.join(got.select("run_id", "clip", gain.alias("gain")), ["run_id", "clip"], "left").withColumn("gain", F.coalesce("gain", F.lit(1.0)))
+
+
+def mixdown(clips: DataFrame, samples: DataFrame, match: bool = False, ramp: int = 4) -> DataFrame:
     """(run_id, i, x): samples (track, i, x) of clips (run_id, track, clip, first, n, at, fade_in, fade_out in samples) at their place on
-    the timeline, with equal-power fades, added up. Every clip asks for its own places, so the join is on equality."""
-    c = clips.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("i", F.col("first") + F.col("k"))
+    the timeline, with equal-power fades, added up. Every clip asks for its own places, so the join is on equality.
+
+    With match the level of each clip is that of the one before in their overlap (junction_gain) at its start, and its own `ramp` overlaps on,
+    linear between."""
+    c = junction_gain(clips, samples) if match else clips
+    c = c.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("i", F.col("first") + F.col("k"))
     up = F.when(F.col("k") < F.col("fade_in"), F.sin(F.lit(math.pi / 2) * (F.col("k") + 0.5) / F.col("fade_in"))).otherwise(1.0)
     left = F.col("n") - F.col("k")
     down = F.when(left <= F.col("fade_out"), F.sin(F.lit(math.pi / 2) * (left - 0.5) / F.col("fade_out"))).otherwise(1.0)
-    x = c.join(samples, ["track", "i"]).select("run_id", (F.col("at") + F.col("k")).alias("i"), (F.col("x") * up * down).alias("x"))
+    level = F.lit(1.0)
+    if match:
+        size = F.least(F.col("fade_in") * ramp, F.col("n"))
+        level = F.when(F.col("k") < size, F.col("gain") + (1 - F.col("gain")) * F.col("k") / F.greatest(size - 1, F.lit(1))).otherwise(1.0)
+    x = c.join(samples, ["track", "i"]).select("run_id", (F.col("at") + F.col("k")).alias("i"), (F.col("x") * up * down * level).alias("x"))
     return x.groupBy("run_id", "i").agg(F.sum("x").alias("x"))
 
 

@@ -296,6 +296,35 @@ def longest_diagonals(edges: DataFrame, least: int, above: float = 0.1) -> DataF
     return top.select("track", "lag", "start", "length", "mean", (F.col("start") + F.floor(F.col("length") / 2)).alias("mid"))
 
 
+def window_diagonals(edges: DataFrame, windows: DataFrame, key: list[str], bar: int, least: int, above: float = 0.1) -> DataFrame:
+    """(track, key, rank, from_beat, to_beat, length, mean): in each window (track, key, row_start, row_end, col_start, col_end) of the table of edges,
+    along the diagonals offset by the difference of its starts and by a bar less and more (but 0), the first longest run of edges over
+    `above`, of at least `least`: its middle, length and mean, ranked by length * mean, then by offset.
+
+    A window asks for the places of its three diagonals, so that edges are joined on equality; runs are islands, row less rank."""
+    delta = F.col("col_start") - F.col("row_start")
+    off = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (delta + (k - 1) * bar).alias("offset")) for k in range(3))))
+    w = windows.select("track", *key, "row_start", "row_end", "col_start", "col_end", off.alias("o")).select("*", "o.k", "o.offset").drop("o").where("offset <> 0")
+    first, last = F.greatest("row_start", F.col("col_start") - F.col("offset")), F.least("row_end", F.col("col_end") - F.col("offset")) - 1
+    ask = w.where(last >= first).select("track", *key, "k", "offset", F.explode(F.sequence(first, last)).alias("i")).withColumn("j", F.col("i") + F.col("offset"))
+    group = ["track", *key, "k", "offset"]
+    e = ask.join(edges.where(F.col("v") > above), ["track", "i", "j"])
+    e = e.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy(*group).orderBy("i")))
+    runs = e.groupBy(*group, "g").agg(F.min("i").alias("first"), F.count("*").alias("length"), F.avg("v").alias("mean"))
+    runs = runs.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("length"), "first"))).where((F.col("r") == 1) & (F.col("length") >= least))
+    order = Window.partitionBy("track", *key).orderBy(F.desc(F.round(F.col("length") * F.col("mean"), 9)), "k")
+    runs = runs.withColumn("rank", F.row_number().over(order)).withColumn("from_beat", F.col("first") + F.floor(F.col("length") / 2))
+    return runs.select("track", *key, "rank", "from_beat", (F.col("from_beat") + F.col("offset")).alias("to_beat"), "length", "mean")
+
+
+def snippet_similarity(pairs: DataFrame, snippets: DataFrame, max_lag: int, source: str = "source", target: str = "to_beat") -> DataFrame:
+    """pairs with waveform and lag: the snippets (track, beat, w) at the beats named by two columns; 0 where there is none."""
+    a = snippets.select("track", F.col("beat").alias(source), F.col("w").alias("wa"))
+    b = snippets.select("track", F.col("beat").alias(target), F.col("w").alias("wb"))
+    got = lag_correlation(pairs.join(a, ["track", source], "left").join(b, ["track", target], "left"), max_lag)
+    return got.withColumn("waveform", F.coalesce("xcorr", F.lit(0.0))).withColumn("lag", F.coalesce("lag", F.lit(0).cast("long"))).drop("wa", "wb", "xcorr")
+
+
 def _ncc(a: Column, b: Column) -> Column:
     return V.dot(a, b) / F.sqrt(V.dot(a, a) * V.dot(b, b) + F.lit(1e-20))
 

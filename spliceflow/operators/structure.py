@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .events import snap_nearest
-from .similarity import pairs
+from .similarity import pairs, snippet_similarity
 
 
 def _w(*order: str):
@@ -198,26 +198,64 @@ def repeated_sections(segments: DataFrame, not_these: tuple = ("intro", "outro",
     return a.join(b, ["track", "low"]).where("a < b").select("track", "a", "b", F.col("low").alias("label"))
 
 
-def repetition_jumps(corr: DataFrame, bars: DataFrame, least: float = 0.80, apart: int = 8) -> DataFrame:
-    """(track, from_beat, to_beat, corr): where two segments correlate (track, a, b, offset, corr), from the end of each bar of one to
-    the start of the bar after the one it meets in the other (track, seg, bar, start, end), both ways, at least `apart` beats."""
-    c = corr.where(F.col("corr") >= least)
-    x = bars.select("track", F.col("seg").alias("a"), "bar", F.col("start").alias("sa"), F.col("end").alias("ea"))
-    y = bars.select("track", F.col("seg").alias("b"), F.col("bar").alias("meets"), F.col("start").alias("sb"), F.col("end").alias("eb"))
-    m = c.join(x, ["track", "a"]).withColumn("meets", F.col("bar") + F.col("offset")).join(y, ["track", "b", "meets"])
-    both = m.select("track", F.col("ea").alias("from_beat"), F.col("eb").alias("to_beat"), "corr").union(m.select("track", F.col("eb").alias("from_beat"), F.col("ea").alias("to_beat"), "corr"))
-    return both.where(F.abs(F.col("to_beat") - F.col("from_beat")) >= apart).groupBy("track", "from_beat", "to_beat").agg(F.max("corr").alias("corr"))
-
-
-def within_section_jumps(rec: DataFrame, segments: DataFrame, least_lag: int, mean_least: float = 0.08, first: int = 5) -> DataFrame:
-    """(track, seg, lag, mean): the first few lags, in lag order, from least_lag on whose mean recurrence inside the segment
-    (track, seg, start, end in beats; missing edges count 0) reaches mean_least."""
-    e = rec.where(F.col("j") > F.col("i"))
-    s = segments.withColumn("i", F.explode(F.sequence(F.col("start"), F.col("end") - 1)))
-    x = e.join(s.select("track", "seg", "start", "end", "i"), ["track", "i"]).where(F.col("j") < F.col("end")).withColumn("lag", F.col("j") - F.col("i"))
-    m = x.where(F.col("lag") >= least_lag).groupBy("track", "seg", "start", "end", "lag").agg(F.sum("v").alias("v"))
-    m = m.withColumn("mean", F.col("v") / (F.col("end") - F.col("start") - F.col("lag"))).where(F.col("mean") >= mean_least)
-    return m.withColumn("r", F.row_number().over(Window.partitionBy("track", "seg").orderBy("lag"))).where(F.col("r") <= first).select("track", "seg", "lag", "mean")
+JUMP = ["track", "from_beat", "to_beat", "waveform", "corr", "lag", "a", "b", "from_bar", "to_bar"]
+
+
+def repetition_jumps(corr: DataFrame, bars: DataFrame, snippets: DataFrame | None = None, least: float = 0.80, apart: int = 8, least_wave: float = 0.40, max_lag: int = 1) -> DataFrame:
+    """(track, from_beat, to_beat, waveform, corr, lag, a, b, from_bar, to_bar): where two segments correlate (track, a, b, offset, corr), from the last
+    beat of each bar (track, seg, bar, start, end) of one to the start of the bar that it meets in the other, at least `apart` beats off,
+    and back from the last beat of that to the start of the first.
+
+    With snippets (track, beat, w) the one after the beat left has to be like that of the beat landed on: a jump that fails takes its way
+    back along, a way back that fails only goes itself."""
+    c = F.col
+    size = bars.groupBy("track", "seg").agg(F.count("*").alias("n"))
+    m = corr.where(c("corr") >= least).join(size.select("track", c("seg").alias("a"), c("n").alias("na")), ["track", "a"]).join(size.select("track", c("seg").alias("b"), c("n").alias("nb")), ["track", "b"])
+    of = lambda s, bar: bars.select("track", c("seg").alias(s), c("bar").alias(bar), c("start").alias(f"start_{s}"), (c("end") - 1).alias(f"last_{s}"))
+    m = m.join(of("a", "bar_a"), ["track", "a"]).where(c("bar_a") < F.least("na", "nb")).withColumn("bar_b", c("bar_a") + c("offset")).join(of("b", "bar_b"), ["track", "b", "bar_b"])
+    m = m.where(F.abs(c("start_b") - c("last_a")) >= apart)
+
+    def checked(d: DataFrame, left: str, landed: str, out: str) -> DataFrame:
+        if snippets is None:
+            return d.withColumns({f"{out}_wave": F.lit(0.0), f"{out}_lag": F.lit(0).cast("long")})
+        got = snippet_similarity(d.withColumn("__s", c(left) + 1), snippets, max_lag, "__s", landed).drop("__s")
+        return got.withColumnsRenamed({"waveform": f"{out}_wave", "lag": f"{out}_lag"})
+
+    m = checked(m, "last_a", "start_b", "go")
+    if snippets is not None:
+        m = m.where(c("go_wave") >= least_wave)
+    m = checked(m, "last_b", "start_a", "back")
+    there = m.select("track", c("last_a").alias("from_beat"), c("start_b").alias("to_beat"), c("go_wave").alias("waveform"), "corr", c("go_lag").alias("lag"), "a", "b", c("bar_a").alias("from_bar"), c("bar_b").alias("to_bar"))
+    back = m.where(F.abs(c("start_a") - c("last_b")) >= apart)
+    if snippets is not None:
+        back = back.where(c("back_wave") >= least_wave)
+    back = back.select("track", c("last_b").alias("from_beat"), c("start_a").alias("to_beat"), c("back_wave").alias("waveform"), "corr", c("back_lag").alias("lag"), c("b").alias("a"), c("a").alias("b"), c("bar_b").alias("from_bar"), c("bar_a").alias("to_bar"))
+    return there.unionByName(back)
+
+
+def within_section_jumps(rec: DataFrame, segments: DataFrame, meter: int, n: DataFrame | None = None, snippets: DataFrame | None = None, mean_least: float = 0.08, first: int = 5, jump_least: float = 0.10, least_wave: float = 0.40, max_lag: int = 1, not_these: tuple = ("intro", "outro")) -> DataFrame:
+    """(track, seg, lag, mean, from_beat, to_beat, waveform): in segments (track, seg, start, end in beats[, label]) of at least eight bars, of the lags of
+    whole bars, from two on, that leave two bars, the first few, in lag order, whose mean recurrence (missing edges count 0) reaches
+    mean_least; of these the ones that reach jump_least, from the middle of the segment less the lag.
+
+    With snippets (track, beat, w) of tracks (track, n) the snippet two after the beat left (by the rule's own count) has to be like that of the beat
+    landed on, by three quarters of least_wave; beats beyond the last have none."""
+    c, phrase = F.col, 2 * meter
+    s = segments.where(c("end") - c("start") >= 4 * phrase)
+    if "label" in segments.columns:
+        s = s.where(~F.lower("label").isin(*not_these))
+    x = rec.where((c("j") - c("i") >= phrase) & ((c("j") - c("i")) % meter == 0)).join(s.select("track", "seg", "start", "end", F.explode(F.sequence(c("start"), c("end") - 1)).alias("i")), ["track", "i"])
+    m = x.where(c("j") < c("end")).groupBy("track", "seg", "start", "end", (c("j") - c("i")).alias("lag")).agg(F.sum("v").alias("v"))
+    cells = c("end") - c("start") - c("lag")
+    m = m.where(cells >= phrase).where(c("lag") < F.floor((c("end") - c("start")) / meter) * meter).withColumn("mean", c("v") / cells).where(c("mean") >= mean_least)
+    m = m.withColumn("r", F.row_number().over(Window.partitionBy("track", "seg").orderBy("lag"))).where((c("r") <= first) & (c("mean") >= jump_least))
+    m = m.withColumn("from_beat", c("start") + F.floor((c("end") - c("start") - c("lag")) / 2)).withColumn("to_beat", c("from_beat") + c("lag"))
+    if snippets is None:
+        m = m.withColumn("waveform", F.lit(0.0))
+    else:
+        m = m.join(n, "track").withColumnRenamed("lag", "__lag").withColumn("__s", F.least(c("from_beat") + 1, c("n") - 1) + 1)
+        m = snippet_similarity(m, snippets, max_lag, "__s", "to_beat").where((c("from_beat") + 1 >= c("n")) | (c("waveform") >= 0.75 * least_wave)).drop("lag").withColumnRenamed("__lag", "lag")
+    return m.select("track", "seg", "lag", "mean", "from_beat", "to_beat", "waveform")
 
 
 def ranked(jumps: DataFrame, *by: str) -> DataFrame:

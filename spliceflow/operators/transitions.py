@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .events import snap_nearest
-from .similarity import lag_correlation, tile_scores
+from .similarity import lag_correlation, snippet_similarity, tile_scores, window_diagonals
 
 #: Default weights of the signals; combined by a harmonic mean (fixed values).
 DEFAULT_WEIGHTS = {"waveform": 0.50, "sequential": 0.20, "transient": 0.15, "energy": 0.07, "edge_energy": 0.04, "bar_align": 0.02, "centroid": 0.02}
@@ -316,13 +316,26 @@ def component_correlation(components: DataFrame, signals: list[str]) -> DataFram
     return row.selectExpr(f"stack({len(todo)}, {stack}) as (a, b, rho)")
 
 
-def prescreen(recurrence: DataFrame, segments: DataFrame, reach: int = 4, least: float = 0.05, keep: int = 1) -> DataFrame:
-    """(track, a, b, i, j, v): for every ordered pair of segments (track, seg, start, end in beats), the strongest recurrence edges
-    from around the end of a to around the start of b, of at least `least`."""
-    s = lambda n, at: segments.select("track", F.col("seg").alias(n), F.explode(F.sequence(F.col(at) - reach, F.col(at) + reach)).alias("i" if n == "a" else "j"))
-    e = recurrence.where(F.col("v") >= least).join(s("a", "end"), ["track", "i"]).join(s("b", "start"), ["track", "j"]).where("a <> b")
-    w = Window.partitionBy("track", "a", "b").orderBy(F.desc("v"), "i", "j")
-    return e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep).select("track", "a", "b", "i", "j", "v")
+def prescreen_transitions(recurrence: DataFrame, segments: DataFrame, n: DataFrame, snippets: DataFrame | None, meter: int = 4, bars: int = 4, keep: int = 3, least: float = 0.05, least_wave: float = 0.30, max_lag: int = 1) -> DataFrame:
+    """(track, rank, from_beat, to_beat, length, score, waveform): for every ordered pair of segments (track, seg, start, end in beats) of a track
+    (track, n), the `keep` best diagonals from `bars` bars around the end of one to as many around the start of the other (window_diagonals)
+    of a mean recurrence of `least`, if the snippet after the first beat is like that of the second by `least_wave` (not asked without
+    snippets). Of equal pairs of beats the one of the best mean stays; ranked by length * mean * max(0.1, waveform), then as found."""
+    reach, zero, c = bars * meter, F.lit(0).cast("long"), F.col
+    a = segments.join(n, "track").select("track", "n", c("seg").alias("a"), F.greatest(c("start") + 1, F.least("end", "n")).alias("out"))
+    b = segments.select("track", c("seg").alias("b"), c("start").alias("into"))
+    w = a.join(b, "track").where("a <> b")
+    w = w.select("track", "a", "b", F.greatest(zero, c("out") - reach).alias("row_start"), F.least("n", c("out") + reach).alias("row_end"), F.greatest(zero, c("into") - reach).alias("col_start"), F.least("n", c("into") + reach).alias("col_end"))
+    d = window_diagonals(recurrence, w, ["a", "b"], meter, meter).where((c("rank") <= keep) & (c("mean") >= least)).withColumn("source", c("from_beat") + 1)
+    if snippets is None:
+        d = d.withColumn("waveform", F.lit(0.0))
+    else:
+        d = snippet_similarity(d, snippets, max_lag).where(c("waveform") >= least_wave)
+    found = F.struct("a", "b", "rank")
+    best = d.groupBy("track", "from_beat", "to_beat").agg(F.min(found).alias("seen"), F.min_by(F.struct("length", c("mean").alias("score"), "waveform"), F.struct(-F.round("mean", 9), found)).alias("x"))
+    weight = F.round(c("x.length") * c("x.score") * F.greatest(F.lit(0.1), c("x.waveform")), 9)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("track").orderBy(F.desc(weight), "seen")))
+    return best.select("track", "rank", "from_beat", "to_beat", "x.length", "x.score", "x.waveform")
 
 
 def downbeat_sets(beats: DataFrame, downbeats: DataFrame) -> DataFrame:

@@ -247,10 +247,24 @@ k AS (SELECT *, unnest(generate_series(0, 29)) AS k FROM cl), s AS (SELECT run_i
 SELECT run_id, i, round(sum(x), 9) AS x FROM s GROUP BY 1, 2""")
 def e13_mixdown(spark, d):
     s = T.signal(spark, d)
+    return rounded(E.mixdown(_mix_clips(s), s), 9)
+
+
+@family(f"""WITH {SG}, cl AS (SELECT track, 'r' || track AS run_id, c, c * 40 AS f, 30 AS n, c * 25 AS pos FROM (SELECT DISTINCT track, i // 40 AS c FROM sg)),
+lv AS (SELECT cl.track, cl.c, sqrt(coalesce(sum(CASE WHEN i < f + 5 THEN x * x END), 0) / 5 + 1e-10) AS b, sqrt(coalesce(sum(CASE WHEN i >= f + 25 THEN x * x END), 0) / 5 + 1e-10) AS e FROM cl LEFT JOIN sg ON sg.track = cl.track AND i >= f AND i < f + 30 GROUP BY 1, 2),
+g AS (SELECT track, c, CASE WHEN lag(e) OVER w > 1e-6 AND b > 1e-6 THEN greatest(0.35, least(2.83, lag(e) OVER w / b)) ELSE 1 END AS gain FROM lv WINDOW w AS (PARTITION BY track ORDER BY c)),
+k AS (SELECT *, unnest(generate_series(0, 29)) AS k FROM cl JOIN g USING (track, c)), s AS (SELECT run_id, pos + k AS i, x * CASE WHEN k < 5 THEN sin(pi() / 2 * (k + 0.5) / 5) ELSE 1 END * CASE WHEN n - k <= 5 THEN sin(pi() / 2 * (n - k - 0.5) / 5) ELSE 1 END * CASE WHEN k < 20 THEN gain + (1 - gain) * k / 19 ELSE 1 END AS x FROM k JOIN sg ON sg.track = k.track AND sg.i = f + k)
+SELECT run_id, i, round(sum(x), 9) AS x FROM s GROUP BY 1, 2""")
+def e13_matched_mixdown(spark, d):
+    s = T.signal(spark, d)
+    return rounded(E.mixdown(_mix_clips(s), s, match=True), 9)
+
+
+def _mix_clips(s):
+    """Clips of 30 samples at every 40th of a track, five samples over one another."""
     long = lambda v: F.lit(v).cast("long")
     clips = s.select("track", F.floor(F.col("i") / 40).alias("clip")).distinct()
-    clips = clips.select("track", "clip", F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id"), (F.col("clip") * 40).alias("first"), long(30).alias("n"), (F.col("clip") * 25).alias("at"), F.lit(5).alias("fade_in"), F.lit(5).alias("fade_out"))
-    return rounded(E.mixdown(clips, s), 9)
+    return clips.select("track", "clip", F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id"), (F.col("clip") * 40).alias("first"), long(30).alias("n"), (F.col("clip") * 25).alias("at"), F.lit(5).alias("fade_in"), F.lit(5).alias("fade_out"))
 
 
 @family(f"WITH {EV}, q AS (SELECT track, i, round(t / 0.05::DOUBLE)::BIGINT AS q, label FROM ev) SELECT track, q, label, min(i) AS first_i, count(*) AS n FROM q GROUP BY 1, 2, 3")

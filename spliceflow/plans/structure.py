@@ -147,22 +147,42 @@ def t16_repeated_sections(spark, d):
     return S.repeated_sections(s, ("error",))
 
 
-@family(f"""WITH {BV}, br AS (SELECT track, beat // 10 AS seg, beat % 10 AS bar, beat AS start, beat + 1 AS stop, feat FROM bv), o AS (SELECT *, unnest(generate_series(-4, 4)) AS f FROM br),
-m AS (SELECT a.track, a.seg AS sa, b.seg AS sb, f, avg({cos('a.feat', 'b.feat')}) AS c FROM o a JOIN br b ON a.track = b.track AND b.bar = a.bar + f AND a.seg < b.seg GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY track, sa, sb ORDER BY round(c, 12) DESC, f) AS r FROM m), p AS (SELECT x.track, x.stop AS ea, y.stop AS eb, greatest(0, c) AS c FROM r JOIN br x ON x.track = r.track AND x.seg = sa JOIN br y ON y.track = r.track AND y.seg = sb AND y.bar = x.bar + f WHERE r = 1 AND c >= 0.05),
-u AS (SELECT track, ea AS a, eb AS b, c FROM p UNION ALL SELECT track, eb, ea, c FROM p), j AS (SELECT track, a AS from_beat, b AS to_beat, max(c) AS corr FROM u WHERE abs(b - a) >= 8 GROUP BY 1, 2, 3)
-SELECT track, from_beat, to_beat, round(corr, 6) AS corr, row_number() OVER (PARTITION BY track ORDER BY corr DESC, from_beat, to_beat)::INTEGER AS rank FROM j""")
+_WF = "greatest(0, max(list_inner_product(wa[5:60], wb[5 + lag:60 + lag]) / sqrt(list_inner_product(wa[5:60], wa[5:60]) * list_inner_product(wb[5 + lag:60 + lag], wb[5 + lag:60 + lag]) + 1e-20)))"
+
+
+@family(f"""WITH {BV}, br AS (SELECT track, beat // 16 AS seg, (beat % 16) // 2 AS bar, min(beat) AS start, max(beat) AS stop, list_transform(range(64), lambda k: list_avg(list_transform(list(feat), lambda f: f[k + 1]))) AS feat FROM bv GROUP BY 1, 2, 3),
+o AS (SELECT *, unnest(generate_series(-4, 4)) AS f FROM br), m AS (SELECT a.track, a.seg AS sa, b.seg AS sb, f, avg({cos('a.feat', 'b.feat')}) AS c FROM o a JOIN br b ON a.track = b.track AND b.bar = a.bar + f AND a.seg < b.seg GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY track, sa, sb ORDER BY round(c, 12) DESC, f) AS r FROM m), cn AS (SELECT track, seg, count(*) AS n FROM br GROUP BY 1, 2),
+p AS (SELECT x.track, sa, sb, x.bar AS ba, y.bar AS bb, x.start AS fa, x.stop AS la, y.start AS fb, y.stop AS lb, greatest(0, c) AS c FROM r JOIN br x ON x.track = r.track AND x.seg = sa JOIN br y ON y.track = r.track AND y.seg = sb AND y.bar = x.bar + f
+  JOIN cn na ON na.track = r.track AND na.seg = sa JOIN cn nb ON nb.track = r.track AND nb.seg = sb WHERE r = 1 AND c >= 0.05 AND x.bar < least(na.n, nb.n) AND abs(y.start - x.stop) >= 8),
+l1 AS (SELECT p.*, x.feat AS wa, y.feat AS wb, unnest(generate_series(-4, 4)) AS lag FROM p JOIN bv x ON x.track = p.track AND x.beat = la + 1 JOIN bv y ON y.track = p.track AND y.beat = fb),
+g1 AS (SELECT track, sa, sb, ba, bb, fa, la, fb, lb, c, {_WF} AS wf FROM l1 GROUP BY ALL HAVING wf >= 0.1),
+l2 AS (SELECT g1.* EXCLUDE (wf), x.feat AS wa, y.feat AS wb, unnest(generate_series(-4, 4)) AS lag FROM g1 JOIN bv x ON x.track = g1.track AND x.beat = lb + 1 JOIN bv y ON y.track = g1.track AND y.beat = fa WHERE abs(fa - lb) >= 8),
+g2 AS (SELECT track, sa, sb, ba, bb, fa, la, fb, lb, c, {_WF} AS wf FROM l2 GROUP BY ALL HAVING wf >= 0.1),
+j AS (SELECT track, la AS from_beat, fb AS to_beat, wf, c, sa AS a, sb AS b, ba AS from_bar, bb AS to_bar FROM g1 UNION ALL SELECT track, lb, fa, wf, c, sb, sa, bb, ba FROM g2)
+SELECT track, from_beat, to_beat, round(wf, 6) AS waveform, round(c, 6) AS corr, a, b, from_bar, to_bar, row_number() OVER (PARTITION BY track ORDER BY round(wf, 9) DESC, round(c, 9) DESC, from_beat, to_beat)::INTEGER AS rank FROM j""")
 def t17_repetition_jumps(spark, d):
-    b = T.beats(spark, d).select("track", F.floor(F.col("beat") / 10).alias("seg"), (F.col("beat") % 10).alias("bar"), F.col("beat").alias("start"), (F.col("beat") + 1).alias("end"), "feat")
-    return rounded(S.ranked(S.repetition_jumps(M.bar_sequence_correlation(b), b, 0.05), "corr"))
-
-
-@family(f"""WITH {REC}, x AS (SELECT track, i // 25 AS seg, j - i AS lag, sum(v) AS v FROM rec WHERE j > i AND j // 25 = i // 25 AND j - i >= 4 GROUP BY 1, 2, 3),
-cn AS (SELECT track, beat // 25 AS seg, count(*) AS n FROM bv GROUP BY 1, 2), m AS (SELECT x.*, v / (n - lag) AS mean FROM x JOIN cn USING (track, seg)), r AS (SELECT *, row_number() OVER (PARTITION BY track, seg ORDER BY lag) AS r FROM m WHERE mean >= 0.02)
-SELECT track, seg, lag, round(mean, 6) AS mean FROM r WHERE r <= 5""")
+    """Segments of sixteen beats, bars of two."""
+    b = T.beats(spark, d)
+    of = b.select("track", F.floor(F.col("beat") / 16).alias("seg"), F.floor(F.col("beat") % 16 / 2).alias("bar"), "beat", F.posexplode("feat").alias("k", "v"))
+    of = of.groupBy("track", "seg", "bar", "k").agg(F.avg("v").alias("v"), F.min("beat").alias("start"), (F.max("beat") + 1).alias("end"))
+    bars = of.groupBy("track", "seg", "bar", "start", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias("feat"))
+    j = S.repetition_jumps(M.bar_sequence_correlation(bars), bars, b.select("track", "beat", F.col("feat").alias("w")), 0.05, least_wave=0.1, max_lag=4)
+    j = j.withColumns({"by_wave": F.round("waveform", 9), "by_corr": F.round("corr", 9)})
+    return rounded(S.ranked(j, "by_wave", "by_corr").drop("by_wave", "by_corr", "lag"))
+
+
+@family(f"""WITH {REC}, cn AS (SELECT track, count(*) AS n FROM bv GROUP BY 1), sm AS (SELECT track, beat // 25 AS seg, min(beat) AS st, max(beat) + 1 AS en FROM bv GROUP BY 1, 2),
+x AS (SELECT rec.track, seg, st, en, j - i AS lag, sum(v) AS v FROM rec JOIN sm ON sm.track = rec.track AND i >= st AND j < en WHERE en - st >= 16 AND j - i >= 4 AND (j - i) % 2 = 0 GROUP BY 1, 2, 3, 4, 5),
+m AS (SELECT *, v / (en - st - lag) AS mean FROM x WHERE en - st - lag >= 4 AND lag < (en - st) // 2 * 2), r AS (SELECT *, row_number() OVER (PARTITION BY track, seg ORDER BY lag) AS r FROM m WHERE mean >= 0.01),
+f AS (SELECT r.*, st + (en - st - lag) // 2 AS fb, st + (en - st - lag) // 2 + lag AS tb, n FROM r JOIN cn USING (track) WHERE r <= 5 AND mean >= 0.02),
+l AS (SELECT f.*, x.feat AS wa, y.feat AS wb, unnest(generate_series(-4, 4)) AS sh FROM f JOIN bv x ON x.track = f.track AND x.beat = least(fb + 1, n - 1) + 1 JOIN bv y ON y.track = f.track AND y.beat = tb)
+SELECT track, seg, lag, round(mean, 6) AS mean, fb AS from_beat, tb AS to_beat, round({_WF.replace('lag', 'sh')}, 6) AS waveform FROM l GROUP BY track, seg, lag, mean, fb, tb HAVING {_WF.replace('lag', 'sh')} >= 0.06""")
 def t18_within_section_jumps(spark, d):
-    b = T.beats(spark, d).groupBy("track", F.floor(F.col("beat") / 25).alias("seg")).agg(F.min("beat").alias("start"), (F.max("beat") + 1).alias("end"))
-    return rounded(S.within_section_jumps(_rec(spark, d), b, 4, 0.02))
+    b = T.beats(spark, d)
+    seg = b.groupBy("track", F.floor(F.col("beat") / 25).alias("seg")).agg(F.min("beat").alias("start"), (F.max("beat") + 1).alias("end"))
+    n = b.groupBy("track").agg(F.count("*").alias("n"))
+    return rounded(S.within_section_jumps(_rec(spark, d), seg, 2, n, b.select("track", "beat", F.col("feat").alias("w")), 0.01, jump_least=0.02, least_wave=0.08, max_lag=4))
 
 
 @family(f"""WITH {BV}, bt AS (SELECT track, beat, beat * 0.5::DOUBLE AS t, feat FROM bv), db AS (SELECT track, beat * 0.5 + 0.1 AS t FROM bv WHERE beat % 4 = 1), ds AS (SELECT d.track, b.beat, row_number() OVER (PARTITION BY d.track, d.t ORDER BY abs(b.t - d.t), b.beat) AS r FROM db d JOIN bt b USING (track)),

@@ -206,13 +206,22 @@ def s9_component_rows(spark, d):
     return rounded(component_rows(_full(spark, d)))
 
 
-@family(f"""WITH {REC}, sgm AS (SELECT DISTINCT track, beat // 10 AS seg FROM bv), bo AS (SELECT track, seg, seg * 10 AS st, seg * 10 + 10 AS en FROM sgm),
-c AS (SELECT r.track, a.seg AS a, b.seg AS b, i, j, v, row_number() OVER (PARTITION BY r.track, a.seg, b.seg ORDER BY v DESC, i, j) AS n FROM rec r JOIN bo a ON a.track = r.track AND abs(i - a.en) <= 4 JOIN bo b ON b.track = r.track AND abs(j - b.st) <= 4 WHERE a.seg <> b.seg AND v >= 0.05)
-SELECT track, a, b, i, j, round(v, 6) AS v FROM c WHERE n = 1""")
+@family(f"""WITH {REC}, cn AS (SELECT track, count(*) AS n FROM bv GROUP BY 1), bo AS (SELECT DISTINCT track, beat // 10 AS seg, beat // 10 * 10 AS st, beat // 10 * 10 + 10 AS en FROM bv),
+pr AS (SELECT a.track, a.seg AS a, b.seg AS b, greatest(0, greatest(a.st + 1, least(a.en, n)) - 8) AS rs, least(n, greatest(a.st + 1, least(a.en, n)) + 8) AS re, greatest(0, b.st - 8) AS cs, least(n, b.st + 8) AS ce FROM bo a JOIN bo b ON a.track = b.track AND a.seg <> b.seg JOIN cn ON cn.track = a.track),
+wn AS (SELECT pr.*, k, cs - rs + (k - 1) * 2 AS o FROM pr, (SELECT unnest([0, 1, 2]) AS k)),
+ce AS (SELECT wn.*, i, v, i - row_number() OVER (PARTITION BY wn.track, a, b, k ORDER BY i) AS g FROM wn JOIN rec r ON r.track = wn.track AND j - i = o AND i >= rs AND i < re AND j >= cs AND j < ce WHERE o <> 0 AND v > 0.1),
+ru AS (SELECT track, a, b, k, o, min(i) AS f, count(*) AS len, avg(v) AS mean FROM ce GROUP BY track, a, b, k, o, g),
+to1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track, a, b, k ORDER BY len DESC, f) AS r FROM ru) WHERE r = 1 AND len >= 2),
+dg AS (SELECT * FROM (SELECT track, a, b, f + len // 2 AS fb, f + len // 2 + o AS tb, len, mean, row_number() OVER (PARTITION BY track, a, b ORDER BY round(len * mean, 9) DESC, k) AS rank FROM to1) WHERE rank <= 3 AND mean >= 0.05),
+lg AS (SELECT dg.*, x.feat AS wa, y.feat AS wb, unnest(generate_series(-4, 4)) AS lag FROM dg JOIN bv x ON x.track = dg.track AND x.beat = fb + 1 JOIN bv y ON y.track = dg.track AND y.beat = tb),
+wv AS (SELECT track, a, b, rank, fb, tb, len, mean, greatest(0, max(list_inner_product(wa[5:60], wb[5 + lag:60 + lag]) / sqrt(list_inner_product(wa[5:60], wa[5:60]) * list_inner_product(wb[5 + lag:60 + lag], wb[5 + lag:60 + lag]) + 1e-20))) AS wf FROM lg GROUP BY ALL),
+gd AS (SELECT *, row_number() OVER (PARTITION BY track, fb, tb ORDER BY round(mean, 9) DESC, a, b, rank) AS r, min({{'a': a, 'b': b, 'rank': rank}}) OVER (PARTITION BY track, fb, tb) AS seen FROM wv WHERE wf >= 0.05)
+SELECT track, row_number() OVER (PARTITION BY track ORDER BY round(len * mean * greatest(0.1, wf), 9) DESC, seen)::INTEGER AS rank, fb AS from_beat, tb AS to_beat, len AS length, round(mean, 6) AS score, round(wf, 6) AS waveform FROM gd WHERE r = 1""")
 def q22_prescreen(spark, d):
-    seg = _b(spark, d).select("track", F.floor(F.col("beat") / 10).alias("seg")).distinct()
-    seg = seg.withColumns({"start": F.col("seg") * 10, "end": F.col("seg") * 10 + 10})
-    return rounded(Q.prescreen(_rec(spark, d), seg))
+    b = _b(spark, d)
+    seg = b.select("track", F.floor(F.col("beat") / 10).alias("seg")).distinct().withColumns({"start": F.col("seg") * 10, "end": F.col("seg") * 10 + 10})
+    n = b.groupBy("track").agg(F.count("*").alias("n"))
+    return rounded(Q.prescreen_transitions(_rec(spark, d), seg, n, _snippets(b), meter=2, least_wave=0.05, max_lag=4))
 
 
 @family(f"""WITH {SIG}, q AS (SELECT 'a' AS run_id, {_hm(0.5, 0.2, 0.07)} AS q FROM sg UNION ALL SELECT 'b', {_hm(0.1, 0.6, 0.3)} FROM sg)
