@@ -32,7 +32,7 @@ from .byte_bpe import byte_chars
 from .common import slices
 
 #: Pieces, words and token pairs that a worker remembers, the longest piece and word of those, and bits of the table of pairs.
-_MOST, _LONGEST, _PAIR_BITS = 180_000, 64, 18
+_MOST, _LONGEST, _PAIR_BITS = 100_000, 64, 18
 #: Below this character all versions of Unicode agree, and texts are in normal form already; but for one that becomes two in lower case.
 _LATIN, _TWO = "\u0250", "\u0130"
 #: White space to Python's str.split, but not to tokenizers.

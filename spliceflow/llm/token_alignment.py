@@ -37,7 +37,7 @@ from .common import drop_stored, slices, stored
 #: At most so many texts count as hot.
 HOT = 1000
 #: Parts that a worker remembers, and the longest of them.
-_MOST, _LONGEST = 150_000, 64
+_MOST, _LONGEST = 50_000, 64
 _CUT = re.compile(r"(?<! )(?= \S)")
 #: A part of one space and text that ends without white space.
 _PLAIN = lambda p: p[1:2] not in ("", " ") and not p[1].isspace() and not p[-1].isspace()
