@@ -27,15 +27,29 @@ def junction_penalty(energy_diff_db: Column, over: float = 6.0, per_db: float =
     return F.least(F.lit(most), F.greatest(F.lit(0.0), F.abs(energy_diff_db) - over) * per_db)
 
 
-def block_compatibility(blocks: DataFrame, quality: DataFrame, window: int = 8, drift: float = 0.10, top: int = 5) -> DataFrame:
-    """(track, a, b, rank, from_beat, to_beat, score): for every ordered pair of blocks (track, block, entry, exit), the best pairs of
-    beats (track, i, j, quality) within the window of the exit of a and the entry of b, less drift per beat moved over the window."""
-    near = lambda name, at, beat: blocks.select("track", F.col("block").alias(name), F.col(at).alias(f"{name}_at"), F.explode(F.sequence(F.col(at) - window, F.col(at) + window)).alias(beat))
-    x = quality.join(near("a", "exit", "i"), ["track", "i"]).join(near("b", "entry", "j"), ["track", "j"]).where("a <> b")
-    moved = F.abs(F.col("i") - F.col("a_at")) + F.abs(F.col("j") - F.col("b_at"))
-    x = x.withColumn("score", F.col("quality") - F.lit(drift / window) * moved)
+def block_compatibility(blocks: DataFrame, quality: DataFrame, window: int = 8, drift: float = 0.10, top: int = 5, n: DataFrame | None = None) -> DataFrame:
+    """(track, a, b, rank, from_beat, to_beat, score): for every ordered pair of blocks (track, block, entry, exit: their first and last beat), the
+    best pairs of beats (track, i, j, quality; junction_scores gives it as score) within the window of the exit of a, but not before a's
+    entry, and of the entry of b, but not after b's exit, less drift per beat moved over the window, as far as that is over 0; the last beat
+    of a track (track, n) leads nowhere. Pairs without any get their natural junction, exit to entry, with score 0."""
+    zero, c = F.lit(0).cast("long"), F.col
+    leave = blocks.select("track", c("block").alias("a"), c("exit").alias("a_at"), F.explode(F.sequence(F.greatest("entry", c("exit") - window), c("exit") + window)).alias("i"))
+    land = blocks.select("track", c("block").alias("b"), c("entry").alias("b_at"), F.explode(F.sequence(F.greatest(zero, c("entry") - window), F.least(c("entry") + window, "exit"))).alias("j"))
+    x = quality.select("track", "i", "j", "quality").where("i <> j").join(leave, ["track", "i"]).join(land, ["track", "j"])
+    if n is not None:
+        x = x.join(n, "track").where(c("i") <= c("n") - 2)
+    moved = F.abs(c("i") - c("a_at")) + F.abs(c("j") - c("b_at"))
+    x = x.withColumn("score", c("quality") - F.lit(drift / window) * moved).where("score > 0")
     w = Window.partitionBy("track", "a", "b").orderBy(F.desc(F.round("score", 9)), "i", "j")
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("track", "a", "b", "rank", F.col("i").alias("from_beat"), F.col("j").alias("to_beat"), "score")
+    found = x.withColumn("rank", F.row_number().over(w)).where(c("rank") <= top).select("track", "a", "b", "rank", c("i").alias("from_beat"), c("j").alias("to_beat"), "score")
+    pairs = blocks.select("track", c("block").alias("a"), c("exit").alias("from_beat")).join(blocks.select("track", c("block").alias("b"), c("entry").alias("to_beat")), "track")
+    return found.unionByName(_natural(pairs, found))
+
+
+def _natural(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (track, a, b, from_beat, to_beat) that are not among those found, as their only junction."""
+    none = pairs.join(found.where("rank = 1").select("track", "a", "b"), ["track", "a", "b"], "left_anti")
+    return none.select("track", "a", "b", F.lit(1).alias("rank"), "from_beat", "to_beat", F.lit(0.0).alias("score"))
 
 
 def assemble_blocks(queue: DataFrame, blocks: DataFrame, junctions: DataFrame, rank: int = 1) -> DataFrame:
@@ -310,10 +324,35 @@ def mixdown(clips: DataFrame, samples: DataFrame, match: bool = False, ramp: int
     return x.groupBy("run_id", "i").agg(F.sum("x").alias("x"))
 
 
-def request_key(runs: DataFrame, times: list[str], blocked: str, quantum: float = 0.05) -> DataFrame:
-    """runs with key: hash of the times in steps of the quantum and of the sorted blocked pairs."""
+def weights_hash(weights: Column | str, defaults: dict[str, float], quantum: float = 1e-9) -> Column:
+    """Hash of a map of weights in steps of the quantum: names that are not there have their default, names that defaults do not know count if they
+    are not 0; the order of names does not matter. 0 for the defaults, and for a null map."""
+    w = F.col(weights) if isinstance(weights, str) else weights
+    steps = lambda v: F.round(v / F.lit(quantum)).cast("long")
+    names = sorted(defaults)
+    known = [F.coalesce(steps(F.coalesce(w[k], F.lit(float(defaults[k])))), F.lit(0).cast("long")) for k in names]
+    other = F.filter(F.transform(F.map_entries(w), lambda e: F.struct(e["key"].alias("k"), steps(e["value"]).alias("v"))), lambda e: ~e["k"].isin(*names) & (F.coalesce(e["v"], F.lit(0).cast("long")) != 0))
+    plain = F.size(other) <= 0
+    for k, v in zip(names, known):
+        plain = plain & (v == steps(F.lit(float(defaults[k]))))
+    return F.when(w.isNull() | plain, F.lit(0).cast("long")).otherwise(F.xxhash64(*known, F.to_json(F.array_sort(other))))
+
+
+def request_key(runs: DataFrame, times: list[str], blocked: str, quantum: float = 0.05, others: list[str] = [], weights: str | None = None, defaults: dict[str, float] | None = None) -> DataFrame:
+    """runs with key: hash of the times in steps of the quantum (null counts as none), of the set of blocked pairs, of other columns as they are,
+    and of the weights (a map column) against the defaults."""
     q = [F.round(F.col(t) / F.lit(quantum)).cast("long") for t in times]
-    return runs.withColumn("key", F.xxhash64(*q, F.to_json(F.array_sort(blocked))))
+    more = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in others] + ([weights_hash(weights, defaults or {})] if weights else [])
+    return runs.withColumn("key", F.xxhash64(*(F.coalesce(x, F.lit(-(2**62))) for x in q), F.to_json(F.array_sort(F.array_distinct(blocked))), *more))
+
+
+def distinct_requests(keyed: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, asked): one row of keyed for each key, that of the smallest id, with `requests`, how many asked for it; and (id, key) of every
+    request, to which a job's result goes by its key."""
+    w = Window.partitionBy("key")
+    first = keyed.groupBy("key").agg(F.min(id).alias("__id"), F.count("*").alias("requests"))
+    jobs = keyed.join(first, "key").where(F.col(id) == F.col("__id")).withColumn("__r", F.row_number().over(w.orderBy(id))).where("__r = 1").drop("__r", "__id")
+    return jobs, keyed.select(id, "key")
 
 
 def keep_latest(results: DataFrame, source: str, order: str, n: int) -> DataFrame:
@@ -349,20 +388,37 @@ def transition_times(clips: DataFrame, labels: DataFrame) -> DataFrame:
     return c.select("run_id", (F.col("clip") - 1).alias("splice"), F.col("timeline_start").alias("at"), "from_beat", F.col("start_beat").alias("to_beat"), "from_label", "to_label")
 
 
-def queued_compatibility(queue: DataFrame, blocks: DataFrame, quality: DataFrame, downbeats: DataFrame, window: int = 8, drift: float = 0.10, top: int = 5, apart: int = 4, separation: int = 4) -> DataFrame:
-    """(track, a, b, rank, from_beat, to_beat, score) for blocks that follow each other in a queue (run_id, track, pos, block): pairs that
-    leave before a downbeat (track, beat) and land on one, at least `apart` beats away; best first, each at least `separation`
-    beats from those taken on one side. The fold runs over one pair's window, of (2 * window + 1)^2 pairs at most."""
-    w = Window.partitionBy("run_id").orderBy("pos")
-    asked = queue.withColumn("b", F.lead("block").over(w)).where("b is not null").select("track", F.col("block").alias("a"), "b").distinct()
-    leave = blocks.select("track", F.col("block").alias("a"), F.col("exit").alias("a_at"), F.explode(F.sequence(F.col("exit") - window, F.col("exit") + window)).alias("i"))
-    land = blocks.select("track", F.col("block").alias("b"), F.col("entry").alias("b_at"), F.explode(F.sequence(F.col("entry") - window, F.col("entry") + window)).alias("j"))
-    leave = leave.join(downbeats.select("track", (F.col("beat") - 1).alias("i")), ["track", "i"], "left_semi")
-    land = land.join(downbeats.select("track", F.col("beat").alias("j")), ["track", "j"], "left_semi")
-    x = asked.join(leave, ["track", "a"]).join(land, ["track", "b"]).join(quality.select("track", "i", "j", "quality"), ["track", "i", "j"]).where(F.abs(F.col("j") - F.col("i")) >= apart)
-    x = x.withColumn("score", F.col("quality") - F.lit(drift / window) * (F.abs(F.col("i") - F.col("a_at")) + F.abs(F.col("j") - F.col("b_at"))))
+def queued_compatibility(
+    queue: DataFrame, blocks: DataFrame, quality: DataFrame, downbeats: DataFrame, window: int = 8, drift: float = 0.10, top: int = 5, apart: int = 4, separation: int = 4, outside: int = 8, fragment: float = 0.03, short: int = 4, n: DataFrame | None = None,
+) -> DataFrame:
+    """(track, a, b, rank, from_beat, to_beat, score) for blocks that follow each other in a queue (run_id, track, pos, block): pairs of beats (track, i, j,
+    quality) anywhere in the two blocks (track, block, entry, exit) or up to `outside` beats around them that leave before a downbeat (track,
+    beat) and land on one.
+
+    The quality loses drift per beat moved from exit and entry, over the window, and `fragment` for the share of either block that is not
+    played; only what stays over 0 counts. Pairs are `apart` beats from each other unless the blocks are neighbours; blocks of up to `short`
+    beats know neither that nor fragments. Best first, each at least `separation` beats from those taken on one side; the fold runs over
+    one pair's candidates. Pairs without any get their natural junction with score 0."""
+    w, c, zero = Window.partitionBy("run_id").orderBy("pos"), F.col, F.lit(0).cast("long")
+    asked = queue.withColumn("b", F.lead("block").over(w)).where("b is not null").select("track", c("block").alias("a"), "b").distinct()
+    of = lambda s: blocks.select("track", c("block").alias(s), c("entry").alias(f"{s}_in"), c("exit").alias(f"{s}_out"))
+    asked = asked.join(of("a"), ["track", "a"]).join(of("b"), ["track", "b"])
+    place = lambda s, beat: of(s).select("track", s, F.explode(F.sequence(F.greatest(zero, c(f"{s}_in") - outside), c(f"{s}_out") + outside)).alias(beat))
+    leave = place("a", "i").join(downbeats.select("track", (c("beat") - 1).alias("i")), ["track", "i"], "left_semi")
+    land = place("b", "j").join(downbeats.select("track", c("beat").alias("j")), ["track", "j"], "left_semi")
+    x = asked.join(leave, ["track", "a"]).join(land, ["track", "b"]).join(quality.select("track", "i", "j", "quality"), ["track", "i", "j"]).where("i <> j")
+    if n is not None:
+        x = x.join(n, "track").where(c("i") <= c("n") - 2)
+    size_a, size_b = c("a_out") - c("a_in") + 1, c("b_out") - c("b_in") + 1
+    brief, follows = (size_a <= short) | (size_b <= short), c("a_out") + 1 == c("b_in")
+    x = x.where(brief | follows | (F.abs(c("j") - c("i")) >= apart))
+    kept = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    lost = (1 - kept((c("a_out") + 1 - c("i")) / size_a)) + (1 - kept((c("j") - c("b_in")) / size_b))
+    score = c("quality") - F.lit(drift / max(1, window)) * (F.abs(c("i") - c("a_out")) + F.abs(c("j") - c("b_in"))) - F.when(brief, 0.0).otherwise(F.lit(fragment) * lost)
+    x = x.withColumn("score", score).where("score > 0")
     p = x.groupBy("track", "a", "b").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("o"), "i", "j", "score"))).alias("p"))
     none = F.expr("cast(array() as array<struct<o:double,i:bigint,j:bigint,score:double>>)")
     near = lambda y, z: (F.abs(y["i"] - z["i"]) < separation) & (F.abs(y["j"] - z["j"]) < separation)
     taken = F.aggregate("p", none, lambda a, z: F.when((F.size(a) >= top) | F.exists(a, lambda y: near(y, z)), a).otherwise(F.concat(a, F.array(z))))
-    return p.select("track", "a", "b", F.posexplode(taken).alias("rank", "z")).select("track", "a", "b", (F.col("rank") + 1).alias("rank"), F.col("z.i").alias("from_beat"), F.col("z.j").alias("to_beat"), "z.score")
+    found = p.select("track", "a", "b", F.posexplode(taken).alias("rank", "z")).select("track", "a", "b", (c("rank") + 1).alias("rank"), c("z.i").alias("from_beat"), c("z.j").alias("to_beat"), "z.score")
+    return found.unionByName(_natural(asked.select("track", "a", "b", c("a_out").alias("from_beat"), c("b_in").alias("to_beat")), found))

@@ -24,16 +24,17 @@ def k1_build_blocks(spark, d):
     return E.build_blocks(S.islands(T.events(spark, d), "i", "label")).select("track", "seg", "name")
 
 
-COMP = f"""{CD}, bl AS (SELECT track, b AS block, b * 10 AS entry, b * 10 + 9 AS "exit" FROM (SELECT DISTINCT track, beat // 10 AS b FROM cb)),
-x AS (SELECT cd.track, a.block AS a, b.block AS b, i, j, 1 - d - 0.1::DOUBLE / 3 * (abs(i - a."exit") + abs(j - b.entry)) AS score FROM cd JOIN bl a ON a.track = cd.track AND abs(i - a."exit") <= 3 JOIN bl b ON b.track = cd.track AND abs(j - b.entry) <= 3 WHERE a.block <> b.block),
-cm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track, a, b ORDER BY round(score, 9) DESC, i, j) AS rank FROM x) WHERE rank <= 3)"""
+COMP = f"""{CD}, bl AS (SELECT track, b AS block, b * 10 AS entry, b * 10 + 9 AS "exit" FROM (SELECT DISTINCT track, beat // 10 AS b FROM cb)), cn AS (SELECT track, count(*) AS n FROM cb GROUP BY 1),
+x AS (SELECT cd.track, a.block AS a, b.block AS b, i, j, 1 - d - 0.1::DOUBLE / 3 * (abs(i - a."exit") + abs(j - b.entry)) AS score FROM cd JOIN cn ON cn.track = cd.track JOIN bl a ON a.track = cd.track AND abs(i - a."exit") <= 3 AND i >= a.entry JOIN bl b ON b.track = cd.track AND abs(j - b.entry) <= 3 AND j <= b."exit" WHERE i <> j AND i <= n - 2),
+cf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track, a, b ORDER BY round(score, 9) DESC, i, j) AS rank FROM x WHERE score > 0) WHERE rank <= 3),
+cm AS (SELECT track, a, b, i, j, score, rank FROM cf UNION ALL SELECT a.track, a.block, b.block, a."exit", b.entry, 0, 1 FROM bl a JOIN bl b ON a.track = b.track WHERE NOT EXISTS (SELECT 1 FROM cf WHERE cf.track = a.track AND cf.a = a.block AND cf.b = b.block))"""
 
 
 def _blocks(spark, d):
     b = T.beats(spark, d)
     n = F.col("block") * 10
     blocks = b.select("track", F.floor(F.col("beat") / 10).alias("block")).distinct().withColumns({"entry": n, "exit": n + 9})
-    return blocks, E.block_compatibility(blocks, Q.chroma_distance(b).withColumn("quality", 1 - F.col("d")), window=3, top=3)
+    return blocks, E.block_compatibility(blocks, Q.chroma_distance(b).withColumn("quality", 1 - F.col("d")), window=3, top=3, n=b.groupBy("track").agg(F.count("*").alias("n")))
 
 
 def _queue(blocks):
@@ -274,6 +275,22 @@ def e15_request_key(spark, d):
     return k.groupBy("track", "key").agg(F.first(F.round(F.col("t") / F.lit(0.05)).cast("long")).alias("q"), F.first("label").alias("label"), F.min("i").alias("first_i"), F.count("*").alias("n")).drop("key")
 
 
+@family(f"""WITH {EV}, q AS (SELECT *, round(t / 0.05::DOUBLE)::BIGINT AS q, CASE WHEN i % 4 = 1 THEN 0.3 ELSE 0.5 END AS w, i % 5 = 2 AS own FROM ev)
+SELECT track, q, label, min(i) AS i, count(*) AS requests FROM q GROUP BY track, q, label, w, own""")
+def e15_distinct_requests(spark, d):
+    """One job for requests that agree in time, blocked pairs and weights; defaults written out, left out, and in another order are equal."""
+    e = T.events(spark, d).withColumn("blocked", F.when(F.col("i") % 2 == 0, F.array("label")).otherwise(F.array("label", "label")))
+    num = lambda v: F.lit(float(v))
+    weights = (
+        F.when(F.col("i") % 4 == 1, F.create_map(F.lit("waveform"), num(0.3), F.lit("energy"), num(0.07))).when(F.col("i") % 4 == 2, F.create_map(F.lit("energy"), num(0.07), F.lit("waveform"), num(0.5)))
+        .when(F.col("i") % 4 == 3, F.create_map(F.lit("unused"), num(0)))
+    )
+    weights = F.when(F.col("i") % 5 == 2, F.map_concat(F.coalesce(weights, F.create_map(F.lit("energy"), num(0.07))), F.create_map(F.lit("own"), num(0.2)))).otherwise(weights)
+    k = E.request_key(e.withColumn("weights", weights), ["t"], "blocked", others=["track"], weights="weights", defaults={"waveform": 0.5, "energy": 0.07})
+    jobs, _ = E.distinct_requests(k.withColumn("id", F.col("track") * 1000000 + F.col("i")), "id")
+    return jobs.select("track", F.round(F.col("t") / F.lit(0.05)).cast("long").alias("q"), "label", "i", "requests")
+
+
 @family(f"WITH {EV} SELECT track, i, label FROM (SELECT *, row_number() OVER (PARTITION BY track, label ORDER BY t DESC) AS r FROM ev) WHERE r <= 3")
 def e16_keep_latest(spark, d):
     e = T.events(spark, d).withColumn("source", F.concat_ws(":", "track", "label"))

@@ -100,19 +100,60 @@ def test_empty_tables(spark):
 
 def test_queued_pairs_keep_their_distance(spark):
     rng = np.random.default_rng(6)
-    q = {(i, j): float(rng.uniform()) for i in range(40) for j in range(40)}
+    n = 60
+    q = {(i, j): float(rng.uniform(-0.2, 1)) for i in range(n) for j in range(n)}
     quality = frame(spark, [(0, i, j, v) for (i, j), v in q.items()], "track long, i long, j long, quality double")
-    blocks = frame(spark, [(0, 0, 0, 12), (0, 1, 25, 35)], "track long, block long, entry long, exit long")
-    queue = frame(spark, [("r", 0, 0, 0), ("r", 0, 1, 1)], "run_id string, track long, pos long, block long")
-    downbeats = frame(spark, [(0, k) for k in range(0, 40, 2)], "track long, beat long")
-    got = editing.queued_compatibility(queue, blocks, quality, downbeats, window=4, top=3, separation=3).orderBy("rank").collect()
-    score = lambda i, j: q[i, j] - 0.1 / 4 * (abs(i - 12) + abs(j - 25))
-    pairs = sorted(((i, j) for i in range(8, 17) for j in range(21, 30) if (i + 1) % 2 == 0 and j % 2 == 0 and abs(j - i) >= 4), key=lambda p: -score(*p))
-    want = []
-    for p in pairs:
-        if len(want) < 3 and not any(abs(p[0] - y[0]) < 3 and abs(p[1] - y[1]) < 3 for y in want):
-            want.append(p)
-    assert [(r.from_beat, r.to_beat) for r in got] == want
+    spans = {0: (0, 12), 1: (25, 35), 2: (36, 38), 3: (39, 59), 4: (45, 46)}
+    blocks = frame(spark, [(0, k, a, b) for k, (a, b) in spans.items()], "track long, block long, entry long, exit long")
+    order = [0, 1, 2, 3, 0, 4]
+    queue = frame(spark, [("r", 0, k, b) for k, b in enumerate(order)], "run_id string, track long, pos long, block long")
+    down = set(range(0, n, 2))
+    downbeats = frame(spark, [(0, k) for k in down], "track long, beat long")
+    count = frame(spark, [(0, n)], "track long, n long")
+    got = editing.queued_compatibility(queue, blocks, quality, downbeats, window=4, drift=0.3, top=3, apart=6, separation=3, outside=5, fragment=0.2, short=3, n=count).collect()
+    clip = lambda v: min(1.0, max(0.0, v))
+    for a, b in zip(order, order[1:]):
+        (a0, a1), (b0, b1) = spans[a], spans[b]
+        la, lb, found = a1 - a0 + 1, b1 - b0 + 1, []
+        brief = la <= 3 or lb <= 3
+        for i in range(max(0, a0 - 5), min(a1 + 1 + 5, n - 1)):
+            for j in range(max(0, b0 - 5), min(b1 + 1 + 5, n)):
+                if i == j or i + 1 not in down or j not in down or (a1 + 1 != b0 and not brief and abs(j - i) < 6):
+                    continue
+                score = q[i, j] - 0.3 / 4 * (abs(i - a1) + abs(j - b0))
+                if not brief:
+                    score -= 0.2 * ((1 - clip((a1 + 1 - i) / la)) + (1 - clip((j - b0) / lb)))
+                if score > 0:
+                    found.append((-round(score, 9), i, j))
+        want = []
+        for _, i, j in sorted(found):
+            if len(want) < 3 and not any(abs(i - y[0]) < 3 and abs(j - y[1]) < 3 for y in want):
+                want.append((i, j))
+        have = sorted((r["rank"], r.from_beat, r.to_beat) for r in got if (r.a, r.b) == (a, b))
+        assert [h[1:] for h in have] == (want or [(a1, b0)]), (a, b)
+
+
+def test_junctions_fall_back_to_exit_and_entry(spark):
+    blocks = frame(spark, [(0, 0, 0, 9), (0, 1, 10, 19)], "track long, block long, entry long, exit long")
+    quality = frame(spark, [(0, 9, 10, 0.5), (0, 8, 10, 0.55), (0, 19, 0, 0.9), (0, 10, 10, 1.0)], "track long, i long, j long, quality double")
+    n = frame(spark, [(0, 20)], "track long, n long")
+    got = {(r.a, r.b, r["rank"]): (r.from_beat, r.to_beat, round(r.score, 6)) for r in editing.block_compatibility(blocks, quality, window=4, drift=0.4, n=n).collect()}
+    assert got == {(0, 1, 1): (9, 10, 0.5), (0, 1, 2): (8, 10, 0.45), (0, 0, 1): (9, 0, 0.0), (1, 1, 1): (19, 10, 0.0), (1, 0, 1): (19, 0, 0.0)}
+
+
+def test_request_keys(spark):
+    rows = [
+        (0, 10.01, None, [(1, 2), (3, 4)]), (1, 9.99, {"a": 0.5, "b": 0.0}, [(3, 4), (1, 2)]), (2, 10.0, {"b": 0.0, "c": 0.0}, [(3, 4), (1, 2), (1, 2)]),
+        (3, 10.06, None, [(1, 2), (3, 4)]), (4, 10.0, {"a": 0.4}, [(1, 2), (3, 4)]), (5, 10.0, {"a": 0.4 + 1e-12}, [(1, 2), (3, 4)]), (6, 10.0, {"c": 0.1}, [(1, 2), (3, 4)]), (7, 10.0, None, [(1, 2)]), (8, None, None, [(1, 2)]), (9, None, None, [(1, 2)]),
+    ]
+    d = frame(spark, rows, "id long, t double, w map<string,double>, blocked array<struct<i:long,j:long>>")
+    keyed = editing.request_key(d, ["t"], "blocked", weights="w", defaults={"a": 0.5, "b": 0.0})
+    key = {r.id: r.key for r in keyed.collect()}
+    groups = [{0, 1, 2}, {3}, {4, 5}, {6}, {7}, {8, 9}]
+    assert all(len({key[i] for i in g}) == 1 for g in groups) and len(set(key.values())) == len(groups)
+    jobs, asked = editing.distinct_requests(keyed, "id")
+    assert sorted((r.id, r.requests) for r in jobs.collect()) == [(min(g), len(g)) for g in groups]
+    assert asked.join(jobs.select("key"), "key").count() == len(rows)
 
 
 def test_retarget_path_with_more_than_two_jumps(spark):
