@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .events import snap_nearest
+from .beats import assign_interval
 from .similarity import pairs, snippet_similarity
 
 
@@ -130,34 +131,102 @@ def merge_same_label(segments: DataFrame) -> DataFrame:
     return m.select("track", (F.col("g") - 1).cast("long").alias("seg"), "start", "end", "label", conf.alias("confidence"))
 
 
-def consolidate(segments: DataFrame, least: float = 10.0, bridge: float = 8.0, most: int = 12) -> DataFrame:
-    """(track, seg, start, end, label): to a fixpoint, short segments between equal labels and short ones after their own label are
-    merged; then the shortest interior ones join their left neighbour until `most` are left. State runs along one track's
-    segments; tracks run in parallel."""
+#: Labels of the ends of a track, and those that a short segment passes on to the one before it (fixed values).
+ENDS, SECTIONS = ("intro", "outro"), ("bridge", "verse", "chorus")
+
+
+def _joined(parts: list[dict], like: dict) -> dict:
+    """One segment from the first start to the last end, labelled as one of the parts, with the mean confidence of all."""
+    return {"start": parts[0]["start"], "end": parts[-1]["end"], "label": like["label"], "cluster": like["cluster"], "confidence": sum(p["confidence"] for p in parts) / len(parts)}
+
+
+def _neighbours_joined(segments: list[dict]) -> list[dict]:
+    """Neighbours of one label as one segment, confidences averaged pairwise from left to right, of the first one's cluster."""
+    out: list[dict] = []
+    for s in segments:
+        if out and out[-1]["label"] == s["label"]:
+            out[-1] = _joined([out[-1], s], out[-1])
+        else:
+            out.append(s)
+    return out
+
+
+def _short_ones_joined(segments: list[dict], least: float, bridge: float) -> list[dict]:
+    """One pass from left to right: a short segment goes to the two around it where these agree, or to one of its own label before it."""
+    out: list[dict] = []
+    ahead = segments[::-1]
+    while ahead:
+        s = ahead.pop()
+        size, before, after = s["end"] - s["start"], out[-1] if out else None, ahead[-1] if ahead else None
+        if before and after and before["label"] == after["label"] and (size < 0.75 * least or (size <= bridge and s["label"] == "bridge" and before["label"] not in ENDS)):
+            out[-1] = _joined([before, s, ahead.pop()], before)
+        elif before and before["label"] == s["label"] and s["label"] in SECTIONS and size < 0.6 * least:
+            out[-1] = _joined([before, s], s)
+        else:
+            out.append(s)
+    return out
+
+
+def _shortest_joined(s: list[dict]) -> list[dict]:
+    """The first of the shortest inner segments goes to both sides where they agree, else to the longer one, of equals the right."""
+    k = min(range(1, len(s) - 1), key=lambda k: s[k]["end"] - s[k]["start"])
+    left, right = s[k - 1], s[k + 1]
+    if left["label"] == right["label"]:
+        return [*s[: k - 1], _joined(s[k - 1 : k + 2], left), *s[k + 2 :]]
+    if right["end"] - right["start"] >= left["end"] - left["start"]:
+        return [*s[:k], _joined([s[k], right], right), *s[k + 2 :]]
+    return [*s[: k - 1], _joined([left, s[k]], left), *s[k + 1 :]]
+
+
+def consolidate(segments: DataFrame, duration: DataFrame | None = None, least: float = 10.0, bridge: float = 8.0, most: int = 12) -> DataFrame:
+    """(track, seg, start, end, label, cluster, confidence) of segments (track, seg, start, end, label[, cluster, confidence]): neighbours of one label
+    are joined; then, until nothing changes, short ones between equal labels or after their own; then the shortest inner ones until `most`
+    are left. With the tracks' duration (track, duration) the first begins at 0 and is the intro if it began in the first 15 %, and the last
+    ends with the track and is the outro if it ended in the last 15 %. State runs along one track's segments; tracks run in parallel."""
+    cols = set(segments.columns)
+    s = segments.withColumns({"cluster": F.col("cluster").cast("long") if "cluster" in cols else F.lit(None).cast("long"), "confidence": F.col("confidence").cast("double") if "confidence" in cols else F.lit(None).cast("double")})
+    s = s.join(duration.select("track", "duration"), "track", "left") if duration is not None else s.withColumn("duration", F.lit(None).cast("double"))
+    kind = dict(segments.dtypes)["track"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = [[a, b, lab] for a, b, lab in pdf.sort_values("seg")[["start", "end", "label"]].itertuples(index=False)]
-        changed = True
-        while changed:
-            changed = False
-            for k in range(1, len(s) - 1):
-                size = s[k][1] - s[k][0]
-                if s[k - 1][2] == s[k + 1][2] and (size < least or (s[k][2] == "bridge" and size < bridge)):
-                    s[k - 1 : k + 2] = [[s[k - 1][0], s[k + 1][1], s[k - 1][2]]]
-                    changed = True
-                    break
-            else:
-                for k in range(1, len(s)):
-                    if s[k][2] == s[k - 1][2] and min(s[k][1] - s[k][0], s[k - 1][1] - s[k - 1][0]) < least:
-                        s[k - 1 : k + 1] = [[s[k - 1][0], s[k][1], s[k - 1][2]]]
-                        changed = True
-                        break
-        while len(s) > max(2, most):
-            k = min(range(1, len(s) - 1), key=lambda k: (s[k][1] - s[k][0], k))
-            s[k - 1 : k + 1] = [[s[k - 1][0], s[k][1], s[k - 1][2]]]
-        return pd.DataFrame([(pdf["track"].iloc[0], n, a, b, lab) for n, (a, b, lab) in enumerate(s)], columns=["track", "seg", "start", "end", "label"])
-
-    return segments.select("track", "seg", "start", "end", "label").groupBy("track").applyInPandas(solve, "track long, seg long, start double, end double, label string")
+        pdf = pdf.sort_values("seg")
+        rows = [{"start": a, "end": b, "label": lab, "cluster": c, "confidence": f} for a, b, lab, c, f in pdf[["start", "end", "label", "cluster", "confidence"]].itertuples(index=False)]
+        now, last = _neighbours_joined(rows), None
+        while now != last and len(now) != (len(last) if last else -1):
+            last = now
+            now = _neighbours_joined(_short_ones_joined(last, least, bridge))
+        while len(now) > max(2, most):
+            now = _neighbours_joined(_shortest_joined(now))
+        whole = pdf["duration"].iloc[0]
+        if now and not pd.isna(whole):
+            now[0] = now[0] | {"start": 0.0, "label": "intro" if now[0]["start"] < 0.15 * whole else now[0]["label"]}
+            now[-1] = now[-1] | {"end": whole, "label": "outro" if now[-1]["end"] > 0.85 * whole else now[-1]["label"]}
+        out = pd.DataFrame(now).assign(track=pdf["track"].iloc[0], seg=range(len(now)))[["track", "seg", "start", "end", "label", "cluster", "confidence"]]
+        return out.astype({"cluster": "Int64", "confidence": "Float64" if out["confidence"].isna().any() else float})
+
+    return s.select("track", "seg", "start", "end", "label", "cluster", "confidence", "duration").groupBy("track").applyInPandas(solve, f"track {kind}, seg long, start double, end double, label string, cluster long, confidence double")
+
+
+def segment_rms(samples: DataFrame, segments: DataFrame, rate: float) -> DataFrame:
+    """segments (track, seg, start, end in seconds) with energy: the RMS of their samples (track, i, x), of at least one."""
+    n = samples.groupBy("track").agg((F.max("i") + 1).alias("n"))
+    last, c = F.col("n") - 1, F.col
+    at = segments.join(n, "track").withColumn("lo", F.greatest(F.lit(0).cast("long"), F.least((c("start") * F.lit(rate)).cast("long"), last)))
+    at = at.withColumn("hi", F.greatest(c("lo") + 1, F.least((c("end") * F.lit(rate)).cast("long"), c("n"))))
+    s = assign_interval(samples.select("track", c("i").alias("frame"), "x"), at.select("track", c("seg").alias("beat"), c("lo").alias("start"), c("hi").alias("end")))
+    e = s.groupBy("track", c("beat").alias("seg")).agg(F.sqrt(F.avg(c("x") * c("x"))).alias("energy"))
+    return segments.join(e, ["track", "seg"], "left")
+
+
+def boundary_confidence(segments: DataFrame, novelty: DataFrame, frame_seconds: float, first: float = 0.8) -> DataFrame:
+    """segments with confidence: half, and half of the novelty (track, i, novelty) in the frame of their start (the last one beyond the end), 1
+    at most; `first` for the first of a track and where there is no novelty. A lookup of single frames, joined on equality."""
+    w, c = Window.partitionBy("track"), F.col
+    n = novelty.groupBy("track").agg(F.max("i").alias("n"))
+    s = segments.withColumn("__first", F.min("seg").over(w)).join(n, "track", "left").withColumn("i", F.least((c("start") / F.lit(frame_seconds)).cast("long"), c("n")))
+    s = s.join(novelty.select("track", "i", "novelty"), ["track", "i"], "left")
+    value = F.when((c("seg") == c("__first")) | c("novelty").isNull(), F.lit(first)).otherwise(F.least(F.lit(1.0), 0.5 + 0.5 * c("novelty")))
+    return s.withColumn("confidence", value).select(*segments.columns, "confidence")
 
 
 def choose_structure(bar_path: DataFrame, novelty_path: DataFrame, downbeats: DataFrame, least_downbeats: int = 4, least_segments: int = 5) -> DataFrame:

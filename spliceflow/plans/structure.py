@@ -9,7 +9,7 @@ from ..operators import beats as B
 from ..operators import similarity as M
 from ..operators import structure as S
 from ..sources import tables as T
-from .base import BV, EV, Family, rounded
+from .base import BV, EV, SG, Family, rounded
 from .similarity import REC, SSM, _rec
 from .transitions import cos
 
@@ -111,7 +111,20 @@ def t10_merge_same_label(spark, d):
 
 @family()
 def t11_consolidate(spark, d):
-    return S.consolidate(_coarse(spark, d), least=1.5, bridge=1.0)
+    s = _coarse(spark, d)
+    return rounded(S.consolidate(s, s.groupBy("track").agg((F.max("end") + 0.5).alias("duration")), least=1.5, bridge=1.0).drop("cluster"))
+
+
+@family(f"""WITH {SG}, s AS (SELECT track, i // 50 AS seg, i // 50 * 50 AS lo, least(i // 50 * 50 + 50, n) AS hi FROM sg JOIN nn USING (track) GROUP BY ALL),
+e AS (SELECT s.track, seg, lo, hi, sqrt(avg(x * x)) AS energy FROM s JOIN sg ON sg.track = s.track AND i >= lo AND i < hi GROUP BY 1, 2, 3, 4)
+SELECT e.track, seg, round(energy, 6) AS energy, round(CASE WHEN seg = 0 THEN 0.8 ELSE least(1, 0.5 + 0.5 * sg.x) END::DOUBLE, 9) AS confidence FROM e JOIN nn ON nn.track = e.track JOIN sg ON sg.track = e.track AND sg.i = least(lo // 2, n - 1)""")
+def t9_segment_rms(spark, d):
+    """Segments of half a second of a hundred samples; a frame of novelty every fiftieth of a second."""
+    x = T.signal(spark, d)
+    seg = x.groupBy("track", F.floor(F.col("i") / 50).alias("seg")).agg(F.lit(1).alias("one")).select("track", "seg", (F.col("seg") * F.lit(0.5)).alias("start"), ((F.col("seg") + 1) * F.lit(0.5)).alias("end"))
+    e = S.segment_rms(x, seg, 100.0)
+    c = S.boundary_confidence(e, x.select("track", "i", F.col("x").alias("novelty")), 0.02)
+    return c.select("track", "seg", F.round("energy", 6).alias("energy"), F.round("confidence", 9).alias("confidence"))
 
 
 @family(f"""WITH {SEGS}, c AS (SELECT track, count(*) AS n FROM sg GROUP BY 1), v AS (SELECT track, count(*) AS m FROM ev WHERE label = 'view' GROUP BY 1), g AS (SELECT track FROM c JOIN v USING (track) WHERE n >= 55 AND m >= 12)
