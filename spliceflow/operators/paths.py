@@ -303,13 +303,36 @@ def variations(paths: DataFrame, runs: DataFrame, searched: DataFrame, solve: Ca
     return every.withColumn("variation", F.row_number().over(w) - 1).drop("key")
 
 
-def region_bounds(regions: DataFrame, beats: DataFrame) -> DataFrame:
-    """(run_id, track, entry, exit): beats (track, beat, t) nearest to the region's start and end (run_id, track, start, end)."""
+def region_bounds(regions: DataFrame, beats: DataFrame, downbeats: DataFrame | None = None, flex: int = 0) -> DataFrame:
+    """(run_id, track, entry, exit) of regions (run_id, track, start, end[, entry_override, exit_override]) on beats (track, beat, t).
+
+    Overrides count where both are there, not negative and in order. Else, with downbeats (track, t) and a flex, each end goes to the beat nearest to
+    the nearest downbeat within flex mean beats; without such a downbeat the entry is the first beat from the start on, the exit the last
+    one up to the end. Else both are the nearest beats. The exit is at least one beat after the entry, and at most the last beat."""
     from .events import snap_nearest
 
-    grid = beats.select("track", F.col("beat").alias("j"), "t")
-    near = lambda c, out: snap_nearest(regions.select("run_id", "track", F.col(c).alias("t")), grid).select("run_id", "track", F.col("j").alias(out))
-    return near("start", "entry").join(near("end", "exit"), ["run_id", "track"])
+    c, key = F.col, ["run_id", "track"]
+    grid = beats.select("track", c("beat").alias("j"), "t")
+    side = lambda x: regions.select(*key, c(x).alias("t"))
+    near = lambda d: snap_nearest(d, grid).select(*key, c("j").cast("long").alias("j"))
+    size = beats.groupBy("track").agg(F.count("*").alias("n"), ((F.max("t") - F.min("t")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("mean"))
+    r = regions.join(size, "track")
+    if downbeats is None or flex <= 0:
+        for x, out in (("start", "entry"), ("end", "exit")):
+            r = r.join(near(side(x)).withColumnRenamed("j", out), key)
+    else:
+        down = downbeats.select("track", "t", F.row_number().over(Window.partitionBy("track").orderBy("t")).cast("long").alias("j"))
+        for x, out in (("start", "entry"), ("end", "exit")):
+            found = snap_nearest(side(x), down).join(size, "track").where(F.abs(c("grid_t") - c("t")) <= flex * c("mean")).select(*key, c("grid_t").alias("t"))
+            # how many beats are before the start, or up to the end: one union, running counts
+            u = side(x).withColumn("__b", F.lit(0)).unionByName(grid.select("track", "t").withColumn("__b", F.lit(1)), allowMissingColumns=True)
+            at = F.sum("__b").over(Window.partitionBy("track").orderBy("t", "__b" if x == "start" else F.desc("__b")).rowsBetween(Window.unboundedPreceding, 0))
+            past = u.withColumn("__k", at).where("__b = 0").select(*key, c("__k").alias("__k") if x == "start" else F.greatest(F.lit(0).cast("long"), c("__k") - 1).alias("__k"))
+            r = r.join(near(found).withColumnRenamed("j", out), key, "left").join(past, key).withColumn(out, F.coalesce(out, F.least("__k", c("n") - 1))).drop("__k")
+    if {"entry_override", "exit_override"} <= set(regions.columns):
+        own = F.coalesce((c("entry_override") >= 0) & (c("exit_override") > c("entry_override")), F.lit(False))
+        r = r.withColumns({"entry": F.when(own, c("entry_override")).otherwise(c("entry")), "exit": F.when(own, c("exit_override")).otherwise(c("exit"))})
+    return r.select(*key, c("entry").cast("long").alias("entry"), F.greatest(c("entry") + 1, F.least("exit", c("n") - 1)).cast("long").alias("exit"))
 
 
 def region_loop(bounds: DataFrame, edges: DataFrame, steps: DataFrame, around: int = 1) -> DataFrame:

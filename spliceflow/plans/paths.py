@@ -190,7 +190,7 @@ def p14_region_variations(spark, d):
 
 REG = f"""{EV}, rg AS (SELECT track, 'r' || track AS run_id, 20.3::DOUBLE AS s, 50.7::DOUBLE AS e FROM (SELECT DISTINCT track FROM ev)),
 ds AS (SELECT run_id, rg.track, i, row_number() OVER (PARTITION BY run_id ORDER BY abs(t - s), i) AS rs, row_number() OVER (PARTITION BY run_id ORDER BY abs(t - e), i) AS re FROM rg JOIN ev USING (track)),
-bd AS (SELECT run_id, track, max(CASE WHEN rs = 1 THEN i END) AS entry, max(CASE WHEN re = 1 THEN i END) AS "exit" FROM ds GROUP BY 1, 2)"""
+bd AS (SELECT run_id, track, max(CASE WHEN rs = 1 THEN i END) AS entry, greatest(max(CASE WHEN rs = 1 THEN i END) + 1, least(max(CASE WHEN re = 1 THEN i END), count(*) - 1)) AS "exit" FROM ds GROUP BY 1, 2)"""
 
 
 def _bounds(spark, d):
@@ -204,6 +204,20 @@ def p10_region_bounds(spark, d):
     return _bounds(spark, d)
 
 
+@family(f"""WITH {EV}, sz AS (SELECT track, count(*) AS n, (max(t) - min(t)) / greatest(count(*) - 1, 1) AS m FROM ev GROUP BY 1), rg AS (SELECT track, n, m, unnest([20.3, 50.7]::DOUBLE[]) AS x, unnest(['s', 'e']) AS side FROM sz),
+dn AS (SELECT rg.track, side, ev.t, row_number() OVER (PARTITION BY rg.track, side ORDER BY abs(ev.t - rg.x), ev.t) AS r, abs(ev.t - rg.x) <= 2 * m AS ok FROM rg JOIN ev ON ev.track = rg.track AND label = 'view'),
+bt AS (SELECT dn.track, side, ev.i, row_number() OVER (PARTITION BY dn.track, side ORDER BY abs(ev.t - dn.t), ev.i) AS r FROM dn JOIN ev ON ev.track = dn.track WHERE dn.r = 1 AND ok),
+fb AS (SELECT rg.track, side, CASE side WHEN 's' THEN least(count(*) FILTER (ev.t < rg.x), any_value(n) - 1) ELSE greatest(0, count(*) FILTER (ev.t <= rg.x) - 1) END AS i FROM rg JOIN ev ON ev.track = rg.track GROUP BY 1, 2),
+z AS (SELECT fb.track, max(CASE WHEN fb.side = 's' THEN coalesce(bt.i, fb.i) END) AS en, max(CASE WHEN fb.side = 'e' THEN coalesce(bt.i, fb.i) END) AS ex FROM fb LEFT JOIN bt ON bt.track = fb.track AND bt.side = fb.side AND bt.r = 1 GROUP BY 1)
+SELECT 'r' || track AS run_id, track, CASE WHEN track % 7 = 0 THEN 3 ELSE en END AS entry, greatest(CASE WHEN track % 7 = 0 THEN 3 ELSE en END + 1, least(CASE WHEN track % 7 = 0 THEN 9 ELSE ex END, n - 1)) AS "exit" FROM z JOIN sz USING (track)""")
+def p10_flexible_bounds(spark, d):
+    """Ends at the nearest 'view' within two mean beats; every seventh track has bounds of its own."""
+    e = T.events(spark, d)
+    own = lambda v: F.when(F.col("track") % 7 == 0, F.lit(v).cast("long"))
+    r = e.select("track").distinct().select("track", F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id"), F.lit(20.3).alias("start"), F.lit(50.7).alias("end"), own(3).alias("entry_override"), own(9).alias("exit_override"))
+    return P.region_bounds(r, e.select("track", F.col("i").alias("beat"), "t"), e.where("label = 'view'").select("track", "t"), 2)
+
+
 @family(f"""WITH {ED}, bd AS (SELECT 'r' || track AS run_id, track, 4::BIGINT AS entry, n - 4 AS x, n + 20 AS target FROM tk), ps AS (SELECT track, i, coalesce(sum(cost) OVER (PARTITION BY track ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM sq),
 c AS (SELECT run_id, bd.track, e.i, e.j, e.cost, a.p AS pi, b.p AS pj, x - entry AS plain, target, e.i - e.j + 1 AS size, unnest([-1, 0, 1]) AS k FROM bd JOIN eg e ON e.track = bd.track AND e.j < e.i AND e.j >= entry AND e.i < x JOIN ps a ON a.track = e.track AND a.i = e.i JOIN ps b ON b.track = e.track AND b.i = e.j),
 n AS (SELECT *, (round((target - plain) / size) + k)::BIGINT AS times FROM c), l AS (SELECT *, plain + times * size AS length, round(times * (cost + pi - pj) + abs(plain + times * size - target) / target, 9) AS tc FROM n WHERE times >= 1)

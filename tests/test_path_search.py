@@ -112,3 +112,16 @@ def test_variations_block_one_jump_each(spark):
     assert len(base[3]) >= 2 and [r.variation for r in got] == list(range(len(want)))
     assert {tuple((c.i, c.j) for c in r.cuts): round(r.cost, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
     assert [r.cost for r in got] == sorted(r.cost for r in got)
+
+
+def test_region_bounds_follow_downbeats_overrides_and_beats(spark):
+    t = [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0]
+    beats = spark.createDataFrame([(0, b, x) for b, x in enumerate(t)], "track long, beat long, t double")
+    down = spark.createDataFrame([(0, 0.1), (0, 4.1), (0, 8.1)], "track long, t double")
+    rows = [("flex", 3.2, 7.4, None, None), ("far", 2.5, 6.5, None, None), ("own", 3.2, 7.4, 1, 5), ("wrong", 3.2, 7.4, 5, 5), ("late", 20.0, 30.0, None, None), ("early", -9.0, -5.0, None, None), ("on", 6.0, 6.0, None, None)]
+    r = spark.createDataFrame([(k, 0, *x) for k, *x in rows], "run_id string, track long, start double, end double, entry_override long, exit_override long")
+    got = {x.run_id: (x.entry, x.exit) for x in paths.region_bounds(r, beats, down, 1).collect()}
+    # within one beat of a downbeat its beat; else the first beat from the start and the last up to the end
+    assert got == {"flex": (4, 8), "far": (3, 6), "own": (1, 5), "wrong": (4, 8), "late": (9, 10), "early": (0, 1), "on": (6, 7)}
+    plain = {x.run_id: (x.entry, x.exit) for x in paths.region_bounds(r.drop("entry_override", "exit_override"), beats).collect()}
+    assert plain["flex"] == (3, 7) and plain["far"] == (2, 6) and plain["own"] == plain["flex"]
