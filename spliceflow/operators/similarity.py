@@ -39,8 +39,8 @@ def tile_scores(a: DataFrame, b: DataFrame, kind: str = "cosine", apart: tuple[i
     """(track, i, j, v): cosine or distance of the vectors (track, beat, feat) of a with those of b in their track, for all pairs `apart` beats
     (from the first number to the second) from each other.
 
-    With `nearest` only the k best j of each i, by v rounded to twelve digits and then by j, and none over `most`: the lowest distances, or for
-    cosines 1 - v. A null vector scores `missing`, or is left out. Tiles of `size` x `size` beats are a product of matrices each, and
+    Only pairs not over `most` by distance, or for cosines by 1 - v; with `nearest` only the k best j of each i, by that rounded to twelve digits and
+    then by j. A null vector scores `missing`, or is left out. Tiles of `size` x `size` beats are a product of matrices each, and
     hand on at most k rows for each i: the pairs of a long track are spread over tasks and never all rows of a table."""
     lo, hi = apart
     rows = a.select("track", F.col("beat").cast("long").alias("k"), F.col("feat").cast("array<double>").alias("x"), F.lit(0).alias("side"))
@@ -69,6 +69,8 @@ def tile_scores(a: DataFrame, b: DataFrame, kind: str = "cosine", apart: tuple[i
         gap = np.abs(i[:, None] - j[None])
         ok = gap >= lo if hi is None else (gap >= lo) & (gap <= hi)
         if nearest is None:
+            if most is not None:
+                ok &= np.round(1.0 - v if kind == "cosine" else v, 12) <= most
             p, q = np.nonzero(ok)
         else:
             cost = np.round(1.0 - v if kind == "cosine" else v, 12)

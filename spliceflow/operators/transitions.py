@@ -207,9 +207,9 @@ def onset_penalty(onset: Column, below: float = 0.25, most: float = 0.12) -> Col
     return F.when(onset < below, most * (below - onset) / below).otherwise(0.0)
 
 
-def span_penalty(i: Column, j: Column, same_label: Column) -> Column:
+def span_penalty(i: Column, j: Column, same_label: Column, across: float = 0.25, within: float = 0.12) -> Column:
     """For jumps of under 32 beats: 0.25 across labels, 0.12 within one; 0 without labels."""
-    return F.when(same_label.isNull() | (F.abs(j - i) >= 32), 0.0).when(same_label, 0.12).otherwise(0.25)
+    return F.when(same_label.isNull() | (F.abs(j - i) >= 32), 0.0).when(same_label, within).otherwise(across)
 
 
 def quality_bucket(q: Column) -> Column:
@@ -284,11 +284,11 @@ def marked_signals(candidates: DataFrame, marks: DataFrame, alike: DataFrame | N
     }).drop("label_i", "label_j", "seg_i", "seg_j", "rms_i", "rms_j", "centroid_i", "centroid_j", "onset_share_i", "onset_share_j", "leads_in", "is_downbeat", "alike", "release_i", "starts_j")
 
 
-def penalised(scored: DataFrame) -> DataFrame:
+def penalised(scored: DataFrame, across: float = 0.25, within: float = 0.12) -> DataFrame:
     """scored with the quality less the span penalty, then the vocal one in tracks with vocals (0.75 anywhere), then the onset one, never
     under 0."""
     less = lambda q, p: F.greatest(F.lit(0.0), q - p)
-    q = less(F.col("quality"), span_penalty(F.col("i"), F.col("j"), F.col("label") >= 0.5))
+    q = less(F.col("quality"), span_penalty(F.col("i"), F.col("j"), F.col("label") >= 0.5, across, within))
     q = less(q, F.when(F.col("most_vocal") >= 0.75, vocal_discontinuity(F.col("vocal_i"), F.col("vocal_j"))).otherwise(0.0))
     return scored.withColumn("quality", less(q, F.coalesce(onset_penalty(F.col("onset_j")), F.lit(0.0)))).drop("vocal_i", "vocal_j", "most_vocal", "onset_j")
 
@@ -357,3 +357,41 @@ def region_candidates(distance: DataFrame, bounds: DataFrame, labels: DataFrame
         x = x.join(of("i"), ["track", "i"], "left").join(of("j"), ["track", "j"], "left")
         cost = cost + F.when((F.col("li") != F.col("lj")) & (F.abs(F.col("j") - F.col("i")) < 32), 0.125).otherwise(0.0)
     return x.select("run_id", "track", "i", "j", "d", cost.alias("cost"))
+
+
+def region_transition_candidates(
+    beats: DataFrame, bounds: DataFrame, snippets: DataFrame, edge_db: DataFrame, marks: DataFrame | None = None, apart: int = 4, most: float = 0.55, max_lag: int = 4, weights: dict | None = None, harmonic: bool = True, tone: float = 0.0, back: int = 2, ahead: int = 2,
+) -> DataFrame:
+    """(run_id, track, i, j, d, energy_diff_db, waveform, lag, signals as in transition_candidates, quality, cost) of all pairs inside [entry, exit)
+    of runs (run_id, track, entry, exit) that are `apart` beats from each other and not over `most`: no top-k, no floor, no guard.
+
+    A region stands for itself: its last beat leads nowhere, and contexts, of `back` beats before i and `ahead` after j, end at its bounds. With marks the
+    section is 0.9 * label + 0.1, and jumps of under 32 beats across labels lose half of what they do elsewhere, those within one nothing. Steps of
+    the timbre and the track's largest values look at the whole track. A run's region is searched in tiles like a track of its own."""
+    r = beats.join(bounds.select("run_id", "track", "entry", "exit"), "track").where((F.col("beat") >= F.col("entry")) & (F.col("beat") < F.col("exit")))
+    own = r.select(F.col("run_id").alias("track"), "beat", "feat")
+    tones = own.select("track", "beat", chroma_of("feat").alias("feat"))
+    c = tile_scores(_next(tones).where("feat is not null"), tones, apart=(apart, None), most=most)
+    c = c.select(F.col("track").alias("run_id"), "i", "j", (1 - F.col("v")).alias("d")).join(bounds.select("run_id", "track"), "run_id")
+    c = waveform_similarity(gate_energy(c, edge_db), snippets, max_lag)
+    v = own.withColumn("next", F.lead("feat").over(_w())).join(context_vectors(own, back, ahead), ["track", "beat"]).withColumnRenamed("track", "run_id")
+    m = beats.join(mfcc_vectors(beats), ["track", "beat"])
+    c = c.join(v.select("run_id", F.col("beat").alias("i"), "next", "before"), ["run_id", "i"]).join(v.select("run_id", F.col("beat").alias("j"), F.col("feat").alias("fj"), "after"), ["run_id", "j"])
+    c = c.join(m.select("track", F.col("beat").alias("i"), F.col("m").alias("mi"), "leaving", chroma_of("feat").alias("ci")), ["track", "i"])
+    c = c.join(m.select("track", F.col("beat").alias("j"), F.col("m").alias("mj"), "landing", chroma_of("feat").alias("cj")), ["track", "j"])
+    c = c.withColumns({
+        "successor": V.clip(V.cosine("next", "fj"), 0.0, 1.0), "context": V.clip(V.cosine("before", "after"), 0.0, 1.0), "mfcc": mfcc_of_pair("mi", "leaving", "mj", "landing"),
+        "chroma": V.clip(V.cosine("ci", "cj"), 0.0, 1.0), "energy": linear_match(F.col("energy_diff_db"), F.lit(0.0), 8.0),
+    }).drop("next", "before", "mi", "leaving", "ci", "fj", "after", "mj", "landing", "cj")
+    c = c.withColumn("sequential", sequential_signal(F.col("successor"), F.col("context"), F.col("mfcc")))
+    use = weights or DEFAULT_WEIGHTS
+    if marks is not None:
+        c = marked_signals(c, marks).withColumn("section", 0.9 * F.col("label") + 0.1)
+    missing = sorted(set(use) - set(c.columns))
+    if missing:
+        raise ValueError(f"the weighted signals {missing} need marks of the beats")
+    q = quality_score(use, harmonic)
+    c = c.withColumn("quality", q if tone <= 0 else tone_blend(q, F.col("chroma"), tone))
+    if marks is not None:
+        c = penalised(c, 0.125, 0.0)
+    return c.withColumn("cost", 1 - F.col("quality"))

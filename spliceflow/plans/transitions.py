@@ -200,6 +200,32 @@ def q20_full_candidates(spark, d):
     return rounded(_full(spark, d).select("track", "i", "j", "label", "bar_align", "section", "energy", "edge_energy", "centroid", "transient", "waveform", "vocal", "mfcc", "sequential", "quality", "cost"))
 
 
+#: The same inside [5, 40) of every track, on its own beats alone.
+REGION = f"""{CB}, {DL}, {EDB}, rb AS (SELECT track, beat, feat[46:57] AS ch, lead(feat[46:57]) OVER w AS nc, feat AS f, lead(feat) OVER w AS nf FROM bv WHERE beat >= 5 AND beat < 40 WINDOW w AS (PARTITION BY track ORDER BY beat)),
+rl AS (SELECT track, beat, unnest(generate_series(1, 64)) AS k, unnest(f) AS v FROM rb), rx AS (SELECT track, beat, k, avg(v) OVER (PARTITION BY track, k ORDER BY beat ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS b, avg(v) OVER (PARTITION BY track, k ORDER BY beat ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS a FROM rl),
+rv AS (SELECT track, beat, list(b ORDER BY k) AS before, list(a ORDER BY k) AS after FROM rx GROUP BY 1, 2),
+rp AS (SELECT a.track, a.beat AS i, b.beat AS j, 1 - {cos('a.nc', 'b.ch')} AS d, greatest(0, least(1, {cos('a.nf', 'b.f')})) AS successor, y.db_start - x.db_end AS e FROM rb a JOIN rb b ON a.track = b.track AND abs(a.beat - b.beat) >= 4 JOIN ed x ON x.track = a.track AND x.beat = a.beat JOIN ed y ON y.track = a.track AND y.beat = b.beat WHERE a.nc IS NOT NULL AND abs(y.db_start - x.db_end) <= 8),
+rt AS (SELECT rp.*, x.feat AS wa, y.feat AS wb, unnest(generate_series(-4, 4)) AS lag FROM rp JOIN bv x ON x.track = rp.track AND x.beat = i + 1 JOIN bv y ON y.track = rp.track AND y.beat = j WHERE d <= 0.9),
+rw AS (SELECT track, i, j, d, successor, e, greatest(0, max(list_inner_product(wa[5:60], wb[5 + lag:60 + lag]) / sqrt(list_inner_product(wa[5:60], wa[5:60]) * list_inner_product(wb[5 + lag:60 + lag], wb[5 + lag:60 + lag]) + 1e-20))) AS waveform FROM rt GROUP BY ALL),
+tv AS (SELECT track, max(2 * abs(feat[3])) AS mv, max(abs(feat[4])) AS mo FROM bv GROUP BY 1),
+c AS (SELECT rw.*, greatest(0, least(1, {cos('p.before', 'q.after')})) AS context, {MFCC.format(a='dx', b='dy')} AS mfcc, CASE WHEN rw.i // 8 % 3 = rw.j // 8 % 3 THEN 1.0 ELSE 0 END::DOUBLE AS label, CASE WHEN rw.i % 4 = 3 AND rw.j % 4 = 0 THEN 1.0 ELSE 0 END::DOUBLE AS bar_align,
+  greatest(0, 1 - abs(abs(x.feat[2]) - abs(y.feat[2])) / 0.2::DOUBLE) AS energy, greatest(0, 1 - abs(e) / 12.0::DOUBLE) AS edge_energy, greatest(0, 1 - abs(abs(x.feat[5]) - abs(y.feat[5])) / 0.2::DOUBLE) AS centroid, 1 - abs(abs(x.feat[4]) / mo - abs(y.feat[4]) / mo) AS transient, 2 * abs(x.feat[3]) AS vi, 2 * abs(y.feat[3]) AS vj, mv, abs(y.feat[4]) AS oj
+  FROM rw JOIN bv x ON x.track = rw.track AND x.beat = rw.i JOIN bv y ON y.track = rw.track AND y.beat = rw.j JOIN rv p ON p.track = rw.track AND p.beat = rw.i JOIN rv q ON q.track = rw.track AND q.beat = rw.j JOIN dl dx ON dx.track = rw.track AND dx.beat = rw.i JOIN dl dy ON dy.track = rw.track AND dy.beat = rw.j JOIN tv ON tv.track = rw.track),
+s AS (SELECT *, (successor + context + mfcc) / 3 AS sequential, 0.9 * label + 0.1 AS section FROM c),
+h AS (SELECT *, greatest(0, least(1, 1.1::DOUBLE / (0.5 / greatest(waveform, 0.001) + 0.1 / greatest(section, 0.001) + 0.2 / greatest(sequential, 0.001) + 0.15 / greatest(transient, 0.001) + 0.07 / greatest(energy, 0.001) + 0.04 / greatest(edge_energy, 0.001) + 0.02 / greatest(bar_align, 0.001) + 0.02 / greatest(centroid, 0.001)))) AS q0 FROM s),
+h1 AS (SELECT *, greatest(0, q0 - CASE WHEN abs(j - i) < 32 AND label < 0.5 THEN 0.125 ELSE 0 END) AS q1 FROM h), h2 AS (SELECT *, greatest(0, q1 - CASE WHEN mv >= 0.75 THEN 0.1 * least(1, 2 * abs(vi - vj)) + 0.3 * greatest(0, least(vi, vj) - 0.4) ELSE 0 END) AS q2 FROM h1)
+SELECT 'r' || track AS run_id, track, i, j, round(d, 6) AS d, round(waveform, 6) AS waveform, round(sequential, 6) AS sequential, round(section, 6) AS section, round(greatest(0, q2 - CASE WHEN oj < 0.25 THEN 0.12 * (0.25 - oj) / 0.25 ELSE 0 END), 6) AS quality FROM h2"""
+
+
+@family(f"WITH {REGION}")
+def q23_scored_region_candidates(spark, d):
+    b = _b(spark, d)
+    bounds = b.select("track").distinct().select(F.concat(F.lit("r"), F.col("track").cast("string")).alias("run_id"), "track", F.lit(5).alias("entry"), F.lit(40).alias("exit"))
+    marks = _marks(b).drop("vocal_onset", "vocal_release")
+    c = Q.region_transition_candidates(b, bounds, _snippets(b), _edge_db(b), marks, most=0.9, weights=Q.DEFAULT_WEIGHTS | {"section": 0.1})
+    return rounded(c.select("run_id", "track", "i", "j", "d", "waveform", "sequential", "section", "quality"))
+
+
 @family(f"""WITH {FULL} SELECT track, i AS from_beat, j AS to_beat, round(quality, 6) AS quality, round(waveform, 6) AS waveform, round(successor, 6) AS successor, 0.0::DOUBLE AS edge_splice, round(context, 6) AS context, label, round(section, 6) AS section, bar_align,
   round(energy, 6) AS energy, round(edge_energy, 6) AS edge_energy, round(centroid, 6) AS centroid, round(transient, 6) AS transient_continuity, round(mfcc, 6) AS mfcc_continuity, round(d, 6) AS chroma_distance, round(abs(e), 3) AS energy_diff_db FROM full_c WHERE quality >= 0.05""")
 def s9_component_rows(spark, d):
