@@ -378,14 +378,21 @@ def cells_from_delimiters(cuts: DataFrame, ends: DataFrame, apart: float = 1e-3)
     return k.select("track", F.posexplode(pairs).alias("cell", "c")).select("track", F.col("cell").cast("long").alias("cell"), "c.start", "c.end")
 
 
-def transition_times(clips: DataFrame, labels: DataFrame) -> DataFrame:
-    """(run_id, splice, at, from_beat, to_beat, from_label, to_label): where each clip but the first of a run (run_id, track, clip,
-    start_beat, end_beat, timeline_start) begins on the timeline, with the labels (track, beat, label) on both sides."""
+def transition_times(clips: DataFrame, labels: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """(run_id, splice, at, from_beat, to_beat, from_label, to_label[, quality, bucket]): where each clip but the first of a run (run_id, track, clip,
+    start_beat, end_beat, timeline_start) begins on the timeline, with the labels (track, beat, label) on both sides, and with the quality of
+    its pair of beats (track, i, j, quality) and what that is called, null and unknown where there is none."""
     w = Window.partitionBy("run_id").orderBy("clip")
     c = clips.withColumn("from_beat", F.lag("end_beat").over(w)).where("from_beat is not null")
     of = lambda beat, out: labels.select("track", F.col("beat").alias(beat), F.col("label").alias(out))
     c = c.join(of("from_beat", "from_label"), ["track", "from_beat"], "left").join(of("start_beat", "to_label"), ["track", "start_beat"], "left")
-    return c.select("run_id", (F.col("clip") - 1).alias("splice"), F.col("timeline_start").alias("at"), "from_beat", F.col("start_beat").alias("to_beat"), "from_label", "to_label")
+    more = []
+    if quality is not None:
+        from .transitions import quality_bucket
+
+        c = c.join(quality.select("track", F.col("i").alias("from_beat"), F.col("j").alias("start_beat"), "quality"), ["track", "from_beat", "start_beat"], "left")
+        more = ["quality", quality_bucket(F.col("quality")).alias("bucket")]
+    return c.select("run_id", (F.col("clip") - 1).alias("splice"), F.col("timeline_start").alias("at"), "from_beat", F.col("start_beat").alias("to_beat"), "from_label", "to_label", *more)
 
 
 def queued_compatibility(

@@ -280,11 +280,18 @@ def path_steps(paths: DataFrame, runs: DataFrame) -> DataFrame:
     return p.select("run_id", "track", F.posexplode(beats).alias("pos", "beat")).withColumn("pos", F.col("pos").cast("long"))
 
 
-def path_transitions(steps: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(run_id, track, pos, i, j, cost): steps that are not to the next beat, with the candidate's cost where there is one."""
+def path_transitions(steps: DataFrame, candidates: DataFrame, meta: list[str] = [], rate: float | None = None) -> DataFrame:
+    """(run_id, track, pos, i, j, cost[, lag_seconds][, meta]): steps that are not to the next beat, with the candidate's cost where there is one;
+    with a rate its lag (in samples) in seconds, and the columns named in meta as a map of those that are not null."""
     w = Window.partitionBy("run_id").orderBy("pos")
     t = steps.withColumn("j", F.lead("beat").over(w)).where("j is not null and j <> beat + 1").select("run_id", "track", "pos", F.col("beat").alias("i"), "j")
-    return t.join(candidates.select("track", "i", "j", "cost"), ["track", "i", "j"], "left").select("run_id", "track", "pos", "i", "j", "cost")
+    take = sorted({"cost", *meta, *(["lag"] if rate else [])})
+    t = t.join(candidates.select("track", "i", "j", *take), ["track", "i", "j"], "left")
+    more = [(F.col("lag") / F.lit(float(rate))).alias("lag_seconds")] if rate else []
+    if meta:
+        pairs = F.array(*(F.struct(F.lit(m).alias("k"), F.col(m).cast("double").alias("v")) for m in meta))
+        more.append(F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("meta"))
+    return t.select("run_id", "track", "pos", "i", "j", "cost", *more)
 
 
 def variations(paths: DataFrame, runs: DataFrame, searched: DataFrame, solve: Callable = best_paths, **how) -> DataFrame:

@@ -179,11 +179,14 @@ def percentile_scaled(series: DataFrame, q: float = 0.95) -> DataFrame:
     return series.join(p, "track").select("track", "i", F.when(F.col("p") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") / F.col("p")))).otherwise(0.0).alias("x"))
 
 
-def gate_tracks(series: DataFrame, least_n: int, least_rms: float) -> DataFrame:
-    """(track, n, reason): why a track is rejected, or null."""
+def gate_tracks(series: DataFrame, least_n: int, least_rms: float, beats: DataFrame | None = None) -> DataFrame:
+    """(track, n, reason): why a track is rejected, or null: short, not finite, silent, or, with beats (track, t), of under two beats."""
     bad = F.max((F.col("x").isNull() | F.isnan("x") | (F.abs("x") == F.lit(float("inf")))).cast("int"))
     g = series.groupBy("track").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), bad.alias("bad"))
     reason = F.when(F.col("n") < least_n, "short").when(F.col("bad") == 1, "not finite").when(F.col("rms") < least_rms, "silent")
+    if beats is not None:
+        g = g.join(beats.groupBy("track").agg(F.count("*").alias("beats")), "track", "left")
+        reason = reason.when(F.coalesce("beats", F.lit(0)) < 2, "under two beats")
     return g.select("track", "n", reason.alias("reason"))
 
 

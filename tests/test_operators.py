@@ -209,3 +209,23 @@ def test_find_peaks_does_not_join_whole_tracks(spark):
             want.append((i, x[i]))
     assert want and sorted((r.i, r.x) for r in found.collect()) == want
     assert not joins_on_the_track_alone(found)
+
+
+def test_optional_parts_of_rows(spark):
+    x = frame(spark, [(t, i, 1.0 if t else 0.0) for t in range(3) for i in range(10)], "track long, i long, x double")
+    b = frame(spark, [(1, 0.5), (2, 0.5), (2, 1.0)], "track long, t double")
+    assert {r.track: r.reason for r in series.gate_tracks(x, 5, 0.1, b).collect()} == {0: "silent", 1: "under two beats", 2: None}
+    clips = frame(spark, [("r", 0, 0, 0, 4, 0.0), ("r", 0, 1, 9, 12, 2.5), ("r", 0, 2, 2, 5, 4.0)], "run_id string, track long, clip long, start_beat long, end_beat long, timeline_start double")
+    labels = frame(spark, [(0, k, "ab"[k // 6 % 2]) for k in range(13)], "track long, beat long, label string")
+    q = frame(spark, [(0, 4, 9, 0.8)], "track long, i long, j long, quality double")
+    got = [tuple(r) for r in editing.transition_times(clips, labels, q).orderBy("splice").collect()]
+    assert got == [("r", 0, 2.5, 4, 9, "a", "b", 0.8, "great"), ("r", 1, 4.0, 12, 2, "a", "a", None, "unknown")]
+    from spliceflow.sources import files
+
+    t = frame(spark, [("r", 0, 0, 4, 9, 0.2, -3.0)], "run_id string, track long, pos long, i long, j long, cost double, energy_diff_db double")
+    beats = frame(spark, [(0, k, 0.5 * k) for k in range(13)], "track long, beat long, t double")
+    assert [(r.energy_diff_db, round(r.quality, 6)) for r in files.splice_rows(t, beats).collect()] == [(3.0, 0.8)]
+    steps = frame(spark, [("r", 0, k, b) for k, b in enumerate((0, 1, 7, 8, 3))], "run_id string, track long, pos long, beat long")
+    cand = frame(spark, [(0, 1, 7, 0.25, 441, 0.5, None)], "track long, i long, j long, cost double, lag long, waveform double, chroma double")
+    got = {(r.i, r.j): (r.cost, r.lag_seconds, r.meta) for r in paths.path_transitions(steps, cand, ["waveform", "chroma"], 22050.0).collect()}
+    assert got[1, 7] == (0.25, 0.02, {"waveform": 0.5}) and got[8, 3][:2] == (None, None) and got[8, 3][2] == {}
