@@ -180,13 +180,24 @@ def mark_within(events: DataFrame, marks: DataFrame, share: float = 0.25) -> Dat
     return near.withColumn("marked", F.coalesce(F.abs(F.col("grid_t") - F.col("t")) <= F.lit(share) * F.col("mean"), F.lit(False))).drop("j", "grid_t", "mean")
 
 
-def detect_beats(logits: DataFrame, frame_rate: float, onsets: DataFrame, meter_of: DataFrame) -> DataFrame:
-    """(track, t, is_downbeat): peaks of (track, i, x), plateaus merged, gaps filled, inconsistent ones dropped, moved to onsets;
-    marks of meter_of (track, t) are cleaned against the tempo and flag the beats nearest to them."""
-    peaks = dedup_peaks(local_peaks(logits)).select("track", (F.col("i") / F.lit(frame_rate)).alias("t"))
-    weak = local_peaks(logits.where("x < 0"), above=-2.0).select("track", (F.col("i") / F.lit(frame_rate)).alias("t"))
-    beats = drop_inconsistent(fill_gaps(peaks, weak).select("track", "t"))
-    beats = refine_to_onset(beats, onsets, 0.03).select("track", F.col("refined").alias("t")).distinct()
-    tempo, meter = estimate_tempo(beats), detect_meter(beats, meter_of)
+def detect_beats(logits: DataFrame, frame_rate: float, onsets: DataFrame, downbeats: DataFrame) -> DataFrame:
+    """(track, t, is_downbeat, tempo, meter, confidence), in this order: peaks of (track, i, x) with plateaus merged; downbeats (track, t) to their
+    nearest peaks; gaps filled, inconsistent beats dropped; beats and downbeats moved to onsets; tempo; for tracks of two downbeats or more
+    the meter and downbeats cleaned against its bar, for others four and every fourth beat; the share of regular intervals. A beat is a
+    downbeat if one lies within a quarter of the mean interval."""
+    seconds = (F.col("i") / F.lit(frame_rate)).alias("t")
+    peaks = dedup_peaks(local_peaks(logits)).select("track", seconds)
+    weak = local_peaks(logits.where("x < 0"), above=-2.0).select("track", seconds)
+    grid = peaks.withColumn("j", F.row_number().over(_w()).cast("long") - 1)
+    moved = lambda d: refine_to_onset(d, onsets, 0.03).select("track", F.col("refined").alias("t")).distinct()
+    down = moved(snapped_events(downbeats.select("track", "t"), grid.select("track", "j", "t")).select("track", "t"))
+    beats = moved(drop_inconsistent(fill_gaps(peaks, weak).select("track", "t")))
+    enough = down.groupBy("track").agg(F.count("*").alias("n")).where("n >= 2").select("track")
+    down = down.join(enough, "track", "left_semi")
+    tempo, meter = estimate_tempo(beats), detect_meter(beats, down)
     bar = tempo.join(meter, "track").select("track", (60 / F.col("tempo") * F.col("meter")).alias("bar"))
-    return mark_within(beats, clean_downbeats(meter_of, bar)).withColumnRenamed("marked", "is_downbeat")
+    none = beats.join(enough, "track", "left_anti")
+    marks = clean_downbeats(down, bar).select("track", "t").unionByName(every_nth(none, 4).select("track", "t"))
+    meter = meter.join(enough.withColumn("own", F.lit(True)), "track", "left").select("track", F.when(F.col("own"), F.col("meter")).otherwise(F.lit(4).cast("long")).alias("meter"))
+    whole = tempo.select("track", "tempo").join(meter, "track").join(regularity(beats, tempo.select("track", "tempo")).withColumnRenamed("regularity", "confidence"), "track", "left")
+    return mark_within(beats, marks).withColumnRenamed("marked", "is_downbeat").select("track", "t", "is_downbeat").join(whole, "track", "left")

@@ -25,10 +25,15 @@ def islands(rows: DataFrame, order: str, label: str) -> DataFrame:
     return r.groupBy("track", "seg").agg(F.first(label).alias("label"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
-def beats_to_bars(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
-    """(track, bar, start, end) in beats: the beats (track, beat, t) nearest to the downbeats (track, t), equal neighbours dropped."""
+def beats_to_bars(beats: DataFrame, downbeats: DataFrame, every: int | None = None) -> DataFrame:
+    """(track, bar, start, end) in beats: the beats (track, beat, t) nearest to the downbeats (track, t), equal neighbours dropped; with `every`, tracks
+    without downbeats have a bar at every so many beats."""
     near = snap_nearest(downbeats.select("track", "t"), beats.select("track", F.col("beat").alias("j"), "t")).where("j is not null")
-    b = near.select("track", "j").distinct().withColumns({"end": F.lead("j").over(_w("j")), "bar": F.row_number().over(_w("j")).cast("long") - 1})
+    b = near.select("track", "j").distinct()
+    if every:
+        plain = beats.join(downbeats.select("track").distinct(), "track", "left_anti").withColumn("__r", F.row_number().over(_w("beat")) - 1)
+        b = b.unionByName(plain.where(F.col("__r") % every == 0).select("track", F.col("beat").alias("j")))
+    b = b.withColumns({"end": F.lead("j").over(_w("j")), "bar": F.row_number().over(_w("j")).cast("long") - 1})
     return b.where(F.col("end").isNotNull()).select("track", "bar", F.col("j").alias("start"), "end")
 
 

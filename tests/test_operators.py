@@ -229,3 +229,28 @@ def test_optional_parts_of_rows(spark):
     cand = frame(spark, [(0, 1, 7, 0.25, 441, 0.5, None)], "track long, i long, j long, cost double, lag long, waveform double, chroma double")
     got = {(r.i, r.j): (r.cost, r.lag_seconds, r.meta) for r in paths.path_transitions(steps, cand, ["waveform", "chroma"], 22050.0).collect()}
     assert got[1, 7] == (0.25, 0.02, {"waveform": 0.5}) and got[8, 3][:2] == (None, None) and got[8, 3][2] == {}
+
+
+def test_beats_are_detected_in_order(spark):
+    """Two tracks of beats every half second at 50 frames a second, one with downbeats every three beats, one with a single one."""
+    logits = []
+    for track in (0, 1):
+        for i in range(1200):
+            at = i % 25
+            logits.append((track, i, 3.0 if at == 0 and i != 625 else -0.5 if i == 625 else -3.0 - at / 50))
+    onsets = [(t, 0.5 * k + 0.01) for t in (0, 1) for k in range(48)]
+    down = [(0, 1.5 * k + 0.06) for k in range(16)] + [(1, 0.0)]
+    got = events.detect_beats(frame(spark, logits, "track long, i long, x double"), 50.0, frame(spark, onsets, "track long, t double"), frame(spark, down, "track long, t double")).collect()
+    for track, meter in ((0, 3), (1, 4)):
+        rows = sorted((r.t, r.is_downbeat) for r in got if r.track == track)
+        assert len(rows) == 48 and all(abs(t - (0.5 * k + 0.01)) < 1e-9 for k, (t, _) in enumerate(rows))
+        assert [k for k, (_, d) in enumerate(rows) if d] == list(range(0, 48, meter))
+        assert {(round(r.tempo, 3), r.meter, r.confidence) for r in got if r.track == track} == {(120.0, meter, 1.0)}
+
+
+def test_bars_without_downbeats(spark):
+    beats = frame(spark, [(t, b, 0.5 * b) for t in (0, 1) for b in range(10)], "track long, beat long, t double")
+    down = frame(spark, [(0, 0.6), (0, 2.6)], "track long, t double")
+    rows = lambda d: sorted((r.track, r.bar, r.start, r.end) for r in d.collect())
+    assert rows(structure.beats_to_bars(beats, down)) == [(0, 0, 1, 5)]
+    assert rows(structure.beats_to_bars(beats, down, every=4)) == [(0, 0, 1, 5), (1, 0, 0, 4), (1, 1, 4, 8)]
