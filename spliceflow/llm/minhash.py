@@ -7,8 +7,8 @@ is cut into bands; documents that agree in a band are candidates, and a candidat
 confirm it. With 64 functions and bands of 4, a pair at similarity 0.8 is missed with probability (1 - 0.8^4)^32 = 5e-8.
 
 Inside a band not all pairs are tried. Rows with equal sets fall together first. Then every member of a band is tested against the
-band's smallest member, and components are formed; in bands that still hold several, members that also agree in a second band
-are tested against the smallest and the largest of those; last, members outside a band's largest component are tested
+band's smallest member, and components are formed; in bands that still hold several, members that also agree in one of two other
+bands are tested against the smallest and the largest of those; last, members outside a band's largest component are tested
 against all others of the band, within the join, so that only links come out. No two members of different components that
 share a band are left untested.
 
@@ -129,7 +129,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after further links (a, b): only the graph of components is solved again."""
+    """The components after further links (a, b): only the graph of components is solved again, and nothing where there are no links."""
+    if not links.limit(1).count():
+        drop_stored(links)
+        return comps
     of = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     x = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     edges = stored(x.select("ca", "cb").distinct())
@@ -157,23 +160,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     hub = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("top")).where("hub.id <> top")
     shared = stored(bands.join(hub.select("band", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "band"))
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sets of other sizes can't be that similar
-    pairs = stored(shared.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    pairs = shared.where((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     ids = shared.select("id").distinct()
     sets = stored(shingle_sets(d.join(ids, "id", "left_semi"), "text", words))
-    comps = components(stored(_confirmed(pairs, sets, percent)))
-    drop_stored(pairs)
+    links = stored(_confirmed(pairs, sets, percent))
+    comps = components(links)
+    drop_stored(links)
     at = _open(shared, comps)
     drop_stored(shared)
-    for second in ("s1", "s2"):
-        key = F.struct("id", "n", "component")
-        ends = at.groupBy("band", second).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("component").alias("c"), F.max("component").alias("top")).where("c <> top")
-        tests = at.join(ends.select("band", second, F.explode(F.array("lo", "hi")).alias("hub")), ["band", second])
-        tests = tests.where((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
-        tests = stored(tests.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct())
-        comps = _merged(comps, stored(_confirmed(tests, sets, percent)))
-        drop_stored(tests)
+    tests = [_second(at, second, fits) for second in ("s1", "s2")]
+    links = stored(_confirmed(tests[0].union(tests[1]).distinct(), sets, percent))
+    if links.limit(1).count():
+        comps = _merged(comps, links)
         before, at = at, _open(at.drop("component"), comps)
         drop_stored(before)
+    else:
+        drop_stored(links)
     comps = _merged(comps, stored(_rest(at, sets, rows, fits, percent)))
     of_set = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b"], "left")
@@ -191,19 +193,34 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return stored(at.join(bands, "band", "left_semi").select("j", "band", "id", "n", "s1", "s2", "component"))
 
 
+def _second(at: DataFrame, second: str, fits) -> DataFrame:
+    """Pairs to test of members that agree in a second band too, with the smallest and the largest of these."""
+    key = F.struct("id", "n", "component")
+    ends = at.groupBy("band", second).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.min("component").alias("c"), F.max("component").alias("top")).where("c <> top")
+    tests = at.join(ends.select("band", second, F.explode(F.array("lo", "hi")).alias("hub")), ["band", second])
+    tests = tests.where((F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n")))
+    return tests.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"))
+
+
 def _rest(at: DataFrame, sets: DataFrame, rows: DataFrame, fits, percent: int) -> DataFrame:
     """Links between the members outside a band's largest component and the other members of the band. A pair is tried in the
-    first band that it shares; sets and bands travel with the members of bands that are still open."""
+    first band that it shares. Bands and shortened sets, 31 bits of every shingle, travel with the members of bands that are still open;
+    the pairs that these let through are confirmed on full sets."""
     counts = at.groupBy("band", "component").agg(F.count("*").alias("m"))
-    main = counts.groupBy("band").agg(F.max(F.struct("m", "component")).alias("main")).select("band", F.col("main.component").alias("main"))
-    known = sets.join(rows.select("id", "bands").where(F.size("bands") > 0).dropDuplicates(["id"]), "id").select("id", "shingles", "bands")
     # a large band is dealt out in parts of about 512 members; those outside its main component meet every part
-    parts = counts.groupBy("band").agg(F.ceil(F.sum("m") / 512).alias("parts"))
-    full = at.select("j", "band", "id", "n", "component").join(parts, "band").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).join(known, "id")
-    out = full.join(main, "band").where("component <> main").drop("main", "part").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    x, y = out.alias("x"), full.alias("y")
+    of = counts.groupBy("band").agg(F.max(F.struct("m", "component")).alias("main"), F.ceil(F.sum("m") / 512).alias("parts"))
+    members = at.select("j", "band", "id", "n", "component").join(of.select("band", F.col("main.component").alias("main"), "parts"), "band")
+    out = members.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    short = F.array_distinct(F.transform("shingles", lambda s: s.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+    known = sets.select("id", short.alias("short"), F.size("shingles").alias("size"))
+    known = known.join(rows.select("id", "bands").where(F.size("bands") > 0).dropDuplicates(["id"]), "id")
+    # the sets are joined to the narrow rows, so that they are dealt by band once a side
+    x, y = (t.select("j", "band", "part", "id", "n", "component").join(known, "id").alias(name) for t, name in ((out, "x"), (members, "y")))
     c = lambda name: F.col(name)
-    both = F.size(F.array_intersect(c("x.shingles"), c("y.shingles")))
+    # at least the shingles in common: a set's own that fall together when shortened might all be shared
+    both = F.size(F.array_intersect(c("x.short"), c("y.short"))) + c("x.size") - F.size(c("x.short"))
     before = F.exists(F.zip_with(F.slice(c("x.bands"), 1, c("x.j")), F.slice(c("y.bands"), 1, c("y.j")), lambda p, q: p == q), lambda e: e)
-    link = F.when((c("x.component") == c("y.component")) | ~fits(c("x.n"), c("y.n")), False).when(before, False).otherwise(100 * both >= percent * (c("x.n") + c("y.n") - both))
-    return x.join(y, (c("x.band") == c("y.band")) & (c("x.part") == c("y.part")) & link).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    link = F.when((c("x.component") == c("y.component")) | ~fits(c("x.n"), c("y.n")), False).when(before, False).otherwise(100 * both >= percent * (c("x.size") + c("y.size") - both))
+    pairs = x.join(y, (c("x.band") == c("y.band")) & (c("x.part") == c("y.part")) & link).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    return _confirmed(pairs, sets, percent)

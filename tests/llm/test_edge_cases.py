@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spliceflow.llm import ball_tree, byte_bpe, context_mixing, language_id, minhash, order_minhash, packing, quality_fm, secret_scan, sentence_spans
+from spliceflow.llm import ball_tree, byte_bpe, context_mixing, graph, language_id, minhash, order_minhash, packing, quality_fm, secret_scan, sentence_spans
 
 LONG = "long words of a text that goes on " * 3000
 TEXTS = [(0, None), (1, ""), (2, "   \n\t "), (3, "one"), (3, "one"), (4, "Same text here, twice."), (5, "Same text here, twice."), (None, "no id"), (6, LONG), (7, "naïve Ünïcode — 日本語のテキスト 😀")]
@@ -362,3 +362,37 @@ def test_order_minhash_leaves_the_tables_that_its_result_reads(spark):
     made = order_minhash.edited_likeness(docs(spark))
     assert made.count() == len(TEXTS)
     assert len(tables() - before) == 2  # signatures and ring
+
+
+def test_rest_of_bands_confirms_shortened_sets(spark):
+    """Sets travel with 31 bits of each shingle: shingles that only then fall together neither make a link nor cost one, and the rows dealt by
+    band are narrow until the sets are joined to them."""
+    high = 1 << 40
+    a = list(range(1, 11))
+    sets = {1: a, 2: [x + high for x in a], 3: [*range(101, 109), 50, 50 + high], 4: [*range(101, 109), 50, 50 + high, 7, 8], 5: [*range(101, 109)]}
+    at = spark.createDataFrame([(0, 9, i, len(s), 0, 0, i) for i, s in sets.items()], "j int, band long, id long, n long, s1 long, s2 long, component long")
+    rows = spark.createDataFrame([(i, [9]) for i in sets], "id long, bands array<long>")
+    fits = lambda n, m: 100 * F.least(n, m) >= 80 * F.greatest(n, m)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = minhash._rest(at, spark.createDataFrame(list(sets.items()), "id long, shingles array<long>"), rows, fits, 80)
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sorted((r.a, r.b) for r in out.collect()) == [(4, 3), (5, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: line.find("+- ")
+    by_band = [i for i, line in enumerate(plan) if re.search(r"hashpartitioning\(band#\d+L, \d+\)", line)]
+    assert by_band
+    for i in by_band:
+        below = plan[i + 1 : next((k for k in range(i + 1, len(plan)) if 0 <= depth(plan[k]) <= depth(plan[i])), len(plan))]
+        assert not any("shingles" in line or "short" in line for line in below)
+
+
+def test_near_duplicates_solves_nothing_anew_without_further_links(spark, monkeypatch):
+    tables = []
+    for module in (minhash, graph):
+        monkeypatch.setattr(module, "stored", lambda df, keep=module.stored: tables.append(1) or keep(df))
+    text = " ".join(f"w{i}" for i in range(60))
+    got = minhash.near_duplicates(spark.createDataFrame([(1, text), (2, text + " end"), (3, "else entirely")], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert len(tables) <= 14
