@@ -116,7 +116,7 @@ def fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, size:
             pick = order[lo : lo + batch]
             at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in pick])
             r = np.repeat(np.arange(len(pick)), [bounds[i + 1] - bounds[i] for i in pick])
-            c, x = col[at], val[at]
+            c, x = col[at], val[at].astype(np.float64)
             z, s = m.raw(r, c, x, len(pick))
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
             e = err[r] * x
@@ -165,9 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     if got.num_rows == 0:
         return None
     y = got["y"].to_numpy()
-    cols, vals = got["cols"].combine_chunks(), got["vals"].combine_chunks()
-    size = np.diff(cols.offsets.to_numpy())
-    return fit(np.repeat(np.arange(len(y)), size), cols.flatten().to_numpy().astype(np.int64), vals.flatten().to_numpy().astype(np.float64), y, (1 << WORD_BITS) + STATS * LEVELS + 32 * len(metadata), **how)
+    cols, vals = got["cols"].combine_chunks(), got["vals"].combine_chunks().flatten().to_numpy()
+    del got  # the driver holds the sample once, as it came: a batch is widened when it is read
+    row, cols = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(cols.offsets.to_numpy())), cols.flatten().to_numpy()
+    return fit(row, cols, vals, y, (1 << WORD_BITS) + STATS * LEVELS + 32 * len(metadata), **how)
 
 
 def score(docs: DataFrame, model: FactorisationMachine | None, text: str = "text", metadata: list[str] | None = None, keep: list[str | Column] | None = None) -> DataFrame:

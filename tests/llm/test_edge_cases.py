@@ -396,3 +396,15 @@ def test_near_duplicates_solves_nothing_anew_without_further_links(spark, monkey
     got = minhash.near_duplicates(spark.createDataFrame([(1, text), (2, text + " end"), (3, "else entirely")], "doc_id long, text string"))
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 3)]
     assert len(tables) <= 14
+
+
+def test_quality_sample_stays_narrow_in_the_driver(spark, monkeypatch):
+    """The driver fits on the sample as it came, in 32 bits a number, and the model is that of the same numbers widened."""
+    got, fit = [], quality_fm.fit
+    monkeypatch.setattr(quality_fm, "fit", lambda *a: got.append(a) or fit(*a))
+    rows = [(i, f"word{i % 3} of text {i}") for i in range(40)]
+    narrow = quality_fm.train(docs(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    row, col, val, *rest = got[0]
+    assert (row.itemsize, col.itemsize, val.itemsize) == (4, 4, 4)
+    wide = fit(row.astype(np.int64), col.astype(np.int64), val.astype(np.float64), *rest)
+    assert narrow.w0 == wide.w0 and (narrow.w == wide.w).all() and (narrow.v == wide.v).all()
