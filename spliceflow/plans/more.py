@@ -57,5 +57,5 @@ def k4_queued_compatibility(spark, d):
     b = T.beats(spark, d)
     blocks = b.select("track", F.floor(F.col("beat") / 10).alias("block")).distinct().withColumns({"entry": F.col("block") * 10, "exit": F.col("block") * 10 + 9})
     queue = _queue(blocks)
-    quality = Q.chroma_distance(b).withColumn("quality", 1 - F.col("d"))
+    quality = lambda pairs: Q.chroma_of_pairs(pairs, b).withColumn("quality", 1 - F.col("d"))
     return rounded(E.queued_compatibility(queue, blocks, quality, b.where("beat % 2 = 0").select("track", "beat"), window=4, top=3, separation=3, n=b.groupBy("track").agg(F.count("*").alias("n"))))

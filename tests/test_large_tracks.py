@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from spliceflow.operators import editing as E
 from spliceflow.operators import transitions as Q
+from spliceflow.queries import QUERIES
 
 
 def plan(df):
@@ -28,3 +30,15 @@ def test_continuity_of_all_pairs_joins_no_tables_of_pairs(beats):
     want = {(t, i, j): 1 - min(1.0, (0.7 * gap(m[t, i], m[t, j]) + 0.3 * gap(into(t, i), out(t, j))) / 0.6) for t, i in v for u, j in v if u == t}
     rows = {(r.track, r.i, r.j): r.v for r in got.collect()}
     assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_blocks_of_a_queue_score_only_pairs_asked_for(spark, beats):
+    assert "MapInArrow" not in plan(QUERIES["k4_queued_compatibility"](spark, "/root/testdata/sf0.001"))
+    d, _ = beats
+    blocks = d.selectExpr("track", "floor(beat / 10) block").distinct().selectExpr("track", "block", "block * 10 entry", "block * 10 + 9 exit")
+    queue = blocks.selectExpr("track", "cast(track as string) run_id", "block pos", "block")
+    down = d.where("beat % 2 = 0").select("track", "beat")
+    key = lambda x: sorted((r.track, r.a, r.b, r["rank"], r.from_beat, r.to_beat, round(r.score, 9)) for r in x.collect())
+    table = E.queued_compatibility(queue, blocks, Q.chroma_distance(d).selectExpr("track", "i", "j", "1 - d quality"), down, window=4)
+    asked = E.queued_compatibility(queue, blocks, lambda p: Q.chroma_of_pairs(p, d).selectExpr("*", "1 - d quality"), down, window=4)
+    assert key(table) == key(asked) and len(key(asked)) > 10
