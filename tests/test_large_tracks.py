@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from spliceflow.operators import editing as E
+from spliceflow.operators import similarity as M
 from spliceflow.operators import transitions as Q
 from spliceflow.queries import QUERIES
 
@@ -42,3 +43,12 @@ def test_blocks_of_a_queue_score_only_pairs_asked_for(spark, beats):
     table = E.queued_compatibility(queue, blocks, Q.chroma_distance(d).selectExpr("track", "i", "j", "1 - d quality"), down, window=4)
     asked = E.queued_compatibility(queue, blocks, lambda p: Q.chroma_of_pairs(p, d).selectExpr("*", "1 - d quality"), down, window=4)
     assert key(table) == key(asked) and len(key(asked)) > 10
+
+
+def test_affinity_is_made_of_products(beats):
+    d, v = beats
+    got = M.affinity(d)
+    assert "Join" not in plan(got)
+    cos = lambda x, y: float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-8))
+    rows = {(r.track, r.i, r.j): r.v for r in got.collect()}
+    assert len(rows) == 61**2 + 23**2 + 1 and all(abs(x - min(1.0, max(0.0, cos(v[t, i], v[t, j])))) < 1e-12 for (t, i, j), x in rows.items())
