@@ -52,3 +52,23 @@ def test_affinity_is_made_of_products(beats):
     cos = lambda x, y: float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-8))
     rows = {(r.track, r.i, r.j): r.v for r in got.collect()}
     assert len(rows) == 61**2 + 23**2 + 1 and all(abs(x - min(1.0, max(0.0, cos(v[t, i], v[t, j])))) < 1e-12 for (t, i, j), x in rows.items())
+
+
+def test_bars_that_meet_are_averaged_where_their_cosines_arise(beats):
+    d, v = beats
+    got = M.bar_sequence_correlation(d.selectExpr("track", "floor(beat / 7) seg", "beat % 7 bar", "feat"), 3)
+    assert "Join" not in plan(got)
+    cos = lambda x, y: float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-8))
+    want = {}
+    for t, n in ((0, 61), (1, 23)):
+        segs = [[b for b in range(n) if b // 7 == s] for s in range((n + 6) // 7)]
+        for a in range(len(segs)):
+            for b in range(a + 1, len(segs)):
+                tried = []
+                for f in range(-3, 4):
+                    c = [cos(v[t, x], v[t, y]) for x in segs[a] for y in segs[b] if y % 7 == x % 7 + f]
+                    tried += [(-round(sum(c) / len(c), 12), f)] if len(c) >= 2 else []
+                if tried:
+                    want[t, a, b] = (min(tried)[1], max(0.0, -min(tried)[0]))
+    rows = {(r.track, r.a, r.b): (r.offset, r["corr"]) for r in got.collect()}
+    assert rows.keys() == want.keys() and all(rows[k][0] == f and abs(rows[k][1] - c) < 1e-9 for k, (f, c) in want.items())
