@@ -5,6 +5,7 @@ import pytest
 
 from spliceflow.operators import editing as E
 from spliceflow.operators import similarity as M
+from spliceflow.operators import structure as S
 from spliceflow.operators import transitions as Q
 from spliceflow.queries import QUERIES
 
@@ -78,7 +79,7 @@ def test_silhouette_of_vectors_is_that_of_all_distances(spark, beats):
     d, _ = beats
     labels = d.selectExpr("track", "beat", "case when beat = 4 then 9 else beat % 3 end cluster")
     got = M.vector_silhouette(d, labels)
-    assert plan(got).count("Join") <= 2  # labels only: once to the vectors, once to the sums
+    assert plan(got).count("Join") <= 3  # labels only: to the vectors of either side, and to the sums
     want = M.silhouette(Q.F.broadcast(M.tile_scores(d, d)).withColumn("v", 1 - Q.F.col("v")), labels)
     assert {r.track: round(r.score, 9) for r in got.collect()} == {r.track: round(r.score, 9) for r in want.collect()}
 
@@ -90,3 +91,14 @@ def test_clusters_of_vectors_are_those_of_their_affinity(spark, beats):
     key = lambda x: sorted((r.track, r.beat, r.cluster) for r in x.collect())
     assert key(got) == key(M.best_clusters(M.affinity(d))) and len({r[0] for r in key(got)}) == 2
     assert "Join" not in plan(QUERIES["m8_cluster_segments"](spark, "/root/testdata/sf0.001"))
+
+
+def test_jumps_of_sections_are_those_of_all_bars_that_meet(spark, beats):
+    d, _ = beats
+    bars = d.selectExpr("track", "floor(beat / 12) seg", "floor(beat % 12 / 2) bar", "beat", "feat").groupBy("track", "seg", "bar").agg(Q.F.min("beat").alias("start"), (Q.F.max("beat") + 1).alias("end"), Q.F.min_by("feat", "beat").alias("feat"))
+    snippets = d.where("beat <> 20").selectExpr("track", "beat", "feat w")
+    got = S.section_jumps(bars, snippets, 0.02, 4, 0.1, 3)
+    assert plan(got).startswith("MapInArrow")  # nothing is joined after the strips
+    want = S.repetition_jumps(M.bar_sequence_correlation(bars), bars, snippets, 0.02, 4, 0.1, 3)
+    key = lambda x: sorted((r.track, r.from_beat, r.to_beat, round(r.waveform, 9), round(r["corr"], 9), r.lag, r.a, r.b, r.from_bar, r.to_bar) for r in x.select(S.JUMP).collect())
+    assert key(got) == key(want) and len(key(got)) > 10
