@@ -102,3 +102,30 @@ def test_jumps_of_sections_are_those_of_all_bars_that_meet(spark, beats):
     want = S.repetition_jumps(M.bar_sequence_correlation(bars), bars, snippets, 0.02, 4, 0.1, 3)
     key = lambda x: sorted((r.track, r.from_beat, r.to_beat, round(r.waveform, 9), round(r["corr"], 9), r.lag, r.a, r.b, r.from_bar, r.to_bar) for r in x.select(S.JUMP).collect())
     assert key(got) == key(want) and len(key(got)) > 10
+
+
+def blocks_of(d):
+    return d.selectExpr("track", "floor(beat / 7) block").distinct().selectExpr("track", "block", "block * 7 entry", "block * 7 + 6 exit")
+
+
+def junctions(df):
+    return sorted((r.track, r.a, r.b, r["rank"], r.from_beat, r.to_beat, round(r.score, 9)) for r in df.collect())
+
+
+def test_blocks_meet_in_strips_as_in_the_table_of_all_pairs(beats):
+    d, _ = beats
+    blocks, n = blocks_of(d), d.groupBy("track").agg(Q.F.count("*").alias("n"))
+    got = E.vector_compatibility(blocks, *Q.chroma_sides(d), n, window=3, top=3)
+    assert plan(got).startswith("MapInArrow")  # nothing is joined after the strips
+    want = E.block_compatibility(blocks, Q.chroma_distance(d).selectExpr("track", "i", "j", "1 - d quality"), window=3, top=3, n=n)
+    assert junctions(got) == junctions(want) and len(junctions(got)) > 90
+
+
+def test_assembled_blocks_score_only_pairs_asked_for(spark, beats):
+    assert "MapInArrow" not in plan(QUERIES["k5_assemble_blocks"](spark, "/root/testdata/sf0.001"))
+    d, _ = beats
+    blocks, n = blocks_of(d), d.groupBy("track").agg(Q.F.count("*").alias("n"))
+    asked = blocks.selectExpr("track", "block a", "block + 2 b")
+    got = E.block_compatibility(blocks, lambda p: Q.chroma_of_pairs(p, d).selectExpr("*", "1 - d quality"), window=3, top=3, n=n, asked=asked)
+    every = E.block_compatibility(blocks, Q.chroma_distance(d).selectExpr("track", "i", "j", "1 - d quality"), window=3, top=3, n=n)
+    assert junctions(got) == [r for r in junctions(every) if r[2] == r[1] + 2]
